@@ -7,6 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from sparkloom.llm.neardup import near_duplicates
+from sparkloom.llm.suffixdedup import remove_repeats
 
 
 def _docs(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -18,8 +19,14 @@ def op5_minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates(_docs(spark, sf_dir), shingle=4, percent=80)
 
 
+def op7_suffix_array_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Removes every byte covered by a 200-byte string that also starts elsewhere in the corpus."""
+    return remove_repeats(_docs(spark, sf_dir), width=200).drop("kept", "spans")
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op5_minhash_near_dedup": op5_minhash_near_dedup,
+    "op7_suffix_array_dedup": op7_suffix_array_dedup,
 }
 
 ORACLE_SQL: dict[str, str] = {}
