@@ -21,6 +21,7 @@ import numpy as np
 import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from sparkloom.llm.common import small_batches, stored, text_blocks
@@ -29,6 +30,8 @@ from sparkloom.llm.words import shingle_sets
 
 #: 40 bands of 6 rows find a pair with similarity 0.8 with probability 1 - 5e-6, one with 0.3 with 0.03.
 BANDS, ROWS = 40, 6
+#: Buckets with more members than this take the prefix filter.
+CROWD = 16
 #: Elements that get a permutation at once, BANDS * ROWS bytes each.
 _ELEMENTS = 1 << 16
 
@@ -167,6 +170,27 @@ def contract(edges: DataFrame, labels: DataFrame | None = None) -> DataFrame | N
             labels = stored(old.unionByName(hooks.join(labels, "node", "left_anti")), "labels")
 
 
+def _both_ways(rows: DataFrame, key: str, similar_size) -> DataFrame:
+    """Pairs of nodes with equal keys, fitting sizes and different labels."""
+    left = rows.select(key, F.col("node").alias("a"), F.col("n").alias("na"), F.col("label").alias("la"))
+    right = rows.select(key, F.col("node").alias("b"), F.col("n").alias("nb"), F.col("label").alias("lb"))
+    return left.join(right, key).where("a < b and la <> lb").where(similar_size("na", "nb")).select("a", "b").distinct()
+
+
+def _prefixes(nodes: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+    """Of each node the rarest shingles, so many that two sets that are similar enough must share one of them.
+
+    Sets of n shingles with at least `percent` % in common have an intersection of at least n * percent / 100, so among
+    any n - that + 1 shingles of a common order one is shared. In rarest-first order a passage that many documents
+    share falls outside, and the pairs it would make in a bucket never arise. Shingles of a single node are left out.
+    """
+    grams = nodes.join(sets, "node").select("node", "n", "label", F.explode("grams").alias("gram"))
+    often = grams.groupBy("gram").agg(F.count("*").alias("often"))
+    rank = F.row_number().over(W.partitionBy("node").orderBy("often", "gram"))
+    need = F.col("n") - F.ceil(F.col("n") * percent / 100) + 1
+    return grams.join(often, "gram").withColumn("rank", rank).where((F.col("rank") <= need) & (F.col("often") > 1)).drop("rank", "often")
+
+
 def near_duplicates(
     docs: DataFrame,
     *,
@@ -230,10 +254,12 @@ def near_duplicates(
         part = part.where("label <> hub.label").select(F.col("node").alias("a"), "n", F.col("hub.node").alias("b"), F.col("hub.n").alias("m"))
         part = part.where(similar_size("n", "m")).select("a", "b").distinct()
         labels = contract(confirmed(part), labels)
-    rest = stored(mixed(placed(keys, labels)).select("key", "node", "n", "label"), "rest")
-    left = rest.select("key", F.col("node").alias("a"), F.col("n").alias("na"), F.col("label").alias("la"))
-    right = rest.select("key", F.col("node").alias("b"), F.col("n").alias("nb"), F.col("label").alias("lb"))
-    pairs = left.join(right, "key").where("a < b and la <> lb").where(similar_size("na", "nb")).select("a", "b").distinct()
+    rest = mixed(placed(keys, labels)).select("key", "node", "n", "label")
+    rest = stored(rest.withColumn("crowd", F.count("*").over(W.partitionBy("key"))), "rest")
+    small = rest.where(F.col("crowd") <= CROWD)
+    pairs = _both_ways(small, "key", similar_size)
+    crowded = rest.where(F.col("crowd") > CROWD).select("node", "n", "label").distinct()
+    pairs = pairs.unionByName(_both_ways(_prefixes(crowded, sets, percent), "gram", similar_size)).distinct()
     labels = contract(confirmed(pairs), labels)
 
     if labels is not None:

@@ -6,7 +6,10 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+from sparkloom.llm.mixing import mix_report
 from sparkloom.llm.neardup import near_duplicates
+from sparkloom.llm.quality import quality_report
+from sparkloom.llm.sharding import shuffled_shards
 from sparkloom.llm.suffixdedup import remove_repeats
 
 
@@ -14,6 +17,11 @@ def _docs(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/documents.parquet")
 
 
+def op3_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Mixes all documents to source weights 1, 2, 3, ... and reports what is taken of each."""
+    return mix_report(_docs(spark, sf_dir))
+
+
 def op5_minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Links documents whose sets of 4-word shingles have a Jaccard similarity of 0.8 or more."""
     return near_duplicates(_docs(spark, sf_dir), shingle=4, percent=80)
@@ -24,9 +32,22 @@ def op7_suffix_array_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return remove_repeats(_docs(spark, sf_dir), width=200).drop("kept", "spans")
 
 
+def op8_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Quality features of every document and the verdict of the cascade."""
+    return quality_report(_docs(spark, sf_dir))
+
+
+def op10_shuffle_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Places all documents in 40 shards by a two-pass shuffle."""
+    return shuffled_shards(_docs(spark, sf_dir), 40)
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op3_mix_sources": op3_mix_sources,
     "op5_minhash_near_dedup": op5_minhash_near_dedup,
     "op7_suffix_array_dedup": op7_suffix_array_dedup,
+    "op8_quality_rules": op8_quality_rules,
+    "op10_shuffle_shards": op10_shuffle_shards,
 }
 
 ORACLE_SQL: dict[str, str] = {}
