@@ -26,7 +26,7 @@ WEIGHTS = (1, 2, 3)
 #: No document is taken more often than this.
 MOST = 3
 #: Documents in a block on average, and blocks of a source at most (beyond that, blocks grow).
-BLOCK_ROWS, MOST_BLOCKS = 64, 4096
+BLOCK_ROWS, MOST_BLOCKS = 16, 65_536
 SEED = 77_003
 
 #: Words are runs of anything but the space and characters 9 to 13.
@@ -135,12 +135,15 @@ def _plan(rows: DataFrame, shards: int, weights: tuple[int, ...], most: int, blo
     begin = F.col("end") - F.col("size")
     b = b.withColumn("whole", (F.col("end") <= F.col("rest")) & (F.col("rest") > 0)).withColumn("budget", F.when((begin < F.col("rest")) & (F.col("end") > F.col("rest")), F.col("rest") - begin))
     b = stored(b, "blocks")
-    # The cut block of a source: its documents in hash order, up to the one that meets the budget most closely.
+    # The cut block of a source: in hash order, every document that still fits into what is left of the budget, and at
+    # last the one that brings the rest closest to nothing, if one does.
     cut = b.where("budget is not null").select("idx", "block", "budget")
-    docs = placed.join(cut, ["idx", "block"])
-    up_to = F.sum("mix_size").over(W.partitionBy("idx", "block").orderBy("mix_hash").rangeBetween(W.unboundedPreceding, 0))
-    docs = docs.withColumn("up_to", up_to).where(F.col("up_to") - F.col("mix_size") / 2 <= F.col("budget"))
-    cut = docs.groupBy("idx", "block").agg(F.max("mix_hash").alias("cut"))
+    docs = placed.join(cut, ["idx", "block"]).groupBy("idx", "block", "budget", "mix_hash").agg(F.sum("mix_size").alias("size"))
+    docs = docs.groupBy("idx", "block", "budget").agg(F.array_sort(F.collect_list(F.struct("mix_hash", "size"))).alias("docs"))
+    best = "array_min(transform(filter(docs, d -> NOT array_contains(s.cut, d.mix_hash)), d -> struct(abs(d.size - s.room) AS off, d.mix_hash AS h)))"
+    last = f"element_at(transform(array({best}), x -> IF(x.off < s.room, concat(s.cut, array(x.h)), s.cut)), 1)"
+    fits = f"aggregate(docs, struct(budget AS room, CAST(array() AS array<bigint>) AS cut), (s, d) -> IF(d.size <= s.room, struct(s.room - d.size AS room, concat(s.cut, array(d.mix_hash)) AS cut), s), s -> {last})"
+    cut = docs.select("idx", "block", F.expr(fits).alias("cut"))
     b = b.join(cut, ["idx", "block"], "left")
     draws = b.withColumn("draws", F.col("passes") + F.when(F.col("whole") | F.col("cut").isNotNull(), 1).otherwise(0))
     draws = stored(draws, "draws")
@@ -166,7 +169,7 @@ def _in_blocks(rows: DataFrame, sources: DataFrame) -> DataFrame:
 def _copies(rows: DataFrame, mix: Mix) -> DataFrame:
     """Rows with `mix_copies`, and `mix_shards`: the shard of each copy."""
     out = _in_blocks(rows, mix.sources).join(mix.blocks, ["idx", "block"])
-    extra = F.col("whole") | (F.col("cut").isNotNull() & (F.col("mix_hash") <= F.col("cut")))
+    extra = F.col("whole") | F.coalesce(F.expr("array_contains(cut, mix_hash)"), F.lit(False))
     copies = F.col("passes") + F.when(extra, 1).otherwise(0)
     out = out.withColumn("mix_copies", copies).withColumn("mix_shards", F.expr("slice(shards, 1, mix_copies)"))
     return out.drop("passes", "whole", "cut", "shards", "block")

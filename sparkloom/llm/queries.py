@@ -50,4 +50,31 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op10_shuffle_shards": op10_shuffle_shards,
 }
 
-ORACLE_SQL: dict[str, str] = {}
+_OP8_SQL = r"""
+WITH d AS (
+  SELECT row_number() OVER () AS rid, doc_id, coalesce(text, '') AS body,
+         regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS words,
+         list_filter(string_split(coalesce(text, ''), chr(10)), lambda l: regexp_matches(l, '[^\x20\x09-\x0D]')) AS lines
+  FROM documents),
+w AS (
+  SELECT rid, i, count(*) OVER (PARTITION BY rid, array_to_string(words[i:i + 4], ' ')) AS times
+  FROM (SELECT rid, words, unnest(range(1, len(words) - 3)) AS i FROM d WHERE len(words) >= 5)),
+r AS (
+  SELECT rid, count(DISTINCT i + o) AS n FROM w, (SELECT unnest(range(0, 5)) AS o) WHERE times > 1 GROUP BY rid),
+f AS (
+  SELECT doc_id, len(words) AS n_words, CAST(coalesce(list_sum(list_transform(words, lambda x: length(x))), 0) AS BIGINT) AS word_chars,
+         len(regexp_extract_all(body, '[#*$%&|<>]')) AS n_symbols, len(lines) AS n_lines,
+         len(lines) - len(list_distinct(lines)) AS n_dup_lines, coalesce(r.n, 0) AS n_repeat_words,
+         length(regexp_replace(body, '[^\p{L}]+', '', 'g')) AS n_letters
+  FROM d LEFT JOIN r USING (rid)),
+b AS (SELECT *, n_words < 10 OR 100 * n_repeat_words > 20 * n_words AS base_failed FROM f)
+SELECT doc_id, CAST(n_words AS BIGINT) AS n_words, word_chars, CAST(n_symbols AS BIGINT) AS n_symbols, CAST(n_dup_lines AS BIGINT) AS n_dup_lines,
+       CAST(n_repeat_words AS BIGINT) AS n_repeat_words, base_failed,
+       NOT (base_failed OR 100 * n_symbols > 25 * n_words OR 100 * n_dup_lines > 30 * n_lines
+            OR word_chars < 2 * n_words OR word_chars > 20 * n_words OR 100 * n_letters < 50 * word_chars) AS kept
+FROM b
+"""
+
+ORACLE_SQL: dict[str, str] = {
+    "op8_quality_rules": _OP8_SQL,
+}
