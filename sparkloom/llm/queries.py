@@ -6,6 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+from sparkloom.llm.chunkdedup import dedup_chunks
 from sparkloom.llm.mixing import mix_report
 from sparkloom.llm.neardup import near_duplicates
 from sparkloom.llm.quality import quality_report
@@ -22,6 +23,11 @@ def op3_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mix_report(_docs(spark, sf_dir))
 
 
+def op4_chunk_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Passages that occur more than once in the corpus, by content-defined chunks."""
+    return dedup_chunks(_docs(spark, sf_dir))
+
+
 def op5_minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Links documents whose sets of 4-word shingles have a Jaccard similarity of 0.8 or more."""
     return near_duplicates(_docs(spark, sf_dir), shingle=4, percent=80)
@@ -44,6 +50,7 @@ def op10_shuffle_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op3_mix_sources": op3_mix_sources,
+    "op4_chunk_dedup": op4_chunk_dedup,
     "op5_minhash_near_dedup": op5_minhash_near_dedup,
     "op7_suffix_array_dedup": op7_suffix_array_dedup,
     "op8_quality_rules": op8_quality_rules,
