@@ -9,6 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from sparkloom.llm.chunkdedup import dedup_chunks
 from sparkloom.llm.mixing import mix_report
 from sparkloom.llm.neardup import near_duplicates
+from sparkloom.llm.pivotsearch import top_k
 from sparkloom.llm.quality import quality_report
 from sparkloom.llm.sharding import shuffled_shards
 from sparkloom.llm.suffixdedup import remove_repeats
@@ -18,6 +19,12 @@ def _docs(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/documents.parquet")
 
 
+def op1_pivot_top_k(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The ten highest inner products of every vector whose id is divisible by 100, among all others."""
+    vectors = spark.read.parquet(f"{sf_dir}/embeddings.parquet")
+    return top_k(vectors, vectors.where("vec_id % 100 = 0"), 10)
+
+
 def op3_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Mixes all documents to source weights 1, 2, 3, ... and reports what is taken of each."""
     return mix_report(_docs(spark, sf_dir))
@@ -49,6 +56,7 @@ def op10_shuffle_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op1_pivot_top_k": op1_pivot_top_k,
     "op3_mix_sources": op3_mix_sources,
     "op4_chunk_dedup": op4_chunk_dedup,
     "op5_minhash_near_dedup": op5_minhash_near_dedup,
@@ -82,6 +90,19 @@ SELECT doc_id, CAST(n_words AS BIGINT) AS n_words, word_chars, CAST(n_symbols AS
 FROM b
 """
 
+_OP1_SQL = """
+WITH v AS (
+  SELECT vec_id, list_transform(embedding, lambda x: CAST(floor(1024 * CAST(x AS DOUBLE)) AS BIGINT)) AS v FROM embeddings
+  WHERE embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
+s AS (
+  SELECT q.vec_id AS query_id, v.vec_id,
+         CAST(list_sum(list_transform(list_zip(q.v, v.v), lambda p: p[1] * p[2])) AS BIGINT) AS score
+  FROM v AS q JOIN v ON q.vec_id <> v.vec_id WHERE q.vec_id % 100 = 0),
+r AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS n FROM s)
+SELECT query_id, CAST(n AS INTEGER) AS rank, vec_id, score FROM r WHERE n <= 10
+"""
+
 ORACLE_SQL: dict[str, str] = {
+    "op1_pivot_top_k": _OP1_SQL,
     "op8_quality_rules": _OP8_SQL,
 }
