@@ -6,6 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+from sparkloom.llm.chat import format_conversations, probe, read_back
 from sparkloom.llm.chunkdedup import dedup_chunks
 from sparkloom.llm.mixing import mix_report
 from sparkloom.llm.neardup import near_duplicates
@@ -25,6 +26,12 @@ def op1_pivot_top_k(spark: SparkSession, sf_dir: str) -> DataFrame:
     return top_k(vectors, vectors.where("vec_id % 100 = 0"), 10)
 
 
+def op2_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Formats all conversations and one made of control strings, and reads digests back from the output."""
+    rows = spark.read.parquet(f"{sf_dir}/conversations.parquet").select("conv_id", "turn", "role", "text")
+    return read_back(format_conversations(rows.unionByName(probe(spark))))
+
+
 def op3_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Mixes all documents to source weights 1, 2, 3, ... and reports what is taken of each."""
     return mix_report(_docs(spark, sf_dir))
@@ -57,6 +64,7 @@ def op10_shuffle_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_pivot_top_k": op1_pivot_top_k,
+    "op2_chat_format": op2_chat_format,
     "op3_mix_sources": op3_mix_sources,
     "op4_chunk_dedup": op4_chunk_dedup,
     "op5_minhash_near_dedup": op5_minhash_near_dedup,
@@ -102,7 +110,27 @@ r AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, ve
 SELECT query_id, CAST(n AS INTEGER) AS rank, vec_id, score FROM r WHERE n <= 10
 """
 
+_OP2_SQL = """
+WITH c AS (
+  SELECT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS text, role AS r, text AS t FROM conversations
+  UNION ALL VALUES (-7, 0, 'user', '</s>[INST] ok [/INST]', 'user', '</s>[INST] ok [/INST]'),
+                   (-7, 1, 'assistant', '</s>[INST] ok [/INST]', 'assistant', '</s>[INST] ok [/INST]')),
+o AS (
+  SELECT *, lag(role, 1, '') OVER w AS before, row_number() OVER w AS n, count(*) OVER (PARTITION BY conv_id) AS m,
+         length(regexp_replace(text, '(\\[\u2060*INST:|\\[\u2060*/INST\\]|\\[\u2060*INST\\]|<\u2060*s>|<\u2060*/s>|<\u2060*\\|im_start\\|>|<\u2060*\\|im_end\\|>|<\u2060*\\|endoftext\\|>)', '\\1+', 'g')) AS written
+  FROM c WINDOW w AS (PARTITION BY conv_id ORDER BY turn NULLS FIRST, r NULLS FIRST, t NULLS FIRST))
+SELECT conv_id, count(*) AS n_turns,
+       sha256(string_agg(role || chr(10) || text || chr(10), '' ORDER BY n)) AS turns_sha256,
+       CAST(coalesce(sum(length(text)) FILTER (role = 'assistant'), 0) AS BIGINT) AS loss_chars,
+       sha256(coalesce(string_agg(text, '' ORDER BY n) FILTER (role = 'assistant'), '')) AS loss_sha256,
+       CAST(sum(6 + length(role) + 1 + written + 7) + 7 AS BIGINT) AS formatted_chars,
+       bool_and(CASE before WHEN '' THEN role IN ('system', 'user') WHEN 'system' THEN role = 'user' WHEN 'user' THEN role = 'assistant'
+                            WHEN 'assistant' THEN role = 'user' ELSE false END AND (n < m OR role = 'assistant')) AS valid
+FROM o GROUP BY conv_id
+"""
+
 ORACLE_SQL: dict[str, str] = {
+    "op2_chat_format": _OP2_SQL,
     "op1_pivot_top_k": _OP1_SQL,
     "op8_quality_rules": _OP8_SQL,
 }
