@@ -1,8 +1 @@
 """Operators for building training corpora. Nothing else in the library imports this subpackage."""
-
-import sys
-
-from pyspark import cloudpickle
-
-# Functions sent to executors carry their code, so that executors need no copy of this package.
-cloudpickle.register_pickle_by_value(sys.modules[__name__])

@@ -17,7 +17,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from sparkloom.llm.common import small_batches
+from sparkloom.llm.common import prepare
 
 #: Marks that break up a control string: the word joiner, which shows as nothing.
 MARK = "\u2060"
@@ -157,7 +157,7 @@ def format_conversations(rows: DataFrame, template: Template | None = None, *, c
     turns of their own; conversations of any roles and lengths are formatted, valid or not; other columns are not read.
     Rows stay sorted within partitions, one conversation in one of them.
     """
-    small_batches(rows.sparkSession)
+    prepare(rows.sparkSession)
     rows = rows.select(
         F.col(conv_col).cast("long").alias("conv_id"), F.col(turn_col).cast("long").alias("turn"), F.col(role_col).alias("role"), F.col(text_col).alias("text")
     )

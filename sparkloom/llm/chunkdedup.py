@@ -13,7 +13,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from sparkloom.llm.common import small_batches, stored, text_blocks
+from sparkloom.llm.common import prepare, stored, text_blocks
 from sparkloom.llm.hashing import Fingerprints, byte_table, mix64
 
 #: Bits of the gear hash that must be zero at a candidate for a boundary (one in 2**4 bytes on average).
@@ -103,7 +103,7 @@ def repeated_chunks(docs: DataFrame, *, id_col: str = "doc_id", text_col: str =
 
     `first` marks the occurrence that is kept: the one in the smallest (doc_id, tk), at its smallest start.
     """
-    small_batches(docs.sparkSession)
+    prepare(docs.sparkSession)
     texts = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"), F.xxhash64(text_col).alias("tk"))
     # Half a digest is enough to drop the chunks that occur once; what is left is compared by the whole one.
     counts = texts.mapInArrow(_distinct, "d1 long, twice boolean").groupBy("d1").agg(F.count("*").alias("blocks"), F.bool_or("twice").alias("twice"))

@@ -6,7 +6,9 @@ import atexit
 import shutil
 import tempfile
 import uuid
+import zipfile
 from collections.abc import Iterator
+from pathlib import Path
 
 import numpy as np
 import pyarrow as pa
@@ -44,8 +46,28 @@ def stored(df: DataFrame, name: str = "table") -> DataFrame:
     return spark.read.schema(schema).parquet(path)
 
 
-def small_batches(spark: SparkSession) -> None:
-    """Lowers the rows of an Arrow batch if the session still has Spark's default."""
+_shipped: set[str] = set()
+
+
+def ship_code(spark: SparkSession) -> None:
+    """Sends this package to the executors, once for each application, so that workers import it and keep its caches."""
+    context = spark.sparkContext
+    if context.applicationId in _shipped:
+        return
+    _shipped.add(context.applicationId)
+    package = Path(__file__).resolve().parents[1]
+    folder = tempfile.mkdtemp(prefix="sparkloom-")  # on the driver, whose file server hands it out
+    atexit.register(shutil.rmtree, folder, ignore_errors=True)
+    target = f"{folder}/{package.name}-code.zip"
+    with zipfile.ZipFile(target, "w") as z:
+        for path in sorted(package.rglob("*.py")):
+            z.write(path, path.relative_to(package.parent))
+    context.addPyFile(target)
+
+
+def prepare(spark: SparkSession) -> None:
+    """Ships the code, and lowers the rows of an Arrow batch if the session still has Spark's default."""
+    ship_code(spark)
     if spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch", "10000") == "10000":
         spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", ROWS_PER_BATCH)
 

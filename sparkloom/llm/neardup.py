@@ -24,7 +24,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from sparkloom.llm.common import small_batches, stored, text_blocks
+from sparkloom.llm.common import prepare, stored, text_blocks
 from sparkloom.llm.hashing import mix64
 from sparkloom.llm.words import shingle_sets
 
@@ -210,7 +210,7 @@ def near_duplicates(
     rows that share an id count as one document. A row with a null id joins the class of texts with its set, and is its
     own component (null) if that class has no id. Other columns of `docs` are not read.
     """
-    small_batches(docs.sparkSession)
+    prepare(docs.sparkSession)
     docs = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
     signed = docs.mapInArrow(_sign(shingle, bands, rows), "doc_id long, n long, d1 long, d2 long, bands array<long>")
     signed = stored(signed, "signatures")
@@ -271,3 +271,25 @@ def near_duplicates(
     return out.select("doc_id", F.col("n").alias("n_shingles"), component.alias("component_id")).withColumn(
         "kept", F.col("doc_id").eqNullSafe(F.col("component_id"))
     )
+
+
+def one_of_each(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", shingle: int = 5, percent: int = 80) -> DataFrame:
+    """The rows of `docs` with one of each group of near-duplicates, with their columns whatever their names.
+
+    Of a group, the row with the smallest id stays; of rows that share that id, the one with the smallest text. Rows
+    with a null id stay unless a row with an id has their set of shingles; equal texts among them leave one.
+    """
+    names = docs.columns
+    inner = [f"c{i}" for i in range(len(names))]
+    lower = [n.lower() for n in names]
+    key, text = inner[lower.index(id_col.lower())], inner[lower.index(text_col.lower())]
+    rows = docs.toDF(*inner)
+    found = near_duplicates(rows, id_col=key, text_col=text, shingle=shingle, percent=percent)
+    kept = stored(found.where("kept and doc_id is not null").select("doc_id").distinct(), "kept")
+    with_id = rows.where(F.col(key).isNotNull()).join(kept.withColumnRenamed("doc_id", key), key, "left_semi")
+    first = F.row_number().over(W.partitionBy(key).orderBy(F.col(text).asc_nulls_last()))
+    with_id = with_id.withColumn("first", first).where("first = 1").drop("first")
+    alone = rows.where(F.col(key).isNull()).dropDuplicates([text])
+    known = rows.where(F.col(key).isNotNull()).select(F.xxhash64(text).alias("h")).distinct()
+    alone = alone.withColumn("h", F.xxhash64(text)).join(known, "h", "left_anti").drop("h")
+    return with_id.select(*inner).unionByName(alone.select(*inner)).toDF(*names)

@@ -25,7 +25,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from sparkloom.llm.common import stored
+from sparkloom.llm.common import prepare, stored
 
 #: Pivots, and the rows of the sample that they are chosen from (the index holds all rows in any case).
 PIVOTS, SAMPLE = 32, 2048
@@ -247,6 +247,7 @@ def top_k(
     them; empty tables give no rows. Columns other than the two named are not read.
     """
     spark = vectors.sparkSession
+    prepare(spark)
     kinds = "id long, v binary, norm double"
 
     def ready(df: DataFrame) -> DataFrame:

@@ -5,13 +5,16 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from sparkloom.llm.chat import format_conversations, probe, read_back
 from sparkloom.llm.chunkdedup import dedup_chunks
 from sparkloom.llm.mixing import mix_report
 from sparkloom.llm.neardup import near_duplicates
+from sparkloom.llm.pii import pseudonymise_documents
 from sparkloom.llm.pivotsearch import top_k
 from sparkloom.llm.quality import quality_report
+from sparkloom.llm.sentencepieces import encode_documents
 from sparkloom.llm.sharding import shuffled_shards
 from sparkloom.llm.suffixdedup import remove_repeats
 
@@ -47,6 +50,11 @@ def op5_minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates(_docs(spark, sf_dir), shingle=4, percent=80)
 
 
+def op6_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Token ids of all documents, and whether they decode to the text."""
+    return encode_documents(_docs(spark, sf_dir))
+
+
 def op7_suffix_array_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Removes every byte covered by a 200-byte string that also starts elsewhere in the corpus."""
     return remove_repeats(_docs(spark, sf_dir), width=200).drop("kept", "spans")
@@ -57,6 +65,12 @@ def op8_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_report(_docs(spark, sf_dir))
 
 
+def op9_pii_pseudonyms(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All documents with pseudonyms for personal data, and the kinds found in each."""
+    docs = _docs(spark, sf_dir).select("doc_id", "text")
+    return pseudonymise_documents(docs, kinds_col="kinds").withColumn("n_found", F.size("kinds").cast("long"))
+
+
 def op10_shuffle_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Places all documents in 40 shards by a two-pass shuffle."""
     return shuffled_shards(_docs(spark, sf_dir), 40)
@@ -68,8 +82,10 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op3_mix_sources": op3_mix_sources,
     "op4_chunk_dedup": op4_chunk_dedup,
     "op5_minhash_near_dedup": op5_minhash_near_dedup,
+    "op6_sentencepiece": op6_sentencepiece,
     "op7_suffix_array_dedup": op7_suffix_array_dedup,
     "op8_quality_rules": op8_quality_rules,
+    "op9_pii_pseudonyms": op9_pii_pseudonyms,
     "op10_shuffle_shards": op10_shuffle_shards,
 }
 

@@ -27,7 +27,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from sparkloom.llm.common import small_batches, stored, text_blocks
+from sparkloom.llm.common import prepare, stored, text_blocks
 from sparkloom.llm.hashing import Fingerprints, mix64
 
 #: Bytes of the rolling hash that picks triggers, and its least distance from either end of a window.
@@ -290,7 +290,7 @@ def remove_repeats(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "
     if width < 2 * MARGIN + GRAM + 1:
         raise ValueError("width is too small for triggers")
     spark = docs.sparkSession
-    small_batches(spark)
+    prepare(spark)
     texts = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"), F.xxhash64(text_col).alias("tk"))
     counts = texts.select("text").mapInArrow(_count(width), "k long, c long, m long")
     # One shuffle by key serves both levels; rows are counted per batch before it, so copies do not pile up.
