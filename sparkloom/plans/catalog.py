@@ -1,4 +1,6 @@
-"""Named queries and their SQL."""
+"""All named queries of the engine."""
 
-QUERIES: dict = {}
-ORACLE_SQL: dict = {}
+from sparkloom.plans import aggregates, diffs, folds, graphs, keyed, lookups, names, numeric, ranges, signals, text, timeline  # noqa: F401
+from sparkloom.plans.registry import ORACLE_SQL, QUERIES
+
+__all__ = ["ORACLE_SQL", "QUERIES"]
