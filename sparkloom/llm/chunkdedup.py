@@ -112,7 +112,8 @@ def repeated_chunks(docs: DataFrame, *, id_col: str = "doc_id", text_col: str =
     places = stored(places.join(many, "d1", "left_semi"), "chunks")
     keep = places.groupBy("d1", "d2").agg(F.min(F.struct("doc_id", "tk", "start")).alias("keep"), F.count("*").alias("times"))
     first = F.struct("doc_id", "tk", "start").eqNullSafe(F.col("keep"))
-    return places.join(keep.where("times > 1"), ["d1", "d2"]).select("doc_id", "tk", "start", "end", first.alias("first"))
+    keep = stored(keep.where("times > 1"), "kept")  # as a table of its own, so that the join can split a chunk found very often
+    return places.join(keep, ["d1", "d2"]).select("doc_id", "tk", "start", "end", first.alias("first"))
 
 
 def dedup_chunks(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", run_bytes: int = RUN_BYTES) -> DataFrame:
