@@ -39,12 +39,11 @@ def _hypergeometric(total: str, marked: str, drawn: str, uniform: str) -> str:
     Weights run from the mode eight standard deviations either way, each from the one before by the ratio of
     neighbouring probabilities; what lies further out weighs less than a double can tell.
     """
-    span = f"CAST(ceil(8 * sqrt({drawn} * ({marked} / {total}) * (1 - {marked} / {total}))) AS bigint) + 8"
+    span = f"(CAST(ceil(8 * sqrt({drawn} * ({marked} / {total}) * (1 - {marked} / {total}))) AS bigint) + 8)"
     mode = f"(({drawn} + 1) * ({marked} + 1)) div ({total} + 2)"
     low = f"greatest(0L, {drawn} + {marked} - {total}, {mode} - {span})"
     high = f"least({drawn}, {marked}, {mode} + {span})"
     ratio = f"CAST({marked} - k AS double) * ({drawn} - k) / ((k + 1D) * ({total} - {marked} - {drawn} + k + 1))"
-    # The last ratio may be 0/0-free but negative beyond the support; it is never used.
     weigh = f"aggregate(sequence(b.low, b.high), struct(1D AS w, 0D AS t), (s, k) -> struct(IF(k < b.high, s.w * {ratio}, 0D) AS w, s.t + s.w AS t), s -> s.t)"
     pick = (
         f"aggregate(sequence(b.low, b.high), struct(1D AS w, 0D AS t, b.low AS at), "

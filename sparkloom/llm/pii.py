@@ -142,8 +142,8 @@ def _ssn(m: re.Match, p: Permute) -> str | None:
 
 
 def _by_class(text: str, p: Permute, tweak: str) -> str:
-    """Letters and digits permuted as one number, each within its class; lower-case hex strings stay hex."""
-    classes = ["0123456789abcdef"] if re.fullmatch(r"[0-9a-f]*", text) else ["0123456789", "abcdefghijklmnopqrstuvwxyz", "ABCDEFGHIJKLMNOPQRSTUVWXYZ"]
+    """Letters and digits permuted as one number, each within its class; secrets in lower-case hex stay hex."""
+    classes = ["0123456789abcdef"] if tweak == "secret" and re.fullmatch(r"[0-9a-f]*", text) else ["0123456789", "abcdefghijklmnopqrstuvwxyz", "ABCDEFGHIJKLMNOPQRSTUVWXYZ"]
     at = [next((c for c in classes if x in c), None) for x in text]
     value, size = 0, 1
     for x, c in zip(text, at, strict=True):

@@ -163,6 +163,7 @@ def _search(queries: np.ndarray, query_ids: np.ndarray, pivots: np.ndarray, radi
     norm2 = (queries * queries).sum(axis=1)
     nearest = to_pivot.argmin(axis=1)
     slack = _SLACK * (radius2 + norm2.max(initial=0.0) + 1)
+    lowest = np.iinfo(np.int64).min  # no bound yet
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         scores = np.full((len(queries), k), np.iinfo(np.int64).min)
@@ -198,7 +199,7 @@ def _search(queries: np.ndarray, query_ids: np.ndarray, pivots: np.ndarray, radi
             # Annuli in the order of their smallest gap to any query; each serves the queries it can still help.
             for a in np.argsort(gap.min(axis=0), kind="stable").tolist():
                 # Score >= bound means distance^2 <= |q|^2 + R^2 - 2 bound.
-                reach = norm2 + radius2 - 2.0 * np.maximum(bound, -(2.0**62)) + slack
+                reach = np.where(bound == lowest, np.inf, norm2 + radius2 - 2.0 * bound + slack)
                 which = (nearest == pivot[a]) & (gap[:, a] <= 0) if own else gap[:, a] ** 2 <= reach
                 which = np.flatnonzero(which)
                 if len(which):
@@ -277,7 +278,6 @@ def top_k(
     # Queries in blocks of bounded bytes: the number of each, by id, from counts of rows per stored partition.
     size = max(1, min(block, QUERY_BYTES // (8 * max(1, width))))
     out, hits = None, "query_id long, vec_id long, score long"
-    ids = np.zeros(0, np.int64)
     pending: list = []
 
     def flush() -> None:
@@ -302,7 +302,6 @@ def top_k(
         found = stored(found.withColumn("rank", F.row_number().over(best)).where(F.col("rank") <= k), "hits")
         out = found if out is None else out.unionByName(found)
 
-    del ids
     for row in asked.select("id", "v").toLocalIterator():
         pending.append((row[0], row[1]))
         if len(pending) >= size:
