@@ -167,7 +167,7 @@ def shake_groups(t: Tables) -> DataFrame:
 
 
 @query(
-    """SELECT lang, count(*) FILTER (NOT ok) AS bad, array_to_string(list_sort(list(doc_id) FILTER (NOT ok AND n_chars > 8000)), ',') AS longest FROM (
+    """SELECT lang, count(*) FILTER (NOT ok) AS bad, coalesce(array_to_string(list_sort(list(doc_id) FILTER (NOT ok AND n_chars > 8000)), ','), '') AS longest FROM (
     SELECT lang, doc_id, n_chars, length(text) % 7 <> 0 AS ok FROM documents) GROUP BY ALL"""
 )
 def integrity_lists(t: Tables) -> DataFrame:

@@ -37,10 +37,10 @@ def sanitise_name(t: Tables) -> DataFrame:
     return t.part.select("p_partkey", sanitised(raw).alias("name"))
 
 
-@query(r"SELECT word, count(*) AS n, count(DISTINCT doc_id) AS docs FROM (SELECT doc_id, unnest(regexp_extract_all(text, '\b[A-Z][a-z]{13,}\b|\b[A-Z]{4}[0-9A-Z]{16}\b')) AS word FROM documents) GROUP BY ALL")
+@query(r"SELECT word, count(*) AS n, count(DISTINCT doc_id) AS docs FROM (SELECT doc_id, unnest(regexp_extract_all(text, '[A-Z][a-z]{13,}|[A-Z]{4}[0-9A-Z]{16}')) AS word FROM documents) GROUP BY ALL")
 def regex_extract(t: Tables) -> DataFrame:
     """Marked identifiers found in texts, with how often and in how many."""
-    words = F.regexp_extract_all("text", F.lit(r"\b[A-Z][a-z]{13,}\b|\b[A-Z]{4}[0-9A-Z]{16}\b"), F.lit(0))
+    words = F.regexp_extract_all("text", F.lit(r"[A-Z][a-z]{13,}|[A-Z]{4}[0-9A-Z]{16}"), F.lit(0))
     return t.documents.select("doc_id", F.explode(words).alias("word")).groupBy("word").agg(F.count("*").alias("n"), F.countDistinct("doc_id").alias("docs"))
 
 
