@@ -20,7 +20,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
@@ -180,15 +180,46 @@ def _both_ways(rows: DataFrame, key: str, similar_size) -> DataFrame:
 def _prefixes(nodes: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     """Of each node the rarest shingles, so many that two sets that are similar enough must share one of them.
 
-    Sets of n shingles with at least `percent` % in common have an intersection of at least n * percent / 100, so among
-    any n - that + 1 shingles of a common order one is shared. In rarest-first order a passage that many documents
-    share falls outside, and the pairs it would make in a bucket never arise. Shingles of a single node are left out.
+    Shingles come in a common order, rarest first. If the first shingle that sets of n and m share has rank i in the
+    first of them, they share n - i + 1 at most, which is enough for m <= `reach` only; where that is below what sizes
+    allow (n * percent / 100) the shingle says nothing. Shingles of a single node are left out.
     """
     grams = nodes.join(sets, "node").select("node", "n", "label", F.explode("grams").alias("gram"))
     often = grams.groupBy("gram").agg(F.count("*").alias("often"))
     rank = F.row_number().over(W.partitionBy("node").orderBy("often", "gram"))
-    need = F.col("n") - F.ceil(F.col("n") * percent / 100) + 1
-    return grams.join(often, "gram").withColumn("rank", rank).where((F.col("rank") <= need) & (F.col("often") > 1)).drop("rank", "often")
+    ranked = grams.join(often, "gram").withColumn("rank", rank)
+    ranked = ranked.withColumn("reach", F.expr(f"((n - rank + 1) * {100 + percent}) div {percent} - n"))
+    return ranked.where(F.col("reach") * 100 >= F.col("n") * percent).where("often > 1").drop("rank", "often")
+
+
+def _prefix_pairs(nodes: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+    """Pairs of nodes with different labels that can be similar enough, by an exact prefix filter.
+
+    Of a pair, the larger set asks and the smaller one answers. Answers are keyed by shingle and size class, and a
+    shingle is asked only in the classes that it can still serve: sets that share but a passage, or differ a little too
+    much, do not meet. Where most rows of a key belong to one component, these do not meet each other either.
+    """
+    rows = _prefixes(nodes, sets, percent)
+
+    def size_class(n: Column) -> Column:
+        return F.floor(F.log(n) / F.log(F.lit(1.03))).cast("int")
+
+    low = F.ceil(F.col("n") * percent / 100)
+    rows = rows.withColumn("high", F.least("reach", "n"))
+    asks = rows.where(F.col("high") >= low).withColumn("class", F.explode(F.sequence(size_class(low), size_class(F.col("high")))))
+    answers = rows.where("reach >= n").withColumn("class", size_class(F.col("n")))
+    asks, answers = stored(asks.drop("high"), "asks"), stored(answers.drop("high"), "answers")
+    per_key = answers.groupBy("gram", "class", "label").agg(F.count("*").alias("rows"))
+    main = per_key.groupBy("gram", "class").agg(F.max_by("label", F.struct("rows", "label")).alias("main"))
+    asks, answers = asks.join(main, ["gram", "class"]), answers.join(main, ["gram", "class"])
+
+    def meet(a: DataFrame, b: DataFrame) -> DataFrame:
+        a = a.select("gram", "class", F.col("node").alias("x"), F.col("n").alias("nx"), F.col("label").alias("lx"), F.col("reach").alias("rx"))
+        b = b.select("gram", "class", F.col("node").alias("y"), F.col("n").alias("ny"), F.col("label").alias("ly"), F.col("reach").alias("ry"))
+        fits = "lx <> ly and nx >= ny and ny <= rx and nx <= ry and ny * 100 >= nx * " + str(percent)
+        return a.join(b, ["gram", "class"]).where(fits).select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b"))
+
+    return meet(asks.where("label <> main"), answers).unionByName(meet(asks.where("label = main"), answers.where("label <> main"))).distinct()
 
 
 def near_duplicates(
@@ -259,7 +290,7 @@ def near_duplicates(
     small = rest.where(F.col("crowd") <= CROWD)
     pairs = _both_ways(small, "key", similar_size)
     crowded = rest.where(F.col("crowd") > CROWD).select("node", "n", "label").distinct()
-    pairs = pairs.unionByName(_both_ways(_prefixes(crowded, sets, percent), "gram", similar_size)).distinct()
+    pairs = pairs.unionByName(_prefix_pairs(crowded, sets, percent)).distinct()
     labels = contract(confirmed(pairs), labels)
 
     if labels is not None:
