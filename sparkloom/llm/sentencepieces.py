@@ -145,7 +145,8 @@ class Encoder:
         while have < self.longest:
             step = min(have, self.longest - have)
             far = np.full(n, n, np.uint64)
-            far[: n - step] = rank[step:]
+            if step < n:
+                far[: n - step] = rank[step:]
             both = rank * np.uint64(n + 1) + far
             order = np.argsort(both)
             rank = self._dense(both, order)
