@@ -27,7 +27,7 @@ from sparkloom.llm.common import prepare
 MODEL = "/opt/tokenizers/piece_bpe_32k.model"
 BLANK = "\u2581"
 #: Words kept in a task's memory, code points indexed at once, and longest word that is relaxed in step with others.
-CACHE, INDEX_CHARS, LONG = 400_000, 200_000, 48
+CACHE, INDEX_CHARS, LONG = 400_000, 400_000, 48
 _UNIGRAM, _BPE = 1, 2
 _NORMAL, _UNKNOWN, _BYTE = 1, 2, 6
 
@@ -169,7 +169,8 @@ class Encoder:
 
     def _bounds(self, key: np.ndarray, order: np.ndarray, wanted: np.ndarray, after: bool) -> np.ndarray:
         """For each row of `wanted`, the first place in the suffix array whose suffix is not below (`after`: above) it."""
-        low, high = np.zeros(len(wanted), np.int64), np.full(len(wanted), len(order), np.int64)
+        head = key[order]  # the first three characters narrow the search to a short range
+        low, high = np.searchsorted(head, wanted[:, 0], "left"), np.searchsorted(head, wanted[:, 0], "right")
         while (low < high).any():
             mid = (low + high) // 2
             at = order[np.minimum(mid, len(order) - 1)]
@@ -207,26 +208,34 @@ class Encoder:
             ends = self._best_paths(table, starts, lengths)
         else:
             ends = self._merges(table, starts, lengths)
-        out = {}
-        for w, start, cut in zip(words, starts.tolist(), ends, strict=True):
-            ids, a = [], start
-            for b in cut:
-                i = int(table[a, b - a]) if b - a <= self.longest else -1
+        # Symbols of all words in a row: word, end, and from them start and piece.
+        word, end = ends
+        first = np.concatenate(([True], word[1:] != word[:-1]))
+        begin = np.where(first, starts[word], np.concatenate(([0], end[:-1])))
+        size = end - begin
+        piece = np.where(size <= self.longest, table[begin, np.minimum(size, self.longest)], -1)
+        at = np.concatenate((np.flatnonzero(first), [len(word)])).tolist()
+        odd = set(word[piece < 0].tolist())
+        ids = piece.tolist()
+        out = {w: ids[a:b] for w, a, b in zip(words, at[:-1], at[1:], strict=True)}
+        for k in odd:
+            w, start, found = words[k], int(starts[k]), []
+            for i, a, b in zip(out[w], begin[at[k] : at[k + 1]].tolist(), end[at[k] : at[k + 1]].tolist(), strict=True):
                 if i >= 0:
-                    ids.append(i)
+                    found.append(i)
                 elif self.bytes_of:
-                    ids += [self.bytes_of[x] for x in w[a - start : b - start].encode()]
-                elif not (ids and ids[-1] == self.model.unknown):
-                    ids.append(self.model.unknown)
-                a = b
-            out[w] = ids
+                    found += [self.bytes_of[x] for x in w[a - start : b - start].encode()]
+                elif not (found and found[-1] == self.model.unknown):
+                    found.append(self.model.unknown)
+            out[w] = found
         return out
 
-    def _merges(self, table: np.ndarray, starts: np.ndarray, lengths: np.ndarray) -> list[list[int]]:
-        """Ends of the symbols of each word after all merges, best score first, leftmost among equals."""
-        out: list[list[int]] = [[]] * len(starts)
+    def _merges(self, table: np.ndarray, starts: np.ndarray, lengths: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Words and ends of all symbols after all merges, best score first, leftmost among equals."""
+        done_words, done_ends = [], []
         for w in np.flatnonzero(lengths > LONG).tolist():
-            out[w] = self._merge_one(table, int(starts[w]), int(lengths[w]))
+            done_ends.append(np.array(self._merge_one(table, int(starts[w]), int(lengths[w]))))
+            done_words.append(np.full(len(done_ends[-1]), w))
         word = np.flatnonzero(lengths <= LONG)
         begin = starts[word]
         word = np.repeat(word, lengths[word])
@@ -246,16 +255,17 @@ class Encoder:
             key[at] = self.rank_of[piece] << 32 | at
             best = np.minimum.reduceat(key, first)
             done = best == none
+            keep = np.repeat(~done, np.diff(np.concatenate((first, [len(word)]))))
             if done.any():
-                last = np.concatenate((first[1:], [len(word)]))
-                for a, b in zip(first[done].tolist(), last[done].tolist(), strict=True):
-                    out[word[a]] = (pos[a:b] + size[a:b]).tolist()
+                done_words.append(word[~keep])
+                done_ends.append((pos + size)[~keep])
             i = best[~done] & 0xFFFFFFFF
             size[i] += size[i + 1]
-            keep = np.repeat(~done, np.diff(np.concatenate((first, [len(word)]))))
             keep[i + 1] = False
             word, pos, size = word[keep], pos[keep], size[keep]
-        return out
+        word, end = np.concatenate(done_words), np.concatenate(done_ends)
+        order = np.argsort(end, kind="stable")  # words lie one after the other
+        return word[order], end[order]
 
     def _merge_one(self, table: np.ndarray, start: int, length: int) -> list[int]:
         """The same for one long word, with a heap."""
@@ -289,8 +299,8 @@ class Encoder:
             out.append(start + a)
         return out
 
-    def _best_paths(self, table: np.ndarray, starts: np.ndarray, lengths: np.ndarray) -> list[list[int]]:
-        """Ends of the symbols of each word on its best path; unknown characters score 10 below the worst piece."""
+    def _best_paths(self, table: np.ndarray, starts: np.ndarray, lengths: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Words and ends of all symbols on the best paths; unknown characters score 10 below the worst piece."""
         worst = float(self.score_of[self.piece_id].min()) - 10
         best = np.full(len(table), -np.inf)
         back = np.zeros(len(table), np.int64)
@@ -306,14 +316,15 @@ class Encoder:
                 better = total > score
                 score[better], step[better] = total[better], size
             best[here], back[here] = score, step
-        out = []
-        for start, length in zip(starts.tolist(), lengths.tolist(), strict=True):
+        words, ends = [], []
+        for w, (start, length) in enumerate(zip(starts.tolist(), lengths.tolist(), strict=True)):
             cut, a = [], start + length
             while a > start:
                 cut.append(a)
                 a -= int(back[a])
-            out.append(cut[::-1])
-        return out
+            words += [w] * len(cut)
+            ends += cut[::-1]
+        return np.array(words), np.array(ends)
 
     def encode(self, texts: list[str]) -> list[list[int]]:
         parts = []
@@ -321,29 +332,19 @@ class Encoder:
             if text and self.model.dummy_prefix:
                 text = " " + text
             parts.append(self.split.findall(text.replace(" ", BLANK)))
-        new = {w for p in parts for w in p}
-        new.difference_update(self.known)
+        wanted = {w for p in parts for w in p}
+        new = wanted - self.known.keys()
+        if len(self.known) + len(new) > CACHE:
+            self.known, new = {}, wanted
         own = self._learn(sorted(new))
-        if len(self.known) + len(own) > CACHE:
-            self.known = {}
-        short = {w: i for w, i in own.items() if len(w) <= LONG}
-        known = own if not self.known else self.known
-        if known is not own:
-            known.update(short)
-            rest = {w: i for w, i in own.items() if len(w) > LONG}
-        else:
-            self.known, rest = short, {w: i for w, i in own.items() if len(w) > LONG}
-            known = self.known
+        self.known.update((w, ids) for w, ids in own.items() if len(w) <= LONG)
+        known = self.known
         out = []
         for p in parts:
             ids: list[int] = []
             for w in p:
                 found = known.get(w)
-                if found is None:
-                    found = rest.get(w)
-                    if found is None:  # seen before the memory was emptied
-                        found = rest[w] = self._encode_words([w])[w]
-                ids += found
+                ids += own[w] if found is None else found
             out.append(ids)
         return out
 
