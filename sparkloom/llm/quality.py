@@ -44,6 +44,9 @@ def _repeated_words() -> str:
     return _let("transform(words, w -> xxhash64(w))", "hashes", _let(grams, "grams", count))
 
 
+_WORDS = f"filter(split(body, '{_SPACE}+'), w -> w <> '')"
+_LINES = rf"filter(split(body, '\\n'), l -> l rlike '{_WORD_CHAR}')"
+
 #: Features by name, as SQL over `body` (the text, empty for null), `words` and features listed above them.
 FEATURES = {
     "n_words": "CAST(size(words) AS bigint)",
@@ -64,7 +67,9 @@ class Rule:
     reject: str
 
     def sql(self) -> str:
-        return self.reject.format(**{k: f"({v})" for k, v in FEATURES.items()})
+        """The predicate over `body` and `words`; lines are cut only where the rule is reached and looks at them."""
+        text = self.reject.format(**{k: f"({v})" for k, v in FEATURES.items()})
+        return _let(_LINES, "lines", text) if "lines" in text else text
 
 
 #: Base rules, which any order of the cascade includes.
@@ -83,11 +88,9 @@ RULES = (
 
 
 def prepared(docs: DataFrame, text_col: str = "text") -> DataFrame:
-    """Adds `body`, `words` and `lines` (those with a word), on which features are defined."""
+    """Adds `body` (the text, empty for null), `words` and `lines` (those with a word), on which features are defined."""
     docs = docs.withColumn("body", F.coalesce(F.col(text_col), F.lit("")))
-    words = F.expr(f"filter(split(body, '{_SPACE}+'), w -> w <> '')")
-    lines = F.expr(rf"filter(split(body, '\\n'), l -> l rlike '{_WORD_CHAR}')")
-    return docs.withColumn("words", words).withColumn("lines", lines)
+    return docs.withColumn("words", F.expr(_WORDS)).withColumn("lines", F.expr(_LINES))
 
 
 def rank_rules(docs: DataFrame, rules: tuple[Rule, ...] = RULES, *, text_col: str = "text", sample_rows: int = 500) -> tuple[Rule, ...]:
@@ -100,32 +103,33 @@ def rank_rules(docs: DataFrame, rules: tuple[Rule, ...] = RULES, *, text_col: st
     n = sample.count()
     if not n:
         return rules
-    ready = prepared(sample)
 
-    def timed(condition: Column) -> tuple[float, int]:
+    def timed(*tried: Rule) -> tuple[float, int]:
         began = time.perf_counter()
-        hits = ready.agg(F.count_if(condition)).first()[0]
+        hits = sample.agg(F.count(rejected_by(tried, "text"))).first()[0]
         return time.perf_counter() - began, hits
 
-    timed(F.size("words") >= 0)
-    empty, _ = timed(F.size("words") >= 0)
+    idle = Rule("idle", "size(words) < 0")
+    timed(idle)
+    empty, _ = timed(idle)
     score = {}
     for rule in rules:
-        spent, hits = timed(F.expr(rule.sql()))
+        spent, hits = timed(rule)
         score[rule.name] = max(hits, 1e-3) / n / max(spent - empty, 1e-3)
     return tuple(sorted(rules, key=lambda r: -score[r.name]))
 
 
-def rejected_by(rules: tuple[Rule, ...]) -> Column:
-    """Name of the first rule, in the given order, that rejects the row; null if none does. Needs `prepared` rows."""
+def rejected_by(rules: tuple[Rule, ...], text_col: str = "text") -> Column:
+    """Name of the first rule, in the given order, that rejects the row; null if none does.
+
+    One expression over the text, with its words bound inside: a filter on it can move freely without being evaluated
+    more than once.
+    """
     if not rules:
         return F.lit(None).cast("string")
-    return F.expr("CASE " + " ".join(f"WHEN {r.sql()} THEN '{r.name}'" for r in rules) + " END")
-
-
-def _fresh(docs: DataFrame) -> DataFrame:
-    """Without columns whose names the cascade uses itself."""
-    return docs.select(*[c for c in docs.columns if c.lower() not in ("body", "words", "lines")])
+    case = "CASE " + " ".join(f"WHEN {r.sql()} THEN '{r.name}' " for r in rules) + "END"
+    body = "coalesce(`" + text_col.replace("`", "``") + "`, '')"
+    return F.expr(_let(body, "body", _let(_WORDS, "words", case)))
 
 
 def quality_filter(docs: DataFrame, rules: tuple[Rule, ...] = RULES, *, text_col: str = "text") -> DataFrame:
@@ -139,7 +143,7 @@ def quality_filter(docs: DataFrame, rules: tuple[Rule, ...] = RULES, *, text_col
     rows = docs.toDF(*inner)
     text = inner[[n.lower() for n in names].index(text_col.lower())]
     ranked = rank_rules(rows, rules, text_col=text)
-    return prepared(rows, text).where(rejected_by(ranked).isNull()).select(*inner).toDF(*names)
+    return rows.where(rejected_by(ranked, text).isNull()).toDF(*names)
 
 
 def quality_report(docs: DataFrame, rules: tuple[Rule, ...] = RULES, *, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
