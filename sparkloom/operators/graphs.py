@@ -6,6 +6,7 @@ import atexit
 import shutil
 import tempfile
 import uuid
+from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import Window as W
@@ -33,21 +34,45 @@ def cut(df: DataFrame) -> DataFrame:
     return spark.read.schema(schema).parquet(path)
 
 
+def _rounds(spark: SparkSession) -> Callable[[DataFrame], tuple[DataFrame, DataFrame]]:
+    """A store for the rounds of an iteration: takes a round's rows, gives them back read, and all rounds so far.
+
+    Rounds are files of one folder, so the plan over all of them is a single scan however many there are.
+    """
+    folder, paths = f"{scratch_dir(spark)}/rounds-{uuid.uuid4().hex}", []
+    target = spark._jvm.org.apache.hadoop.fs.Path(folder)
+    target.getFileSystem(spark._jsparkSession.sessionState().newHadoopConf()).deleteOnExit(target)
+
+    def put(df: DataFrame) -> tuple[DataFrame, DataFrame]:
+        schema = df.schema
+        paths.append(f"{folder}/{len(paths)}")
+        df.write.parquet(paths[-1])
+        read = spark.read.schema(schema)
+        return read.parquet(paths[-1]), read.parquet(*paths)
+
+    return put
+
+
 def reachable(roots: DataFrame, edges: DataFrame, *, node: str = "node", src: str = "src", dst: str = "dst") -> DataFrame:
     """All nodes reachable from `roots`, with `depth` (fewest steps) and `parent` (the smallest predecessor at that depth).
 
     One join of the frontier per round; the driver sees only whether a frontier is empty. Cycles end by themselves.
     """
+    put = _rounds(roots.sparkSession)
     edges = cut(edges.select(F.col(src).alias("src"), F.col(dst).alias("dst")).distinct())
-    seen = cut(roots.select(F.col(node).alias("node")).distinct().withColumns({"depth": F.lit(0).cast("long"), "parent": F.lit(None).cast("long")}))
-    frontier = seen
-    while True:
+    kind = edges.schema["src"].dataType
+    first = roots.select(F.col(node).cast(kind).alias("node")).distinct()
+    frontier, seen = put(first.withColumns({"depth": F.lit(0).cast("long"), "parent": F.lit(None).cast(kind)}))
+    while not frontier.isEmpty():
         step = frontier.join(edges, frontier.node == edges.src).groupBy("dst").agg(F.min("src").alias("parent"), (F.min("depth") + 1).alias("depth"))
-        step = step.select(F.col("dst").alias("node"), "depth", F.col("parent").cast("long").alias("parent"))
-        frontier = cut(step.join(seen, "node", "left_anti"))
-        if frontier.isEmpty():
-            return seen
-        seen = cut(seen.unionByName(frontier))
+        step = step.select(F.col("dst").alias("node"), "depth", "parent")
+        frontier, seen = put(step.join(seen.select("node"), "node", "left_anti"))
+    return seen
+
+
+def reachable_keys(roots: DataFrame, edges: DataFrame) -> DataFrame:
+    """The nodes alone, of any type."""
+    return reachable(roots, edges).select("node")
 
 
 def alias_chain(links: DataFrame, *, name: str = "name", target: str = "target", final: str = "final", limit: int = 32) -> DataFrame:
@@ -56,19 +81,18 @@ def alias_chain(links: DataFrame, *, name: str = "name", target: str = "target",
     Chains are followed all at once, one join per step, each open chain carrying its path; `limit` bounds the steps, and
     a chain that is still open then counts as a cycle.
     """
+    put = _rounds(links.sparkSession)
     known = cut(links.select(F.col(name).alias("n"), F.col(target).alias("t"), F.col(final).alias("f")))
     open_ = known.select(F.col("n").alias("name"), F.col("n").alias("at"), F.array("n").alias("path"))
-    done: DataFrame | None = None
     for step in range(limit + 1):
         at = open_.join(known, open_.at == known.n, "left")
         state = F.when(F.col("n").isNull(), "missing").when(F.col("f"), "resolved").when(F.array_contains("path", F.col("t")), "cycle")
-        at = cut(at.withColumn("state", F.when(F.lit(step == limit), F.coalesce(state, F.lit("cycle"))).otherwise(state)))
-        ended = at.where("state is not null").select("name", "state", F.col("at").alias("end"), (F.size("path") - 1).cast("long").alias("steps"))
-        done = ended if done is None else done.unionByName(ended)
-        open_ = at.where("state is null").select("name", F.col("t").alias("at"), F.concat("path", F.array("t")).alias("path"))
+        now, every = put(at.withColumn("state", F.when(F.lit(step == limit), F.coalesce(state, F.lit("cycle"))).otherwise(state)))
+        open_ = now.where("state is null")
         if open_.isEmpty():
             break
-    return done
+        open_ = open_.select("name", F.col("t").alias("at"), F.concat("path", F.array("t")).alias("path"))
+    return every.where("state is not null").select("name", "state", F.col("at").alias("end"), (F.size("path") - 1).cast("long").alias("steps"))
 
 
 def flatten_tree(roots: DataFrame, edges: DataFrame, *, limit: int = 32) -> DataFrame:
