@@ -27,7 +27,7 @@ from sparkloom.llm.common import prepare
 MODEL = "/opt/tokenizers/piece_bpe_32k.model"
 BLANK = "\u2581"
 #: Words kept in a task's memory, code points indexed at once, and longest word that is relaxed in step with others.
-CACHE, INDEX_CHARS, LONG = 400_000, 400_000, 48
+CACHE, INDEX_CHARS, LONG = 500_000, 800_000, 48
 _UNIGRAM, _BPE = 1, 2
 _NORMAL, _UNKNOWN, _BYTE = 1, 2, 6
 
@@ -127,7 +127,7 @@ class Encoder:
         self.high = self._packed(codes)
         self.bytes_of = model.byte_ids
         self.raw = [b"" if k not in (_NORMAL, _BYTE, _UNKNOWN) else bytes([int(p[3:5], 16)]) if k == _BYTE else " \u2047 ".encode() if k == _UNKNOWN else p.replace(BLANK, " ").encode() for p, k in zip(model.pieces, model.kinds, strict=True)]
-        self.known: dict[str, list[int]] = {}
+        self.known: dict[str, bytes] = {}  # ids as 32-bit numbers, end to end
         self.split = re.compile(f"{BLANK}*[^{BLANK}]+|{BLANK}+")
 
     @staticmethod
@@ -169,23 +169,27 @@ class Encoder:
 
     def _bounds(self, key: np.ndarray, order: np.ndarray, wanted: np.ndarray, after: bool) -> np.ndarray:
         """For each row of `wanted`, the first place in the suffix array whose suffix is not below (`after`: above) it."""
-        head = key[order]  # the first three characters narrow the search to a short range
-        low, high = np.searchsorted(head, wanted[:, 0], "left"), np.searchsorted(head, wanted[:, 0], "right")
-        while (low < high).any():
+        head = key[order]  # the first three characters decide on short pieces and narrow the search for others
+        bounds = np.searchsorted(head, wanted[:, 0], "right" if after else "left")
+        longer = np.flatnonzero(self.piece_len > 3)
+        low, high = np.searchsorted(head, wanted[longer, 0], "left"), np.searchsorted(head, wanted[longer, 0], "right")
+        while len(longer):
+            open_ = low < high
+            bounds[longer[~open_]] = low[~open_]
+            longer, low, high = longer[open_], low[open_], high[open_]
             mid = (low + high) // 2
-            at = order[np.minimum(mid, len(order) - 1)]
-            below, same = np.zeros(len(wanted), bool), np.ones(len(wanted), bool)
-            for w in range(self.words3):
+            at, want = order[mid], wanted[longer]
+            below, same = np.zeros(len(longer), bool), np.ones(len(longer), bool)
+            for w in range(1, self.words3):
                 k = key[np.minimum(at + 3 * w, len(key) - 1)]
-                below |= same & (k < wanted[:, w])
-                same &= k == wanted[:, w]
+                below |= same & (k < want[:, w])
+                same &= k == want[:, w]
             if after:
                 below |= same
-            below &= low < high
-            low, high = np.where(below, mid + 1, low), np.where(below | (low >= high), high, mid)
-        return low
+            low, high = np.where(below, mid + 1, low), np.where(below, high, mid)
+        return bounds
 
-    def _learn(self, words: list[str]) -> dict[str, list[int]]:
+    def _learn(self, words: list[str]) -> dict[str, bytes]:
         out, part, size = {}, [], 0
         for w in words:
             part.append(w)
@@ -195,7 +199,7 @@ class Encoder:
                 part, size = [], 0
         return out | self._encode_words(part)
 
-    def _encode_words(self, words: list[str]) -> dict[str, list[int]]:
+    def _encode_words(self, words: list[str]) -> dict[str, bytes]:
         if not words:
             return {}
         lengths = np.array([len(w) for w in words])
@@ -215,19 +219,19 @@ class Encoder:
         size = end - begin
         piece = np.where(size <= self.longest, table[begin, np.minimum(size, self.longest)], -1)
         at = np.concatenate((np.flatnonzero(first), [len(word)])).tolist()
-        odd = set(word[piece < 0].tolist())
-        ids = piece.tolist()
-        out = {w: ids[a:b] for w, a, b in zip(words, at[:-1], at[1:], strict=True)}
-        for k in odd:
+        ids = piece.astype("<i4").tobytes()
+        out = {w: ids[4 * a : 4 * b] for w, a, b in zip(words, at[:-1], at[1:], strict=True)}
+        for k in set(word[piece < 0].tolist()):
             w, start, found = words[k], int(starts[k]), []
-            for i, a, b in zip(out[w], begin[at[k] : at[k + 1]].tolist(), end[at[k] : at[k + 1]].tolist(), strict=True):
+            own = slice(at[k], at[k + 1])
+            for i, a, b in zip(piece[own].tolist(), begin[own].tolist(), end[own].tolist(), strict=True):
                 if i >= 0:
                     found.append(i)
                 elif self.bytes_of:
                     found += [self.bytes_of[x] for x in w[a - start : b - start].encode()]
                 elif not (found and found[-1] == self.model.unknown):
                     found.append(self.model.unknown)
-            out[w] = found
+            out[w] = np.array(found, "<i4").tobytes()
         return out
 
     def _merges(self, table: np.ndarray, starts: np.ndarray, lengths: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -327,25 +331,23 @@ class Encoder:
         return np.array(words), np.array(ends)
 
     def encode(self, texts: list[str]) -> list[list[int]]:
-        parts = []
-        for text in texts:
-            if text and self.model.dummy_prefix:
-                text = " " + text
-            parts.append(self.split.findall(text.replace(" ", BLANK)))
-        wanted = {w for p in parts for w in p}
+        return [x.tolist() for x in self.encode_arrays(texts)]
+
+    def encode_arrays(self, texts: list[str]) -> list[np.ndarray]:
+        """Token ids of each text."""
+        prefix = " " if self.model.dummy_prefix else ""
+        parts = [self.split.findall((prefix + t).replace(" ", BLANK)) if t else [] for t in texts]
+        wanted = set().union(*parts)
         new = wanted - self.known.keys()
         if len(self.known) + len(new) > CACHE:
             self.known, new = {}, wanted
-        own = self._learn(sorted(new))
-        self.known.update((w, ids) for w, ids in own.items() if len(w) <= LONG)
-        known = self.known
-        out = []
-        for p in parts:
-            ids: list[int] = []
-            for w in p:
-                found = known.get(w)
-                ids += own[w] if found is None else found
-            out.append(ids)
+        own = self._learn(list(new))
+        self.known |= own
+        find = self.known.__getitem__
+        out = [np.frombuffer(b"".join(map(find, p)), "<i4") for p in parts]
+        for w in own:
+            if len(w) > LONG:
+                del self.known[w]
         return out
 
     def decode(self, ids: list[int]) -> str:
@@ -370,8 +372,7 @@ def _run(model: Model):
                 while stop < len(texts) and (stop == at or size + len(texts[stop]) < 2 << 20):
                     size += len(texts[stop])
                     stop += 1
-                coded = encoder.encode(texts[at:stop])
-                flat = [np.array(c, np.int32) for c in coded]
+                flat = encoder.encode_arrays(texts[at:stop])
                 lists = pa.ListArray.from_arrays(
                     pa.array(np.concatenate(([0], np.cumsum([len(f) for f in flat]))), pa.int32()), pa.array(np.concatenate(flat), pa.int32())
                 )
@@ -380,8 +381,8 @@ def _run(model: Model):
                         batch.column("doc_id").slice(at, stop - at),
                         pa.array([len(f) for f in flat], pa.int64()),
                         pa.array([int(is_byte[f].sum()) for f in flat], pa.int64()),
-                        pa.array([hashlib.sha256(f.astype("<i4").tobytes()).hexdigest() for f in flat]),
-                        pa.array([encoder.decode(c) == t for c, t in zip(coded, texts[at:stop], strict=True)]),
+                        pa.array([hashlib.sha256(f.tobytes()).hexdigest() for f in flat]),
+                        pa.array([encoder.decode(f.tolist()) == t for f, t in zip(flat, texts[at:stop], strict=True)]),
                         lists,
                     ],
                     names=["doc_id", "n_tokens", "n_byte_tokens", "ids_sha256", "round_trip", "ids"],
