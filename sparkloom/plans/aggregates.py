@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from sparkloom.plans.registry import Tables, query
-from sparkloom.plans.timeline import ROWS, rows
+from sparkloom.plans.timeline import FRAMED, ROWS, framed, rows
 
 SEVERITY = {"error": "error", "purchase": "warning"}
 _SEV = "CASE kind WHEN 'error' THEN 'error' WHEN 'purchase' THEN 'warning' ELSE 'info' END"
@@ -105,13 +105,13 @@ def corpus_rollup(t: Tables) -> DataFrame:
     return o.rollup(a, b).agg(F.count("*").alias("n"), F.countDistinct("o_custkey").alias("customers"), F.sum("c").alias("cents"))
 
 
-_REASON = f"(SELECT timeline AS block, idx, CASE kind WHEN 'error' THEN 'hard' WHEN 'view' THEN 'soft' WHEN 'click' THEN 'odd' END AS reason FROM {ROWS} WHERE depth > 0) AS r"
+_REASON = f"(SELECT timeline * 100000 + frame AS block, idx, CASE kind WHEN 'error' THEN 'hard' WHEN 'view' THEN 'soft' WHEN 'click' THEN 'odd' END AS reason FROM {FRAMED}) AS r"
 
 
 def reasons(t: Tables) -> DataFrame:
     k = F.col("kind")
     reason = F.when(k == "error", "hard").when(k == "view", "soft").when(k == "click", "odd")
-    return rows(t).where("depth > 0").select(F.col("timeline").alias("block"), "idx", reason.alias("reason"))
+    return framed(t).select((F.col("timeline") * 100000 + F.col("frame")).alias("block"), "idx", reason.alias("reason"))
 
 
 @query(
@@ -134,8 +134,6 @@ def tier_assign(t: Tables) -> DataFrame:
 )
 def tier_pivot(t: Tables) -> DataFrame:
     """Entries per tier, as columns that add up to all entries."""
-    from sparkloom.plans.timeline import framed
-
     k = F.col("kind")
     x = framed(t).groupBy("timeline", "frame").agg(F.when(F.bool_or(k == "error"), 2).when(F.bool_or(k == "view"), 1).otherwise(0).alias("tier"))
     x = x.groupBy("timeline").pivot("tier", [0, 1, 2]).agg(F.count(F.lit(1)))
@@ -150,20 +148,20 @@ def first_via(t: Tables) -> DataFrame:
 
 @query(
     f"""WITH g(grp, rank) AS (VALUES ('view', 1), ('click', 2), ('signup', 3), ('purchase', 4)),
-    e AS (SELECT timeline, kind, bool_or(kind = 'error') OVER (PARTITION BY timeline) AS forced FROM {ROWS} WHERE depth = 2 AND idx % 3 = 0),
-    f AS (SELECT timeline, bool_or(forced) AS forced FROM e GROUP BY ALL),
-    u AS (SELECT DISTINCT timeline, CASE kind WHEN 'signup' THEN 'view' ELSE kind END AS grp FROM e)
-    SELECT f.timeline, g.grp, g.rank, f.forced, f.forced OR u.grp IS NOT NULL AS kept FROM f CROSS JOIN g LEFT JOIN u ON u.timeline = f.timeline AND u.grp = g.grp"""
+    e AS (SELECT timeline, frame, kind FROM {FRAMED}),
+    f AS (SELECT timeline, frame, bool_or(kind = 'error') AS forced FROM e GROUP BY ALL),
+    u AS (SELECT DISTINCT timeline, frame, CASE kind WHEN 'signup' THEN 'view' ELSE kind END AS grp FROM e)
+    SELECT f.timeline, f.frame, g.grp, g.rank, f.forced, f.forced OR u.grp IS NOT NULL AS kept FROM f CROSS JOIN g LEFT JOIN u ON u.timeline = f.timeline AND u.frame = f.frame AND u.grp = g.grp"""
 )
 def shake_groups(t: Tables) -> DataFrame:
     """Which feature groups an entry keeps: those it uses, some folded into another, or all where one part is opaque."""
     groups = ["view", "click", "signup", "purchase"]
-    e = rows(t).where("depth = 2 and idx % 3 = 0")
+    e = framed(t)
     used = F.collect_set(F.when(F.col("kind") == "signup", "view").otherwise(F.col("kind")))
-    e = e.groupBy("timeline").agg(F.bool_or(F.col("kind") == "error").alias("forced"), used.alias("used"))
+    e = e.groupBy("timeline", "frame").agg(F.bool_or(F.col("kind") == "error").alias("forced"), used.alias("used"))
     each = F.explode(F.array(*[F.struct(F.lit(g).alias("grp"), F.lit(i + 1).alias("rank")) for i, g in enumerate(groups)]))
     e = e.withColumn("g", each)
-    return e.select("timeline", "g.grp", "g.rank", "forced", (F.col("forced") | F.array_contains("used", F.col("g.grp"))).alias("kept"))
+    return e.select("timeline", "frame", "g.grp", "g.rank", "forced", (F.col("forced") | F.array_contains("used", F.col("g.grp"))).alias("kept"))
 
 
 @query(

@@ -102,10 +102,10 @@ def state_records(t: Tables) -> DataFrame:
     return occurrence(r, ["timeline"], ["depth", "idx"], "n").select("timeline", "n", "depth", "idx")
 
 
-@query("SELECT p_name AS name, p_partkey AS id, row_number() OVER (ORDER BY p_name, p_partkey) AS n FROM part WHERE p_size = 7")
+@query("SELECT p_name AS name, p_partkey AS id, row_number() OVER (ORDER BY p_name, p_partkey) AS n FROM part")
 def symbol_view(t: Tables) -> DataFrame:
     """Exports in the order of their names; the number states the order."""
-    p = t.part.where("p_size = 7").select(F.col("p_name").alias("name"), F.col("p_partkey").alias("id"))
+    p = t.part.select(F.col("p_name").alias("name"), F.col("p_partkey").alias("id"))
     return numbered(p, ["name", "id"])
 
 

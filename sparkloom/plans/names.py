@@ -26,8 +26,9 @@ def dedupe_suffix0(t: Tables) -> DataFrame:
     return e.select("idx", F.when(F.col("nth") == 1, base).otherwise(F.concat(base, F.lit("__"), F.col("nth") - 1)).alias("name"))
 
 
-@query(f"SELECT idx, CASE WHEN n = 1 THEN kind ELSE kind || '_' || n END AS name FROM (SELECT *, row_number() OVER (PARTITION BY kind ORDER BY idx) AS n FROM {DICT} WHERE id = 5)")
+@query(f"SELECT idx, CASE WHEN n = 1 THEN kind || id ELSE kind || id || '_' || n END AS name FROM (SELECT *, row_number() OVER (PARTITION BY kind, id ORDER BY idx) AS n FROM {DICT})")
 def dedupe_suffix(t: Tables) -> DataFrame:
     """Repeated names with suffixes _2, _3; no base here equals a suffixed name, so no suffix is taken already."""
-    e = occurrence(entries(t).where("id = 5"), ["kind"], ["idx"])
-    return e.select("idx", F.when(F.col("nth") == 1, F.col("kind")).otherwise(F.concat("kind", F.lit("_"), F.col("nth"))).alias("name"))
+    e = occurrence(entries(t), ["kind", "id"], ["idx"])
+    base = F.concat("kind", "id")
+    return e.select("idx", F.when(F.col("nth") == 1, base).otherwise(F.concat(base, F.lit("_"), F.col("nth"))).alias("name"))

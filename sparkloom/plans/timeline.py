@@ -31,7 +31,7 @@ def shown() -> Column:
     return F.col("kind") == SHOW
 
 
-_FRAMED = f"""(SELECT *, CAST(coalesce(sum(CASE WHEN kind = 'purchase' THEN 1 ELSE 0 END) OVER
+FRAMED = f"""(SELECT *, CAST(coalesce(sum(CASE WHEN kind = 'purchase' THEN 1 ELSE 0 END) OVER
   (PARTITION BY timeline ORDER BY idx ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS BIGINT) AS frame FROM {ROWS}) AS f"""
 
 
@@ -39,7 +39,7 @@ def framed(t: Tables) -> DataFrame:
     return o.segment(rows(t), KEY, AT, shown())
 
 
-@query(f"SELECT timeline, frame, count(*) AS n, min(idx) AS first_idx, max(idx) AS last_idx, CAST(sum(cents) AS BIGINT) AS cents FROM {_FRAMED} GROUP BY ALL")
+@query(f"SELECT timeline, frame, count(*) AS n, min(idx) AS first_idx, max(idx) AS last_idx, CAST(sum(cents) AS BIGINT) AS cents FROM {FRAMED} GROUP BY ALL")
 def frame_segment(t: Tables) -> DataFrame:
     """Frames: segments closed by each show marker; the trailing partial frame stays."""
     return framed(t).groupBy("timeline", "frame").agg(F.count("*").alias("n"), F.min("idx").alias("first_idx"), F.max("idx").alias("last_idx"), F.sum("cents").alias("cents"))
@@ -63,7 +63,7 @@ def frame_counts(t: Tables) -> DataFrame:
 @query(
     f"""WITH d AS (SELECT timeline, count(*) FILTER (kind = 'purchase') + 1 AS declared FROM {ROWS} GROUP BY ALL),
     c AS (SELECT timeline, frame, count(*) FILTER (kind = 'signup') AS places, count(*) FILTER (kind = 'error') AS removes,
-      count(*) FILTER (kind NOT IN ('signup', 'error', 'purchase')) AS moves, min(kind) FILTER (kind = 'view') AS label FROM {_FRAMED} GROUP BY ALL)
+      count(*) FILTER (kind NOT IN ('signup', 'error', 'purchase')) AS moves, min(kind) FILTER (kind = 'view') AS label FROM {FRAMED} GROUP BY ALL)
     SELECT timeline, frame, coalesce(places, 0) AS places, coalesce(removes, 0) AS removes, coalesce(moves, 0) AS moves, coalesce(label, '') AS label
     FROM (SELECT timeline, unnest(range(0, declared)) AS frame FROM d) LEFT JOIN c USING (timeline, frame)"""
 )
