@@ -247,10 +247,10 @@ def near_duplicates(
     signed = stored(signed, "signatures")
     classes = signed.where("n > 0").groupBy("d1", "d2").agg(F.min("doc_id").alias("node"))
     classes = stored(classes, "classes")
-    nodes = signed.where("n > 0").join(classes.select(F.col("node").alias("doc_id")), "doc_id", "left_semi")
     # A class's key rows come from its smallest document; copies add nothing to buckets.
-    keys = nodes.join(classes, (nodes.d1 == classes.d1) & (nodes.d2 == classes.d2) & (nodes.doc_id == classes.node), "left_semi")
-    keys = keys.select(F.col("doc_id").alias("node"), "n", F.posexplode("bands").alias("band", "key")).distinct()
+    own = (signed.d1 == classes.d1) & (signed.d2 == classes.d2) & (signed.doc_id == classes.node)
+    first = signed.where("n > 0").join(classes, own, "left_semi").dropDuplicates(["d1", "d2", "doc_id"])
+    keys = first.select(F.col("doc_id").alias("node"), "n", F.posexplode("bands").alias("band", "key"))
     crowded = keys.groupBy("key").agg(F.min("node").alias("lo"), F.max("node").alias("hi")).where("lo <> hi")
     keys = stored(keys.join(crowded.select("key"), "key", "left_semi"), "keys")
     wanted = keys.select(F.col("node").alias("doc_id")).distinct()
