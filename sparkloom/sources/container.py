@@ -23,6 +23,20 @@ from sparkloom.sources.bits import PastEnd, Reader
 MOST_BYTES, MOST_DEPTH = 512 << 20, 32
 
 
+#: Problem codes and their severities. Fixed values.
+SEVERITY = {
+    "SF0001": "error", "SF0002": "warning", "SF0003": "error", "SF0004": "warning", "SF0005": "warning", "SF0007": "error", "SF0013": "error",
+    "SF0021": "warning", "SF0022": "info", "SF0023": "warning", "SF0024": "info", "SF0027": "warning", "SF0028": "warning", "SF0029": "error",
+    "SF0030": "info", "SF0033": "info", "SF0101": "warning", "SF0102": "info", "SF0103": "warning", "SF0104": "info", "SF0107": "warning",
+    "SF0109": "warning", "SF0128": "warning", "SF0129": "info", "SF0174": "warning",
+}
+
+
+def problem(code: str, message: str, offset: int, context: str, character: int | None = None) -> dict:
+    """A diagnostic row."""
+    return {"code": code, "severity": SEVERITY[code], "message": message, "offset": offset, "context": context, "character": character}
+
+
 class Malformed(Exception):
     """Raised in strict mode for the first structural error."""
 
@@ -40,11 +54,11 @@ class Opened:
     notes: list[dict] = field(default_factory=list)
 
 
-def unpack(data: bytes, most: int = MOST_BYTES) -> tuple[str | None, bytes, list[tuple[str, str, str]]]:
-    """Compression, body and problems (code, severity, message) of a file. A damaged stream keeps its decoded beginning."""
+def unpack(data: bytes, most: int = MOST_BYTES) -> tuple[str | None, bytes, list[tuple[str, str]]]:
+    """Compression, body and problems (code, message) of a file. A damaged stream keeps its decoded beginning."""
     kind = {b"FWS": "none", b"CWS": "zlib", b"ZWS": "lzma"}.get(bytes(data[:3]))
     if kind is None or len(data) < 8:
-        return None, b"", [("SF0001", "error", "not a container of this kind")]
+        return None, b"", [("SF0001", "not a container of this kind")]
     problems = []
     if kind == "none":
         return kind, bytes(data[8:]), problems
@@ -52,10 +66,10 @@ def unpack(data: bytes, most: int = MOST_BYTES) -> tuple[str | None, bytes, list
         decoder, packed = zlib.decompressobj(), data[8:]
     else:
         if len(data) < 17:
-            return kind, b"", [("SF0003", "error", "the packed stream has no header")]
+            return kind, b"", [("SF0003", "the packed stream has no header")]
         size = struct.unpack_from("<I", data, 8)[0]
         if size != len(data) - 17:
-            problems.append(("SF0027", "warning", f"packed length {size} is stated, {len(data) - 17} bytes are there"))
+            problems.append(("SF0027", f"packed length {size} is stated, {len(data) - 17} bytes are there"))
         # The stand-alone format with an unknown length, which an end mark or the data's end closes.
         decoder, packed = lzma.LZMADecompressor(lzma.FORMAT_ALONE), data[12:17] + b"\xff" * 8 + data[17:]
     out, size, at = [], 0, 0
@@ -66,43 +80,43 @@ def unpack(data: bytes, most: int = MOST_BYTES) -> tuple[str | None, bytes, list
             out.append(chunk)
             size += len(chunk)
         if kind == "zlib" and not decoder.eof:
-            problems.append(("SF0003", "error", "the packed stream ends early"))
+            problems.append(("SF0003", "the packed stream ends early"))
     except (zlib.error, lzma.LZMAError) as e:
-        problems.append(("SF0003", "error", f"the packed stream is damaged: {e}"))
+        problems.append(("SF0003", f"the packed stream is damaged: {e}"))
     if size > most:
-        problems.append(("SF0007", "error", f"more than {most} bytes unpacked"))
+        problems.append(("SF0007", f"more than {most} bytes unpacked"))
     return kind, b"".join(out)[:most], problems
 
 
 def read_header(o: Opened, file_size: int) -> int:
     """Fills in the header; returns where the tags begin."""
 
-    def note(code: str, severity: str, message: str, offset: int = 0, context: str = "header") -> None:
-        o.notes.append({"code": code, "severity": severity, "message": message, "offset": offset, "context": context, "character": None})
+    def note(code: str, message: str, offset: int = 0, context: str = "header") -> None:
+        o.notes.append(problem(code, message, offset, context))
 
     r = Reader(o.body)
     try:
         box, rate, frames = r.rect(), r.u16(), r.u16()
     except PastEnd:
-        note("SF0013", "error", "the header is cut off")
+        note("SF0013", "the header is cut off")
         return len(o.body)
     width, height = box["xMax"] - box["xMin"], box["yMax"] - box["yMin"]
     o.header = box | {"frame_rate_raw": rate, "frame_rate": rate / 256, "frame_count": frames, "width_px": width / 20, "height_px": height / 20}
     if o.declared < 8 or o.declared > 2**31:
-        note("SF0028", "warning", f"length {o.declared} is implausible", 4)
+        note("SF0028", f"length {o.declared} is implausible", 4)
     if 0 < o.version < 4:
-        note("SF0002", "warning", f"version {o.version} is below 4", 3)
+        note("SF0002", f"version {o.version} is below 4", 3)
     if o.compression == "zlib" and 0 < o.version < 6:
-        note("SF0033", "info", f"packed, at version {o.version}")
+        note("SF0033", f"packed, at version {o.version}")
     if box["xMin"] or box["yMin"]:
-        note("SF0021", "warning", "the frame does not start at the origin", 8, "FrameSize")
+        note("SF0021", "the frame does not start at the origin", 8, "FrameSize")
     if width <= 0 or height <= 0:
-        note("SF0029", "error", "the frame has no area", 8, "FrameSize")
+        note("SF0029", "the frame has no area", 8, "FrameSize")
     if rate == 0 or rate / 256 > 240:
-        note("SF0022", "info", f"{rate / 256} frames a second", r.at, "FrameRate")
+        note("SF0022", f"{rate / 256} frames a second", r.at, "FrameRate")
     there = file_size if o.compression == "none" else len(o.body) + 8
     if there != o.declared:
-        note("SF0004" if there > o.declared else "SF0005", "warning", f"length {o.declared} is stated, {there} bytes are there", 0 if o.compression != "none" else 4, "container")
+        note("SF0004" if there > o.declared else "SF0005", f"length {o.declared} is stated, {there} bytes are there", 0 if o.compression != "none" else 4, "container")
     return r.at
 
 
@@ -121,9 +135,9 @@ def index_tags(body: bytes, start: int, declared_frames: int, note, most_depth:
             return
         where = f"sprite {level['sprite']}"
         if not ended:
-            note("SF0174", "warning", "the sprite has no end tag", at, where, level["sprite"])
+            note("SF0174", "the sprite has no end tag", at, where, level["sprite"])
         if level["declared"] != level["shown"]:
-            note("SF0023", "warning", f"{level['declared']} frames are declared, {level['shown']} are shown", 0, where, level["sprite"])
+            note("SF0023", f"{level['declared']} frames are declared, {level['shown']} are shown", 0, where, level["sprite"])
         if ended:
             at = level["after"]
 
@@ -137,7 +151,7 @@ def index_tags(body: bytes, start: int, declared_frames: int, note, most_depth:
             continue
         head = at
         if level["end"] - at < 2:
-            note("SF0013", "error", "a tag header is cut off", at, where, level["sprite"])
+            note("SF0013", "a tag header is cut off", at, where, level["sprite"])
             at = level["end"]
             continue
         word = body[at] | body[at + 1] << 8
@@ -145,40 +159,40 @@ def index_tags(body: bytes, start: int, declared_frames: int, note, most_depth:
         at += 2
         if size == 63:
             if level["end"] - at < 4:
-                note("SF0013", "error", "a tag header is cut off", head, where, level["sprite"])
+                note("SF0013", "a tag header is cut off", head, where, level["sprite"])
                 at = level["end"]
                 continue
             size, long_ = struct.unpack_from("<I", body, at)[0], True
             at += 4
             if size < 63:
-                note("SF0030", "info", f"tag {code} has a long header for {size} bytes", head, f"long header {code}")
+                note("SF0030", f"tag {code} has a long header for {size} bytes", head, f"long header {code}")
         held = min(size, level["end"] - at)
         tags.append({"index": len(tags), "code": code, "head": head, "offset": at, "length": held, "long_header": long_, "depth": len(levels) - 1, "sprite": level["sprite"]})
         if held < size:
-            note("SF0101", "warning", f"tag {code} needs {size} bytes, {held} are there", head, where, level["sprite"])
+            note("SF0101", f"tag {code} needs {size} bytes, {held} are there", head, where, level["sprite"])
             at = level["end"]
             continue
         if code not in tagcodes.NAMES:
-            note("SF0104", "info", f"tag {code} is unknown", head, f"unknown tag {code}")
+            note("SF0104", f"tag {code} is unknown", head, f"unknown tag {code}")
         elif level["sprite"] is not None and code not in tagcodes.IN_SPRITE and code not in level["reported"]:
             level["reported"].add(code)
-            note("SF0129", "info", f"tag {code} is not meant for sprites", head, where, level["sprite"])
+            note("SF0129", f"tag {code} is not meant for sprites", head, where, level["sprite"])
         if code in tagcodes.DEFINITIONS:
             own = body[at] | body[at + 1] << 8 if size >= 2 else 0
             if level["sprite"] is not None:
-                note("SF0128", "warning", f"tag {code} defines nothing inside a sprite", head, where, level["sprite"])
+                note("SF0128", f"tag {code} defines nothing inside a sprite", head, where, level["sprite"])
             elif own == 0:
-                note("SF0107", "warning", f"tag {code} defines character 0", head, where)
+                note("SF0107", f"tag {code} defines character 0", head, where)
             else:
                 if own in defined:
-                    note("SF0109", "warning", f"character {own} is defined again", head, where, own)
+                    note("SF0109", f"character {own} is defined again", head, where, own)
                 defined[own] = len(tags) - 1
                 tags[-1]["defines"] = own
         if code == tagcodes.END:
             if level["sprite"] is None:
                 saw_end = True
                 if len(body) > at + size:
-                    note("SF0024", "info", f"{len(body) - at - size} bytes follow the end", at + size, where)
+                    note("SF0024", f"{len(body) - at - size} bytes follow the end", at + size, where)
                 levels.pop()
             else:
                 close(True)
@@ -189,17 +203,17 @@ def index_tags(body: bytes, start: int, declared_frames: int, note, most_depth:
             own = body[at] | body[at + 1] << 8 if size >= 2 else 0
             declared = body[at + 2] | body[at + 3] << 8 if size >= 4 else 0
             if len(levels) > most_depth:
-                note("SF0103", "warning", f"sprite {own} lies too deep", head, where, own)
+                note("SF0103", f"sprite {own} lies too deep", head, where, own)
             elif size >= 4:
                 levels.append({"sprite": own, "end": at + size, "after": at + size, "declared": declared, "shown": 0, "reported": set()})
                 at += 4
                 continue
         at += size
     if not saw_end:
-        note("SF0102", "info", "the stream has no end tag", len(body), "tag stream")
+        note("SF0102", "the stream has no end tag", len(body), "tag stream")
     shown = sum(t["code"] == tagcodes.SHOW_FRAME and t["sprite"] is None for t in tags)
     if declared_frames and declared_frames != shown:
-        note("SF0023", "warning", f"{declared_frames} frames are declared, {shown} are shown", 0, "header")
+        note("SF0023", f"{declared_frames} frames are declared, {shown} are shown", 0, "header")
     return tags
 
 
@@ -207,12 +221,12 @@ def open_bytes(data: bytes, *, strict: bool = False, most: int = MOST_BYTES) ->
     """Opens one file."""
     o = Opened()
 
-    def note(code: str, severity: str, message: str, offset: int, context: str, character: int | None = None) -> None:
-        o.notes.append({"code": code, "severity": severity, "message": message, "offset": offset, "context": context, "character": character})
+    def note(code: str, message: str, offset: int, context: str, character: int | None = None) -> None:
+        o.notes.append(problem(code, message, offset, context, character))
 
     o.compression, o.body, problems = unpack(data, most)
-    for code, severity, message in problems:
-        note(code, severity, message, 0, "container")
+    for code, message in problems:
+        note(code, message, 0, "container")
     if o.compression is not None:
         o.version, o.declared = data[3], struct.unpack_from("<I", data, 4)[0]
         start = read_header(o, len(data))

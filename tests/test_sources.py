@@ -156,6 +156,17 @@ def test_basic_blocks():
     assert blocks[0]["successors"] == [at[4], at[5]] and blocks[3]["successors"] == [] and blocks[1]["successors"] == [at[5]]
 
 
+def test_stack_depths():
+    two = push(("integer", 1), ("integer", 2))
+    got = actions.decode_block(actions.serialise([two, (0x9D, {"branch": 1}), (0x17, {}), (0x06, {}), (0x00, {})]))
+    at = [r["offset"] for r in got]
+    # The branch pops one of two values; the other way round pops the second.
+    assert actions.stack_depths(got) == {at[0]: 0, at[2]: 1, at[3]: None}
+    loop = actions.decode_block(actions.serialise([(0x06, {}), two, (0x17, {}), (0x17, {}), (0x99, {"branch": -22})]))
+    assert set(actions.stack_depths(loop).values()) == {0}
+    assert actions.stack_depths([]) == {}
+
+
 def test_actions_never_raise():
     rnd = random.Random(3)
     whole = actions.serialise(SCRIPT)
@@ -165,6 +176,7 @@ def test_actions_never_raise():
             data[rnd.randrange(len(data))] = rnd.randrange(256)
         records = actions.decode_block(bytes(data[: rnd.randrange(len(data) + 1)]), rnd.choice([4, 6]))
         actions.basic_blocks(records)
+        actions.stack_depths(records)
         assert all(a["next"] == b["offset"] for a, b in zip(records, records[1:]))
 
 
