@@ -13,8 +13,6 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from sparkloom.llm.common import stored
-
 _SPACE = r"[\\x20\\x09-\\x0D]"
 _WORD_CHAR = r"[^\\x20\\x09-\\x0D]"
 
@@ -93,16 +91,20 @@ def prepared(docs: DataFrame, text_col: str = "text") -> DataFrame:
     return docs.withColumn("words", F.expr(_WORDS)).withColumn("lines", F.expr(_LINES))
 
 
-def rank_rules(docs: DataFrame, rules: tuple[Rule, ...] = RULES, *, text_col: str = "text", sample_rows: int = 500) -> tuple[Rule, ...]:
-    """Orders rules by estimated rejection per cost, on at most `sample_rows` rows.
+def rank_rules(docs: DataFrame, rules: tuple[Rule, ...] = RULES, *, text_col: str = "text", sample_rows: int = 300, sample_chars: int = 20_000) -> tuple[Rule, ...]:
+    """Orders rules by estimated rejection per cost, on the first `sample_rows` rows and `sample_chars` characters of each.
+
+    The sample is taken from as few partitions as hold that many rows. It decides on the order alone, never on a verdict.
 
     A rule that rejects nothing in the sample counts as rejecting one row in a thousand samples, so that cheap ones come
     before costly ones. An empty table keeps the given order.
     """
-    sample = stored(docs.select(F.col(text_col).alias("text")).limit(sample_rows), "sample")
-    n = sample.count()
+    spark = docs.sparkSession
+    first = docs.select(F.substring(F.col(text_col), 1, sample_chars).alias("text")).head(sample_rows)
+    n = len(first)
     if not n:
         return rules
+    sample = spark.createDataFrame(first, "text string").coalesce(1)
 
     def timed(*tried: Rule) -> tuple[float, int]:
         began = time.perf_counter()
