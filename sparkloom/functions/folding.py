@@ -124,3 +124,72 @@ def truthy(v: Column, version: int = 7) -> Column:
     """Truth of a literal: numbers other than 0 and NaN; from version 7 on, strings that are not empty."""
     text = (v["str"] != "") if version >= 7 else (F.coalesce(v["str"].try_cast("double"), F.lit(0.0)) != 0)
     return F.when(v["type"].isin("number", "boolean"), (v["num"] != 0) & ~F.isnan(v["num"])).when(v["type"] == "string", text).when(v["type"].isin("null", "undefined"), F.lit(False))
+
+
+def equals(a: Column, b: Column, version: int = 7) -> Column:
+    """Numeric equality; NaN proves nothing."""
+    x, y = to_number(a, version), to_number(b, version)
+    return F.when(x.isNotNull() & y.isNotNull() & ~F.isnan(x) & ~F.isnan(y), truth(x == y, version))
+
+
+def loose_equals(a: Column, b: Column, version: int = 7) -> Column:
+    """Equality across types: null and undefined equal each other and nothing else, texts by content, the rest by number."""
+    nothing_a, nothing_b = a["type"].isin("null", "undefined"), b["type"].isin("null", "undefined")
+    texts = (a["type"] == "string") & (b["type"] == "string")
+    x, y = to_number(a, version), to_number(b, version)
+    numeric = F.when(x.isNotNull() & y.isNotNull(), truth((x == y) & ~F.isnan(x), version))
+    return F.when(nothing_a | nothing_b, truth(nothing_a & nothing_b, version)).when(texts, truth(a["str"] == b["str"], version)).otherwise(numeric)
+
+
+def logic(op: str, a: Column, b: Column, version: int = 7) -> Column:
+    """And or or on truth."""
+    x, y = truthy(a, version), truthy(b, version)
+    out = (x & y) if op == "and" else (x | y)
+    return F.when(x.isNotNull() & y.isNotNull(), truth(out, version))
+
+
+def compare_text(op: str, a: Column, b: Column, version: int = 7) -> Column:
+    """String comparison: 'eq', 'lt' or 'gt'; order is provable for ASCII only."""
+    x, y = to_text(a, version), to_text(b, version)
+    out = {"eq": x == y, "lt": x < y, "gt": x > y}[op]
+    known = x.isNotNull() & y.isNotNull()
+    if op != "eq":
+        known = known & x.rlike(r"^[\x00-\x7f]*$") & y.rlike(r"^[\x00-\x7f]*$")
+    return F.when(known, truth(out, version))
+
+
+def concat_text(a: Column, b: Column, version: int = 7) -> Column:
+    """Forced concatenation; a number's text is not provable here."""
+    ok = (a["type"] != "number") & (b["type"] != "number")
+    both = F.concat(to_text(a, version), to_text(b, version))
+    return F.when(ok & both.isNotNull(), string(both))
+
+
+def unary(op: str, v: Column, version: int = 7) -> Column:
+    """Not, whole part, number, text, type name, length, first character's code, character of a code, one more, one less."""
+    n, x = to_number(v, version), to_text(v, version)
+    whole = F.when(n < 0, F.ceil(n)).otherwise(F.floor(n))
+    finite = n.isNotNull() & ~F.isnan(n) & (F.abs(n) != float("inf"))
+    ascii_ = x.rlike(r"^[\x00-\x7f]*$")
+    if op == "not":
+        t = truthy(v, version)
+        return F.when(t.isNotNull(), truth(~t, version))
+    if op == "int":
+        return F.when(finite, number(whole)).when(n.isNotNull(), number(n))
+    if op == "number":
+        return F.when(n.isNotNull(), number(n))
+    if op == "text":
+        return F.when(x.isNotNull(), string(x))
+    if op == "typeof":
+        return F.when(v.isNotNull(), string(v["type"]))
+    if op == "length":
+        return F.when(x.isNotNull() & ascii_, number(F.length(x)))
+    if op == "mblength":
+        return F.when(x.isNotNull(), number(F.length(x)))
+    if op == "ord":
+        return F.when(x.isNotNull() & (F.length(x) > 0) & ascii_, number(F.ascii(x)))
+    if op == "chr":
+        return F.when(finite & (whole > 0) & (whole < 128), string(F.char(whole.cast("long"))))
+    if op in ("increment", "decrement"):
+        return F.when(n.isNotNull(), number(n + (1 if op == "increment" else -1)))
+    raise ValueError(op)

@@ -103,3 +103,19 @@ def transformed_rect(a: Column, b: Column, c: Column, d: Column, tx: Column, ty:
 def segments(deviation: Column, tolerance: float) -> Column:
     """Line segments for a curve: the root of deviation over tolerance, between 2 and 8."""
     return F.least(F.lit(8), F.greatest(F.lit(2), F.ceil(F.sqrt(deviation / tolerance)))).cast("int")
+
+
+def srgb_to_linear(c: Column) -> Column:
+    """A channel in [0, 1] from the sRGB curve to linear light."""
+    return F.when(c <= 0.04045, c / 12.92).otherwise(F.pow((c + 0.055) / 1.055, F.lit(2.4)))
+
+
+def linear_to_srgb(c: Column) -> Column:
+    """The other way round."""
+    return F.when(c <= 0.0031308, c * 12.92).otherwise(1.055 * F.pow(c, F.lit(1 / 2.4)) - 0.055)
+
+
+def morph(a: Column, b: Column, ratio: Column) -> Column:
+    """A coordinate between two shapes at a ratio of 0 to 65535, rounded half to even and exact at both ends."""
+    t = ratio / 65535.0
+    return round_even(lerp(a.cast("double"), b.cast("double"), t))

@@ -116,3 +116,61 @@ def action_blocks(tags: DataFrame) -> DataFrame:
     code = F.col("code")
     body = F.when(code == _INIT, F.substring("body", 3, 1 << 30)).otherwise(F.col("body"))
     return tags.where(code.isin(_ACTION, _INIT)).select(own.alias("block_id"), body.alias("bytes"), "version")
+
+
+def residual_blobs(tags: DataFrame, requests: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Byte ranges cut out of tag bodies, and the requests that can't be served.
+
+    `requests` has `path`, `index` (of the tag), `subject`, `start`, `length` and `registers`. A request is invalid if its tag
+    is missing, its range leaves the body, or it names more than 256 registers; the first valid one of a subject holds.
+    """
+    r = requests.join(tags.select("path", "index", "body", F.lit(True).alias("there")), ["path", "index"], "left")
+    start, size = F.col("start"), F.col("length")
+    why = (
+        F.when(F.col("there").isNull(), "no tag").when((start < 0) | (size < 0) | (start + size > F.length("body")), "outside the body").when(F.col("registers") > 256, "registers")
+    )
+    r = r.withColumn("why", why)
+    good = ordered.occurrence(r.where("why is null"), ["path", "subject"], ["index", "start", "length"], "nth").where("nth = 1")
+    blob = F.substring(F.col("body"), start + 1, size)
+    good = good.select("path", "subject", "index", "start", "length", "registers", blob.alias("bytes"), F.sha2(blob, 256).alias("sha256"))
+    return good, r.where("why is not null").select("path", "subject", "index", "start", "length", "why")
+
+
+def hit_areas(records: DataFrame, bounds: DataFrame) -> DataFrame:
+    """The rectangle of each button: around its children's transformed bounds, from the records for hit tests, or where it has
+    none from those for its up state.
+
+    `records` has `button`, `state` ('up', 'hitTest', ...), `character` and a matrix a, b, c, d, tx, ty; `bounds` has `character`, x0, y0, x1,
+    y1. Singular matrices and empty bounds are left out.
+    """
+    from sparkloom.functions.scalars import transformed_rect
+
+    r = records.where(F.col("state").isin("hitTest", "up")).join(bounds, "character")
+    r = r.where("a * d - b * c <> 0 and x0 < x1 and y0 < y1")
+    box = transformed_rect(*[F.col(c) for c in ("a", "b", "c", "d", "tx", "ty")], tuple(F.col(c) for c in ("x0", "y0", "x1", "y1")))
+    r = r.select("button", "state", *[b.alias(f"n{i}") for i, b in enumerate(box)])
+    area = r.groupBy("button", "state").agg(F.min("n0").alias("x0"), F.min("n1").alias("y0"), F.max("n2").alias("x1"), F.max("n3").alias("y1"))
+    first = F.min_by(F.struct("x0", "y0", "x1", "y1"), F.when(F.col("state") == "hitTest", 0).otherwise(1)).alias("box")
+    return area.groupBy("button").agg(first).select("button", "box.*")
+
+
+def model_dump(decoded: DataFrame) -> DataFrame:
+    """One JSON text per file with its tags in order and their fields, equal for equal files."""
+    t = F.struct("index", "code", "name", "sprite", F.col("fields").alias("fields"))
+    d = decoded.groupBy("path").agg(F.array_sort(F.collect_list(t)).alias("tags"))
+    each = F.transform("tags", lambda x: F.concat(F.lit('{"code":'), x["code"], F.lit(',"name":"'), F.coalesce(x["name"], F.lit("")), F.lit('","sprite":'), F.coalesce(x["sprite"].cast("string"), F.lit("null")), F.lit(',"fields":'), x["fields"], F.lit("}")))
+    return d.select("path", F.concat(F.lit('{"schemaVersion":1,"tags":['), F.array_join(each, ","), F.lit("]}")).alias("dump"))
+
+
+#: A static scene as JSON.
+SCENE = "schemaVersion int, width int, height int, frames array<struct<items: array<struct<shape: int, depth: int, matrix: array<double>, clipDepth: int>>>>"
+
+
+def read_scenes(texts: DataFrame, column: str = "scene") -> DataFrame:
+    """Scene texts as structs; a text that does not fit the schema fails the query."""
+    return texts.withColumn(column, F.from_json(column, SCENE, {"mode": "FAILFAST"}))
+
+
+def write_scenes(scenes: DataFrame, column: str = "scene") -> DataFrame:
+    """The other way round."""
+    return scenes.withColumn(column, F.to_json(column))

@@ -216,3 +216,34 @@ def fold_matrix(t: Tables) -> DataFrame:
         F.when(~F.isnan(mul), (mul * 100).cast("long")).alias("mul"), fold.bits("&", x, y)["num"].cast("long").alias("band"),
         (fold.less(x, y)["num"] != 0).alias("lt"), (fold.strict_equals(x, y)["num"] != 0).alias("same"),
     )
+
+
+@query(
+    f"""WITH l(n, k, v, x) AS (VALUES {_LIT_SQL}), p AS (SELECT n, k, {_NUM.format('')} AS num, {_TXT.format('')} AS txt,
+      CASE WHEN k IN ('number', 'boolean') THEN v <> 0 WHEN k = 'string' THEN x <> '' ELSE false END AS t FROM l)
+    SELECT n, NOT t AS negated, CASE WHEN isnan(num) THEN NULL ELSE CAST(trunc(num) AS BIGINT) END AS whole, txt AS text, k AS type, length(txt) AS size,
+      CASE WHEN isnan(num) THEN NULL ELSE CAST((num + 1) * 100 AS BIGINT) END AS more, ascii(txt) AS code FROM p"""
+)
+def fold_unary(t: Tables) -> DataFrame:
+    """Unary rules on every literal kind."""
+    lits = t.spark.createDataFrame([(n, k, v, x) for n, k, v, x in _LITERALS], "n string, type string, num double, str string")
+    v = F.struct("type", "num", "str")
+    lits = lits.select("n", v.alias("v"))
+    v = F.col("v")
+    whole, more = fold.unary("int", v)["num"], fold.unary("increment", v)["num"]
+    return lits.select(
+        "n", (fold.unary("not", v)["num"] != 0).alias("negated"), F.when(~F.isnan(whole), whole.cast("long")).alias("whole"), fold.unary("text", v)["str"].alias("text"),
+        fold.unary("typeof", v)["str"].alias("type"), fold.unary("length", v)["num"].cast("long").alias("size"),
+        F.when(~F.isnan(more), (more * 100).cast("long")).alias("more"), fold.unary("ord", v)["num"].cast("int").alias("code"),
+    )
+
+
+@query(
+    f"""SELECT event_id, round(CASE WHEN c <= 0.04045 THEN c / 12.92 ELSE pow((c + 0.055) / 1.055, 2.4) END, 9) AS linear,
+    CAST(round_even(CASE WHEN r = 0 THEN a WHEN r = 1 THEN b ELSE (1 - r) * a + r * b END, 0) AS BIGINT) AS morphed
+    FROM (SELECT event_id, event_id % 256 / 255.0 AS c, CAST(event_id % 800 - 400 AS DOUBLE) AS a, CAST(event_id % 640 AS DOUBLE) AS b, {_V} / 65535.0 AS r FROM events)"""
+)
+def light_and_morph(t: Tables) -> DataFrame:
+    """Channels in linear light, and coordinates between two shapes."""
+    i = F.col("event_id")
+    return raw(t).select("event_id", F.round(s.srgb_to_linear(i % 256 / 255.0), 9).alias("linear"), s.morph(i % 800 - 400, i % 640, F.col("v")).alias("morphed"))

@@ -158,3 +158,43 @@ def test_folding_edges(spark):
     assert one(folding.strict_equals(u, u))["num"] == 1.0 and one(folding.strict_equals(n(1.0), s("1")))["num"] == 0.0
     assert [one(folding.truthy(v)) for v in (n(0.0), n(2.0), s(""), s("0"), u)] == [False, True, False, True, False]
     assert Counter([one(folding.truthy(s("0"), version=5))]) == Counter([False])
+
+
+def test_stages(spark, tmp_path):
+    from sparkloom.plans.stages import Pass, Stage, conflicts, run_stages
+
+    ran = []
+
+    def read(state):
+        ran.append("read")
+        return {"rows": spark.range(6)}
+
+    def keep(state):
+        kept = state["rows"].where("id % 2 = 0")
+        return {"rows": kept}, state["rows"].select(F.lit("keep").alias("source"), F.col("id").cast("string").alias("subject"), (F.col("id") % 2).cast("string").alias("state"))
+
+    steps = [Stage("read", read, ("rows",), cached=True), Pass("keep", keep, ("rows",))]
+    cache = StageCache(spark, str(tmp_path))
+    for _ in range(2):
+        out = run_stages(steps, {}, cache=cache, inputs=["x"])
+        assert out["rows"].count() == 3 and out["decisions"].count() == 6
+    assert ran == ["read"] and conflicts(steps + steps) == ["rows"]
+    with pytest.raises(ValueError):
+        run_stages([Stage("a", lambda s: {"other": None}, ("rows",))], {})
+    with pytest.raises(InterruptedError):
+        run_stages(steps, {}, cancelled=lambda: True)
+
+
+def test_more_folding(spark):
+    def one(column):
+        return spark.range(1).select(column.alias("v")).first().v
+
+    n, s = (lambda x: folding.literal("number", x)), (lambda x: folding.literal("string", text=x))
+    null, undefined, yes = folding.literal("null"), folding.literal("undefined"), folding.literal("boolean", 1.0)
+    assert one(folding.loose_equals(null, undefined))["num"] == 1.0 and one(folding.loose_equals(null, n(0.0)))["num"] == 0.0
+    assert one(folding.loose_equals(s("12"), n(12.0)))["num"] == 1.0 and one(folding.equals(n(float("nan")), n(1.0))) is None
+    assert one(folding.logic("and", yes, n(0.0)))["num"] == 0.0 and one(folding.logic("or", yes, n(0.0)))["num"] == 1.0
+    assert one(folding.compare_text("lt", s("a"), s("b")))["num"] == 1.0 and one(folding.compare_text("gt", s("é"), s("b"))) is None
+    assert one(folding.concat_text(s("a"), yes))["str"] == "atrue" and one(folding.concat_text(s("a"), n(1.0))) is None
+    assert one(folding.unary("chr", n(65.9)))["str"] == "A" and one(folding.unary("int", n(-2.7)))["num"] == -2.0
+    assert one(folding.unary("mblength", s("éa")))["num"] == 2.0 and one(folding.unary("length", s("éa"))) is None

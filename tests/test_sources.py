@@ -245,3 +245,37 @@ def test_lossless_pictures():
     body = struct.pack("<HBHH", 1, 5, 1, 1) + zlib.compress(bytes([128, 64, 0, 128]))
     assert images.lossless(body, True).tolist() == [[[128, 0, 255, 128]]]
     assert images.png(np.zeros((2, 2, 4), np.uint8)).startswith(b"\x89PNG")
+
+
+def test_blobs_dumps_scenes_and_hit_areas(spark, tmp_path):
+    (tmp_path / "a.swf").write_bytes(movie(tag(12, b"\x06\x07\x00") + square(1) + SHOW + END))
+    tags = container.tag_table(container.read_files(spark, str(tmp_path)))
+    path = tags.first().path
+    wants = [(path, 0, "s", 1, 2, 3), (path, 0, "s", 0, 1, 3), (path, 0, "t", 2, 5, 3), (path, 9, "u", 0, 1, 3), (path, 0, "v", 0, 1, 257)]
+    good, bad = movies.residual_blobs(tags, spark.createDataFrame(wants, "path string, index int, subject string, start int, length int, registers int"))
+    assert [(r.subject, bytes(r.bytes)) for r in good.collect()] == [("s", b"\x06")]
+    assert {r.subject: r.why for r in bad.collect()} == {"t": "outside the body", "u": "no tag", "v": "registers"}
+    dump = json.loads(movies.model_dump(tagdata.decoded(tags)).first().dump)
+    assert [t["code"] for t in dump["tags"]] == [12, 2, 1, 0] and dump["tags"][1]["fields"]["character"] == 1
+    scene = '{"schemaVersion":1,"width":5,"height":6,"frames":[{"items":[{"shape":1,"depth":2,"matrix":[1.0,0.0]}]}]}'
+    texts = spark.createDataFrame([(scene,)], "scene string")
+    assert movies.write_scenes(movies.read_scenes(texts)).first().scene == scene
+    with pytest.raises(Exception):
+        movies.read_scenes(spark.createDataFrame([("{broken",)], "scene string")).collect()
+    records = spark.createDataFrame([(1, "up", 5, 1, 0, 0, 1, 0, 0), (1, "hitTest", 5, 2, 0, 0, 2, 10, 0), (2, "up", 5, 0, 0, 0, 0, 0, 0), (3, "up", 5, 0, 1, -1, 0, 0, 0)], "button int, state string, character int, a int, b int, c int, d int, tx int, ty int")
+    area = movies.hit_areas(records, spark.createDataFrame([(5, 0, 0, 4, 6)], "character int, x0 int, y0 int, x1 int, y1 int"))
+    assert sorted(tuple(r) for r in area.collect()) == [(1, 10, 0, 18, 12), (3, -6, 0, 0, 4)]
+
+
+def test_command_line(spark, tmp_path, capsys):
+    from sparkloom.__main__ import main
+
+    (tmp_path / "in").mkdir()
+    (tmp_path / "in" / "a.swf").write_bytes(movie(square(1) + SHOW + END))
+    (tmp_path / "in" / "b.swf").write_bytes(b"junk")
+    for verb in ("files", "tags", "notes", "frames", "display", "dump", "actions"):
+        assert main([verb, str(tmp_path / "in")], spark) == 0
+    assert main(["tags", str(tmp_path / "in"), "--out", str(tmp_path / "out"), "--fail-on-error"], spark) == 4
+    assert spark.read.parquet(str(tmp_path / "out")).count() == 3
+    (tmp_path / "in" / "a.swf").unlink()
+    assert main(["files", str(tmp_path / "in")], spark) == 2
