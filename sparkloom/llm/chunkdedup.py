@@ -11,6 +11,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from sparkloom.llm.common import prepare, stored, text_blocks
@@ -128,19 +129,23 @@ def dedup_chunks(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "te
     other columns are not read.
     """
     found = repeated_chunks(docs, id_col=id_col, text_col=text_col).distinct()
-    runs = found.groupBy("doc_id", "tk").agg(F.array_sort(F.collect_list(F.struct("start", "end", "first"))).alias("c"))
-    joined = (
-        "aggregate({0}, CAST(array() AS array<struct<start: int, end: int>>), (r, x) -> "
-        "IF(size(r) > 0 AND element_at(r, -1).end = x.start, concat(slice(r, 1, size(r) - 1), array(struct(element_at(r, -1).start AS start, x.end AS end))), "
-        "concat(r, array(struct(x.start AS start, x.end AS end)))))"
-    )
-    long_ = f"filter({joined}, r -> r.end - r.start >= {run_bytes})"
-    runs = runs.select(
-        F.col("doc_id").alias("r_id"), F.col("tk").alias("r_tk"),
-        F.expr(long_.format("c")).alias("repeated"), F.expr(long_.format("filter(c, x -> NOT x.first)")).alias("removed"),
-    )
+
+    def runs(chunks: DataFrame, name: str) -> DataFrame:
+        """Stretches of chunks that follow each other without a gap, gathered per text; a text's chunks stream by in order."""
+        text = ["doc_id", "tk"]
+        in_order = W.partitionBy(*text).orderBy("start")
+        new = F.coalesce(F.lag("end").over(in_order) != F.col("start"), F.lit(True)).cast("int")
+        run = F.sum("new").over(in_order.rowsBetween(W.unboundedPreceding, 0))
+        each = chunks.withColumn("new", new).withColumn("run", run).groupBy(*text, "run").agg(F.min("start").alias("start"), F.max("end").alias("end"))
+        each = each.where(F.col("end") - F.col("start") >= run_bytes)
+        return each.groupBy(*text).agg(F.array_sort(F.collect_list(F.struct("start", "end"))).alias(name))
+
+    repeated, removed = runs(found, "repeated"), runs(found.where("not first"), "removed")
+    same = F.col("doc_id").eqNullSafe(F.col("o_id")) & (F.col("tk") == F.col("o_tk"))
+    removed = removed.select(F.col("doc_id").alias("o_id"), F.col("tk").alias("o_tk"), "removed")
+    runs_ = repeated.join(removed, same, "left").select(F.col("doc_id").alias("r_id"), F.col("tk").alias("r_tk"), "repeated", "removed")
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.xxhash64(text_col).alias("tk"), F.coalesce(F.octet_length(text_col), F.lit(0)).cast("long").alias("n_bytes"))
-    out = rows.join(runs, rows.doc_id.eqNullSafe(runs.r_id) & (rows.tk == runs.r_tk), "left")
+    out = rows.join(runs_, rows.doc_id.eqNullSafe(runs_.r_id) & (rows.tk == runs_.r_tk), "left")
     none = F.expr("CAST(array() AS array<struct<start: int, end: int>>)")
     length = "aggregate({0}, 0L, (t, r) -> t + r.end - r.start)"
     out = out.withColumn("repeated", F.coalesce("repeated", none)).withColumn("removed", F.coalesce("removed", none))
