@@ -198,3 +198,19 @@ def test_more_folding(spark):
     assert one(folding.concat_text(s("a"), yes))["str"] == "atrue" and one(folding.concat_text(s("a"), n(1.0))) is None
     assert one(folding.unary("chr", n(65.9)))["str"] == "A" and one(folding.unary("int", n(-2.7)))["num"] == -2.0
     assert one(folding.unary("mblength", s("éa")))["num"] == 2.0 and one(folding.unary("length", s("éa"))) is None
+
+
+def test_strokes():
+    def covered(polygons):
+        return sum(map(sum, geometry.coverage(polygons, 60, 60, nonzero=True, rows=8)))
+
+    line, corner = [(10, 30), (50, 30)], [(10, 10), (50, 10), (50, 50)]
+    assert covered(geometry.stroke(line, 4, cap="none")) == pytest.approx(160)
+    assert covered(geometry.stroke(line, 4, cap="square")) == pytest.approx(176)
+    assert covered(geometry.stroke(line, 4, cap="round")) == pytest.approx(160 + 3.1416 * 4, abs=0.6)
+    assert covered(geometry.stroke(corner, 4, cap="none", join="bevel")) == pytest.approx(160 + 160 - 4 + 2, abs=0.3)
+    assert covered(geometry.stroke(corner, 4, cap="none", join="miter")) == pytest.approx(160 + 160 - 4 + 4, abs=0.3)
+    assert covered(geometry.stroke(corner, 4, cap="none", join="miter", miter=1.0)) == pytest.approx(318, abs=0.3)
+    square = [(10, 10), (50, 10), (50, 50), (10, 50), (10, 10)]
+    assert covered(geometry.stroke(square, 2, join="miter", closed=True)) == pytest.approx(42**2 - 38**2, abs=0.3)
+    assert geometry.stroke([(5, 5)], 2, cap="none") == [] and covered(geometry.stroke([(5, 5), (5, 5)], 2, cap="square")) == pytest.approx(4)
