@@ -70,20 +70,54 @@ def reachable(roots: DataFrame, edges: DataFrame, *, node: str = "node", src: st
     return seen
 
 
-def reachable_keys(roots: DataFrame, edges: DataFrame) -> DataFrame:
-    """The nodes alone, of any type."""
-    return reachable(roots, edges).select("node")
+def closure(roots: DataFrame, edges: DataFrame, *, hops: int = 4) -> DataFrame:
+    """The nodes reachable from `roots`, of any type, without depths.
+
+    Edges are first squared up to `hops` times, as long as that makes no more than four times as many, so that one round
+    takes many steps on graphs of long chains.
+    """
+    put = _rounds(roots.sparkSession)
+    edges = cut(edges.select("src", "dst").distinct())
+    most = 4 * edges.count()
+    for _ in range(hops):
+        next_ = edges.select("src", F.col("dst").alias("mid")).join(edges.select(F.col("src").alias("mid"), "dst"), "mid").select("src", "dst")
+        squared = cut(edges.unionByName(next_).distinct())
+        if squared.count() > most:
+            break
+        edges = squared
+    frontier, seen = put(roots.select(F.col("node").cast(edges.schema["src"].dataType).alias("node")).distinct())
+    while not frontier.isEmpty():
+        step = frontier.join(edges, frontier.node == edges.src).select(F.col("dst").alias("node")).distinct()
+        frontier, seen = put(step.join(seen, "node", "left_anti"))
+    return seen
 
 
 def alias_chain(links: DataFrame, *, name: str = "name", target: str = "target", final: str = "final", limit: int = 32) -> DataFrame:
     """Follows name -> target until a name is `final` (a flag), unknown or seen before: `state` resolved, missing or cycle.
 
-    Chains are followed all at once, one join per step, each open chain carrying its path; `limit` bounds the steps, and
-    a chain that is still open then counts as a cycle.
+    All chains jump at once and double their reach every round, which settles those that end. What is still open then is
+    cyclic, or longer than `limit`; these are followed step by step with their path, and a chain that is open after
+    `limit` steps counts as a cycle.
     """
-    put = _rounds(links.sparkSession)
     known = cut(links.select(F.col(name).alias("n"), F.col(target).alias("t"), F.col(final).alias("f")))
-    open_ = known.select(F.col("n").alias("name"), F.col("n").alias("at"), F.array("n").alias("path"))
+    ends = known.select(F.col("n").alias("t"), F.lit(True).alias("there"))
+    jumps = known.join(ends, "t", "left").select(
+        F.col("n").alias("name"), F.when(F.col("f"), F.col("n")).otherwise(F.col("t")).alias("end"), F.when(F.col("f"), 0).otherwise(1).cast("long").alias("steps"),
+        F.when(F.col("f"), "resolved").when(F.col("there").isNull(), "missing").alias("state"),
+    )
+    jumps = cut(jumps)
+    for _ in range(limit.bit_length()):
+        if jumps.where("state is null").isEmpty():
+            break
+        far = jumps.select(F.col("name").alias("end"), F.col("end").alias("far"), F.col("steps").alias("more"), F.col("state").alias("then"))
+        open_ = jumps.where("state is null").drop("state").join(far, "end").select("name", F.col("far").alias("end"), (F.col("steps") + F.col("more")).alias("steps"), F.col("then").alias("state"))
+        jumps = cut(jumps.where("state is not null").unionByName(open_))
+    settled = jumps.where((F.col("state").isNotNull()) & (F.col("steps") <= limit)).select("name", "state", "end", "steps")
+    rest = jumps.where(F.col("state").isNull() | (F.col("steps") > limit)).select("name")
+    if rest.isEmpty():
+        return settled
+    put = _rounds(links.sparkSession)
+    open_ = rest.select("name", F.col("name").alias("at"), F.array("name").alias("path"))
     for step in range(limit + 1):
         at = open_.join(known, open_.at == known.n, "left")
         state = F.when(F.col("n").isNull(), "missing").when(F.col("f"), "resolved").when(F.array_contains("path", F.col("t")), "cycle")
@@ -92,7 +126,8 @@ def alias_chain(links: DataFrame, *, name: str = "name", target: str = "target",
         if open_.isEmpty():
             break
         open_ = open_.select("name", F.col("t").alias("at"), F.concat("path", F.array("t")).alias("path"))
-    return every.where("state is not null").select("name", "state", F.col("at").alias("end"), (F.size("path") - 1).cast("long").alias("steps"))
+    cyclic = every.where("state is not null").select("name", "state", F.col("at").alias("end"), (F.size("path") - 1).cast("long").alias("steps"))
+    return settled.unionByName(cyclic)
 
 
 def flatten_tree(roots: DataFrame, edges: DataFrame, *, limit: int = 32) -> DataFrame:

@@ -104,7 +104,7 @@ def live_characters(decoded: DataFrame) -> DataFrame:
     roots = refs.select("path").distinct().select("path", F.lit(0).alias("src"))
     roots = roots.unionByName(exports(decoded).select("path", F.col("character").alias("src")))
     roots = roots.unionByName(decoded.where("code = 15").select("path", field("sound").alias("src"))).select(F.to_json(key).alias("node"))
-    seen = graphs.reachable_keys(roots, edges)
+    seen = graphs.closure(roots, edges)
     d = dictionary(decoded)
     own = F.to_json(F.struct("path", F.col("id").alias("src")))
     return d.withColumn("node", own).join(seen.withColumn("live", F.lit(True)), "node", "left").withColumn("live", F.coalesce("live", F.lit(False))).drop("node")

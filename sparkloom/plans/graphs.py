@@ -28,7 +28,7 @@ def roots(t: Tables) -> DataFrame:
 @query(f"{_CLOSURE} SELECT node FROM c")
 def reachability(t: Tables) -> DataFrame:
     """Everything reachable from the roots, through cycles."""
-    return g.reachable(roots(t), edges(t)).select("node")
+    return g.closure(roots(t), edges(t))
 
 
 @query(
@@ -37,7 +37,7 @@ def reachability(t: Tables) -> DataFrame:
 )
 def prune_verdict(t: Tables) -> DataFrame:
     """What may go: nothing, if any reachable node was read incompletely."""
-    seen = g.reachable(roots(t), edges(t)).select("node", F.lit(True).alias("seen"))
+    seen = g.closure(roots(t), edges(t)).select("node", F.lit(True).alias("seen"))
     p = t.part.select(F.col("p_partkey").alias("node"), "p_size").join(seen, "node", "left")
     gate = p.where("seen").agg(F.coalesce(F.bool_or(F.col("p_size") == 50), F.lit(False)).alias("incomplete"))
     return p.crossJoin(F.broadcast(gate)).select("node", F.when(F.col("seen"), "reachable").when(F.col("incomplete"), "kept").otherwise("prunable").alias("verdict"))
@@ -67,7 +67,7 @@ def flow_edges(t: Tables) -> DataFrame:
 def cfg_reachability(t: Tables) -> DataFrame:
     """Blocks that control flow can reach; the others stay, flagged."""
     entry = t.events.where("event_id < 5").select(F.col("event_id").alias("node"))
-    seen = g.reachable(entry, flow_edges(t)).select("node", F.lit(True).alias("seen"))
+    seen = g.closure(entry, flow_edges(t)).select("node", F.lit(True).alias("seen"))
     return t.events.select(F.col("event_id").alias("node")).join(seen, "node", "left").select("node", F.coalesce("seen", F.lit(False)).alias("reachable"))
 
 

@@ -76,6 +76,9 @@ def test_reachability_with_cycles(spark, seed):
         depth |= dict.fromkeys(frontier, 1 + max(depth.values()))
     got = graphs.reachable(spark.createDataFrame([(0,), (7,)], "node long"), spark.createDataFrame(edges, "src long, dst long"))
     assert {r.node: r.depth for r in got.collect()} == depth
+    chain = spark.createDataFrame([(i, i + 1) for i in range(40)] + edges, "src long, dst long")
+    every = graphs.closure(spark.createDataFrame([(0,)], "node long"), chain)
+    assert sorted(r.node for r in every.collect()) == list(range(41))
 
 
 def worklist(entry, edges):
@@ -108,7 +111,10 @@ def test_alias_chain_states(spark):
     links = spark.createDataFrame([("a", "b", False), ("b", "c", False), ("c", None, True), ("x", "y", False), ("y", "x", False), ("m", "gone", False)], "name string, target string, final boolean")
     got = {r.name: (r.state, r.end, r.steps) for r in graphs.alias_chain(links).collect()}
     assert got["a"] == ("resolved", "c", 2) and got["c"] == ("resolved", "c", 0)
-    assert got["x"][0] == got["y"][0] == "cycle" and got["m"][0] == "missing"
+    assert got["x"] == ("cycle", "y", 1) and got["y"] == ("cycle", "x", 1) and got["m"] == ("missing", "gone", 1)
+    long = spark.createDataFrame([(str(i), str(i + 1), i == 50) for i in range(51)], "name string, target string, final boolean")
+    got = {r.name: (r.state, r.steps) for r in graphs.alias_chain(long, limit=32).collect()}
+    assert got["18"] == ("resolved", 32) and got["50"] == ("resolved", 0) and got["17"] == ("cycle", 32) and got["0"] == ("cycle", 32)
 
 
 def test_boxes_that_touch_do_not_overlap(spark):
