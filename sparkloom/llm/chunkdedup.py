@@ -14,7 +14,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from sparkloom.llm.common import prepare, stored, text_blocks
+from sparkloom.llm.common import BLOCK_BYTES, prepare, stored, text_blocks
 from sparkloom.llm.hashing import Fingerprints, byte_table, mix64
 
 #: Bits of the gear hash that must be zero at a candidate for a boundary (one in 2**4 bytes on average).
@@ -28,17 +28,9 @@ RUN_BYTES = 128
 _GEAR = byte_table(0x6EA2)
 
 
-def chunk_starts(data: np.ndarray, offsets: np.ndarray) -> np.ndarray:
-    """Sorted starts of all chunks of a block of texts.
-
-    The gear hash h = 2 h + gear[byte] is a sum of shifted table entries, so its bit WINDOW - 1 is decided by the last
-    WINDOW bytes; the tested bits are the topmost ones of those. A candidate becomes a boundary if none within RADIUS
-    bytes has a smaller hash: that, too, is decided locally, and periodic text is cut at its period. Chunks over MOST
-    bytes are cut evenly from their start on.
-    """
+def _boundaries(data: np.ndarray, texts: np.ndarray) -> np.ndarray:
+    """Places that the hash makes chunk starts; `texts` are the starts of texts, where none lie."""
     n = len(data)
-    if not n:
-        return np.zeros(0, np.int64)
     hash_ = np.zeros(n, np.uint64)
     gear = _GEAR[data]
     for k in range(min(WINDOW, n)):
@@ -47,7 +39,6 @@ def chunk_starts(data: np.ndarray, offsets: np.ndarray) -> np.ndarray:
     none = np.uint32(0xFFFFFFFF)
     rank = np.where((hash_ >> np.uint64(WINDOW - MASK_BITS)) == 0, (mix64(hash_) >> np.uint64(33)).astype(np.uint32), none)
     # Hashes that reach over a text's start are no candidates.
-    texts = np.unique(offsets[:-1][np.diff(offsets) > 0])
     early = texts[:, None] + np.arange(WINDOW - 1)
     rank[early[early < n]] = none
     around = np.concatenate((np.full(RADIUS, none), rank, np.full(RADIUS, none)))
@@ -56,7 +47,31 @@ def chunk_starts(data: np.ndarray, offsets: np.ndarray) -> np.ndarray:
         step = min(have, 2 * RADIUS + 1 - have)
         around = np.minimum(around[:-step], around[step:])
         have += step
-    hit = np.flatnonzero((rank != none) & (rank == around)) + 1  # a chunk starts after the byte that completes the hash
+    return np.flatnonzero((rank != none) & (rank == around)) + 1  # a chunk starts after the byte that completes the hash
+
+
+def chunk_starts(data: np.ndarray, offsets: np.ndarray, piece: int = 4 * BLOCK_BYTES) -> np.ndarray:
+    """Sorted starts of all chunks of a block of texts.
+
+    The gear hash h = 2 h + gear[byte] is a sum of shifted table entries, so its bit WINDOW - 1 is decided by the last
+    WINDOW bytes; the tested bits are the topmost ones of those. A candidate becomes a boundary if none within RADIUS
+    bytes has a smaller hash: that, too, is decided locally, and periodic text is cut at its period. Chunks over MOST
+    bytes are cut evenly from their start on.
+    """
+    n = len(data)
+    if not n:
+        return np.zeros(0, np.int64)
+    texts = np.unique(offsets[:-1][np.diff(offsets) > 0])
+    if n > piece and len(texts) == 1:
+        # A long text by pieces, each with the bytes around it that its boundaries depend on.
+        around, hits, none = WINDOW + 2 * RADIUS, [], np.zeros(0, np.int64)
+        for at in range(0, n, piece):
+            first = max(0, at - around)
+            own = _boundaries(data[first : at + piece + around], texts if not first else none) + first
+            hits.append(own[(own > at) & (own <= at + piece)])
+        hit = np.concatenate(hits)
+    else:
+        hit = _boundaries(data, texts)
     hit = hit[hit < n]
     starts = np.union1d(texts, hit)
     length = np.diff(np.concatenate((starts, [n])))
@@ -73,11 +88,18 @@ def _chunks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             if not len(start):
                 continue
             end = np.concatenate((start[1:], [len(data)]))
-            fp = Fingerprints(data)
-            low = fp(start, end)
-            # A second digest from the chunk's other end and its halves makes 128 bits.
-            mid = (start + end) // 2
-            high = mix64(fp(start, mid) * np.uint64(0xC2B2AE3D27D4EB4F) + fp(mid, end))
+            low, high = np.empty(len(start), np.uint64), np.empty(len(start), np.uint64)
+            cuts = np.searchsorted(start, np.arange(0, len(data) + 4 * BLOCK_BYTES, 4 * BLOCK_BYTES))
+            for a, b in zip(cuts[:-1].tolist(), cuts[1:].tolist(), strict=True):
+                if a == b:
+                    continue
+                base = start[a]
+                fp = Fingerprints(data[base : end[b - 1]])
+                s, e = start[a:b] - base, end[a:b] - base
+                mid = (s + e) // 2
+                low[a:b] = fp(s, e)
+                # A second digest from the chunk's halves makes 128 bits.
+                high[a:b] = mix64(fp(s, mid) * np.uint64(0xC2B2AE3D27D4EB4F) + fp(mid, e))
             row = np.searchsorted(offsets, start, "right") - 1
             yield pa.RecordBatch.from_arrays(
                 [

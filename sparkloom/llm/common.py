@@ -16,7 +16,8 @@ from pyspark.sql import DataFrame, SparkSession
 
 #: Rows in one Arrow batch. Texts are long, so Spark's default of 10,000 rows could make batches of a gigabyte.
 ROWS_PER_BATCH = "1000"
-#: Bytes of text handled at once in numpy; the working arrays take about 80 bytes for each of them.
+#: Bytes of text handled at once in numpy; the working arrays take about 80 bytes for each of them. A longer text is
+#: handled piece by piece where its pieces can be told apart.
 BLOCK_BYTES = 1 << 20
 
 

@@ -27,7 +27,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from sparkloom.llm.common import prepare, stored, text_blocks
+from sparkloom.llm.common import BLOCK_BYTES, prepare, stored, text_blocks
 from sparkloom.llm.hashing import Fingerprints, mix64
 
 #: Bytes of the rolling hash that picks triggers, and its least distance from either end of a window.
@@ -40,9 +40,20 @@ ARRAY_BYTES = 1 << 20
 _DUP, _COPY, _SINGLE, _HOT_COPY, _HOT_SINGLE = 1, 2, 3, 4, 5
 
 
-def parse(data: np.ndarray, offsets: np.ndarray, width: int) -> dict[str, np.ndarray]:
-    """Phrases of a block of texts: row, first and last window start in the text, trigger key and phrase digest."""
+def parse(data: np.ndarray, offsets: np.ndarray, width: int, piece: int = 4 * BLOCK_BYTES) -> dict[str, np.ndarray]:
+    """Phrases of a block of texts: row, first and last window start in the text, trigger key and phrase digest.
+
+    A single text longer than `piece` is cut into pieces by window starts. A phrase that a cut parts has digests of its
+    own, but its windows keep their trigger and so their key, within which they are compared in any case.
+    """
     n = len(data)
+    if len(offsets) == 2 and n > piece + width:
+        parts = []
+        for at in range(0, n - width + 1, piece):
+            part = data[at : at + piece + width - 1]
+            parts.append(parse(part, np.array([0, len(part)]), width, n))
+            parts[-1]["lo"], parts[-1]["hi"] = parts[-1]["lo"] + at, parts[-1]["hi"] + at
+        return {k: np.concatenate([p[k] for p in parts]) for k in parts[0]}
     starts = np.zeros(n + 1, np.int32)
     long_ = np.diff(offsets) >= width
     np.add.at(starts, offsets[:-1][long_], 1)

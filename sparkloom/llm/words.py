@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import numpy as np
 
+from sparkloom.llm.common import BLOCK_BYTES
 from sparkloom.llm.hashing import Fingerprints, mix64
 
 #: Words are runs of bytes other than the space and the five control characters 9 to 13.
@@ -35,15 +36,36 @@ def word_spans(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.nd
     return starts, np.flatnonzero(end) + 1, counts
 
 
-def shingle_sets(data: np.ndarray, offsets: np.ndarray, size: int) -> list[np.ndarray]:
+def _word_hashes(data: np.ndarray, offsets: np.ndarray, piece: int) -> tuple[np.ndarray, np.ndarray]:
+    """Hashes of all words, with A-Z lower-cased, and the number of words of each row.
+
+    A single text longer than `piece` is cut at blanks, as far as it has any.
+    """
+    if len(offsets) == 2 and len(data) > piece:
+        parts, total, at = [], 0, 0
+        while at < len(data):
+            end = min(len(data), at + piece)
+            if end < len(data):
+                blank = np.flatnonzero(_SPACE[data[at:end]])
+                after = np.flatnonzero(_SPACE[data[end:]]) if not len(blank) else blank
+                end = at + int(blank[-1]) + 1 if len(blank) else end + int(after[0]) + 1 if len(after) else len(data)
+            words, count = _word_hashes(data[at:end], np.array([0, end - at]), len(data))
+            parts.append(words)
+            total += int(count[0])
+            at = end
+        return np.concatenate(parts), np.array([total])
+    starts, ends, counts = word_spans(data, offsets)
+    return (Fingerprints(_LOWER[data])(starts, ends) if len(starts) else np.zeros(0, np.uint64)), counts
+
+
+def shingle_sets(data: np.ndarray, offsets: np.ndarray, size: int, piece: int = 4 * BLOCK_BYTES) -> list[np.ndarray]:
     """For each row the sorted distinct 64-bit hashes of its shingles of `size` words, with A-Z lower-cased.
 
     A row with fewer words has one shingle, its whole sequence; a row without words has none.
     """
-    starts, ends, counts = word_spans(data, offsets)
-    if not len(starts):
+    word, counts = _word_hashes(data, offsets, piece)
+    if not len(word):
         return [np.zeros(0, np.uint64)] * (len(offsets) - 1)
-    word = Fingerprints(_LOWER[data])(starts, ends)
     factor = mix64(np.arange(1, size + 1, dtype=np.uint64)) | np.uint64(1)
     total = len(word) - size + 1
     if total > 0:

@@ -218,3 +218,30 @@ def test_chunk_dedup_finds_planted_passages(spark):
     for r in got.values():
         assert r.n_bytes == len((texts[r.doc_id] or "").encode())
         assert all(0 <= a.start < a.end <= r.n_bytes for a in r.repeated)
+
+
+def test_long_texts_by_pieces():
+    """A long text handled piece by piece gives what it gives at once."""
+    rnd = random.Random(12)
+    raw = bytes(rnd.choice(b"abcdefg hij\n") for _ in range(9000)) + b"x" * 3000 + b" word" * 900
+    data, offsets = np.frombuffer(raw, np.uint8), np.array([0, len(raw)])
+    whole = shingle_sets(data, offsets, 4)[0]
+    assert shingle_sets(data, offsets, 4, 500)[0].tolist() == whole.tolist()
+    assert chunkdedup.chunk_starts(data, offsets, 700).tolist() == chunkdedup.chunk_starts(data, offsets).tolist()
+    windows = []
+    for piece in (800, 1 << 20):
+        p = suffixdedup.parse(data, offsets, 200, piece)
+        windows.append({w: k for lo, hi, k in zip(p["lo"].tolist(), p["hi"].tolist(), p["k"].tolist()) for w in range(lo, hi + 1)})
+    assert windows[0] == windows[1] and len(windows[0]) == len(raw) - 199
+
+
+def test_very_long_documents(spark):
+    rnd = random.Random(13)
+    base = " ".join("w%d" % rnd.randrange(5000) for _ in range(900_000))
+    texts = [base, "z" * 200 + base + " end", "short text of a few words"]
+    got = {r.doc_id: r for r in suffixdedup.remove_repeats(frame(spark, texts)).collect()}
+    assert (got[0].n_removed, got[1].n_removed, got[2].n_removed) == (len(base), len(base), 0)
+    near = {r.doc_id: r.component_id for r in neardup.near_duplicates(frame(spark, texts)).collect()}
+    assert near == {0: 0, 1: 0, 2: 2}
+    chunks = {r.doc_id: r for r in chunkdedup.dedup_chunks(frame(spark, texts)).collect()}
+    assert chunks[0].n_repeated > len(base) - 600 and chunks[2].n_repeated == 0
