@@ -277,7 +277,8 @@ def near_duplicates(
         """Key rows of buckets that still hold more than one component, with the bucket's hub."""
         hub = F.min(F.struct("node", "n", "label")).alias("hub")
         open_ = rows_.groupBy("key").agg(F.min("label").alias("lo"), F.max("label").alias("hi"), hub)
-        return rows_.join(open_.where("lo <> hi").select("key", "hub"), "key")
+        # As a table of its own, so that the join can split a bucket that very many share.
+        return rows_.join(stored(open_.where("lo <> hi").select("key", "hub"), "open"), "key")
 
     labels = None
     for start, stop in ((0, 3), (3, 8)):
