@@ -190,7 +190,7 @@ def _secret(m: re.Match, p: Permute) -> str | None:
 
 #: Kinds in order of precedence: name, pattern, and the function that tests a match and writes its pseudonym.
 KINDS: tuple[tuple[str, re.Pattern, Callable[[re.Match, Permute], str | None]], ...] = (
-    ("secret", re.compile(r"\b(?P<aws>(?:AKIA|ASIA)[0-9A-Z]{16})\b|\b(?i:password|passwd|pwd|secret|token|api[_-]?key)\b[\"']?\s{0,3}[=:]\s{0,3}[\"']?(?P<value>[\w+/.\-]{8,}=*)"), _secret),
+    ("secret", re.compile(r"\b(?P<aws>(?:AKIA|ASIA)[0-9A-Z]{16}|(?:ghp_|gho_|sk-|xox[abp]-)[0-9A-Za-z-]{16,})\b|\b(?i:password|passwd|pwd|secret|token|api[_-]?key)\b[\"']?\s{0,3}[=:]\s{0,3}[\"']?(?P<value>[\w+/.\-]{8,}=*)"), _secret),
     ("email", re.compile(r"(?<![\w.+%-])[\w.+%-]{1,64}@(?:[A-Za-z0-9-]{1,63}\.){1,8}[A-Za-z]{2,24}(?![\w-])"), _email),
     ("iban", re.compile(r"\b[A-Z]{2}\d{2}(?: ?[0-9A-Z]{4}){2,7}(?: ?[0-9A-Z]{1,3})?\b"), _iban),
     ("ip", re.compile(r"(?<![\w.])\d{1,3}(?:\.\d{1,3}){3}(?![\w]|\.\d)"), _ip),
@@ -208,7 +208,7 @@ KINDS: tuple[tuple[str, re.Pattern, Callable[[re.Match, Permute], str | None]],
     ("card", re.compile(r"(?<![\w.-])(?:\d{13,19}|\d{4}(?P<s>[ -])\d{4}(?P=s)\d{4}(?P=s)\d{1,7}|\d{4}(?P<t>[ -])\d{6}(?P=t)\d{5})(?![\w]|\.\d)"), _card),
 )
 #: No kind matches without one of these.
-_HINT = re.compile(r"[0-9@]|(?i:passw|pwd|secret|token|api)")
+_HINT = re.compile(r"[0-9@]|(?i:passw|pwd|secret|token|api)|gh[po]_|sk-|xox")
 
 
 def pseudonymise(text: str, key: bytes = KEY) -> tuple[str, list[str]]:
