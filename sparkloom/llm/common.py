@@ -14,6 +14,8 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 
+from sparkloom.operators.graphs import scratch_dir
+
 #: Rows in one Arrow batch. Texts are long, so Spark's default of 10,000 rows could make batches of a gigabyte.
 ROWS_PER_BATCH = "1000"
 #: Bytes of text handled at once in numpy; the working arrays take about 80 bytes for each of them. A longer text is
@@ -21,16 +23,6 @@ ROWS_PER_BATCH = "1000"
 BLOCK_BYTES = 1 << 20
 
 
-def scratch_dir(spark: SparkSession) -> str:
-    """The shared folder of ``spark.checkpoint.dir``; where that is unset (tests on one machine), a folder of our own."""
-    root = spark.conf.get("spark.checkpoint.dir", None)
-    if not root:
-        root = tempfile.mkdtemp(prefix="sparkloom-")
-        atexit.register(shutil.rmtree, root, ignore_errors=True)
-        spark.conf.set("spark.checkpoint.dir", root)
-    return f"{root.rstrip('/')}/sparkloom"
-
-
 def stored(df: DataFrame, name: str = "table") -> DataFrame:
     """Writes `df` as Parquet into the shared scratch folder and reads it back.
 
