@@ -24,7 +24,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from sparkloom.llm.common import prepare, stored, text_blocks
+from sparkloom.llm.common import free_memory, prepare, stored, text_blocks
 from sparkloom.llm.hashing import mix64
 from sparkloom.llm.words import shingle_sets
 
@@ -115,6 +115,7 @@ def _sign(size: int, bands: int, rows: int):
                     [batch.column(0).slice(first, last - first), pa.array(n), _longs(digest[:, 0]), _longs(digest[:, 1]), lists],
                     names=["doc_id", "n", "d1", "d2", "bands"],
                 )
+        free_memory()
 
     return run
 
@@ -129,6 +130,7 @@ def _sets(size: int):
                     pa.array(np.concatenate(([0], np.cumsum(n))), pa.int32()), _longs(np.concatenate(sets))
                 )
                 yield pa.RecordBatch.from_arrays([batch.column(0).slice(first, last - first), lists], names=["node", "grams"])
+        free_memory()
 
     return run
 

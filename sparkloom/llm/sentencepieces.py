@@ -21,13 +21,13 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from sparkloom.llm.common import prepare
+from sparkloom.llm.common import free_memory, prepare
 
 #: The model's path is a parameter everywhere; this is the default.
 MODEL = "/opt/tokenizers/piece_bpe_32k.model"
 BLANK = "\u2581"
 #: Words kept in a task's memory, code points indexed at once, and longest word that is relaxed in step with others.
-CACHE, INDEX_CHARS, LONG = 500_000, 800_000, 48
+CACHE, INDEX_CHARS, LONG = 300_000, 500_000, 48
 _UNIGRAM, _BPE = 1, 2
 _NORMAL, _UNKNOWN, _BYTE = 1, 2, 6
 
@@ -388,6 +388,8 @@ def _run(model: Model):
                     names=["doc_id", "n_tokens", "n_byte_tokens", "ids_sha256", "round_trip", "ids"],
                 )
                 at = stop
+        encoder = None
+        free_memory()
 
     return run
 
