@@ -19,15 +19,28 @@ from sparkloom.llm.hashing import Fingerprints, byte_table, mix64
 
 #: Bits of the gear hash that must be zero at a candidate for a boundary (one in 2**4 bytes on average).
 MASK_BITS = 4
-#: Bytes that the tested bits depend on; bytes within which the candidate with the smallest hash wins; most bytes in a
-#: chunk. Chunks have about 40 bytes on average, so that a passage of 50 words holds several whole ones.
-WINDOW, RADIUS, MOST = 16, 16, 256
+#: Bytes that the tested bits depend on; bytes within which the candidate with the smallest hash wins; bytes within which
+#: the smallest hash of all is a boundary if there is no candidate; most bytes in a chunk. Chunks have about 40 bytes on
+#: average, so that a passage of 50 words holds several whole ones.
+WINDOW, RADIUS, FAR, MOST = 16, 16, 32, 256
 #: A run of repeated chunks counts from this many bytes on. A passage of 50 words is longer even without its edges.
 RUN_BYTES = 128
 
 _GEAR = byte_table(0x6EA2)
 
 
+def _least(values: np.ndarray, radius: int) -> np.ndarray:
+    """The minimum of the values within `radius` of each; nothing lies beyond the ends."""
+    end = np.full(radius, np.iinfo(values.dtype).max, values.dtype)
+    around = np.concatenate((end, values, end))
+    have = 1
+    while have < 2 * radius + 1:
+        step = min(have, 2 * radius + 1 - have)
+        around = np.minimum(around[:-step], around[step:])
+        have += step
+    return around
+
+
 def _boundaries(data: np.ndarray, texts: np.ndarray) -> np.ndarray:
     """Places that the hash makes chunk starts; `texts` are the starts of texts, where none lie."""
     n = len(data)
@@ -36,18 +49,21 @@ def _boundaries(data: np.ndarray, texts: np.ndarray) -> np.ndarray:
     for k in range(min(WINDOW, n)):
         hash_[k:] += gear[: n - k] << np.uint64(k)
     hash_ &= np.uint64((1 << WINDOW) - 1)
-    none = np.uint32(0xFFFFFFFF)
-    rank = np.where((hash_ >> np.uint64(WINDOW - MASK_BITS)) == 0, (mix64(hash_) >> np.uint64(33)).astype(np.uint32), none)
-    # Hashes that reach over a text's start are no candidates.
+    # Candidates rank before all other hashes.
+    none, other = np.uint32(0xFFFFFFFF), np.uint32(1 << 30)
+    rank = (mix64(hash_) >> np.uint64(34)).astype(np.uint32)
+    rank[(hash_ >> np.uint64(WINDOW - MASK_BITS)) != 0] += other
+    # Hashes that reach over a text's start do not count.
     early = texts[:, None] + np.arange(WINDOW - 1)
     rank[early[early < n]] = none
-    around = np.concatenate((np.full(RADIUS, none), rank, np.full(RADIUS, none)))
-    have = 1
-    while have < 2 * RADIUS + 1:
-        step = min(have, 2 * RADIUS + 1 - have)
-        around = np.minimum(around[:-step], around[step:])
-        have += step
-    return np.flatnonzero((rank != none) & (rank == around)) + 1  # a chunk starts after the byte that completes the hash
+    # Texts lie so far apart that they do not see each other.
+    lengths = np.diff(np.concatenate((texts[1:] if len(texts) else texts, [n])), prepend=0)
+    at = np.arange(n) + np.repeat(np.arange(len(lengths)) * FAR, lengths)
+    apart = np.full(n + FAR * (len(lengths) - 1), none)
+    apart[at] = rank
+    hit = (rank < other) & (rank == _least(apart, RADIUS)[at])
+    hit |= (rank != none) & (rank == _least(apart, FAR)[at])
+    return np.flatnonzero(hit) + 1  # a chunk starts after the byte that completes the hash
 
 
 def chunk_starts(data: np.ndarray, offsets: np.ndarray, piece: int = 4 * BLOCK_BYTES) -> np.ndarray:
@@ -55,8 +71,9 @@ def chunk_starts(data: np.ndarray, offsets: np.ndarray, piece: int = 4 * BLOCK_B
 
     The gear hash h = 2 h + gear[byte] is a sum of shifted table entries, so its bit WINDOW - 1 is decided by the last
     WINDOW bytes; the tested bits are the topmost ones of those. A candidate becomes a boundary if none within RADIUS
-    bytes has a smaller hash: that, too, is decided locally, and periodic text is cut at its period. Chunks over MOST
-    bytes are cut evenly from their start on.
+    bytes has a smaller hash: that, too, is decided locally. Where no candidate lies within FAR bytes, the smallest hash
+    of those is a boundary. As the smallest hash of a period is a boundary in each of its repetitions (but for FAR bytes
+    at the edges), periodic text is cut at its period. Chunks over MOST bytes are cut evenly from their start on.
     """
     n = len(data)
     if not n:
@@ -64,7 +81,7 @@ def chunk_starts(data: np.ndarray, offsets: np.ndarray, piece: int = 4 * BLOCK_B
     texts = np.unique(offsets[:-1][np.diff(offsets) > 0])
     if n > piece and len(texts) == 1:
         # A long text by pieces, each with the bytes around it that its boundaries depend on.
-        around, hits, none = WINDOW + 2 * RADIUS, [], np.zeros(0, np.int64)
+        around, hits, none = WINDOW + 2 * FAR, [], np.zeros(0, np.int64)
         for at in range(0, n, piece):
             first = max(0, at - around)
             own = _boundaries(data[first : at + piece + around], texts if not first else none) + first
@@ -88,7 +105,6 @@ def _chunks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             if not len(start):
                 continue
             end = np.concatenate((start[1:], [len(data)]))
-            low, high = np.empty(len(start), np.uint64), np.empty(len(start), np.uint64)
             cuts = np.searchsorted(start, np.arange(0, len(data) + 4 * BLOCK_BYTES, 4 * BLOCK_BYTES))
             for a, b in zip(cuts[:-1].tolist(), cuts[1:].tolist(), strict=True):
                 if a == b:
@@ -97,21 +113,21 @@ def _chunks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                 fp = Fingerprints(data[base : end[b - 1]])
                 s, e = start[a:b] - base, end[a:b] - base
                 mid = (s + e) // 2
-                low[a:b] = fp(s, e)
+                low = fp(s, e)
                 # A second digest from the chunk's halves makes 128 bits.
-                high[a:b] = mix64(fp(s, mid) * np.uint64(0xC2B2AE3D27D4EB4F) + fp(mid, e))
-            row = np.searchsorted(offsets, start, "right") - 1
-            yield pa.RecordBatch.from_arrays(
-                [
-                    batch.column("doc_id").take(pa.array(row + first)),
-                    batch.column("tk").take(pa.array(row + first)),
-                    pa.array((start - offsets[row]).astype(np.int32)),
-                    pa.array((end - offsets[row]).astype(np.int32)),
-                    pa.array(low.view(np.int64)),
-                    pa.array(high.view(np.int64)),
-                ],
-                names=["doc_id", "tk", "start", "end", "d1", "d2"],
-            )
+                high = mix64(fp(s, mid) * np.uint64(0xC2B2AE3D27D4EB4F) + fp(mid, e))
+                row = np.searchsorted(offsets, start[a:b], "right") - 1
+                yield pa.RecordBatch.from_arrays(
+                    [
+                        batch.column("doc_id").take(pa.array(row + first)),
+                        batch.column("tk").take(pa.array(row + first)),
+                        pa.array((start[a:b] - offsets[row]).astype(np.int32)),
+                        pa.array((end[a:b] - offsets[row]).astype(np.int32)),
+                        pa.array(low.view(np.int64)),
+                        pa.array(high.view(np.int64)),
+                    ],
+                    names=["doc_id", "tk", "start", "end", "d1", "d2"],
+                )
 
 
 def _distinct(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

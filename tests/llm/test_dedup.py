@@ -220,6 +220,31 @@ def test_chunk_dedup_finds_planted_passages(spark):
         assert all(0 <= a.start < a.end <= r.n_bytes for a in r.repeated)
 
 
+@pytest.mark.parametrize("unit", ["x", "to ", "and ", "threen. ", "the same line again\n", "a longer line of text that is said over and over, number 7; " * 2])
+def test_periodic_passages_are_found_at_any_offset(spark, unit):
+    rnd = random.Random(14)
+    passage = (unit * 400)[: max(400, 5 * len(unit))]
+
+    def prose(n):
+        return "".join(rnd.choice("etaoin shrdlu") for _ in range(n))
+
+    texts = [prose(n) + passage + prose(90) for n in (0, 1, 37, 106, 211, 300, 333)]
+    got = {r.doc_id: r for r in chunkdedup.dedup_chunks(frame(spark, texts)).collect()}
+    lost = chunkdedup.WINDOW + 2 * (chunkdedup.FAR + len(unit))
+    assert all(r.n_repeated >= len(passage) - lost for r in got.values()), {k: r.n_repeated for k, r in got.items()}
+    assert got[0].n_removed < got[0].n_bytes and all(got[k].n_removed >= len(passage) - lost for k in got if k)
+
+
+def test_chunks_do_not_see_the_text_before():
+    """A candidate at a text's end does not compete with the first ones of the next text."""
+    rnd = random.Random(15)
+    raw = [bytes(rnd.choice(b"abcd ef") for _ in range(60)) for _ in range(3000)]
+    offsets = np.concatenate(([0], np.cumsum([len(r) for r in raw])))
+    together = chunkdedup.chunk_starts(np.frombuffer(b"".join(raw), np.uint8), offsets)
+    alone = [o + s for o, r in zip(offsets, raw) for s in chunkdedup.chunk_starts(np.frombuffer(r, np.uint8), np.array([0, len(r)]))]
+    assert together.tolist() == alone
+
+
 def test_long_texts_by_pieces():
     """A long text handled piece by piece gives what it gives at once."""
     rnd = random.Random(12)
