@@ -1,8 +1,8 @@
 """Random shards by a two-pass external shuffle, in DataFrame and SQL functions only.
 
-Pass one scatters records uniformly into buckets that fit in memory, by a seeded hash. Pass two gathers one bucket per
-task, shuffles it with Fisher-Yates (Spark's `shuffle`), and lays the buckets end to end: a uniform order of all
-records, which is cut into shards whose row counts differ by one at most.
+Pass one scatters whole rows uniformly into buckets that fit in memory, by a seeded hash. Pass two gathers one bucket per
+task, shuffles it with Fisher-Yates (Spark's `shuffle`), and lays the buckets end to end: a uniform order of all rows,
+which is cut into shards whose row counts differ by one at most.
 """
 
 from __future__ import annotations
@@ -13,47 +13,98 @@ from pyspark.sql import functions as F
 
 from sparkloom.llm.common import stored
 
-#: A bucket's bounds: bytes of the records, and records.
+#: A bucket's bounds: bytes of the rows, and rows.
 BUCKET_BYTES, BUCKET_ROWS = 64 << 20, 50_000
+SEED = 20_240_611
 
+_KEY = ("doc_id", "size", "text_crc32", "digest")
 
-def shuffled_shards(
+
+def _size(text: str):
+    return (F.coalesce(F.octet_length(text), F.lit(0)) + 16).cast("long")
+
+
+def _crc32(text: str):
+    return F.crc32(F.coalesce(F.col(text), F.lit("")))
+
+
+def _shuffled(rows: DataFrame, shards: int, id_: str, text: str, seed: int, bucket_bytes: int, bucket_rows: int) -> DataFrame:
+    """The rows in shuffled order, with `shard` and `slot`; their own columns must have other names."""
+    names = rows.columns
+    width = sum((F.coalesce(F.octet_length(F.col(c).cast("string")), F.lit(0)) for c in names), F.lit(16)).cast("long")
+    rows = rows.select(F.col(id_).alias("doc_id"), _size(text).alias("size"), _crc32(text).alias("text_crc32"), F.xxhash64(*names).alias("digest"), width.alias("width"), F.struct(*names).alias("row"))
+    counts = stored(rows.groupBy(*_KEY).agg(F.count("*").alias("n"), F.max("width").alias("width")), "records")
+    rows = rows.drop("width")
+    total, bytes_, most = counts.agg(F.coalesce(F.sum("n"), F.lit(0)), F.coalesce(F.sum(F.col("n") * F.col("width")), F.lit(0)), F.max("n")).first()
+    buckets = max(1, -(-bytes_ // bucket_bytes), -(-total // bucket_rows))
+    bucket = F.pmod(F.xxhash64(F.lit(seed), *_KEY, "copy"), F.lit(buckets)).cast("int")
+    copies = F.explode(F.sequence(F.lit(1), F.col("n").cast("int"))).alias("copy")
+    first = counts.select(*_KEY, copies).groupBy(bucket.alias("bucket")).agg(F.count("*").alias("n"))
+    before = F.sum("n").over(W.orderBy("bucket").rowsBetween(W.unboundedPreceding, -1))
+    first = stored(first.select("bucket", F.coalesce(before, F.lit(0)).alias("first")), "buckets")
+    each = rows.withColumn("copy", F.lit(1))
+    if (most or 0) > 1:
+        many = stored(counts.where("n > 1").select("digest"), "repeated")
+        alike = rows.join(many, "digest", "left_semi").groupBy(*_KEY, "row").agg(F.count("*").alias("n")).select(*_KEY, "row", copies)
+        each = each.join(many, "digest", "left_anti").select(alike.columns).union(alike)
+    # Rows and all that is needed of them meet before they are scattered; what follows is done bucket by bucket.
+    scattered = each.withColumn("bucket", bucket).join(first, "bucket").repartitionById(buckets, F.col("bucket"))
+    # The sorted list makes the shuffle's input independent of the order of arrival; a bucket's partition fixes its seed.
+    gathered = scattered.groupBy("bucket", "first").agg(F.sort_array(F.collect_list(F.struct(*_KEY, "copy", "row"))).alias("records"))
+    placed = gathered.select("first", F.posexplode(F.shuffle("records", seed)).alias("at", "r"))
+    placed = placed.select("r.row", (F.col("first") + F.col("at")).alias("rank"))
+    n = max(total, 1)
+    placed = placed.withColumn("shard", F.expr(f"int((rank * {shards}) div {n})"))
+    slot = F.expr(f"rank - (shard * {n}L + {shards - 1}) div {shards}")
+    return placed.select("row.*", "shard", slot.cast("long").alias("slot"))
+
+
+def _inner(docs: DataFrame, *columns: str) -> tuple[DataFrame, list[str]]:
+    """Rows under names of our own, and those of the given columns."""
+    lower, names = [n.lower() for n in docs.columns], [f"c{i}" for i in range(len(docs.columns))]
+    return docs.toDF(*names), [names[lower.index(c.lower())] for c in columns]
+
+
+def shuffled_documents(
     docs: DataFrame,
     shards: int = 40,
     *,
     id_col: str = "doc_id",
     text_col: str = "text",
-    seed: int = 20_240_611,
+    seed: int = SEED,
     bucket_bytes: int = BUCKET_BYTES,
     bucket_rows: int = BUCKET_ROWS,
 ) -> DataFrame:
-    """Places every row in a shard: `doc_id`, `size`, `text_crc32`, `law` ('rows'), `shard`, `slot`, `grown_shard` (null).
+    """The shuffled rows themselves: those of `docs` with all their columns, `shuffle_shard` and `shuffle_slot`.
 
-    `size` is the text's UTF-8 bytes plus 16; slots run from 0 without gaps in each shard. Rows that are alike are
-    counted first and told apart by a running number, so they scatter like any others and no bucket can grow hot.
+    Slots run from 0 without gaps in each shard; a partition holds one bucket in shuffled order. Rows that are alike are
+    counted and told apart by a running number, so they scatter like any others and no bucket can grow hot.
 
-    Defined results: a null text has no bytes and the checksum of an empty text; repeated rows each get a place; a null
-    id is an id like others; the same rows give the same places however they are stored; no rows give no rows.
+    Defined results: repeated rows each get a place; a null id is an id like others; the same rows give the same places
+    however they are stored; no rows give no rows. Columns must be of types that Spark can sort and hash.
     """
-    text = F.coalesce(F.col(text_col), F.lit(""))
-    rows = docs.select(F.col(id_col).alias("doc_id"), (F.octet_length(text) + 16).cast("long").alias("size"), F.crc32(text).alias("text_crc32"))
-    rows = rows.groupBy("doc_id", "size", "text_crc32").agg(F.count("*").alias("n"))
-    rows = stored(rows.select("doc_id", "size", "text_crc32", F.explode(F.sequence(F.lit(1), F.col("n").cast("int"))).alias("copy")), "records")
-    total, bytes_ = rows.agg(F.count("*"), F.coalesce(F.sum("size"), F.lit(0))).first()
-    buckets = max(1, -(-bytes_ // bucket_bytes), -(-total // bucket_rows))
-    bucket = F.pmod(F.xxhash64(F.lit(seed), "doc_id", "size", "text_crc32", "copy"), F.lit(buckets)).cast("int")
-    scattered = rows.withColumn("bucket", bucket)
-    first = scattered.groupBy("bucket").agg(F.count("*").alias("n"))
-    before = F.sum("n").over(W.orderBy("bucket").rowsBetween(W.unboundedPreceding, -1))
-    first = first.select("bucket", F.coalesce(before, F.lit(0)).alias("first"))
-    # The sorted list makes the shuffle's input independent of the order of arrival; a bucket's partition fixes its seed.
-    gathered = scattered.groupBy("bucket").agg(F.sort_array(F.collect_list(F.struct("doc_id", "size", "text_crc32", "copy"))).alias("records"))
-    gathered = gathered.join(first, "bucket").repartitionById(buckets, F.col("bucket"))
-    placed = gathered.select("first", F.posexplode(F.shuffle("records", seed)).alias("at", "r"))
-    placed = placed.select("r.doc_id", "r.size", "r.text_crc32", (F.col("first") + F.col("at")).alias("rank"))
-    n = max(total, 1)
-    placed = placed.withColumn("shard", F.expr(f"int((rank * {shards}) div {n})"))
-    slot = F.expr(f"rank - (shard * {n}L + {shards - 1}) div {shards}")
-    return placed.select(
-        "doc_id", "size", "text_crc32", F.lit("rows").alias("law"), "shard", slot.cast("long").alias("slot"), F.lit(None).cast("int").alias("grown_shard")
-    )
+    rows, (id_, text) = _inner(docs, id_col, text_col)
+    return _shuffled(rows, shards, id_, text, seed, bucket_bytes, bucket_rows).toDF(*docs.columns, "shuffle_shard", "shuffle_slot")
+
+
+def shuffled_shards(
+    docs: DataFrame,
+    shards: int = 40,
+    *,
+    id_col: str = "doc_id",
+    text_col: str = "text",
+    seed: int = SEED,
+    bucket_bytes: int = BUCKET_BYTES,
+    bucket_rows: int = BUCKET_ROWS,
+) -> DataFrame:
+    """What the shuffled rows hold: `doc_id`, `size`, `text_crc32`, `law` ('rows'), `shard`, `slot`, `grown_shard` (null).
+
+    All is read from the rows of `shuffled_documents`. `size` is the text's UTF-8 bytes plus 16; a null text has no bytes
+    and the checksum of an empty text.
+    """
+    rows, (id_, text) = _inner(docs, id_col, text_col)
+    out = _shuffled(rows, shards, id_, text, seed, bucket_bytes, bucket_rows)
+    return out.select(
+        F.col(id_).alias("doc_id"), _size(text).alias("size"), _crc32(text).alias("text_crc32"), F.lit("rows").alias("law"), "shard", "slot",
+        F.lit(None).cast("int").alias("grown_shard"),
+    )

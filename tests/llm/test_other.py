@@ -256,6 +256,23 @@ def test_shards(spark):
     assert sharding.shuffled_shards(df.limit(3), 40).count() == 3
 
 
+def test_shuffled_documents_carry_their_rows(spark):
+    rows = [(i % 400, f"text {i % 50}" if i % 13 else None, f"s{i % 3}") for i in range(1003)] + [(7, "same", "s")] * 300 + [(None, "x", "s"), (None, "x", "t")]
+    df = docs(spark, rows)
+    got = sharding.shuffled_documents(df, 40, bucket_rows=100)
+    assert got.columns == [*df.columns, "shuffle_shard", "shuffle_slot"]
+    out = got.collect()
+    assert Counter(tuple(r)[:-2] for r in out) == Counter(map(tuple, df.collect()))
+    places = sharding.shuffled_shards(df, 40, bucket_rows=100)
+    assert Counter((r.doc_id, zlib.crc32((r.text or "").encode()), r.shuffle_shard, r.shuffle_slot) for r in out) == Counter((r.doc_id, r.text_crc32, r.shard, r.slot) for r in places.collect())
+    again = sharding.shuffled_documents(df.repartition(9), 40, bucket_rows=100).collect()
+    assert sorted(map(str, out)) == sorted(map(str, again))
+    # Buckets are bounded by the bytes that are gathered.
+    large = sharding.shuffled_documents(docs(spark, [(i, "t" * 1000, "s") for i in range(200)]), 4, bucket_bytes=20_000)
+    assert large.select(F.spark_partition_id()).distinct().count() > 5
+    assert sharding.shuffled_documents(df.where("false"), 40).count() == 0
+
+
 # Pseudonyms
 
 
