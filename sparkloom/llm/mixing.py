@@ -1,8 +1,7 @@
 """Mixing sources to target weights by a hypergeometric splitting tree, in DataFrame and SQL functions only.
 
 Each source's documents fall into blocks by a seeded hash. A source's target fixes how many block draws the mix takes
-from it: whole passes over all its blocks, then blocks in a seeded order, the last of which is cut where the target is
-met. These quotas are split exactly among output shards: a node of a binary tree over the shards hands each source's
+from it: whole passes over all its blocks, then, in a seeded order, whatever still fits into what is left (see `_fill`). These quotas are split exactly among output shards: a node of a binary tree over the shards hands each source's
 quota to its two halves by a multivariate hypergeometric draw (conditional univariate draws, source after source), as
 if all block draws had been shuffled and dealt out. A leaf thus knows how many draws of each source it gets, and takes
 that many from the source's permuted draws; no draw goes to two shards. Within a shard, records get a seeded order.
@@ -118,6 +117,48 @@ def _sized(docs: DataFrame, id_col: str, text_col: str, source_col: str, seed: i
     )
 
 
+def _fill(groups: DataFrame, rests: DataFrame) -> DataFrame:
+    """Fills what is left of each source's target: `groups` with `extra`, whether their documents are taken once more.
+
+    `groups` (`idx`, `pos` of the block in its source's seeded order, `mix_hash`, `size`) are walked through in order, and
+    each that fits into the room left is taken. A round sums up, block by block, the groups that fit into the room it
+    starts with; all blocks before the one that crosses it are settled, that one is filled group by group, and the next
+    round goes on behind it with what is left, until nothing fits. At last the one that brings the rest closest to
+    nothing is taken, if one does.
+    """
+    state, rounds = rests.select("idx", F.lit(0).alias("at"), F.col("rest").cast("double").alias("room")), []
+    while True:
+        fits = groups.join(state, "idx").where((F.col("pos") > F.col("at")) & (F.col("size") > 0) & (F.col("size") <= F.col("room")))
+        sums = fits.groupBy("idx", "at", "room", "pos").agg(F.sum("size").alias("size"))
+        sums = stored(sums.withColumn("end", F.sum("size").over(W.partitionBy("idx").orderBy("pos").rowsBetween(W.unboundedPreceding, 0))), "sums")
+        inside = F.col("end") <= F.col("room")
+        done = sums.groupBy("idx", "at", "room").agg(F.min(F.when(~inside, F.col("pos"))).alias("cross"), F.coalesce(F.max(F.when(inside, F.col("end"))), F.lit(0)).alias("used"))
+        done = stored(done.withColumn("budget", F.col("room") - F.col("used")), "walked")
+        crossed = done.where("cross IS NOT NULL").select("idx", F.col("cross").alias("pos"), "room", "budget")
+        docs = groups.join(crossed, ["idx", "pos"]).where((F.col("size") > 0) & (F.col("size") <= F.col("room")))
+        docs = docs.groupBy("idx", "budget").agg(F.array_sort(F.collect_list(F.struct("mix_hash", "size"))).alias("docs"))
+        fold = "aggregate(docs, struct(budget AS room, CAST(array() AS array<bigint>) AS cut), (s, d) -> IF(d.size <= s.room, struct(s.room - d.size AS room, concat(s.cut, array(d.mix_hash)) AS cut), s))"
+        filled = docs.select("idx", F.expr(fold).alias("f"))
+        done = done.join(filled, "idx", "left").select("idx", "at", "cross", F.col("room").alias("limit"), F.coalesce("f.room", "budget").alias("room"), "f.cut")
+        rounds.append(stored(done, "round"))
+        state = rounds[-1].where("cross IS NOT NULL AND room >= 1").select("idx", F.col("cross").alias("at"), "room")
+        if state.isEmpty():
+            break
+    walk = rounds[0]
+    for r in rounds[1:]:
+        walk = walk.union(r)
+    walk = walk.groupBy("idx").agg(F.min("room").alias("room"), F.collect_list(F.struct("at", "cross", "limit", "cut")).alias("walk"))
+    walk = rests.join(walk, "idx", "left").select("idx", F.coalesce("room", F.col("rest").cast("double")).alias("room"), "walk")
+    walk = stored(walk, "walk")  # a row for each source, with a step for each of its rounds
+    settled = "pos > w.at AND pos < coalesce(w.cross, pos + 1) AND size <= w.limit"
+    extra = F.expr(f"coalesce(exists(walk, w -> {settled} OR (pos = w.cross AND coalesce(array_contains(w.cut, mix_hash), false))), false)")
+    taken = groups.join(walk, "idx", "left").withColumn("extra", extra)
+    off = F.abs(F.col("size") - F.col("room"))
+    last = taken.where(~F.col("extra") & (F.col("size") > 0) & (off < F.col("room"))).groupBy("idx").agg(F.min(F.struct(off.alias("off"), "mix_hash")).alias("last"))
+    taken = taken.join(stored(last.select("idx", F.col("last.mix_hash").alias("last")), "last"), "idx", "left")
+    return taken.select("idx", "block", "mix_hash", "size", (F.col("extra") | F.coalesce(F.col("mix_hash") == F.col("last"), F.lit(False))).alias("extra"))
+
+
 def _plan(rows: DataFrame, shards: int, weights: tuple[int, ...], most: int, block_rows: int, seed: int) -> Mix:
     """The plan of a mix over stored rows (`mix_source`, `mix_size`, `mix_hash`)."""
     sizes = rows.groupBy(F.col("mix_source").alias("source")).agg(F.count("*").alias("n"), F.sum("mix_size").alias("source_size"))
@@ -128,22 +169,14 @@ def _plan(rows: DataFrame, shards: int, weights: tuple[int, ...], most: int, blo
     s = s.withColumn("n_blocks", F.least(F.ceil(F.col("n") / block_rows), F.lit(MOST_BLOCKS)).cast("int"))
     s = stored(s, "sources")
     placed = _in_blocks(rows, s)
-    b = placed.groupBy("idx", "block").agg(F.sum("mix_size").alias("size")).join(s.select("idx", "passes", "rest"), "idx")
+    groups = placed.groupBy("idx", "block", "mix_hash").agg(F.sum("mix_size").alias("size"))
     order = W.partitionBy("idx").orderBy(F.xxhash64(F.lit(seed + 1), "idx", "block"), "block")
-    b = b.withColumn("end", F.sum("size").over(order.rowsBetween(W.unboundedPreceding, 0)))
-    begin = F.col("end") - F.col("size")
-    b = b.withColumn("whole", (F.col("end") <= F.col("rest")) & (F.col("rest") > 0)).withColumn("budget", F.when((begin < F.col("rest")) & (F.col("end") > F.col("rest")), F.col("rest") - begin))
-    b = stored(b, "blocks")
-    # The cut block of a source: in hash order, every document that still fits into what is left of the budget, and at
-    # last the one that brings the rest closest to nothing, if one does.
-    cut = b.where("budget is not null").select("idx", "block", "budget")
-    docs = placed.join(cut, ["idx", "block"]).groupBy("idx", "block", "budget", "mix_hash").agg(F.sum("mix_size").alias("size"))
-    docs = docs.groupBy("idx", "block", "budget").agg(F.array_sort(F.collect_list(F.struct("mix_hash", "size"))).alias("docs"))
-    best = "array_min(transform(filter(docs, d -> NOT array_contains(s.cut, d.mix_hash)), d -> struct(abs(d.size - s.room) AS off, d.mix_hash AS h)))"
-    last = f"element_at(transform(array({best}), x -> IF(x.off < s.room, concat(s.cut, array(x.h)), s.cut)), 1)"
-    fits = f"aggregate(docs, struct(budget AS room, CAST(array() AS array<bigint>) AS cut), (s, d) -> IF(d.size <= s.room, struct(s.room - d.size AS room, concat(s.cut, array(d.mix_hash)) AS cut), s), s -> {last})"
-    cut = docs.select("idx", "block", F.expr(fits).alias("cut"))
-    b = b.join(cut, ["idx", "block"], "left")
+    places = stored(placed.groupBy("idx", "block").agg(F.lit(1)).select("idx", "block", F.row_number().over(order).alias("pos")), "places")
+    groups = stored(groups.join(places, ["idx", "block"]), "groups")
+    b = _fill(groups, s.where("rest > 0").select("idx", "rest")).groupBy("idx", "block").agg(
+        F.bool_and("extra").alias("whole"), F.collect_list(F.when(F.col("extra"), F.col("mix_hash"))).alias("cut")
+    )
+    b = b.withColumn("cut", F.when(~F.col("whole") & (F.size("cut") > 0), F.col("cut"))).join(s.select("idx", "passes"), "idx")
     draws = b.withColumn("draws", F.col("passes") + F.when(F.col("whole") | F.col("cut").isNotNull(), 1).otherwise(0))
     draws = stored(draws, "draws")
     quotas = s.select("idx").join(draws.groupBy("idx").agg(F.sum("draws").alias("quota")), "idx", "left").select("idx", F.coalesce("quota", F.lit(0)).alias("quota"))

@@ -160,6 +160,21 @@ def test_mix_report(spark):
     assert sum(placed.values()) == sum(r.copies for r in got)
 
 
+@pytest.mark.parametrize("seed", range(5))
+def test_long_documents_do_not_keep_a_target_from_being_met(spark, seed):
+    rows = [(i, "w " * 300, "a") for i in range(400)] + [(1000 + i, "w " * 80_000, "a") for i in range(2)]
+    rows += [(2000 + i, "w " * (20 + i % 91), "b") for i in range(400)] + [(3000, "w " * 20_000, "b")]
+    rows += [(4000 + i, "w " * (2 + i % 5), "b") for i in range(40)] + [(5000, "q", "b")] * 20
+    got = mixing.mix_report(docs(spark, rows), shards=4, seed=seed).collect()
+    source, target, taken, smallest = {i: s for i, _, s in rows}, {}, Counter(), {"a": 300, "b": 2}
+    for r in got:
+        target[source[r.doc_id]] = r.target
+        taken[source[r.doc_id]] += r.taken
+        assert len(r.shards) == r.copies <= 3
+    for s in "ab":
+        assert abs(taken[s] - target[s]) <= smallest[s] / 2, (s, taken[s], target[s])
+
+
 def test_mixed_documents_keeps_columns(spark):
     df = docs(spark, [(i, "a b c", f"s{i % 2}") for i in range(40)])
     out = mixing.mixed_documents(df)
