@@ -387,6 +387,15 @@ def test_encode_and_decode_documents(spark):
 # Pipeline
 
 
+def test_pipeline_mixes_by_shard_in_shuffled_order(spark):
+    import corpus_pipeline as p
+
+    df = docs(spark, [(i, f"a b c {i}", f"s{i % 2}") for i in range(200)])
+    placed = sorted((r.mix_shard, r.mix_order, r.doc_id) for r in mixing.mixed_documents(df, with_place=True).collect())
+    out = p.mixing(spark, df, "")
+    assert out.columns == df.columns and [r.doc_id for r in out.collect()] == [i for _, _, i in placed]
+
+
 def test_pipeline_stages(spark):
     import corpus_pipeline as p
 
