@@ -2,15 +2,18 @@
 
 Values that pass their format's own test (check digits, calendars, number ranges) are mapped to whole numbers of a
 domain that holds just the format's valid values, permuted there by a keyed Feistel network, and written back in the
-same layout. The result is valid again, nothing of the value shows without the key, and equal values get equal
-pseudonyms in every document, so links survive.
+same layout. The result is valid again, nothing of the value shows without the key, no value is its own pseudonym, and
+equal values get equal pseudonyms in every document, so links survive.
 """
 
 from __future__ import annotations
 
+import bisect
 import datetime
+import functools
 import hashlib
 import re
+import unicodedata
 from collections.abc import Callable, Iterator
 
 import pyarrow as pa
@@ -22,6 +25,8 @@ from sparkloom.llm.common import prepare
 #: Pass a key of your own; this one only makes results repeatable.
 KEY = b"sparkloom example key"
 _ROUNDS = 8
+#: Letters and digits that are permuted as one number; longer values go block by block.
+_BLOCK = 128
 
 
 def permute(value: int, size: int, key: bytes, tweak: str, *, back: bool = False) -> int:
@@ -35,12 +40,13 @@ def permute(value: int, size: int, key: bytes, tweak: str, *, back: bool = False
     half = max(1, ((size - 1).bit_length() + 1) // 2)
     mask = (1 << half) - 1
     wide = (half + 7) // 8
-    person = hashlib.blake2b(f"{tweak}/{size}".encode(), digest_size=16).digest()
+    bound = size.to_bytes((size.bit_length() + 7) // 8)
+    person = hashlib.blake2b(tweak.encode("utf-8", "surrogatepass") + b"/" + bound, digest_size=16).digest()
 
     def scramble(r: int, x: int) -> int:
         out, n = b"", 0
         while len(out) < wide:
-            out += hashlib.blake2b(r.to_bytes(1) + n.to_bytes(2) + x.to_bytes(wide), key=key[:64], person=person, digest_size=64).digest()
+            out += hashlib.blake2b(r.to_bytes(1) + n.to_bytes(4) + x.to_bytes(wide), key=key[:64], person=person, digest_size=64).digest()
             n += 1
         return int.from_bytes(out[:wide]) & mask
 
@@ -57,6 +63,16 @@ def permute(value: int, size: int, key: bytes, tweak: str, *, back: bool = False
             return value
 
 
+def pseudonym(value: int, size: int, key: bytes, tweak: str) -> int:
+    """Another number of range(size) for `value`, where there is one: a step of one in the permuted order.
+
+    That is a permutation as well (a conjugate of the step), and like the step it leaves no number in its place.
+    """
+    if size == 1:
+        return value
+    return permute((permute(value, size, key, tweak) + 1) % size, size, key, tweak, back=True)
+
+
 def luhn_digit(payload: str) -> str:
     """The check digit that makes `payload` plus it pass the Luhn test."""
     total = sum(sum(divmod(2 * int(c), 10)) if i % 2 == 0 else int(c) for i, c in enumerate(reversed(payload)))
@@ -66,11 +82,11 @@ def luhn_digit(payload: str) -> str:
 def _fill(layout: str, digits: str) -> str:
     """`layout` with its digits replaced in order."""
     it = iter(digits)
-    return re.sub(r"\d", lambda _: next(it), layout)
+    return re.sub(r"[0-9]", lambda _: next(it), layout)
 
 
 def _digits(text: str) -> str:
-    return re.sub(r"\D", "", text)
+    return re.sub(r"[^0-9]", "", text)
 
 
 Permute = Callable[[int, int, str], int]
@@ -141,24 +157,41 @@ def _ssn(m: re.Match, p: Permute) -> str | None:
     return f"{a + 1 + (a >= 665):03d}-{g + 1:02d}-{s + 1:04d}"
 
 
-def _by_class(text: str, p: Permute, tweak: str) -> str:
-    """Letters and digits permuted as one number, each within its class; secrets in lower-case hex stay hex."""
-    classes = ["0123456789abcdef"] if tweak == "secret" and re.fullmatch(r"[0-9a-f]*", text) else ["0123456789", "abcdefghijklmnopqrstuvwxyz", "ABCDEFGHIJKLMNOPQRSTUVWXYZ"]
-    at = [next((c for c in classes if x in c), None) for x in text]
-    value, size = 0, 1
-    for x, c in zip(text, at, strict=True):
-        if c:
+@functools.lru_cache(maxsize=4096)
+def _class(block: int, category: str) -> str:
+    """The characters of a block of 128 code points that have the given Unicode category."""
+    return "".join(chr(c) for c in range(128 * block, 128 * block + 128) if unicodedata.category(chr(c)) == category)
+
+
+def _class_of(char: str) -> str:
+    """What a letter or digit may turn into: those of its kind in its block, so a-z, A-Z and 0-9, or Cyrillic small letters."""
+    category = unicodedata.category(char)
+    return _class(ord(char) >> 7, category) if category[0] in "LN" else char
+
+
+def _by_class(text: str, p: Permute, tweak: str) -> str | None:
+    """Letters and digits permuted within their classes, all else as it is; secrets in lower-case hex stay hex.
+
+    Values are permuted in blocks of `_BLOCK` characters, each under a tweak made of all blocks before it, so the work is
+    linear in the length and the whole stays a permutation. None if nothing can change.
+    """
+    hexed = tweak == "secret" and re.fullmatch(r"[0-9a-f]+", text)
+    before, out, changed = hashlib.blake2b(digest_size=16), [], False
+    for start in range(0, len(text), _BLOCK):
+        block = text[start : start + _BLOCK]
+        classes = ["0123456789abcdef" if hexed else _class_of(x) for x in block]
+        value, size = 0, 1
+        for x, c in zip(block, classes, strict=True):
             value, size = value * len(c) + c.index(x), size * len(c)
-    if size == 1:
-        return text
-    value = p(value, size, tweak)
-    out = []
-    for x, c in zip(reversed(text), reversed(at), strict=True):
-        if c:
+        value = p(value, size, f"{tweak}/{before.hexdigest()}" if start else tweak)
+        changed |= size > 1
+        written = []
+        for c in reversed(classes):
             value, r = divmod(value, len(c))
-            x = c[r]
-        out.append(x)
-    return "".join(reversed(out))
+            written.append(c[r])
+        out += reversed(written)
+        before.update(block.encode("utf-8", "surrogatepass"))
+    return "".join(out) if changed else None
 
 
 def _iban(m: re.Match, p: Permute) -> str | None:
@@ -169,46 +202,47 @@ def _iban(m: re.Match, p: Permute) -> str | None:
 
     if not 15 <= len(plain) <= 34 or remainder(plain) != 1:
         return None
-    body = _by_class(plain[4:], p, "iban")
+    body = _by_class(plain[4:], p, "iban") or plain[4:]
     new = iter(plain[:2] + f"{98 - remainder(plain[:2] + '00' + body):02d}" + body)
     return "".join(c if c == " " else next(new) for c in m[0])
 
 
 def _email(m: re.Match, p: Permute) -> str | None:
     name, _, host = m[0].rpartition("@")
-    if sum(c.isalnum() for c in name) >= 4:
+    if sum(len(_class_of(c)) > 1 for c in name) >= 4:
         return f"{_by_class(name, p, f'email{host}')}@{host}"
-    stem, dot, top = host.rpartition(".")  # a short name alone would often be its own pseudonym
+    stem, dot, top = host.rpartition(".")  # a short name alone has few values to turn into
     return _by_class(f"{name}@{stem}", p, "email") + dot + top
 
 
 def _secret(m: re.Match, p: Permute) -> str | None:
-    if m["aws"]:
-        return m["aws"][:4] + _by_class(m["aws"][4:], p, "key")
-    return m[0][: m.start("value") - m.start()] + _by_class(m["value"], p, "secret") + m[0][m.end("value") - m.start() :]
+    part, head = ("value", 0) if m["aws"] is None else ("aws", 4)
+    new = _by_class(m[part][head:], p, "secret" if part == "value" else "key")
+    start, end = m.start(part) - m.start() + head, m.end(part) - m.start()
+    return None if new is None else m[0][:start] + new + m[0][end:]
 
 
 #: Kinds in order of precedence: name, pattern, and the function that tests a match and writes its pseudonym.
 KINDS: tuple[tuple[str, re.Pattern, Callable[[re.Match, Permute], str | None]], ...] = (
     ("secret", re.compile(r"\b(?P<aws>(?:AKIA|ASIA)[0-9A-Z]{16}|(?:ghp_|gho_|sk-|xox[abp]-)[0-9A-Za-z-]{16,})\b|\b(?i:password|passwd|pwd|secret|token|api[_-]?key)\b[\"']?\s{0,3}[=:]\s{0,3}[\"']?(?P<value>[\w+/.\-]{8,}=*)"), _secret),
-    ("email", re.compile(r"(?<![\w.+%-])[\w.+%-]{1,64}@(?:[A-Za-z0-9-]{1,63}\.){1,8}[A-Za-z]{2,24}(?![\w-])"), _email),
-    ("iban", re.compile(r"\b[A-Z]{2}\d{2}(?: ?[0-9A-Z]{4}){2,7}(?: ?[0-9A-Z]{1,3})?\b"), _iban),
-    ("ip", re.compile(r"(?<![\w.])\d{1,3}(?:\.\d{1,3}){3}(?![\w]|\.\d)"), _ip),
+    ("email", re.compile(r"(?<![\w.+%-])[\w.+%-]{1,64}@(?:(?:[^\W_]|-){1,63}\.){1,8}[^\W\d_]{2,24}(?![\w-])"), _email),
+    ("iban", re.compile(r"\b[A-Z]{2}[0-9]{2}(?: ?[0-9A-Z]{4}){2,7}(?: ?[0-9A-Z]{1,3})?\b"), _iban),
+    ("ip", re.compile(r"(?<![\w.])[0-9]{1,3}(?:\.[0-9]{1,3}){3}(?![\w]|\.[0-9])"), _ip),
     (
         "date",
-        re.compile(r"(?<![\w.-])(?:(?P<iso>(?P<y1>\d{4})(?P<sep1>[-/.])(?P<m1>\d{2})(?P=sep1)(?P<d1>\d{2}))|(?P<a2>\d{2})(?P<sep2>[-/.])(?P<b2>\d{2})(?P=sep2)(?P<y2>\d{4}))(?![\w-]|\.\d)"),
+        re.compile(r"(?<![\w.-])(?:(?P<iso>(?P<y1>[0-9]{4})(?P<sep1>[-/.])(?P<m1>[0-9]{2})(?P=sep1)(?P<d1>[0-9]{2}))|(?P<a2>[0-9]{2})(?P<sep2>[-/.])(?P<b2>[0-9]{2})(?P=sep2)(?P<y2>[0-9]{4}))(?![\w-]|\.[0-9])"),
         _date,
     ),
-    ("ssn", re.compile(r"(?<![\w-])\d{3}-\d{2}-\d{4}(?![\w-])"), _ssn),
+    ("ssn", re.compile(r"(?<![\w-])[0-9]{3}-[0-9]{2}-[0-9]{4}(?![\w-])"), _ssn),
     (
         "phone",
-        re.compile(r"(?<![\w+])(?:(?P<one>\+?1[ .-]?)?(?P<area>\(\d{3}\)|\d{3})[ .-]?(?P<exchange>\d{3})[ .-](?P<line>\d{4})|(?P<country>\+\d{1,3})(?P<national>(?:[ .-]?\(?\d{1,5}\)?){2,6}))(?!\w)"),
+        re.compile(r"(?<![\w+])(?:(?P<one>\+?1[ .-]?)?(?P<area>\([0-9]{3}\)|[0-9]{3})[ .-]?(?P<exchange>[0-9]{3})[ .-](?P<line>[0-9]{4})|(?P<country>\+[0-9]{1,3})(?P<national>(?:[ .-]?\(?[0-9]{1,5}\)?){2,6}))(?!\w)"),
         _phone,
     ),
-    ("card", re.compile(r"(?<![\w.-])(?:\d{13,19}|\d{4}(?P<s>[ -])\d{4}(?P=s)\d{4}(?P=s)\d{1,7}|\d{4}(?P<t>[ -])\d{6}(?P=t)\d{5})(?![\w]|\.\d)"), _card),
+    ("card", re.compile(r"(?<![\w.-])(?:[0-9]{13,19}|[0-9]{4}(?P<s>[ -])[0-9]{4}(?P=s)[0-9]{4}(?P=s)[0-9]{1,7}|[0-9]{4}(?P<t>[ -])[0-9]{6}(?P=t)[0-9]{5})(?![\w]|\.[0-9])"), _card),
 )
 #: No kind matches without one of these.
-_HINT = re.compile(r"[0-9@]|(?i:passw|pwd|secret|token|api)|gh[po]_|sk-|xox")
+_HINT = re.compile(r"[0-9@]|(?i:passw|pwd|secret|token|api)|A[KS]IA|gh[po]_|sk-|xox")
 
 
 def pseudonymise(text: str, key: bytes = KEY) -> tuple[str, list[str]]:
@@ -217,21 +251,21 @@ def pseudonymise(text: str, key: bytes = KEY) -> tuple[str, list[str]]:
         return text, []
 
     def p(value: int, size: int, tweak: str) -> int:
-        return permute(value, size, key, tweak)
+        return pseudonym(value, size, key, tweak)
 
     found: list[tuple[int, int, str, str]] = []
-    taken: list[tuple[int, int]] = []
     for kind, pattern, write in KINDS:
+        taken, fresh = [a for a, _, _, _ in found], []
         for m in pattern.finditer(text):
-            if any(a < m.end() and m.start() < b for a, b in taken):
+            after = bisect.bisect_left(taken, m.end())  # of the ranges taken, the last that starts before the match's end
+            if after and found[after - 1][1] > m.start():
                 continue
             new = write(m, p)
             if new is not None:
-                found.append((m.start(), m.end(), kind, new))
-        taken = [(a, b) for a, b, _, _ in found]
+                fresh.append((m.start(), m.end(), kind, new))
+        found = sorted(found + fresh)
     if not found:
         return text, []
-    found.sort()
     out, at = [], 0
     for a, b, _, new in found:
         out += [text[at:a], new]
