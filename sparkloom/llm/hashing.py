@@ -1,7 +1,9 @@
-"""Vectorised 64-bit hashes over byte arrays: substring fingerprints from prefix sums, and a finaliser."""
+"""Hashes over byte arrays: rolling ones that pick places, and those of content that tell texts apart."""
 
 from __future__ import annotations
 
+import hashlib
+
 import numpy as np
 
 _ODD = 0x9E3779B97F4A7C15 | 1
@@ -23,6 +25,8 @@ def byte_table(seed: int) -> np.ndarray:
 
 _TABLE = byte_table(0x5EED)
 _powers: list[np.ndarray] = [np.ones(1, np.uint64), np.ones(1, np.uint64)]
+#: Key of the digests on which texts are cut: none can be built to collide without it.
+DIGEST_KEY = b"sparkloom digest"
 
 
 def powers(n: int) -> tuple[np.ndarray, np.ndarray]:
@@ -38,11 +42,11 @@ def powers(n: int) -> tuple[np.ndarray, np.ndarray]:
 
 
 class Fingerprints:
-    """Constant-time fingerprints of any substring of a byte array.
+    """Constant-time rolling hashes of any substring of a byte array, to pick places by; never to tell texts apart.
 
-    The fingerprint of bytes[i:j] is the sum of table[byte] * base**(k - i), modulo 2**64, then scrambled: it depends on
-    the content alone, not on the place. The table holds random numbers, so texts built to defeat plain polynomial
-    hashes modulo a power of two have no hold on it.
+    The hash of bytes[i:j] is the sum of table[byte] * base**(k - i), modulo 2**64, then scrambled: it depends on the
+    content alone, not on the place. A polynomial modulo a power of two has collisions whatever its table and base are
+    (Thue-Morse words), so equality of content is decided by `content_hashes` and `digests` instead.
     """
 
     def __init__(self, data: np.ndarray):
@@ -51,5 +55,42 @@ class Fingerprints:
         self.sums = np.zeros(n + 1, np.uint64)
         np.cumsum(_TABLE[data] * up[:n], out=self.sums[1:], dtype=np.uint64)
 
+    def rolling(self, width: int) -> np.ndarray:
+        """The hashes of all substrings of `width` bytes."""
+        n = len(self.sums) - width
+        return mix64((self.sums[width:] - self.sums[:n]) * self.down[:n] + np.uint64(width))
+
     def __call__(self, start: np.ndarray, end: np.ndarray) -> np.ndarray:
         return mix64((self.sums[end] - self.sums[start]) * self.down[start] + (end - start).astype(np.uint64))
+
+
+def content_hashes(data: np.ndarray, start: np.ndarray, end: np.ndarray, seed: int = 0, longest: int = 256) -> np.ndarray:
+    """64-bit hashes of the substrings [start, end) of a byte array, by their content alone.
+
+    A chain over 8 bytes at a time, each scrambled by a bijection that is not linear over the state: strings of
+    one length up to 8 never collide, others as random numbers do. Strings over `longest` bytes enter by their digest.
+    """
+    size = end - start
+    state = mix64((size.astype(np.uint64) + np.uint64(1)) * np.uint64(_ODD) + np.uint64(seed))
+    if not len(size):
+        return state
+    words = np.concatenate((data, np.zeros(8, np.uint8)))
+    at = np.flatnonzero(size <= longest)
+    for step in range(0, int(size[at].max(initial=0)), 8):
+        at = at[size[at] > step]
+        first = start[at] + step
+        load = np.lib.stride_tricks.sliding_window_view(words, 8)[first].view(np.uint64)[:, 0]
+        left = np.minimum(size[at] - step, 8).astype(np.uint64)
+        load = load & (np.uint64(0xFFFFFFFFFFFFFFFF) >> (np.uint64(64) - np.uint64(8) * left))
+        state[at] = mix64(state[at] ^ mix64(load + np.uint64(0xA0761D6478BD642F)))
+    far = np.flatnonzero(size > longest)
+    if len(far):
+        state[far] = mix64(digests(data, start[far], end[far])[:, 0] ^ np.uint64(seed))
+    return state
+
+
+def digests(data: np.ndarray, start: np.ndarray, end: np.ndarray) -> np.ndarray:
+    """Keyed 128-bit BLAKE2 digests of the substrings [start, end), as two 64-bit numbers each."""
+    view, blake = memoryview(np.ascontiguousarray(data)), hashlib.blake2b
+    out = [blake(view[a:b], digest_size=16, key=DIGEST_KEY).digest() for a, b in zip(start.tolist(), end.tolist(), strict=True)]
+    return np.frombuffer(b"".join(out), np.uint64).reshape(-1, 2)

@@ -5,7 +5,7 @@ from __future__ import annotations
 import numpy as np
 
 from sparkloom.llm.common import BLOCK_BYTES
-from sparkloom.llm.hashing import Fingerprints, mix64
+from sparkloom.llm.hashing import content_hashes, mix64
 
 #: Words are runs of bytes other than the space and the five control characters 9 to 13.
 _SPACE = np.zeros(256, bool)
@@ -55,7 +55,7 @@ def _word_hashes(data: np.ndarray, offsets: np.ndarray, piece: int) -> tuple[np.
             at = end
         return np.concatenate(parts), np.array([total])
     starts, ends, counts = word_spans(data, offsets)
-    return (Fingerprints(_LOWER[data])(starts, ends) if len(starts) else np.zeros(0, np.uint64)), counts
+    return content_hashes(_LOWER[data], starts, ends), counts
 
 
 def shingle_sets(data: np.ndarray, offsets: np.ndarray, size: int, piece: int = 4 * BLOCK_BYTES) -> list[np.ndarray]:
