@@ -15,7 +15,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from sparkloom.llm.common import BLOCK_BYTES, prepare, stored, text_blocks
-from sparkloom.llm.hashing import Fingerprints, byte_table, mix64
+from sparkloom.llm.hashing import byte_table, content_hashes, digests, mix64
 
 #: Bits of the gear hash that must be zero at a candidate for a boundary (one in 2**4 bytes on average).
 MASK_BITS = 4
@@ -23,7 +23,8 @@ MASK_BITS = 4
 #: the smallest hash of all is a boundary if there is no candidate; most bytes in a chunk. Chunks have about 40 bytes on
 #: average, so that a passage of 50 words holds several whole ones.
 WINDOW, RADIUS, FAR, MOST = 16, 16, 32, 256
-#: A run of repeated chunks counts from this many bytes on. A passage of 50 words is longer even without its edges.
+#: A run of repeated chunks counts from this many bytes on, or if it is a whole text. A passage of 50 words is longer in
+#: most languages even without its edges; 0 counts every repeated chunk.
 RUN_BYTES = 128
 
 _GEAR = byte_table(0x6EA2)
@@ -98,47 +99,46 @@ def chunk_starts(data: np.ndarray, offsets: np.ndarray, piece: int = 4 * BLOCK_B
     return first + step * MOST
 
 
+def _pieces(column: pa.Array) -> Iterator[tuple[int, np.ndarray, np.ndarray, np.ndarray, np.ndarray]]:
+    """First row, bytes, row offsets, and starts and ends of chunks, for some chunks at a time."""
+    for first, _, data, offsets in text_blocks(column):
+        start = chunk_starts(data, offsets)
+        end = np.concatenate((start[1:], [len(data)]))
+        cuts = np.searchsorted(start, np.arange(0, len(data) + 4 * BLOCK_BYTES, 4 * BLOCK_BYTES))
+        for a, b in zip(cuts[:-1].tolist(), cuts[1:].tolist(), strict=True):
+            if a < b:
+                yield first, data, offsets, start[a:b], end[a:b]
+
+
 def _chunks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """All chunks with a hash of their content (`d1`) and a keyed digest (`d2`), which make 128 bits together."""
     for batch in batches:
-        for first, _, data, offsets in text_blocks(batch.column("text")):
-            start = chunk_starts(data, offsets)
-            if not len(start):
-                continue
-            end = np.concatenate((start[1:], [len(data)]))
-            cuts = np.searchsorted(start, np.arange(0, len(data) + 4 * BLOCK_BYTES, 4 * BLOCK_BYTES))
-            for a, b in zip(cuts[:-1].tolist(), cuts[1:].tolist(), strict=True):
-                if a == b:
-                    continue
-                base = start[a]
-                fp = Fingerprints(data[base : end[b - 1]])
-                s, e = start[a:b] - base, end[a:b] - base
-                mid = (s + e) // 2
-                low = fp(s, e)
-                # A second digest from the chunk's halves makes 128 bits.
-                high = mix64(fp(s, mid) * np.uint64(0xC2B2AE3D27D4EB4F) + fp(mid, e))
-                row = np.searchsorted(offsets, start[a:b], "right") - 1
-                yield pa.RecordBatch.from_arrays(
-                    [
-                        batch.column("doc_id").take(pa.array(row + first)),
-                        batch.column("tk").take(pa.array(row + first)),
-                        pa.array((start[a:b] - offsets[row]).astype(np.int32)),
-                        pa.array((end[a:b] - offsets[row]).astype(np.int32)),
-                        pa.array(low.view(np.int64)),
-                        pa.array(high.view(np.int64)),
-                    ],
-                    names=["doc_id", "tk", "start", "end", "d1", "d2"],
-                )
+        for first, data, offsets, start, end in _pieces(batch.column("text")):
+            row = np.searchsorted(offsets, start, "right") - 1
+            yield pa.RecordBatch.from_arrays(
+                [
+                    batch.column("doc_id").take(pa.array(row + first)),
+                    batch.column("tk").take(pa.array(row + first)),
+                    pa.array((start - offsets[row]).astype(np.int32)),
+                    pa.array((end - offsets[row]).astype(np.int32)),
+                    pa.array(end == offsets[row + 1]),
+                    pa.array(content_hashes(data, start, end).view(np.int64)),
+                    pa.array(np.ascontiguousarray(digests(data, start, end)[:, 0]).view(np.int64)),
+                ],
+                names=["doc_id", "tk", "start", "end", "last", "d1", "d2"],
+            )
 
 
 def _distinct(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Per block of texts, the distinct first halves of the digests, and whether they occur more than once in it."""
-    for batch in _chunks(batches):
-        digest, count = np.unique(batch.column("d1").to_numpy(), return_counts=True)
-        yield pa.RecordBatch.from_arrays([pa.array(digest), pa.array(count > 1)], names=["d1", "twice"])
+    """Per block of texts, the distinct hashes of chunks, and whether they occur more than once in it."""
+    for batch in batches:
+        for _, data, _, start, end in _pieces(batch.column("text")):
+            found, count = np.unique(content_hashes(data, start, end).view(np.int64), return_counts=True)
+            yield pa.RecordBatch.from_arrays([pa.array(found), pa.array(count > 1)], names=["d1", "twice"])
 
 
 def repeated_chunks(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """All chunks whose content occurs more than once: `doc_id`, `tk` (hash of the text), `start`, `end`, `first`.
+    """All chunks whose content occurs more than once: `doc_id`, `tk` (hash of the text), `start`, `end`, `last` (of its text), `first`.
 
     `first` marks the occurrence that is kept: the one in the smallest (doc_id, tk), at its smallest start.
     """
@@ -147,20 +147,21 @@ def repeated_chunks(docs: DataFrame, *, id_col: str = "doc_id", text_col: str =
     # Half a digest is enough to drop the chunks that occur once; what is left is compared by the whole one.
     counts = texts.mapInArrow(_distinct, "d1 long, twice boolean").groupBy("d1").agg(F.count("*").alias("blocks"), F.bool_or("twice").alias("twice"))
     many = stored(counts.where("blocks > 1 or twice").select("d1"), "digests")
-    places = texts.mapInArrow(_chunks, "doc_id long, tk long, start int, end int, d1 long, d2 long")
+    places = texts.mapInArrow(_chunks, "doc_id long, tk long, start int, end int, last boolean, d1 long, d2 long")
     places = stored(places.join(many, "d1", "left_semi"), "chunks")
     keep = places.groupBy("d1", "d2").agg(F.min(F.struct("doc_id", "tk", "start")).alias("keep"), F.count("*").alias("times"))
     first = F.struct("doc_id", "tk", "start").eqNullSafe(F.col("keep"))
     keep = stored(keep.where("times > 1"), "kept")  # as a table of its own, so that the join can split a chunk found very often
-    return places.join(keep, ["d1", "d2"]).select("doc_id", "tk", "start", "end", first.alias("first"))
+    return places.join(keep, ["d1", "d2"]).select("doc_id", "tk", "start", "end", "last", first.alias("first"))
 
 
 def dedup_chunks(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", run_bytes: int = RUN_BYTES) -> DataFrame:
     """Per row: `doc_id`, `n_bytes`, `n_repeated` and `repeated` (runs of repeated chunks), `n_removed` and `removed`.
 
-    A run is a maximal stretch of chunks whose content occurs elsewhere, of `run_bytes` bytes at least; `repeated` holds
-    the runs in every document that has the passage, `removed` those that a deduplicated corpus drops: stretches of
-    chunks that are not the first occurrence of their content. Ranges are UTF-8 byte offsets.
+    A run is a maximal stretch of chunks whose content occurs elsewhere, of `run_bytes` bytes at least, or the whole text;
+    `repeated` holds the runs in every document that has the passage, `removed` those that a deduplicated corpus drops:
+    stretches of chunks that are not the first occurrence of their content. Ranges are UTF-8 byte offsets. With
+    `run_bytes=0` every chunk whose content occurs twice is in a run.
 
     Defined results: a null or empty text has no chunks; of repeated rows (equal id and text) every row gets the same
     answer, so one of them at least should be dropped beforehand where ids repeat; null ids come before all others;
@@ -174,8 +175,8 @@ def dedup_chunks(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "te
         in_order = W.partitionBy(*text).orderBy("start")
         new = F.coalesce(F.lag("end").over(in_order) != F.col("start"), F.lit(True)).cast("int")
         run = F.sum("new").over(in_order.rowsBetween(W.unboundedPreceding, 0))
-        each = chunks.withColumn("new", new).withColumn("run", run).groupBy(*text, "run").agg(F.min("start").alias("start"), F.max("end").alias("end"))
-        each = each.where(F.col("end") - F.col("start") >= run_bytes)
+        each = chunks.withColumn("new", new).withColumn("run", run).groupBy(*text, "run").agg(F.min("start").alias("start"), F.max("end").alias("end"), F.bool_or("last").alias("last"))
+        each = each.where((F.col("end") - F.col("start") >= run_bytes) | ((F.col("start") == 0) & F.col("last")))
         return each.groupBy(*text).agg(F.array_sort(F.collect_list(F.struct("start", "end"))).alias(name))
 
     repeated, removed = runs(found, "repeated"), runs(found.where("not first"), "removed")
