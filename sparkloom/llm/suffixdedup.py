@@ -5,15 +5,15 @@ hash in its middle. Consecutive windows with the same trigger form a phrase, fro
 one's end, so phrases overlap by less than a window and every window lies in exactly one phrase (the parse). Equal
 windows have the same trigger with the same bytes around it, so a window can only repeat within its trigger's key.
 
-1. The parse of all texts gives for each phrase a digest and its trigger's key. Counting digests gives the dictionary:
+1. The parse of all texts gives for each phrase a keyed BLAKE2 digest and its trigger's key. Counting digests gives the dictionary:
    a phrase seen twice has all of its windows repeated, one whose key is seen once has none.
 2. Only keys that hold both several phrases and phrases seen once remain open. Their dictionary entries, one copy of
    each, are gathered by key, and a suffix array over the concatenated entries, sorted as far as a window's width,
    brings equal windows next to each other.
 3. The parse carries the verdicts back to the texts.
 
-Repetitive text thus costs what its dictionary costs. A key with very many entries is dealt out by the fingerprints of
-its windows instead of being gathered in one task.
+Repetitive text thus costs what its dictionary costs. A key with very many entries is dealt out by the keyed digests
+of its windows instead of being gathered in one task.
 """
 
 from __future__ import annotations
@@ -28,11 +28,11 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from sparkloom.llm.common import BLOCK_BYTES, prepare, stored, text_blocks
-from sparkloom.llm.hashing import Fingerprints, mix64
+from sparkloom.llm.hashing import Fingerprints, digests, mix64
 
 #: Bytes of the rolling hash that picks triggers, and its least distance from either end of a window.
 GRAM, MARGIN = 16, 22
-#: A key with more distinct phrases than this is matched by window fingerprints over all tasks.
+#: A key with more distinct phrases than this is matched by its windows' keyed digests over all tasks.
 HOT_PHRASES = 5_000
 #: Bytes of dictionary entries in one suffix array; a single key may exceed it by HOT_PHRASES entries at most.
 ARRAY_BYTES = 1 << 20
@@ -63,8 +63,7 @@ def parse(data: np.ndarray, offsets: np.ndarray, width: int, piece: int = 4 * BL
         z = np.zeros(0, np.int64)
         return {"row": z, "lo": z, "hi": z, "k": z, "c": z}
     fp = Fingerprints(data)
-    at = np.arange(n - GRAM + 1)
-    best = (fp(at, at + GRAM) >> np.uint64(32) << np.uint64(32)) | at.astype(np.uint64)
+    best = (fp.rolling(GRAM) >> np.uint64(32) << np.uint64(32)) | np.arange(n - GRAM + 1, dtype=np.uint64)
     span, have = width - 2 * MARGIN - GRAM + 1, 1
     while have < span:
         step = min(have, span - have)
@@ -74,7 +73,7 @@ def parse(data: np.ndarray, offsets: np.ndarray, width: int, piece: int = 4 * BL
     new = np.flatnonzero(np.concatenate(([True], trigger[1:] != trigger[:-1])))
     lo, hi, trigger = starts[new], starts[np.concatenate((new[1:], [len(starts)])) - 1], trigger[new]
     key = fp(trigger - MARGIN, trigger + GRAM + MARGIN)
-    digest = mix64(fp(lo, hi + width) + (trigger - lo).astype(np.uint64) * np.uint64(0x9FB21C651E98DF25))
+    digest = mix64(digests(data, lo, hi + width)[:, 0] + (trigger - lo).astype(np.uint64) * np.uint64(0x9FB21C651E98DF25))
     row = np.searchsorted(offsets, lo, "right") - 1
     return {"row": row, "lo": lo - offsets[row], "hi": hi - offsets[row], "k": key.view(np.int64), "c": digest.view(np.int64)}
 
@@ -164,7 +163,7 @@ def _lists(column: pa.Array) -> Iterator[dict[str, np.ndarray] | None]:
 
 
 def _extract(width: int, hot: bool):
-    """Dictionary entries out of the texts: their bytes, or for keys with very many entries their windows' fingerprints."""
+    """Dictionary entries out of the texts: their bytes, or for keys with very many entries their windows' digests."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -177,7 +176,6 @@ def _extract(width: int, hot: bool):
                     continue
                 text = batch.column("text")[i].as_buffer()
                 text = np.frombuffer(text, np.uint8)
-                fp = Fingerprints(text) if hot else None
                 for j in pick.tolist():
                     lo, hi = int(work["lo"][j]), int(work["hi"][j])
                     each = np.arange(lo, hi + 1) if hot else [lo]
@@ -185,7 +183,7 @@ def _extract(width: int, hot: bool):
                     out[1] += [int(work["k"][j])] * len(each)
                     out[2] += [kind[j] in (_SINGLE, _HOT_SINGLE)] * len(each)
                     out[3] += list(map(int, each))
-                    out[4] += fp(each, each + width).view(np.int64).tolist() if hot else [text[lo : hi + width].tobytes()]
+                    out[4] += np.ascontiguousarray(digests(text, each, each + width)[:, 0]).view(np.int64).tolist() if hot else [text[lo : hi + width].tobytes()]
                     if len(out[0]) > 20_000:
                         yield _entries(ids, tks, out, hot)
                         out = [[] for _ in range(6)]

@@ -9,6 +9,7 @@ import numpy as np
 import pytest
 
 from sparkloom.llm import chunkdedup, neardup, suffixdedup
+from sparkloom.llm.hashing import Fingerprints, content_hashes, digests, mix64
 from sparkloom.llm.words import shingle_sets
 
 LOWER = str.maketrans("ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
@@ -270,3 +271,133 @@ def test_very_long_documents(spark):
     assert near == {0: 0, 1: 0, 2: 2}
     chunks = {r.doc_id: r for r in chunkdedup.dedup_chunks(frame(spark, texts)).collect()}
     assert chunks[0].n_repeated > len(base) - 600 and chunks[2].n_repeated == 0
+
+
+# Equality of content
+
+
+def thue_morse(n, one, two):
+    return bytes(one if bin(i).count("1") % 2 else two for i in range(n))
+
+
+def test_words_that_defeat_polynomial_hashes_differ():
+    a, b = thue_morse(1024, 97, 98), thue_morse(1024, 98, 97)
+    data = np.frombuffer(a + b" " + b, np.uint8)
+    assert Fingerprints(data)(np.array([0]), np.array([1024])) == Fingerprints(data)(np.array([1025]), np.array([2049]))
+    for longest in (256, 4096):
+        x = content_hashes(data, np.array([0, 1025]), np.array([1024, 2049]), longest=longest)
+        assert x[0] != x[1]
+    both = np.frombuffer(a + b, np.uint8)
+    assert not np.array_equal(*shingle_sets(both, np.array([0, 1024, 2048]), 4))
+    d = digests(both, np.array([0, 1024]), np.array([1024, 2048]))
+    assert d[0].tolist() != d[1].tolist()
+
+
+def test_content_hashes_depend_on_content_and_length_only():
+    rnd = random.Random(3)
+    raw = [bytes(rnd.choice(b"ab\x00") for _ in range(rnd.randrange(0, 40))) for _ in range(3000)] + [b"z" * 300, b"z" * 301, b"z" * 300]
+    data = np.frombuffer(b"".join(raw), np.uint8)
+    end = np.cumsum([len(r) for r in raw])
+    got = content_hashes(data, end - [len(r) for r in raw], end)
+    by = defaultdict(set)
+    for r, h in zip(raw, got.tolist()):
+        by[r].add(h)
+    assert all(len(h) == 1 for h in by.values()) and len({min(h) for h in by.values()}) == len(by)
+
+
+def test_thue_morse_documents(spark):
+    a, b = thue_morse(1024, 97, 98).decode(), thue_morse(1024, 98, 97).decode()
+    got = {r.doc_id: r.component_id for r in neardup.near_duplicates(frame(spark, [a, b, a])).collect()}
+    assert got == {0: 0, 1: 1, 2: 0}
+    # Equal but for one stretch, whose two forms collide under such hashes.
+    texts = [f"{a} {'q' * 300} {b}", f"{b} {'q' * 300} {a}"]
+    removed = {r.doc_id: r.n_removed for r in suffixdedup.remove_repeats(frame(spark, texts), width=1100).collect()}
+    assert removed == dict(enumerate(brute_removed(texts, 1100)))
+
+
+def brute_removed(texts, width):
+    where = Counter(t[i : i + width] for t in texts for i in range(len(t) - width + 1))
+    return [len({k for i in range(len(t) - width + 1) if where[t[i : i + width]] > 1 for k in range(i, i + width)}) for t in texts]
+
+
+# Chunks
+
+
+def plain_chunks(raw):
+    """Chunks of one text by the definition, byte after byte."""
+    gear, c, n = [int(x) for x in chunkdedup._GEAR], chunkdedup, len(raw)
+    rank = []
+    for i in range(n):
+        h = sum(gear[raw[i - k]] << k for k in range(c.WINDOW) if k <= i) % (1 << c.WINDOW)
+        r = int(mix64(np.array([h], np.uint64))[0]) >> 34
+        rank.append((r + (0 if h >> (c.WINDOW - c.MASK_BITS) == 0 else 1 << 30)) if i >= c.WINDOW - 1 else 0xFFFFFFFF)
+    starts = {0}
+    for i, r in enumerate(rank):
+        near, far = rank[max(0, i - c.RADIUS) : i + c.RADIUS + 1], rank[max(0, i - c.FAR) : i + c.FAR + 1]
+        if r != 0xFFFFFFFF and ((r < 1 << 30 and r == min(near)) or r == min(far)):
+            starts.add(i + 1)
+    out, cuts = [], sorted(s for s in starts if s < n) + [n]
+    for a, b in zip(cuts, cuts[1:]):
+        out += [(x, min(b, x + c.MOST)) for x in range(a, b, c.MOST)]
+    return out if n else []
+
+
+def plain_runs(chunks, n, run_bytes):
+    out = []
+    for a, b in chunks:
+        if out and out[-1][1] == a:
+            out[-1][1] = b
+        else:
+            out.append([a, b])
+    return [tuple(r) for r in out if r[1] - r[0] >= run_bytes or (r[0] == 0 and r[1] == n)]
+
+
+@pytest.mark.parametrize("run_bytes", [0, 128])
+def test_chunk_dedup_equals_plain_counting(spark, run_bytes):
+    rnd = random.Random(9)
+    passages = ["".join(rnd.choice("abcdefgh ") for _ in range(rnd.randrange(20, 600))) for _ in range(8)]
+    texts = [None, "", "x", "short copy", "short copy", "ab" * 300, "z" * 700, "z" * 600]
+    for _ in range(40):
+        texts.append("".join(rnd.choice([rnd.choice(passages), "".join(rnd.choice("ijklmn é") for _ in range(rnd.randrange(0, 300)))]) for _ in range(rnd.randrange(1, 6))))
+    raw = [(t or "").encode() for t in texts]
+    cut = [plain_chunks(r) for r in raw]
+    places = defaultdict(list)
+    for i, (r, c) in enumerate(zip(raw, cut)):
+        for a, b in c:
+            places[r[a:b]].append((i, a))
+    want = []
+    for i, (r, c) in enumerate(zip(raw, cut)):
+        many = [(a, b) for a, b in c if len(places[r[a:b]]) > 1]
+        later = [(a, b) for a, b in many if min(places[r[a:b]]) != (i, a)]
+        want.append((i, len(r), plain_runs(many, len(r), run_bytes), plain_runs(later, len(r), run_bytes)))
+    got = chunkdedup.dedup_chunks(frame(spark, texts), run_bytes=run_bytes).collect()
+    assert sorted((r.doc_id, r.n_bytes, [tuple(x) for x in r.repeated], [tuple(x) for x in r.removed]) for r in got) == want
+    assert all(r.n_repeated == sum(b - a for a, b in r.repeated) and r.n_removed == sum(b - a for a, b in r.removed) for r in got)
+
+
+def test_null_and_repeated_ids_of_passages(spark):
+    rnd = random.Random(4)
+    a, b = ("".join(rnd.choice("abcdefghijkl ") for _ in range(900)) for _ in range(2))
+    rows = [(1, a), (1, a), (1, b), (None, a), (None, b[:400]), (2, "other"), (None, None)]
+    df = spark.createDataFrame([(i, t, 1, 2, "c", "k") for i, t in rows], SCHEMA)
+    chunks = Counter((r.doc_id, r.n_bytes, r.n_repeated > 0) for r in chunkdedup.dedup_chunks(df).collect())
+    assert chunks == {(1, 900, True): 3, (None, 900, True): 1, (None, 400, True): 1, (2, 5, False): 1, (None, 0, False): 1}
+    cut = Counter((r.doc_id, r.n_bytes, r.n_removed) for r in suffixdedup.remove_repeats(df, width=200).collect())
+    assert cut == {(1, 900, 900): 2, (1, 900, 400): 1, (None, 900, 900): 1, (None, 400, 400): 1, (2, 5, 0): 1, (None, 0, 0): 1}
+
+
+def test_a_key_with_very_many_phrases(spark, monkeypatch):
+    """One passage within ever other surroundings: all its phrases share keys, few windows repeat beyond it."""
+    rnd = random.Random(6)
+    core = "".join(rnd.choice("abcdefghijklmnop") for _ in range(180))
+
+    def other(n):
+        return "".join(rnd.choice("qrstuvwxyz") for _ in range(n))
+
+    texts = [other(150) + core + other(150) for _ in range(60)]
+    texts += [texts[0][100:], texts[1][:400], other(5) + texts[2][120:380] + other(5)]
+    want = brute_removed(texts, 200)
+    for hot in (5_000, 8):
+        monkeypatch.setattr(suffixdedup, "HOT_PHRASES", hot)
+        got = {r.doc_id: r.n_removed for r in suffixdedup.remove_repeats(frame(spark, texts), width=200).collect()}
+        assert [got[i] for i in range(len(texts))] == want
