@@ -5,7 +5,6 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from sparkloom.functions import folding as fold
 from sparkloom.functions import scalars as s
 from sparkloom.plans.registry import Tables, query
 
@@ -181,63 +180,6 @@ def next_pow2(t: Tables) -> DataFrame:
     return t.events.select("event_id", s.next_pow2(F.col("event_id") % 3000, 2048).alias("side"))
 
 
-#: (name, type, number, text) of the literals of the folding matrix.
-_LITERALS = (("one", "number", 1.0, None), ("half", "number", 0.5, None), ("neg", "number", -7.0, None), ("true", "boolean", 1.0, None), ("false", "boolean", 0.0, None),
-             ("abc", "string", None, "abc"), ("num", "string", None, "12"), ("null", "null", None, None), ("undef", "undefined", None, None))
-_LIT_SQL = ", ".join(f"('{n}', '{k}', {'NULL' if v is None else f'CAST({v} AS DOUBLE)'}, {'NULL' if x is None else f'{chr(39)}{x}{chr(39)}'})" for n, k, v, x in _LITERALS)
-_NUM = "CASE WHEN {0}k IN ('number', 'boolean') THEN {0}v WHEN {0}k IN ('null', 'undefined') THEN CAST('nan' AS DOUBLE) WHEN {0}x = '12' THEN 12 END"
-_TXT = "CASE WHEN {0}k = 'string' THEN {0}x WHEN {0}k = 'number' AND {0}v = floor({0}v) THEN CAST(CAST({0}v AS BIGINT) AS VARCHAR) WHEN {0}k = 'boolean' THEN CASE WHEN {0}v <> 0 THEN 'true' ELSE 'false' END WHEN {0}k IN ('null', 'undefined') THEN {0}k END"
-
-
-@query(
-    f"""WITH l(n, k, v, x) AS (VALUES {_LIT_SQL}), p AS (SELECT a.n AS a, b.n AS b, a.k AS ak, b.k AS bk, {_NUM.format('a.')} AS an, {_NUM.format('b.')} AS bn,
-      {_TXT.format('a.')} AS atx, {_TXT.format('b.')} AS btx, a.v AS av, b.v AS bv, a.x AS ax, b.x AS bx FROM l a CROSS JOIN l b),
-    q AS (SELECT a, b, CASE WHEN ak = 'string' THEN atx || btx ELSE CAST(CASE WHEN isnan(an + bn) THEN NULL ELSE CAST((an + bn) * 100 AS BIGINT) END AS VARCHAR) END AS add1,
-      CASE WHEN ak = 'string' OR bk = 'string' THEN atx || btx ELSE CAST(CASE WHEN isnan(an + bn) THEN NULL ELSE CAST((an + bn) * 100 AS BIGINT) END AS VARCHAR) END AS add2,
-      CASE WHEN isnan(an * bn) THEN NULL ELSE CAST(an * bn * 100 AS BIGINT) END AS mul,
-      CASE WHEN an IS NULL OR bn IS NULL THEN NULL ELSE (CASE WHEN isnan(an) THEN 0 ELSE CAST(trunc(an) AS BIGINT) END) & (CASE WHEN isnan(bn) THEN 0 ELSE CAST(trunc(bn) AS BIGINT) END) END AS band,
-      CASE WHEN ak = 'string' AND bk = 'string' THEN ax < bx WHEN isnan(an) OR isnan(bn) THEN NULL ELSE an < bn END AS lt,
-      ak = bk AND (ak IN ('null', 'undefined') OR (ak = 'string' AND ax = bx) OR (ak IN ('number', 'boolean') AND av = bv)) AS same FROM p)
-    SELECT a, b, add1, add2, mul, band, lt, coalesce(same, false) AS same FROM q"""
-)
-def fold_matrix(t: Tables) -> DataFrame:
-    """Binary rules on every pair of literal kinds. Sums are given in hundredths; NaN and what can't be proved are null."""
-    lits = t.spark.createDataFrame([(n, k, v, x) for n, k, v, x in _LITERALS], "n string, type string, num double, str string")
-    a = lits.select(F.col("n").alias("a"), F.struct("type", "num", "str").alias("l"))
-    b = lits.select(F.col("n").alias("b"), F.struct("type", "num", "str").alias("r"))
-    x, y = F.col("l"), F.col("r")
-
-    def shown(v):
-        return F.when(v["type"] == "string", v["str"]).otherwise(F.when(~F.isnan(v["num"]), (v["num"] * 100).cast("long").cast("string")))
-
-    mul = fold.arithmetic("*", x, y)["num"]
-    return a.crossJoin(F.broadcast(b)).select(
-        "a", "b", shown(fold.add(x, y, either=False)).alias("add1"), shown(fold.add(x, y, either=True)).alias("add2"),
-        F.when(~F.isnan(mul), (mul * 100).cast("long")).alias("mul"), fold.bits("&", x, y)["num"].cast("long").alias("band"),
-        (fold.less(x, y)["num"] != 0).alias("lt"), (fold.strict_equals(x, y)["num"] != 0).alias("same"),
-    )
-
-
-@query(
-    f"""WITH l(n, k, v, x) AS (VALUES {_LIT_SQL}), p AS (SELECT n, k, {_NUM.format('')} AS num, {_TXT.format('')} AS txt,
-      CASE WHEN k IN ('number', 'boolean') THEN v <> 0 WHEN k = 'string' THEN x <> '' ELSE false END AS t FROM l)
-    SELECT n, NOT t AS negated, CASE WHEN isnan(num) THEN NULL ELSE CAST(trunc(num) AS BIGINT) END AS whole, txt AS text, k AS type, length(txt) AS size,
-      CASE WHEN isnan(num) THEN NULL ELSE CAST((num + 1) * 100 AS BIGINT) END AS more, ascii(txt) AS code FROM p"""
-)
-def fold_unary(t: Tables) -> DataFrame:
-    """Unary rules on every literal kind."""
-    lits = t.spark.createDataFrame([(n, k, v, x) for n, k, v, x in _LITERALS], "n string, type string, num double, str string")
-    v = F.struct("type", "num", "str")
-    lits = lits.select("n", v.alias("v"))
-    v = F.col("v")
-    whole, more = fold.unary("int", v)["num"], fold.unary("increment", v)["num"]
-    return lits.select(
-        "n", (fold.unary("not", v)["num"] != 0).alias("negated"), F.when(~F.isnan(whole), whole.cast("long")).alias("whole"), fold.unary("text", v)["str"].alias("text"),
-        fold.unary("typeof", v)["str"].alias("type"), fold.unary("length", v)["num"].cast("long").alias("size"),
-        F.when(~F.isnan(more), (more * 100).cast("long")).alias("more"), fold.unary("ord", v)["num"].cast("int").alias("code"),
-    )
-
-
 @query(
     f"""SELECT event_id, round(CASE WHEN c <= 0.04045 THEN c / 12.92 ELSE pow((c + 0.055) / 1.055, 2.4) END, 9) AS linear,
     CAST(round_even(CASE WHEN r = 0 THEN a WHEN r = 1 THEN b ELSE (1 - r) * a + r * b END, 0) AS BIGINT) AS morphed

@@ -1,5 +1,6 @@
 """Planners, geometry, hashes, program text, the stage cache, streams and literal folding."""
 
+import math
 import random
 import zlib
 from collections import Counter
@@ -146,18 +147,22 @@ def test_folding_edges(spark):
         return spark.range(1).select(column.alias("v")).first().v
 
     n, s, u = (lambda x: folding.literal("number", x)), (lambda x: folding.literal("string", text=x)), folding.literal("undefined")
-    assert one(folding.arithmetic("/", n(1.0), n(0.0)))["num"] == float("inf")
+    assert one(folding.arithmetic("/", n(1.0), n(0.0)))["num"] == float("inf") and one(folding.arithmetic("/", n(1.0), n(-0.0)))["num"] == float("-inf")
     assert one(folding.arithmetic("/", n(1.0), n(0.0), version=4))["str"] == "#ERROR#"
-    assert one(folding.arithmetic("%", n(-7.0), n(3.0)))["num"] == -1.0
-    assert one(folding.arithmetic("-", s("abc"), n(1.0))) is None
-    assert one(folding.add(s("a"), n(2.0), either=False))["str"] == "a2" and one(folding.add(n(2.0), s("3"), either=False))["num"] == 5.0
-    assert one(folding.add(n(2.0), s("3"), either=True))["str"] == "23"
+    assert one(folding.arithmetic("%", n(3.0), n(-7.0)))["num"] == -1.0  # the top modulo the other
+    assert math.isnan(one(folding.arithmetic("-", s("abc"), n(1.0)))["num"])
+    assert one(folding.add(s("a"), n(2.0), either=False)) is None and one(folding.add(n(2.0), s("3"), either=False))["num"] == 5.0
+    assert one(folding.add(n(2.0), s("3"), either=True)) is None
     assert one(folding.bits("<<", n(1.0), n(33.0)))["num"] == 2.0 and one(folding.bits(">>>", n(-1.0), n(28.0)))["num"] == 15.0 and one(folding.bits("|", n(4294967295.0), n(0.0)))["num"] == -1.0
-    assert one(folding.less(s("a"), s("b")))["num"] == 1.0 and one(folding.less(s("é"), s("b"))) is None and one(folding.less(u, n(1.0))) is None
+    assert one(folding.bits("|", n(1e20), n(0.0)))["num"] == 1661992960.0 and one(folding.bits("|", s("abc"), u))["num"] == 0.0
+    assert one(folding.less(s("a"), s("b")))["num"] == 1.0 and one(folding.less(s("é"), s("b")))["num"] == 0.0 and one(folding.less(u, n(1.0)))["num"] == 0.0
+    assert one(folding.less(s("\ufb01"), s("😀")))["num"] == 0.0  # by 16-bit units, not by code points
     assert one(folding.less(n(1.0), n(2.0), version=4))["type"] == "number"
-    assert one(folding.strict_equals(u, u))["num"] == 1.0 and one(folding.strict_equals(n(1.0), s("1")))["num"] == 0.0
+    assert one(folding.strict_equals(u, u))["num"] == 1.0 and one(folding.strict_equals(n(1.0), s("1"))) is None
     assert [one(folding.truthy(v)) for v in (n(0.0), n(2.0), s(""), s("0"), u)] == [False, True, False, True, False]
-    assert Counter([one(folding.truthy(s("0"), version=5))]) == Counter([False])
+    spelled = {"0x1F": 31.0, "0b101": 5.0, "0o17": 15.0, " 1e3\n": 1000.0, ".5": 0.5, "5.": 5.0, "+7": 7.0, "-Infinity": float("-inf"), "": 0.0, "\u00a0": 0.0}
+    assert {t: one(folding.spelled(F.lit(t))) for t in spelled} == spelled
+    assert all(math.isnan(one(folding.spelled(F.lit(t)))) for t in ("1f", "NaN", "infinity", "1 2", "-0x1", "0x", ".", "1e", "NULL"))
 
 
 def test_stages(spark, tmp_path):
@@ -191,13 +196,18 @@ def test_more_folding(spark):
 
     n, s = (lambda x: folding.literal("number", x)), (lambda x: folding.literal("string", text=x))
     null, undefined, yes = folding.literal("null"), folding.literal("undefined"), folding.literal("boolean", 1.0)
-    assert one(folding.loose_equals(null, undefined))["num"] == 1.0 and one(folding.loose_equals(null, n(0.0)))["num"] == 0.0
+    assert one(folding.loose_equals(null, undefined))["num"] == 1.0 and one(folding.loose_equals(null, n(0.0)))["num"] == 1.0
     assert one(folding.loose_equals(s("12"), n(12.0)))["num"] == 1.0 and one(folding.equals(n(float("nan")), n(1.0))) is None
     assert one(folding.logic("and", yes, n(0.0)))["num"] == 0.0 and one(folding.logic("or", yes, n(0.0)))["num"] == 1.0
     assert one(folding.compare_text("lt", s("a"), s("b")))["num"] == 1.0 and one(folding.compare_text("gt", s("é"), s("b"))) is None
+    assert one(folding.compare_text("eq", yes, s("true"))) is None and one(folding.compare_text("eq", s("é"), s("é")))["num"] == 1.0
     assert one(folding.concat_text(s("a"), yes))["str"] == "atrue" and one(folding.concat_text(s("a"), n(1.0))) is None
-    assert one(folding.unary("chr", n(65.9)))["str"] == "A" and one(folding.unary("int", n(-2.7)))["num"] == -2.0
-    assert one(folding.unary("mblength", s("éa")))["num"] == 2.0 and one(folding.unary("length", s("éa"))) is None
+    assert one(folding.unary("chr", n(65.0)))["str"] == "A" and one(folding.unary("chr", n(65.9))) is None and one(folding.unary("chr", n(0x3042)))["str"] == "あ"
+    assert one(folding.unary("chr", n(0xD800))) is None and one(folding.unary("chr", n(65536.0))) is None
+    assert one(folding.unary("mbchr", n(0x4142)))["str"] == "AB" and one(folding.unary("mbchr", n(65.0)))["str"] == "A" and one(folding.unary("mbord", s("AB")))["num"] == 0x4142
+    assert one(folding.unary("ord", s("😀")))["num"] == 0xD83D and one(folding.unary("ord", s("é")))["num"] == 233.0 and one(folding.unary("ord", n(65.0))) is None
+    assert one(folding.unary("int", n(-2.7)))["num"] == -2.0 and one(folding.unary("int", n(1e300)))["num"] == 1e300
+    assert one(folding.unary("mblength", s("é😀")))["num"] == 3.0 and one(folding.unary("length", s("éa"))) is None and one(folding.unary("length", s("a\tb"))) is None
 
 
 def test_strokes():
