@@ -20,12 +20,18 @@ def fixed8(raw: Column) -> Column:
 
 
 def float16(raw: Column) -> Column:
-    """Half-precision bits with a bias of 16, as a double; null for infinities and NaNs."""
+    """Half-precision bits (binary16, with a bias of 15) as a double, infinities and NaN included."""
     sign = F.when(raw.bitwiseAND(0x8000) != 0, -1.0).otherwise(1.0)
     exponent = F.shiftright(raw, 10).bitwiseAND(0x1F)
     fraction = raw.bitwiseAND(0x3FF).cast("double")
-    value = F.when(exponent == 0, fraction / 1024 * F.pow(F.lit(2.0), F.lit(-15.0))).otherwise((1 + fraction / 1024) * F.pow(F.lit(2.0), exponent - 16))
-    return F.when(exponent != 31, sign * value)
+    special = F.when(fraction == 0, F.lit(float("inf"))).otherwise(F.lit(float("nan")))
+    small = fraction * 2.0**-24
+    return sign * F.when(exponent == 31, special).when(exponent == 0, small).otherwise((1 + fraction / 1024) * F.pow(F.lit(2.0), exponent - 15))
+
+
+def float16_special(raw: Column) -> Column:
+    """'none', 'inf' or 'nan' for half-precision bits."""
+    return F.when(F.shiftright(raw, 10).bitwiseAND(0x1F) != 31, "none").when(raw.bitwiseAND(0x3FF) == 0, "inf").otherwise("nan")
 
 
 def round_away(x: Column) -> Column:
@@ -100,19 +106,33 @@ def transformed_rect(a: Column, b: Column, c: Column, d: Column, tx: Column, ty:
     return F.least(*xs), F.least(*ys), F.greatest(*xs), F.greatest(*ys)
 
 
-def segments(deviation: Column, tolerance: float) -> Column:
-    """Line segments for a curve: the root of deviation over tolerance, between 2 and 8."""
-    return F.least(F.lit(8), F.greatest(F.lit(2), F.ceil(F.sqrt(deviation / tolerance)))).cast("int")
+def distance_to_line(px: Column, py: Column, ax: Column, ay: Column, bx: Column, by: Column) -> Column:
+    """Distance of a point from the line through a and b; from a itself where these are one point."""
+    length = F.hypot(bx - ax, by - ay)
+    across = F.abs((px - ax) * (by - ay) - (py - ay) * (bx - ax))
+    return F.when(length == 0, F.hypot(px - ax, py - ay)).otherwise(F.try_divide(across, length))
+
+
+def segments(deviation: Column, tolerance: float = 0.1, most: int = 8) -> Column:
+    """Line segments for a curve: 1 within the tolerance, else the root of deviation over tolerance, from 2 to `most`.
+
+    A quadratic's deviation is half its control point's distance from the line between its ends; a tolerance that is not
+    positive counts as 0.1.
+    """
+    tolerance = tolerance if tolerance > 0 else 0.1
+    return F.when(deviation <= tolerance, 1).otherwise(F.least(F.lit(most), F.greatest(F.lit(2), F.ceil(F.sqrt(deviation / tolerance))))).cast("int")
 
 
 def srgb_to_linear(c: Column) -> Column:
-    """A channel in [0, 1] from the sRGB curve to linear light."""
-    return F.when(c <= 0.04045, c / 12.92).otherwise(F.pow((c + 0.055) / 1.055, F.lit(2.4)))
+    """A channel byte from the sRGB curve to linear light in [0, 1]."""
+    x = c / 255.0
+    return F.when(x <= 0.04045, x / 12.92).otherwise(F.pow((x + 0.055) / 1.055, F.lit(2.4)))
 
 
 def linear_to_srgb(c: Column) -> Column:
-    """The other way round."""
-    return F.when(c <= 0.0031308, c * 12.92).otherwise(1.055 * F.pow(c, F.lit(1 / 2.4)) - 0.055)
+    """The other way round: linear light, held to [0, 1], as a channel byte rounded half up."""
+    x = F.least(F.lit(1.0), F.greatest(F.lit(0.0), c))
+    return round_up(255 * F.when(x <= 0.0031308, x * 12.92).otherwise(1.055 * F.pow(x, F.lit(1 / 2.4)) - 0.055)).cast("int")
 
 
 def morph(a: Column, b: Column, ratio: Column) -> Column:

@@ -8,9 +8,11 @@ from __future__ import annotations
 from collections.abc import Callable, Iterator
 
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from sparkloom.functions.scalars import next_pow2
+
 
 def _streamed(df: DataFrame, group: str, order: str, columns: list[str], schema: str, step: Callable[[], Callable[[dict], list[dict]]]) -> DataFrame:
     """Applies a fresh `step` to each group's rows in order; it returns rows to emit, and gets None at the end."""
@@ -44,8 +46,9 @@ def _streamed(df: DataFrame, group: str, order: str, columns: list[str], schema:
 def plan_batches(items: DataFrame, *, most_boxes: int = 64, most_materials: int = 8) -> DataFrame:
     """Draw batches of `items` (`scene`, `idx`, `material`, `opaque`, `clip`, `x0`, `y0`, `x1`, `y1`): `scene`, `segment`, `batch`, `material`, `n`.
 
-    A segment ends where an item overlaps one before it in the segment, where the clip changes, or at 64 boxes or 8
-    materials. In a segment, opaque items of one material form a batch; each translucent item is a batch of its own.
+    A segment of opaque items ends where an item overlaps one before it in the segment, where the clip changes, at 64
+    boxes, or where a ninth material comes. In a segment, items of one material form a batch. A translucent item ends the
+    segment and is a segment and a batch of its own, so nothing is merged across it.
     """
 
     def step() -> Callable[[dict | None], list[dict]]:
@@ -61,21 +64,20 @@ def plan_batches(items: DataFrame, *, most_boxes: int = 64, most_materials: int
         def take(row: dict | None) -> list[dict]:
             if row is None:
                 return flush()
+            if not row["opaque"]:
+                done = flush()
+                state["out"].append({"scene": row["scene"], "material": row["material"], "n": 1})
+                return done + flush()
             box = (row["x0"], row["y0"], row["x1"], row["y1"])
             meets = any(box[0] < b[2] and b[0] < box[2] and box[1] < b[3] and b[1] < box[3] for b in state["boxes"])
             full = len(state["boxes"]) >= most_boxes or (row["material"] not in state["open"] and len(state["open"]) >= most_materials)
             done = flush() if state["boxes"] and (meets or full or row["clip"] != state["clip"]) else []
             state["clip"] = row["clip"]
             state["boxes"].append(box)
-            at = state["open"].get(row["material"]) if row["opaque"] else None
-            if at is None:
-                state["out"].append({"scene": row["scene"], "material": row["material"], "n": 1})
-                if row["opaque"]:
-                    state["open"][row["material"]] = len(state["out"]) - 1
-                else:
-                    state["open"].setdefault(row["material"], None)
-            else:
-                state["out"][at]["n"] += 1
+            at = state["open"].setdefault(row["material"], len(state["out"]))
+            if at == len(state["out"]):
+                state["out"].append({"scene": row["scene"], "material": row["material"], "n": 0})
+            state["out"][at]["n"] += 1
             return done
 
         return take
@@ -111,33 +113,44 @@ def fifo_cache(uses: DataFrame, size: int) -> DataFrame:
     return _streamed(uses, "run", "idx", ["run", "idx", "key"], "run long, hits long, misses long, evictions long", step)
 
 
-def pack_shelves(glyphs: DataFrame, side: int = 512, gutter: int = 1) -> DataFrame:
+def page_side(count: Column, most: int = 2048) -> Column:
+    """The side of a font's pages, from the number of its drawable glyphs: a power of two from 512 to `most`."""
+    wanted = F.greatest(F.lit(512), F.ceil(F.sqrt(F.greatest(count, F.lit(1)).cast("double")) * 56))
+    return next_pow2(F.least(wanted, F.lit(most)), most)
+
+
+def pack_shelves(glyphs: DataFrame, *, side: int | None = None, gutter: int = 2, most: int = 2048) -> DataFrame:
     """Places of `glyphs` (`font`, `idx`, `width`, `height`) on pages: left to right, then a new shelf, then a new page.
 
-    A glyph wider or higher than a page gets no place (null).
+    Every glyph has a gutter on each side, and a shelf is as high as its highest glyph with both gutters. Pages of a font
+    have one `side`, by default that of `page_side`. A glyph without area, or too large for a page of `most`, is not drawn
+    and gets no place (null).
     """
+    drawn = (F.col("width") > 0) & (F.col("height") > 0) & (F.col("width") + 2 * gutter <= most) & (F.col("height") + 2 * gutter <= most)
+    counts = glyphs.groupBy("font").agg(F.count_if(drawn).alias("count"))
+    sides = counts.select("font", (page_side(F.col("count"), most) if side is None else F.lit(side)).alias("side"))
+    rows = glyphs.select("font", "idx", "width", "height", F.coalesce(drawn, F.lit(False)).alias("drawn")).join(sides, "font")
 
     def step() -> Callable[[dict | None], list[dict]]:
-        at = {"page": 0, "x": gutter, "y": gutter, "shelf": 0}
+        at = {"page": 0, "x": gutter, "y": gutter, "shelf": 0, "used": False}
 
         def take(row: dict | None) -> list[dict]:
             if row is None:
                 return []
-            w, h = row["width"], row["height"]
-            if w + 2 * gutter > side or h + 2 * gutter > side:
-                return [{"font": row["font"], "idx": row["idx"], "page": None, "x": None, "y": None}]
-            if at["x"] + w + gutter > side:
-                at.update(x=gutter, y=at["y"] + at["shelf"] + gutter, shelf=0)
-            if at["y"] + h + gutter > side:
+            w, h, size = row["width"], row["height"], row["side"]
+            if not row["drawn"]:
+                return [{"font": row["font"], "idx": row["idx"], "side": size, "page": None, "x": None, "y": None}]
+            if at["x"] + w + gutter > size:
+                at.update(x=gutter, y=at["y"] + at["shelf"], shelf=0)
+            if at["y"] + h + gutter > size and at["used"]:
                 at.update(page=at["page"] + 1, x=gutter, y=gutter, shelf=0)
-            out = {"font": row["font"], "idx": row["idx"], "page": at["page"], "x": at["x"], "y": at["y"]}
-            at["x"] += w + gutter
-            at["shelf"] = max(at["shelf"], h)
+            out = {"font": row["font"], "idx": row["idx"], "side": size, "page": at["page"], "x": at["x"], "y": at["y"]}
+            at.update(x=at["x"] + w + 2 * gutter, shelf=max(at["shelf"], h + 2 * gutter), used=True)
             return [out]
 
         return take
 
-    return _streamed(glyphs, "font", "idx", ["font", "idx", "width", "height"], "font long, idx long, page int, x int, y int", step)
+    return _streamed(rows, "font", "idx", ["font", "idx", "width", "height", "drawn", "side"], "font long, idx long, side int, page int, x int, y int", step)
 
 
 def taken_names(names: DataFrame) -> DataFrame:

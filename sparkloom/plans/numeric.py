@@ -28,12 +28,16 @@ def fixed_point(t: Tables) -> DataFrame:
 
 
 @query(
-    f"""SELECT event_id, CASE WHEN (v >> 10) & 31 = 31 THEN NULL ELSE (CASE WHEN v & 32768 <> 0 THEN -1.0 ELSE 1.0 END) *
-    CASE WHEN (v >> 10) & 31 = 0 THEN (v & 1023) / 1024.0 * pow(2.0, -15) ELSE (1 + (v & 1023) / 1024.0) * pow(2.0, ((v >> 10) & 31) - 16) END END AS x FROM (SELECT event_id, {_V} AS v FROM events)"""
+    f"""SELECT event_id, CASE WHEN e = 31 THEN NULL WHEN e = 0 THEN s * m / 16777216.0 ELSE s * CAST(1024 + m AS DOUBLE) * pow(2.0, e - 25) END AS x,
+    CASE WHEN e < 31 THEN 'none' WHEN m = 0 THEN 'inf' ELSE 'nan' END AS special
+    FROM (SELECT event_id, (v // 1024) % 32 AS e, v % 1024 AS m, CASE WHEN v >= 32768 THEN -1.0 ELSE 1.0 END AS s FROM (SELECT event_id, CASE WHEN event_id % 50 = 0 THEN 31744 + event_id % 3 ELSE {_V} END AS v FROM events))"""
 )
 def half_float(t: Tables) -> DataFrame:
-    """Half-precision fields; special values are null."""
-    return raw(t).select("event_id", s.float16(F.col("v")).alias("x"))
+    """Half-precision fields with the class of special values (shown as null)."""
+    i = F.col("event_id")
+    v = raw(t).select("event_id", F.when(i % 50 == 0, 31744 + i % 3).otherwise(F.col("v")).alias("v"))
+    special = s.float16_special(F.col("v"))
+    return v.select("event_id", F.when(special == "none", s.float16(F.col("v"))).alias("x"), special.alias("special"))
 
 
 @query("SELECT event_id, CAST(CASE WHEN h >= 0 THEN floor(h + 0.5) ELSE -floor(-h + 0.5) END AS BIGINT) AS x FROM (SELECT event_id, (event_id % 41 - 20) / 2.0 AS h FROM events)")
@@ -130,10 +134,10 @@ def clip_intersect(t: Tables) -> DataFrame:
 @query(
     """SELECT user_id, CAST(abs(sum(x * ny - nx * y)) AS BIGINT) AS twice_area, count(*) AS n FROM (
     SELECT user_id, x, y, coalesce(lead(x) OVER w, first_value(x) OVER w) AS nx, coalesce(lead(y) OVER w, first_value(y) OVER w) AS ny FROM (
-      SELECT user_id, event_id, event_id % 100 AS x, CAST(floor(value) AS BIGINT) AS y FROM events) WINDOW w AS (PARTITION BY user_id ORDER BY event_id ROWS BETWEEN UNBOUNDED PRECEDING AND UNBOUNDED FOLLOWING)) GROUP BY ALL HAVING count(*) >= 3"""
+      SELECT user_id, event_id, event_id % 100 AS x, CAST(floor(value) AS BIGINT) AS y FROM events) WINDOW w AS (PARTITION BY user_id ORDER BY event_id ROWS BETWEEN UNBOUNDED PRECEDING AND UNBOUNDED FOLLOWING)) GROUP BY ALL HAVING count(*) >= 3 AND sum(x * ny - nx * y) <> 0"""
 )
 def polygon_area(t: Tables) -> DataFrame:
-    """Twice the area of each polygon; those with fewer than three points are left out."""
+    """Twice the area of each polygon; those with fewer than three points or no area are left out."""
     from pyspark.sql import Window as W
 
     e = t.events.select("user_id", "event_id", (F.col("event_id") % 100).alias("x"), F.floor("value").cast("long").alias("y"))
@@ -141,13 +145,20 @@ def polygon_area(t: Tables) -> DataFrame:
     whole = w.rowsBetween(W.unboundedPreceding, W.unboundedFollowing)
     e = e.withColumns({f"n{c}": F.coalesce(F.lead(c).over(w), F.first(c).over(whole)) for c in ("x", "y")})
     out = e.groupBy("user_id").agg(F.abs(F.sum(F.col("x") * F.col("ny") - F.col("nx") * F.col("y"))).alias("twice_area"), F.count("*").alias("n"))
-    return out.where("n >= 3")
+    return out.where("n >= 3 and twice_area >= 2e-9")
 
 
-@query("SELECT event_id, CAST(least(8, greatest(2, ceil(sqrt(floor(value) / 4.0)))) AS INTEGER) AS n FROM events")
+@query(
+    """SELECT event_id, d AS distance, CASE WHEN d / 2 <= 4 THEN 1 WHEN d / 2 <= 16 THEN 2 WHEN d / 2 <= 36 THEN 3 WHEN d / 2 <= 64 THEN 4 WHEN d / 2 <= 100 THEN 5 WHEN d / 2 <= 144 THEN 6 WHEN d / 2 <= 196 THEN 7 ELSE 8 END AS n
+    FROM (SELECT event_id, CASE event_id % 4 WHEN 0 THEN abs(y) WHEN 1 THEN abs(x) WHEN 2 THEN abs(4 * x - 3 * y) / 5 ELSE sqrt(x * x + y * y) END AS d
+      FROM (SELECT event_id, CAST(event_id % 97 - 48 AS DOUBLE) AS x, CAST(floor(value) AS DOUBLE) AS y FROM events))"""
+)
 def curve_segments(t: Tables) -> DataFrame:
-    """Segments that a curve is cut into."""
-    return t.events.select("event_id", s.segments(F.floor("value").cast("double"), 4.0).alias("n"))
+    """Segments that a curve is cut into, by its control point's distance from a level, an upright, a 3-4-5 or no line."""
+    i, zero = F.col("event_id"), F.lit(0.0)
+    e = t.events.select("event_id", (i % 97 - 48).cast("double").alias("x"), F.floor("value").cast("double").alias("y"), F.when(i % 4 == 0, 7.0).when(i % 4 == 2, 3.0).otherwise(0.0).alias("bx"), F.when(i % 4 == 1, 5.0).when(i % 4 == 2, 4.0).otherwise(0.0).alias("by"))
+    e = e.select("event_id", s.distance_to_line(F.col("x"), F.col("y"), zero, zero, F.col("bx"), F.col("by")).alias("distance"))
+    return e.select("event_id", "distance", s.segments(F.col("distance") / 2, 4.0).alias("n"))
 
 
 @query("SELECT event_id, CASE WHEN u = 0 THEN a WHEN u = 1 THEN b ELSE (1 - u) * a + u * b END AS x FROM (SELECT event_id, CAST(event_id % 50 AS DOUBLE) AS a, CAST(event_id % 70 AS DOUBLE) AS b, event_id % 5 / 4.0 AS u FROM events)")
@@ -181,11 +192,13 @@ def next_pow2(t: Tables) -> DataFrame:
 
 
 @query(
-    f"""SELECT event_id, round(CASE WHEN c <= 0.04045 THEN c / 12.92 ELSE pow((c + 0.055) / 1.055, 2.4) END, 9) AS linear,
+    f"""SELECT event_id, round(CASE WHEN c <= 10.31475 THEN c / 255.0 / 12.92 ELSE pow((c / 255.0 + 0.055) / 1.055, 2.4) END, 9) AS linear,
+    CASE WHEN l <= 0 THEN 0 WHEN l >= 1 THEN 255 ELSE CAST(floor(255 * CASE WHEN l <= 0.0031308 THEN l * 12.92 ELSE 1.055 * pow(l, 1 / 2.4) - 0.055 END + 0.5) AS INTEGER) END AS channel,
     CAST(round_even(CASE WHEN r = 0 THEN a WHEN r = 1 THEN b ELSE (1 - r) * a + r * b END, 0) AS BIGINT) AS morphed
-    FROM (SELECT event_id, event_id % 256 / 255.0 AS c, CAST(event_id % 800 - 400 AS DOUBLE) AS a, CAST(event_id % 640 AS DOUBLE) AS b, {_V} / 65535.0 AS r FROM events)"""
+    FROM (SELECT event_id, event_id % 256 AS c, (event_id % 1300 - 100) / 1000.0 AS l, CAST(event_id % 800 - 400 AS DOUBLE) AS a, CAST(event_id % 640 AS DOUBLE) AS b, {_V} / 65535.0 AS r FROM events)"""
 )
 def light_and_morph(t: Tables) -> DataFrame:
-    """Channels in linear light, and coordinates between two shapes."""
+    """Channels to linear light and back, and coordinates between two shapes."""
     i = F.col("event_id")
-    return raw(t).select("event_id", F.round(s.srgb_to_linear(i % 256 / 255.0), 9).alias("linear"), s.morph(i % 800 - 400, i % 640, F.col("v")).alias("morphed"))
+    light, channel = F.round(s.srgb_to_linear(i % 256), 9), s.linear_to_srgb((i % 1300 - 100) / 1000.0)
+    return raw(t).select("event_id", light.alias("linear"), channel.alias("channel"), s.morph(i % 800 - 400, i % 640, F.col("v")).alias("morphed"))

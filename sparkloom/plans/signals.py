@@ -18,14 +18,16 @@ def samples(t: Tables) -> DataFrame:
 
 @query(
     f"""SELECT user_id, max(abs(v)) AS peak, CAST(sum(v * v) AS BIGINT) AS energy, CASE WHEN sum(v * v) = 0 THEN NULL ELSE round(20 * log10(sqrt(sum(v * v) / count(*)) / 500.0), 2) END AS dbfs,
-    coalesce(20 * log10(sqrt(sum(v * v) / count(*)) / 500.0) < -60, true) AS silent FROM {_SIG} GROUP BY ALL"""
+    sum(v * v) * 4 <= count(*) AS gated, max(abs(v)) = 0 AS silent FROM (SELECT user_id, CASE WHEN user_id % 9 = 0 THEN 0 WHEN user_id % 9 = 1 THEN i % 4 // 3 WHEN user_id % 9 = 2 THEN i % 2 ELSE v END AS v FROM {_SIG}) GROUP BY ALL"""
 )
 def signal_levels(t: Tables) -> DataFrame:
-    """Peak and level of each signal; silence has no level."""
-    v = F.col("v")
-    g = samples(t).groupBy("user_id").agg(F.max(F.abs(v)).alias("peak"), F.sum(v * v).alias("energy"), F.count("*").alias("n"))
-    level = F.when(F.col("energy") > 0, 20 * F.log10(F.sqrt(F.col("energy") / F.col("n")) / 500.0))
-    return g.select("user_id", "peak", "energy", F.round(level, 2).alias("dbfs"), F.coalesce(level < -60, F.lit(True)).alias("silent"))
+    """Peak and level of each signal, full scale being 500; silence has no level, and the gate closes at -60 dB or less."""
+    v, u = F.col("v"), F.col("user_id") % 9
+    quiet = F.when(u == 0, 0).when(u == 1, F.floor(F.col("i") % 4 / 3)).when(u == 2, F.col("i") % 2).otherwise(v)  # a few signals at and around the gate
+    g = samples(t).withColumn("v", quiet.cast("long")).groupBy("user_id").agg(F.max(F.abs(v)).alias("peak"), F.sum(v * v).alias("energy"), F.count("*").alias("n"))
+    rms = F.sqrt(F.col("energy") / F.col("n")) / 500.0
+    level = F.when(F.col("energy") > 0, 20 * F.log10(rms))
+    return g.select("user_id", "peak", "energy", F.round(level, 2).alias("dbfs"), (rms <= 0.001).alias("gated"), (F.col("energy") == 0).alias("silent"))
 
 
 @query(f"SELECT user_id, i // 16 AS chunk, max(abs(v)) AS peak, count(*) AS n FROM {_SIG} GROUP BY ALL")
@@ -36,12 +38,12 @@ def chunk_peaks(t: Tables) -> DataFrame:
 
 @query(
     f"""WITH s AS (SELECT * FROM {_SIG}), l AS (SELECT user_id, count(*) AS n FROM s GROUP BY ALL),
-    o AS (SELECT user_id, n, unnest(range(0, n * 2 // 3)) AS k FROM l), p AS (SELECT user_id, k, k * 3 // 2 AS j, k * 3 % 2 AS w, n FROM o),
+    o AS (SELECT user_id, n, unnest(range(0, CAST(round(n * 2 / 3) AS BIGINT))) AS k FROM l), p AS (SELECT user_id, k, k * 3 // 2 AS j, k * 3 % 2 AS w, n FROM o),
     q AS (SELECT p.user_id, p.k, a.v * (2 - w) + coalesce(b.v, a.v) * w AS num FROM p JOIN s a ON a.user_id = p.user_id AND a.i = p.j LEFT JOIN s b ON b.user_id = p.user_id AND b.i = p.j + 1)
     SELECT user_id, k, CASE WHEN num < 0 THEN -((-num + 1) // 2) ELSE (num + 1) // 2 END AS v FROM q"""
 )
 def resample(t: Tables) -> DataFrame:
-    """Samples at two thirds of the rate, by rational weights with rounded division.
+    """Samples at two thirds of the rate, by rational weights with rounded division; the length is rounded, too.
 
     Output k lies between the inputs floor(3 k / 2) and the next. Each input sends itself to the outputs it takes part
     in, so no self-join is needed.
@@ -51,7 +53,7 @@ def resample(t: Tables) -> DataFrame:
     s = s.withColumn("n", F.count("*").over(w)).withColumn("next", F.coalesce(F.lead("v").over(w.orderBy("i")), F.col("v")))
     # Input i is the base of outputs k with 3 k div 2 = i: k = ceil(2 i / 3) while 3 k < 2 i + 2.
     k = F.expr("(2 * i + 2) div 3")
-    s = s.withColumn("k", k).where("3 * k < 2 * i + 2 and k < n * 2 div 3")
+    s = s.withColumn("k", k).where("3 * k < 2 * i + 2 and k < (n * 2 + 1) div 3")
     num = F.col("v") * (2 - F.col("k") * 3 % 2) + F.col("next") * (F.col("k") * 3 % 2)
     s = s.withColumn("num", num)
     return s.select("user_id", "k", F.expr("CASE WHEN num < 0 THEN -((-num + 1) div 2) ELSE (num + 1) div 2 END").alias("v"))

@@ -51,6 +51,11 @@ _STEPS = (
 PACKET = 4096
 
 
+def code_delta(step: int, size: int, bits: int) -> int:
+    """The change that a code's magnitude stands for: each of its terms is cut to a whole number on its own."""
+    return (step >> (bits - 1)) + sum(step >> (bits - 2 - k) for k in range(bits - 1) if size >> k & 1)
+
+
 def adpcm(data: bytes, channels: int, samples: int | None = None) -> np.ndarray:
     """Samples as 16-bit planes. A packet starts with a sample and a step index per channel and holds 4095 codes more."""
     r = Reader(data)
@@ -62,7 +67,7 @@ def adpcm(data: bytes, channels: int, samples: int | None = None) -> np.ndarray:
             value, index = [], []
             for c in range(channels):
                 value.append(r.sb(16))
-                index.append(min(88, r.ub(6)))
+                index.append(r.ub(6))
             for c in range(channels):
                 out[c].append(value[c])
             for _ in range(PACKET - 1):
@@ -72,7 +77,7 @@ def adpcm(data: bytes, channels: int, samples: int | None = None) -> np.ndarray:
                     code = r.ub(bits)
                     size = code & (top - 1)
                     step = _STEPS[index[c]]
-                    delta = (step * (2 * size + 1)) >> (bits - 1)
+                    delta = code_delta(step, size, bits)
                     value[c] = max(-32768, min(32767, value[c] - delta if code & top else value[c] + delta))
                     index[c] = max(0, min(88, index[c] + _INDEX[bits][size]))
                     out[c].append(value[c])
@@ -91,10 +96,13 @@ def wav(planes: np.ndarray, rate: int) -> bytes:
 
 
 def resample(plane: np.ndarray, source: int, target: int) -> np.ndarray:
-    """Linear resampling by whole-number weights, rounded to the nearest, half away from zero."""
-    n = len(plane) * target // source
+    """Linear resampling by whole-number weights, rounded to the nearest, half away from zero; the length is rounded too."""
+    if source == target or not len(plane):
+        return plane.copy()
+    n = (len(plane) * target + source // 2) // source
     k = np.arange(n, dtype=np.int64) * source
-    base, w = k // target, k % target
+    base, w = np.minimum(k // target, len(plane) - 1), k % target
+    w[base == len(plane) - 1] = 0
     x = plane.astype(np.int64)
     num = x[base] * (target - w) + x[np.minimum(base + 1, len(x) - 1)] * w
     return (np.sign(num) * ((np.abs(num) + target // 2) // target)).astype(np.int16)
@@ -104,7 +112,7 @@ def levels(plane: np.ndarray) -> dict:
     """Peak and root mean square of a 16-bit plane, and the level in decibels (None for silence)."""
     x = plane.astype(np.float64)
     rms = float(np.sqrt((x * x).mean())) / 32768 if len(x) else 0.0
-    return {"peak": int(np.abs(x).max(initial=0)), "rms": rms, "dbfs": round(20 * float(np.log10(rms)), 2) if rms else None}
+    return {"peak": int(np.abs(x).max(initial=0)), "rms": rms, "dbfs": round(20 * float(np.log10(rms)), 2) if rms else None, "gated": rms <= 10 ** (-60 / 20)}
 
 
 def sound_samples(sounds: DataFrame) -> DataFrame:

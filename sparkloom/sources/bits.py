@@ -79,13 +79,13 @@ class Reader:
         return struct.unpack("<d", raw[4:] + raw[:4])[0]
 
     def f16(self) -> float:
-        """Half precision with an exponent bias of 16."""
+        """Half precision (binary16)."""
         raw = self.u16()
         sign, exponent, fraction = -1.0 if raw & 0x8000 else 1.0, raw >> 10 & 31, raw & 1023
         if exponent == 31:
             self.notes.append("special half float")
             return float("nan") if fraction else sign * float("inf")
-        return sign * (fraction / 1024 * 2.0**-15 if exponent == 0 else (1 + fraction / 1024) * 2.0 ** (exponent - 16))
+        return sign * (fraction * 2.0**-24 if exponent == 0 else (1 + fraction / 1024) * 2.0 ** (exponent - 15))
 
     def fixed(self) -> float:
         return self.s32() / 65536

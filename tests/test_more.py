@@ -19,7 +19,10 @@ def test_batches(spark):
             (1, 5, 9, True, None, 4, 4, 7, 7), (1, 6, 9, True, 3, 50, 50, 60, 60)]
     df = spark.createDataFrame(rows, "scene long, idx long, material long, opaque boolean, clip int, x0 int, y0 int, x1 int, y1 int")
     got = [(r.segment, r.material, r.n) for r in planning.plan_batches(df).orderBy("segment", "batch").collect()]
-    assert got == [(0, 7, 3), (0, 8, 1), (0, 7, 1), (1, 9, 1), (2, 9, 1)]
+    # Opaque, opaque, opaque | translucent, which nothing passes | opaque, opaque beside it | another clip.
+    assert got == [(0, 7, 2), (0, 8, 1), (1, 7, 1), (2, 7, 1), (2, 9, 1), (3, 9, 1)]
+    clear = spark.createDataFrame([(2, i, 5, i % 2 == 0, None, 0, 0, 9, 9) for i in range(4)], df.schema)
+    assert [(r.segment, r.n) for r in planning.plan_batches(clear).orderBy("segment").collect()] == [(0, 1), (1, 1), (2, 1), (3, 1)]
     many = spark.createDataFrame([(1, i, i % 9, True, None, 10 * i, 0, 10 * i + 5, 5) for i in range(130)], df.schema)
     assert planning.plan_batches(many).agg(F.sum("n")).first()[0] == 130
     assert planning.plan_batches(many).where("material = 8").agg(F.min("segment")).first()[0] == 1
@@ -44,10 +47,16 @@ def test_fifo_cache(spark):
 def test_shelves(spark):
     rnd = random.Random(2)
     glyphs = [(1, i, rnd.randrange(1, 40), rnd.randrange(1, 40)) for i in range(120)] + [(1, 120, 200, 3)]
-    got = planning.pack_shelves(spark.createDataFrame(glyphs, "font long, idx long, width int, height int"), side=100).collect()
+    got = planning.pack_shelves(spark.createDataFrame(glyphs, "font long, idx long, width int, height int"), side=100, most=100).collect()
     size = {i: (w, h) for _, i, w, h in glyphs}
     boxes = [(r.page, r.x, r.y, r.x + size[r.idx][0], r.y + size[r.idx][1]) for r in got if r.page is not None]
-    assert len(boxes) == 120 and all(b[3] < 100 and b[4] < 100 for b in boxes)
+    assert len(boxes) == 120 and all(b[3] <= 98 and b[4] <= 98 for b in boxes)
+    few = [(1, 0, 100, 30), (1, 1, 100, 50), (1, 2, 300, 10), (1, 3, 0, 9), (1, 4, 2045, 9), (1, 5, 20, 448), (1, 6, 20, 460)]
+    few = spark.createDataFrame(few, "font long, idx long, width int, height int")
+    placed = [(r.side, r.page, r.x, r.y) for r in planning.pack_shelves(few).orderBy("idx").collect()]
+    assert placed == [(512, 0, 2, 2), (512, 0, 106, 2), (512, 0, 210, 2), (512, None, None, None), (512, None, None, None), (512, 0, 2, 56), (512, 1, 2, 2)]
+    sides = spark.createDataFrame([(n,) for n in (0, 83, 84, 1337, 1400, 5000)], "n long")
+    assert [r.s for r in sides.select(planning.page_side(F.col("n")).alias("s")).collect()] == [512, 512, 1024, 2048, 2048, 2048]
     for i, a in enumerate(boxes):
         assert not any(a[0] == b[0] and a[1] < b[3] and b[1] < a[3] and a[2] < b[4] and b[2] < a[4] for b in boxes[:i])
 

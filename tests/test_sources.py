@@ -97,7 +97,7 @@ def test_readers():
     assert Reader(bytes([0xE5, 0x8E, 0x26])).encoded_u32() == 624485
     r = Reader(bytes([0x80, 0x00]))
     assert r.encoded_u32() == 0 and r.notes == ["overlong number"]
-    assert Reader(struct.pack("<H", 0x4000)).f16() == 1.0 and Reader(struct.pack("<H", 0xC400)).f16() == -2.0
+    assert [Reader(struct.pack("<H", x)).f16() for x in (0x3C00, 0x4000, 0xC400, 0x0001, 0x7BFF, 0x3555)] == [1.0, 2.0, -4.0, 2.0**-24, 65504.0, 0.333251953125]
     assert Reader(b"\xb0").sb(4) == -5 and Reader(b"\x48\x00").ub(5) == 9
     assert Reader(rect(-5, 70, 3, 900)).rect() == {"xMin": -5, "xMax": 70, "yMin": 3, "yMax": 900}
     assert Reader(matrix(-40, 7, 1.5)).matrix() == {"a": 1.5, "b": 0.0, "c": 0.0, "d": 1.5, "tx": -40, "ty": 7}
@@ -208,7 +208,33 @@ def test_mp3_frames_and_pcm():
     assert audio.pcm(struct.pack("<5h", 1, 2, 3, 4, 5), 16, 2).tolist() == [[1, 3], [2, 4]]
     assert audio.wav(np.zeros((2, 3), np.int16), 11025)[:4] == b"RIFF" and len(audio.wav(np.zeros((2, 3), np.int16), 11025)) == 56
     assert audio.resample(np.array([0, 10, 20, 30], np.int16), 2, 3).tolist() == [0, 7, 13, 20, 27, 30]
-    assert audio.levels(np.zeros(4, np.int16))["dbfs"] is None
+    assert audio.resample(np.array([0, 10, 20, 30], np.int16), 3, 2).tolist() == [0, 15, 30]  # 8 / 3 is nearer to 3
+    assert audio.resample(np.array([5, -7], np.int16), 8, 8).tolist() == [5, -7] and audio.resample(np.zeros(0, np.int16), 1, 2).tolist() == []
+    assert audio.levels(np.zeros(4, np.int16))["dbfs"] is None and audio.levels(np.full(4, 32, np.int16))["gated"] and not audio.levels(np.full(4, 33, np.int16))["gated"]
+
+
+def test_code_deltas_add_cut_terms():
+    """A step of 7 with codes of 4 bits: 7 >> 3, and 7 >> 2, 7 >> 1, 7 for the bits."""
+    assert [audio.code_delta(7, k, 4) for k in range(8)] == [0, 1, 3, 4, 7, 8, 10, 11]
+    assert [audio.code_delta(11, k, 3) for k in range(4)] == [2, 7, 13, 18] and [audio.code_delta(7, k, 2) for k in range(2)] == [3, 10]
+    assert [audio.code_delta(9, k, 5) for k in (1, 2, 4, 8, 15)] == [1, 2, 4, 9, 16]
+    off = [abs(audio.code_delta(s, k, bits) - (s * (2 * k + 1) >> (bits - 1))) for bits in (2, 3, 4, 5) for s in audio._STEPS for k in range(1 << (bits - 1))]
+    assert (len(off), sum(d > 0 for d in off), max(off)) == (2670, 884, 3)  # the closed form is another function
+
+
+def packed(text):
+    text += "0" * (-len(text) % 8)
+    return bytes(int(text[i : i + 8], 2) for i in range(0, len(text), 8))
+
+
+def test_adpcm_by_hand():
+    # 4 bits; sample 100, index 0 (step 7). Code 7: +11, index 8 (16). Code 12 (minus 4): -(2 + 16), index 10 (19). Code 1: 2 + 4, index 9.
+    data = packed("10" + format(100, "016b") + format(0, "06b") + "0111" + "1100" + "0001")
+    assert audio.adpcm(data, 1, 4).tolist() == [[100, 111, 93, 99]]
+    # 2 bits, two channels, interleaved: steps of 7 (index 0) and 3024 (index 63), then 9 (index 2) and 3660 (index 65).
+    data = packed("00" + format(0, "016b") + format(0, "06b") + format(-30000 & 0xFFFF, "016b") + format(63, "06b") + "01" + "11" + "10" + "00")
+    assert audio.adpcm(data, 2, 3).tolist() == [[0, 10, 6], [-30000, -32768, -30938]]
+    assert audio.adpcm(data[:6], 2, 3).shape[1] < 3
 
 
 def encode_adpcm(samples, bits):
@@ -216,16 +242,21 @@ def encode_adpcm(samples, bits):
     text, value, index = format(bits - 2, "02b"), samples[0], 0
     text += format(value & 0xFFFF, "016b") + format(index, "06b")
     out, top = [value], 1 << (bits - 1)
+
+    def decoded(c):
+        step, change = audio._STEPS[index], 0
+        for k in range(bits):  # the lowest bit stands for half a unit and is always set
+            if (2 * (c & (top - 1)) + 1) >> k & 1:
+                change += (step << k) >> (bits - 1)
+        return max(-32768, min(32767, value - change if c & top else value + change))
+
     for s in samples[1:]:
-        step = audio._STEPS[index]
-        code = min(range(1 << bits), key=lambda c: abs(max(-32768, min(32767, value + (-1 if c & top else 1) * ((step * (2 * (c & (top - 1)) + 1)) >> (bits - 1)))) - s))
-        delta = (step * (2 * (code & (top - 1)) + 1)) >> (bits - 1)
-        value = max(-32768, min(32767, value - delta if code & top else value + delta))
+        code = min(range(1 << bits), key=lambda c: abs(decoded(c) - s))
+        value = decoded(code)
         index = max(0, min(88, index + audio._INDEX[bits][code & (top - 1)]))
         text += format(code, f"0{bits}b")
         out.append(value)
-    text += "0" * (-len(text) % 8)
-    return bytes(int(text[i : i + 8], 2) for i in range(0, len(text), 8)), out
+    return packed(text), out
 
 
 @pytest.mark.parametrize("bits", [2, 3, 4, 5])
