@@ -1,20 +1,23 @@
 """Mixing sources to target weights by a hypergeometric splitting tree, in DataFrame and SQL functions only.
 
 Each source's documents fall into blocks by a seeded hash. A source's target fixes how many block draws the mix takes
-from it: whole passes over all its blocks, then, in a seeded order, whatever still fits into what is left (see `_fill`). These quotas are split exactly among output shards: a node of a binary tree over the shards hands each source's
-quota to its two halves by a multivariate hypergeometric draw (conditional univariate draws, source after source), as
-if all block draws had been shuffled and dealt out. A leaf thus knows how many draws of each source it gets, and takes
-that many from the source's permuted draws; no draw goes to two shards. Within a shard, records get a seeded order.
+from it: whole passes over all its blocks, then, in a seeded order, whatever still fits into what is left (see `_fill`).
+These quotas are split exactly among output shards: a node of a binary tree over the shards hands each source's quota to
+its two halves by a multivariate hypergeometric draw (conditional univariate draws, source after source), as if all block
+draws had been shuffled and dealt out. A leaf thus knows how many draws of each source it gets, and takes that many from
+the source's permuted draws; no draw goes to two shards. The rows of a mix are those draws: a document is emitted once for
+each draw of its block that it belongs to, in the draw's shard, where records get a seeded order.
 
 What the tree works on is one number per source and node. Documents meet it only by (source, block), which splits a
-source of any size over many tasks.
+source of any size over many tasks; running sums and ranks within a source are taken cell by cell, from counts before
+each cell.
 """
 
 from __future__ import annotations
 
 from dataclasses import dataclass
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
@@ -24,8 +27,11 @@ from sparkloom.llm.common import stored
 WEIGHTS = (1, 2, 3)
 #: No document is taken more often than this.
 MOST = 3
-#: Documents in a block on average, and blocks of a source at most (beyond that, blocks grow).
-BLOCK_ROWS, MOST_BLOCKS = 16, 65_536
+#: Documents in a block on average, and blocks of a source at most. Larger sources have larger blocks, which are filled
+#: part by part, with this many documents in a part on average.
+BLOCK_ROWS, MOST_BLOCKS, PART_ROWS = 16, 1 << 20, 64
+#: Bits of a place or hash that name its cell in the source's order.
+_CELL_BITS = 10
 SEED = 77_003
 
 #: Words are runs of anything but the space and characters 9 to 13.
@@ -117,20 +123,36 @@ def _sized(docs: DataFrame, id_col: str, text_col: str, source_col: str, seed: i
     )
 
 
+def _with_before(rows: DataFrame, keys: list[str], place: str, amount: Column, name: str) -> DataFrame:
+    """Rows with the sum of `amount` over all rows of their keys that come before them in the order of `place`.
+
+    Places are whole numbers from 0 to 2**63, evenly spread. Sums run within a cell of places, behind the sum of all cells
+    before it, so that no task sees more than a cell, or one row for each cell of its keys.
+    """
+    rows = rows.withColumn("cell", F.shiftright(place, 63 - _CELL_BITS).cast("int")).withColumn("amount", amount)
+    cells = rows.groupBy(*keys, "cell").agg(F.sum("amount").alias("sum"))
+    order = W.partitionBy(*keys).orderBy("cell").rowsBetween(W.unboundedPreceding, -1)
+    cells = cells.select(*keys, "cell", F.coalesce(F.sum("sum").over(order), F.lit(0)).alias("start"))
+    inside = W.partitionBy(*keys, "cell").orderBy(place).rowsBetween(W.unboundedPreceding, -1)
+    rows = rows.withColumn("inside", F.coalesce(F.sum("amount").over(inside), F.lit(0)))
+    return rows.join(cells, [*keys, "cell"]).withColumn(name, F.col("start") + F.col("inside")).drop("cell", "amount", "start", "inside")
+
+
 def _fill(groups: DataFrame, rests: DataFrame) -> DataFrame:
     """Fills what is left of each source's target: `groups` with `extra`, whether their documents are taken once more.
 
-    `groups` (`idx`, `pos` of the block in its source's seeded order, `mix_hash`, `size`) are walked through in order, and
-    each that fits into the room left is taken. A round sums up, block by block, the groups that fit into the room it
-    starts with; all blocks before the one that crosses it are settled, that one is filled group by group, and the next
-    round goes on behind it with what is left, until nothing fits. At last the one that brings the rest closest to
+    `groups` (`idx`, `block`, `pos` of the block's part in its source's seeded order, `mix_hash`, `size`) are walked through
+    in order, and each that fits into the room left is taken. A round sums up, part by part, the groups that fit into the
+    room it starts with; all parts before the one that crosses it are settled, that one is filled group by group, and the
+    next round goes on behind it with what is left, until nothing fits. At last the one that brings the rest closest to
     nothing is taken, if one does.
     """
     state, rounds = rests.select("idx", F.lit(0).alias("at"), F.col("rest").cast("double").alias("room")), []
     while True:
         fits = groups.join(state, "idx").where((F.col("pos") > F.col("at")) & (F.col("size") > 0) & (F.col("size") <= F.col("room")))
         sums = fits.groupBy("idx", "at", "room", "pos").agg(F.sum("size").alias("size"))
-        sums = stored(sums.withColumn("end", F.sum("size").over(W.partitionBy("idx").orderBy("pos").rowsBetween(W.unboundedPreceding, 0))), "sums")
+        sums = _with_before(sums, ["idx"], "pos", F.col("size"), "end").withColumn("end", F.col("end") + F.col("size"))
+        sums = stored(sums, "sums")
         inside = F.col("end") <= F.col("room")
         done = sums.groupBy("idx", "at", "room").agg(F.min(F.when(~inside, F.col("pos"))).alias("cross"), F.coalesce(F.max(F.when(inside, F.col("end"))), F.lit(0)).alias("used"))
         done = stored(done.withColumn("budget", F.col("room") - F.col("used")), "walked")
@@ -167,12 +189,15 @@ def _plan(rows: DataFrame, shards: int, weights: tuple[int, ...], most: int, blo
     s = s.withColumn("passes", F.least(F.floor(ratio + 1e-12), F.lit(most)).cast("int"))
     s = s.withColumn("rest", F.greatest(F.col("target") - F.col("passes") * F.col("source_size"), F.lit(0.0)))
     s = s.withColumn("n_blocks", F.least(F.ceil(F.col("n") / block_rows), F.lit(MOST_BLOCKS)).cast("int"))
+    s = s.withColumn("n_parts", F.least(F.ceil(F.col("n") / F.col("n_blocks") / PART_ROWS), F.lit(4096)).cast("int"))
     s = stored(s, "sources")
     placed = _in_blocks(rows, s)
-    groups = placed.groupBy("idx", "block", "mix_hash").agg(F.sum("mix_size").alias("size"))
-    order = W.partitionBy("idx").orderBy(F.xxhash64(F.lit(seed + 1), "idx", "block"), "block")
-    places = stored(placed.groupBy("idx", "block").agg(F.lit(1)).select("idx", "block", F.row_number().over(order).alias("pos")), "places")
-    groups = stored(groups.join(places, ["idx", "block"]), "groups")
+    groups = placed.groupBy("idx", "block", "mix_hash").agg(F.sum("mix_size").alias("size"), F.first("n_parts").alias("n_parts"))
+    # A place in the source's order: 31 random bits, then the block and the part of it, which make it unique.
+    part = F.pmod(F.xxhash64(F.lit(seed + 5), "mix_hash"), F.col("n_parts"))
+    random = F.shiftleft(F.shiftrightunsigned(F.xxhash64(F.lit(seed + 1), "idx", "block"), 33), 32)
+    pos = random + F.shiftleft(F.col("block").cast("long"), 12) + part
+    groups = stored(groups.withColumn("pos", pos).drop("n_parts"), "groups")
     b = _fill(groups, s.where("rest > 0").select("idx", "rest")).groupBy("idx", "block").agg(
         F.bool_and("extra").alias("whole"), F.collect_list(F.when(F.col("extra"), F.col("mix_hash"))).alias("cut")
     )
@@ -185,8 +210,10 @@ def _plan(rows: DataFrame, shards: int, weights: tuple[int, ...], most: int, blo
     leaves = leaves.withColumn("start", start).where("quota > 0")
     leaves = leaves.select("idx", "shard", F.explode(F.expr("sequence(start, start + quota - 1)")).alias("draw"))
     each = draws.where("draws > 0").select("idx", "block", F.explode(F.expr("sequence(1, draws)")).alias("round"))
-    permuted = W.partitionBy("idx").orderBy(F.xxhash64(F.lit(seed + 3), "idx", "block", "round"), "block", "round")
-    each = each.withColumn("draw", (F.row_number().over(permuted) - 1).cast("long"))
+    # A draw's place among its source's: random bits, then block and round; its rank there is its number.
+    random = F.shiftleft(F.shiftrightunsigned(F.xxhash64(F.lit(seed + 3), "idx", "block", "round"), 25), 24)
+    each = each.withColumn("permuted", random + F.col("block").cast("long") * 8 + F.col("round"))
+    each = _with_before(each, ["idx"], "permuted", F.lit(1).cast("long"), "draw")
     dealt = each.join(leaves, ["idx", "draw"]).groupBy("idx", "block").agg(F.transform(F.array_sort(F.collect_list(F.struct("round", "shard"))), lambda x: x["shard"]).alias("shards"))
     blocks = draws.join(dealt, ["idx", "block"], "left").select("idx", "block", "passes", "whole", "cut", "shards")
     return Mix(s, stored(blocks, "mix"))
@@ -194,21 +221,23 @@ def _plan(rows: DataFrame, shards: int, weights: tuple[int, ...], most: int, blo
 
 def _in_blocks(rows: DataFrame, sources: DataFrame) -> DataFrame:
     """Rows with their source's `idx` and their `block`."""
-    rows = rows.join(sources.select("source", "idx", "n_blocks"), F.col("mix_source").eqNullSafe(F.col("source"))).drop("source")
+    rows = rows.join(sources.select("source", "idx", "n_blocks", "n_parts"), F.col("mix_source").eqNullSafe(F.col("source"))).drop("source")
     return rows.withColumn("block", F.pmod("mix_hash", F.col("n_blocks")).cast("int")).drop("n_blocks")
 
 
-def _copies(rows: DataFrame, mix: Mix) -> DataFrame:
-    """Rows with `mix_copies`, and `mix_shards`: the shard of each copy."""
-    out = _in_blocks(rows, mix.sources).join(mix.blocks, ["idx", "block"])
-    extra = F.col("whole") | F.coalesce(F.expr("array_contains(cut, mix_hash)"), F.lit(False))
-    copies = F.col("passes") + F.when(extra, 1).otherwise(0)
-    out = out.withColumn("mix_copies", copies).withColumn("mix_shards", F.expr("slice(shards, 1, mix_copies)"))
-    return out.drop("passes", "whole", "cut", "shards", "block")
+def _draws(rows: DataFrame, mix: Mix, seed: int) -> DataFrame:
+    """Rows with `mix_draws`: shard and order there of each draw that takes them. The last draw of a block may be a partial one."""
+    out = _in_blocks(rows, mix.sources).drop("n_parts").join(mix.blocks, ["idx", "block"])
+    partial = "cardinality(shards) > passes AND NOT (whole OR coalesce(array_contains(cut, mix_hash), false))"
+    mine = F.expr(f"slice(coalesce(shards, CAST(array() AS array<int>)), 1, IF({partial}, passes, coalesce(cardinality(shards), 0)))")
+    order = lambda i: F.xxhash64(F.lit(seed + 4), "mix_hash", i)
+    draws = F.transform(mine, lambda shard, i: F.struct(shard.alias("shard"), order(i).alias("order")))
+    return out.withColumn("mix_draws", draws).drop("passes", "whole", "cut", "shards", "block")
 
 
 def mix_report(docs: DataFrame, *, shards: int = 40, weights: tuple[int, ...] = WEIGHTS, most: int = MOST, block_rows: int = BLOCK_ROWS, seed: int = SEED, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source") -> DataFrame:
-    """Per row of `docs`: `doc_id`, `size`, `source_size`, `target` (its source's), `taken` (words, repeats counted), `copies`, `shards`.
+    """Per row of `docs`: `doc_id`, `size`, `source_size`, `target` (its source's), `taken` (words, repeats counted), and `draws`,
+    from which `taken` is counted: shard and order of each time the mix takes the row.
 
     Defined results: a null text has size 0; null is a source of its own, the last; sources without words have target 0
     and give none; repeated rows are all taken alike; the same rows give the same mix however they are stored.
@@ -216,11 +245,9 @@ def mix_report(docs: DataFrame, *, shards: int = 40, weights: tuple[int, ...] =
     rows = docs.select(F.col(id_col).alias("i"), F.col(text_col).alias("t"), F.col(source_col).alias("s"))
     rows = stored(_sized(rows, "i", "t", "s", seed).drop("t", "s"), "sizes")
     mix = _plan(rows, shards, weights, most, block_rows, seed)
-    out = _copies(rows, mix).join(mix.sources.select("idx", "source_size", "target"), "idx")
-    return out.select(
-        F.col("i").alias("doc_id"), F.col("mix_size").alias("size"), "source_size", "target", (F.col("mix_size") * F.col("mix_copies")).alias("taken"),
-        F.col("mix_copies").alias("copies"), F.coalesce("mix_shards", F.array().cast("array<int>")).alias("shards"),
-    )
+    out = _draws(rows, mix, seed).join(mix.sources.select("idx", "source_size", "target"), "idx")
+    taken = F.col("mix_size") * F.size("mix_draws")
+    return out.select(F.col("i").alias("doc_id"), F.col("mix_size").alias("size"), "source_size", "target", taken.alias("taken"), F.col("mix_draws").alias("draws"))
 
 
 def mixed_documents(docs: DataFrame, *, shards: int = 40, weights: tuple[int, ...] = WEIGHTS, most: int = MOST, block_rows: int = BLOCK_ROWS, seed: int = SEED, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", with_place: bool = False) -> DataFrame:
@@ -235,9 +262,7 @@ def mixed_documents(docs: DataFrame, *, shards: int = 40, weights: tuple[int, ..
     i, t, s = (inner[lower.index(c.lower())] for c in (id_col, text_col, source_col))
     rows = _sized(docs.toDF(*inner), i, t, s, seed)
     mix = _plan(stored(rows.select("mix_source", "mix_size", "mix_hash"), "sizes"), shards, weights, most, block_rows, seed)
-    out = _copies(rows, mix).where("mix_copies > 0")
+    out = _draws(rows, mix, seed).select(*inner, F.explode("mix_draws").alias("mix_draw"))
     if not with_place:
-        return out.withColumn("copy", F.explode(F.expr("sequence(1, mix_copies)"))).select(*inner).toDF(*names)
-    out = out.select(*inner, "mix_hash", F.posexplode("mix_shards").alias("copy", "mix_shard"))
-    order = F.xxhash64(F.lit(seed + 4), "mix_hash", "copy")
-    return out.select(*inner, "mix_shard", order.alias("mix_order")).toDF(*names, "mix_shard", "mix_order")
+        return out.select(*inner).toDF(*names)
+    return out.select(*inner, "mix_draw.shard", "mix_draw.order").toDF(*names, "mix_shard", "mix_order")
