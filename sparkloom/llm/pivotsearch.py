@@ -7,12 +7,15 @@ nearest lifted vectors and the triangle inequality holds.
 Index: pivots are chosen farthest-first from a bounded sample; every vector is keyed by its nearest pivot and its
 distance to it. Range partitioning by (pivot, distance, id) deals the keys out evenly, however many vectors one pivot
 or one distance holds, and runs of bounded length in that order become annuli, each one row: pivot, distance range,
-ids and vectors.
-
-Search: queries come in blocks of bounded size. A task takes each annulus it holds, sorted by the gap between the
-query's distance to the pivot and the annulus' range, and stops for a query once the gap exceeds the distance of the
-tenth best so far: by the triangle inequality nothing further out can do better. A first pass over each query's own
-annuli gives bounds for all tasks to start from.
+ids and vectors. Annuli of one pivot, up to a bounded number of bytes, make a part.
+
+Search: queries are keyed and packed into blocks of bounded size in the same way, each query with the score that the
+k-th best of the sample reaches, below which nothing is wanted. Blocks are listed against parts by pivot; a pair stays
+only where the block's range of distances to the pivot comes as close to the part's as some query's bound demands. One
+shuffle brings parts and their blocks together, and a task holds one part at a time while its blocks stream by. For each
+block it expands the part's annuli sorted by the gap between the queries' distances to the pivot and the annulus' range,
+and stops for a query once the gap exceeds the distance of its k-th best so far: by the triangle inequality nothing
+further out can do better. All is one job over tables; the driver sees the sample and counts.
 """
 
 from __future__ import annotations
@@ -21,6 +24,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
@@ -29,12 +33,15 @@ from sparkloom.llm.common import prepare, stored
 
 #: Pivots, and the rows of the sample that they are chosen from (the index holds all rows in any case).
 PIVOTS, SAMPLE = 32, 2048
-#: Vectors in an annulus at most; queries in a block, and bytes of their vectors, at most.
-ANNULUS, QUERIES, QUERY_BYTES = 1024, 4096, 32 << 20
+#: Vectors in an annulus at most; queries in a block, and bytes of their vectors, at most; bytes of a part's vectors.
+ANNULUS, QUERIES, QUERY_BYTES, PART_BYTES = 1024, 4096, 4 << 20, 16 << 20
 #: Slack on squared distances for rounding, relative to R^2.
 _SLACK = 1e-9
+#: Stands for a bound that is not known yet.
+_LOWEST = np.iinfo(np.int64).min
 
-_INDEX = "pivot int, near double, far double, ids binary, dim int, vectors binary"
+_INDEX = "part long, pivot int, near double, far double, ids binary, vectors binary"
+_BLOCK = "block long, ids binary, vectors binary, floors binary, reach double, low array<double>, high array<double>"
 
 
 def to_matrix(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
@@ -114,21 +121,27 @@ def _keyed(pivots: np.ndarray, radius2: float):
 
 
 def _annuli(width: int, rows: int):
-    """Packs sorted rows into annuli of one pivot and at most `rows` vectors."""
-
-    def pack(pivot: int, part: list[tuple]) -> pa.RecordBatch:
-        x = np.zeros((len(part), width))
-        for k, (_, _, v) in enumerate(part):
-            r = np.frombuffer(v)
-            x[k, : len(r)] = r
-        ids = np.array([p[1] for p in part], np.int64)
-        if len(x) and np.abs(x).max() < 2**15:
-            x = x.astype(np.int16)
-        arrays = [[pivot], [part[0][0]], [part[-1][0]], [ids.tobytes()], [width], [x.dtype.char.encode() + x.tobytes()]]
-        kinds = [pa.int32(), pa.float64(), pa.float64(), pa.binary(), pa.int32(), pa.binary()]
-        return pa.RecordBatch.from_arrays([pa.array(a, t) for a, t in zip(arrays, kinds, strict=True)], names=["pivot", "near", "far", "ids", "dim", "vectors"])
+    """Packs sorted rows into annuli of one pivot and at most `rows` vectors, and numbers the parts they make."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        task = TaskContext.get()
+        state = {"part": (task.partitionId() if task else 0) << 24, "bytes": 0, "pivot": None}
+
+        def pack(pivot: int, part: list[tuple]) -> pa.RecordBatch:
+            x = np.zeros((len(part), width))
+            for k, (_, _, v) in enumerate(part):
+                r = np.frombuffer(v)
+                x[k, : len(r)] = r
+            if len(x) and np.abs(x).max(initial=0) < 2**15:
+                x = x.astype(np.int16)
+            if state["pivot"] not in (None, pivot) or state["bytes"] > PART_BYTES:
+                state.update(part=state["part"] + 1, bytes=0)
+            state.update(pivot=pivot, bytes=state["bytes"] + x.nbytes)
+            ids = np.array([p[1] for p in part], np.int64)
+            arrays = [[state["part"]], [pivot], [part[0][0]], [part[-1][0]], [ids.tobytes()], [x.dtype.char.encode() + x.tobytes()]]
+            kinds = [pa.int64(), pa.int32(), pa.float64(), pa.float64(), pa.binary(), pa.binary()]
+            return pa.RecordBatch.from_arrays([pa.array(a, t) for a, t in zip(arrays, kinds, strict=True)], names=["part", "pivot", "near", "far", "ids", "vectors"])
+
         last, part = None, []
         for batch in batches:
             for pivot, *row in zip(*(batch.column(c).to_pylist() for c in ("pivot", "distance", "id", "v")), strict=True):
@@ -143,6 +156,55 @@ def _annuli(width: int, rows: int):
     return run
 
 
+def _blocks(pivots: np.ndarray, radius2: float, k: int, sample: np.ndarray, sample_ids: np.ndarray, size: int):
+    """Packs sorted queries into blocks, each with its queries' floors and its range of distances to every pivot."""
+    width = pivots.shape[1] - 1
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        task = TaskContext.get()
+        number = (task.partitionId() if task else 0) << 24
+
+        def pack(part: list[tuple]) -> pa.RecordBatch:
+            nonlocal number
+            number += 1
+            ids = np.array([p[0] for p in part], np.int64)
+            q = np.zeros((len(part), width))
+            for i, (_, v) in enumerate(part):
+                r = np.frombuffer(v)
+                q[i, : len(r)] = r
+            floors = np.full(len(q), _LOWEST)
+            for at in range(0, len(q), 512):
+                scores = _products(q[at : at + 512], sample).copy()
+                scores[ids[at : at + 512, None] == sample_ids[None, :]] = _LOWEST
+                if scores.shape[1] >= k:
+                    floors[at : at + 512] = -np.partition(-scores.clip(-(2**62)), k - 1, axis=1)[:, k - 1]
+            floors[floors <= -(2**62)] = _LOWEST
+            d = _distances(np.concatenate((q, np.zeros((len(q), 1))), axis=1), pivots)
+            reach = float(_reach(q, radius2, floors).max())
+            arrays = [[number], [ids.tobytes()], [q.tobytes()], [floors.tobytes()], [reach], [d.min(axis=0).tolist()], [d.max(axis=0).tolist()]]
+            kinds = [pa.int64(), pa.binary(), pa.binary(), pa.binary(), pa.float64(), pa.list_(pa.float64()), pa.list_(pa.float64())]
+            return pa.RecordBatch.from_arrays([pa.array(a, t) for a, t in zip(arrays, kinds, strict=True)], names=["block", "ids", "vectors", "floors", "reach", "low", "high"])
+
+        part: list[tuple] = []
+        for batch in batches:
+            for row in zip(batch.column("id").to_pylist(), batch.column("v").to_pylist(), strict=True):
+                part.append(row)
+                if len(part) >= size:
+                    yield pack(part)
+                    part = []
+        if part:
+            yield pack(part)
+
+    return run
+
+
+def _reach(q: np.ndarray, radius2: float, bound: np.ndarray) -> np.ndarray:
+    """Squared distance within which a vector must lie to score `bound` or more; unlimited without a bound."""
+    norm2 = (q * q).sum(axis=1)
+    slack = _SLACK * (radius2 + norm2.max(initial=0.0) + 1)
+    return np.where(bound == _LOWEST, np.inf, norm2 + radius2 - 2.0 * bound + slack)
+
+
 def _products(q: np.ndarray, x: np.ndarray) -> np.ndarray:
     """Whole-number inner products: by doubles where they are exact, else with Python's integers, held to 64 bits."""
     most = (np.abs(q).max() if q.size else 0) * (np.abs(x).max() if x.size else 0) * max(1, q.shape[1])
@@ -153,73 +215,61 @@ def _products(q: np.ndarray, x: np.ndarray) -> np.ndarray:
     return np.clip(out, -(2**63), 2**63 - 1).astype(np.int64)
 
 
-def _search(queries: np.ndarray, query_ids: np.ndarray, pivots: np.ndarray, radius2: float, k: int, floor: np.ndarray, own: bool):
-    """Best k of each query among a task's annuli. `floor`: scores that k vectors are known to reach.
-
-    With `own`, only annuli of the query's nearest pivot whose range holds its distance are looked at.
-    """
-    lifted = np.concatenate((queries, np.zeros((len(queries), 1))), axis=1)
-    to_pivot = _distances(lifted, pivots)
-    norm2 = (queries * queries).sum(axis=1)
-    nearest = to_pivot.argmin(axis=1)
-    slack = _SLACK * (radius2 + norm2.max(initial=0.0) + 1)
-    lowest = np.iinfo(np.int64).min  # no bound yet
+def _best(queries: np.ndarray, query_ids: np.ndarray, floors: np.ndarray, pivots: np.ndarray, radius2: float, k: int, annuli: list[tuple]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """The best k of each query among a part's annuli (pivot, near, far, ids, vectors), as far as they reach its floor."""
+    to_pivot = _distances(np.concatenate((queries, np.zeros((len(queries), 1))), axis=1), pivots)
+    scores = np.full((len(queries), k), _LOWEST)
+    ids = np.full((len(queries), k), np.iinfo(np.int64).max)
+    filled, bound = np.zeros(len(queries), np.int64), floors.copy()
+
+    def take(which: np.ndarray, x: np.ndarray, x_ids: np.ndarray) -> None:
+        s = _products(queries[which], x)
+        same = query_ids[which][:, None] == x_ids[None, :]
+        for row, q in enumerate(which.tolist()):
+            fit = np.flatnonzero((s[row] >= bound[q]) & ~same[row])
+            if not len(fit):
+                continue
+            all_s = np.concatenate((scores[q, : filled[q]], s[row, fit]))
+            all_i = np.concatenate((ids[q, : filled[q]], x_ids[fit]))
+            order = np.lexsort((all_i, ~all_s))[:k]
+            filled[q] = len(order)
+            scores[q, : len(order)], ids[q, : len(order)] = all_s[order], all_i[order]
+            if len(order) == k:
+                bound[q] = max(bound[q], all_s[order[-1]])
+
+    pivot, near, far = (np.array([a[i] for a in annuli]) for i in range(3))
+    d = to_pivot[:, pivot]
+    gap = np.maximum(np.maximum(near - d, d - far), 0)
+    # Annuli in the order of their smallest gap to any query; each serves the queries it can still help.
+    for a in np.argsort(gap.min(axis=0), kind="stable").tolist():
+        which = np.flatnonzero(gap[:, a] ** 2 <= _reach(queries, radius2, bound))
+        if len(which):
+            raw = annuli[a][4]
+            x_ids = np.frombuffer(annuli[a][3], np.int64)
+            take(which, np.frombuffer(raw, np.dtype(raw[:1].decode()), offset=1).reshape(len(x_ids), queries.shape[1]), x_ids)
+    q = np.repeat(np.arange(len(queries)), filled)
+    at = np.concatenate([np.arange(n) for n in filled]).astype(np.int64) if len(filled) else np.zeros(0, np.int64)
+    return query_ids[q], ids[q, at], scores[q, at]
+
+
+def _search(pivots: np.ndarray, radius2: float, k: int):
+    """Rows come sorted by part, annuli before blocks: one part is held, its blocks stream by."""
+    width = pivots.shape[1] - 1
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        scores = np.full((len(queries), k), np.iinfo(np.int64).min)
-        ids = np.full((len(queries), k), np.iinfo(np.int64).max)
-        filled = np.zeros(len(queries), np.int64)
-        bound = floor.copy()
-
-        def take(which: np.ndarray, x: np.ndarray, x_ids: np.ndarray) -> None:
-            s = _products(queries[which], x)
-            same = query_ids[which][:, None] == x_ids[None, :]
-            for row, q in enumerate(which.tolist()):
-                fit = np.flatnonzero((s[row] >= bound[q]) & ~same[row])
-                if not len(fit):
-                    continue
-                all_s = np.concatenate((scores[q, : filled[q]], s[row, fit]))
-                all_i = np.concatenate((ids[q, : filled[q]], x_ids[fit]))
-                order = np.lexsort((all_i, ~all_s))[:k]
-                filled[q] = len(order)
-                scores[q, : len(order)], ids[q, : len(order)] = all_s[order], all_i[order]
-                if len(order) == k:
-                    bound[q] = max(bound[q], all_s[order[-1]])
-
-        held = 0
-        waiting: list[tuple] = []
-
-        def work() -> None:
-            if not waiting:
-                return
-            pivot = np.array([w[0] for w in waiting])
-            near, far = np.array([w[1] for w in waiting]), np.array([w[2] for w in waiting])
-            d = to_pivot[:, pivot]
-            gap = np.maximum(np.maximum(near - d, d - far), 0)
-            # Annuli in the order of their smallest gap to any query; each serves the queries it can still help.
-            for a in np.argsort(gap.min(axis=0), kind="stable").tolist():
-                # Score >= bound means distance^2 <= |q|^2 + R^2 - 2 bound.
-                reach = np.where(bound == lowest, np.inf, norm2 + radius2 - 2.0 * bound + slack)
-                which = (nearest == pivot[a]) & (gap[:, a] <= 0) if own else gap[:, a] ** 2 <= reach
-                which = np.flatnonzero(which)
-                if len(which):
-                    _, _, _, raw_ids, dim, raw = waiting[a]
-                    x = np.frombuffer(raw, np.dtype(raw[:1].decode()), offset=1).reshape(-1, dim)
-                    take(which, x, np.frombuffer(raw_ids, np.int64))
-            waiting.clear()
-
+        part, annuli = None, []
+        names = ("number", "floors", "pivot", "near", "far", "ids", "vectors")
         for batch in batches:
-            for row in zip(*(batch.column(c).to_pylist() for c in ("pivot", "near", "far", "ids", "dim", "vectors")), strict=True):
-                waiting.append(row)
-                held += len(row[5])
-                if held > 64 << 20:
-                    work()
-                    held = 0
-        work()
-        q = np.repeat(np.arange(len(queries)), filled)
-        at = np.concatenate([np.arange(n) for n in filled]) if len(filled) else np.zeros(0, int)
-        at = at.astype(np.int64)
-        yield pa.RecordBatch.from_arrays([pa.array(query_ids[q]), pa.array(ids[q, at]), pa.array(scores[q, at])], names=["query_id", "vec_id", "score"])
+            for number, floors, *annulus in zip(*(batch.column(c).to_pylist() for c in names), strict=True):
+                if number != part:
+                    part, annuli = number, []
+                if floors is None:
+                    annuli.append(annulus)
+                elif annuli:
+                    ids = np.frombuffer(annulus[3], np.int64)
+                    q = np.frombuffer(annulus[4]).reshape(len(ids), width)
+                    found = _best(q, ids, np.frombuffer(floors, np.int64), pivots, radius2, k, annuli)
+                    yield pa.RecordBatch.from_arrays([pa.array(c) for c in found], names=["query_id", "vec_id", "score"])
 
     return run
 
@@ -262,51 +312,36 @@ def top_k(
     if radius is None:
         return spark.createDataFrame([], "query_id long, rank int, vec_id long, score long")
     width, radius2 = int(width), float(radius) ** 2
-    few = rows.orderBy(F.xxhash64("id"), "id").limit(sample).select("v").toPandas()["v"]
+    few = rows.orderBy(F.xxhash64("id"), "id").limit(sample).select("id", "v").toPandas()
     base = np.zeros((len(few), width))
-    for i, v in enumerate(few):
+    for i, v in enumerate(few["v"]):
         r = np.frombuffer(v)
         base[i, : len(r)] = r
     chosen = choose_pivots(_lift(base, radius2), pivots)
     if not len(chosen):
         return spark.createDataFrame([], "query_id long, rank int, vec_id long, score long")
-    keyed = rows.mapInArrow(_keyed(chosen, radius2), "pivot int, distance double, id long, v binary")
-    parts = max(2, int(spark.conf.get("spark.sql.shuffle.partitions")))
-    keyed = keyed.repartitionByRange(parts, "pivot", "distance", "id").sortWithinPartitions("pivot", "distance", "id")
-    index = stored(keyed.mapInArrow(_annuli(width, annulus), _INDEX), "annuli")
 
-    # Queries in blocks of bounded bytes: the number of each, by id, from counts of rows per stored partition.
+    def sorted_by_key(df: DataFrame, *parts: int) -> DataFrame:
+        keyed = df.mapInArrow(_keyed(chosen, radius2), "pivot int, distance double, id long, v binary")
+        return keyed.repartitionByRange(*parts, "pivot", "distance", "id").sortWithinPartitions("pivot", "distance", "id")
+
+    tasks = max(2, int(spark.conf.get("spark.sql.shuffle.partitions")))
+    index = stored(sorted_by_key(rows, tasks).mapInArrow(_annuli(width, annulus), _INDEX), "annuli")
+    parts = index.groupBy("part", "pivot").agg(F.min("near").alias("near"), F.max("far").alias("far"))
+    # Parts are numbered without gaps, so that tasks get even shares of them; there is one row for each PART_BYTES of vectors.
+    parts = stored(parts.withColumn("number", (F.row_number().over(W.orderBy("part")) - 1).cast("long")), "parts")
     size = max(1, min(block, QUERY_BYTES // (8 * max(1, width))))
-    out, hits = None, "query_id long, vec_id long, score long"
-    pending: list = []
-
-    def flush() -> None:
-        nonlocal out
-        if not pending:
-            return
-        q_ids = np.array([p[0] for p in pending], np.int64)
-        q = np.zeros((len(pending), width))
-        for i, (_, v) in enumerate(pending):
-            r = np.frombuffer(v)
-            q[i, : len(r)] = r
-        pending.clear()
-        open_ = np.full(len(q), np.iinfo(np.int64).min)
-        first = index.mapInArrow(_search(q, q_ids, chosen, radius2, k, open_, True), hits)
-        best = W.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
-        known = first.withColumn("rank", F.row_number().over(best)).where(F.col("rank") == k).select("query_id", "score").collect()  # a row per query of the block
-        known = {r[0]: r[1] for r in known}
-        floor = np.array([known.get(int(i), np.iinfo(np.int64).min) for i in q_ids], np.int64)
-        if len(set(q_ids.tolist())) < len(q_ids):
-            floor[:] = np.iinfo(np.int64).min  # repeated query ids: their hits are counted together, so they prove nothing
-        found = index.mapInArrow(_search(q, q_ids, chosen, radius2, k, floor, False), hits)
-        found = stored(found.withColumn("rank", F.row_number().over(best)).where(F.col("rank") <= k), "hits")
-        out = found if out is None else out.unionByName(found)
-
-    for row in asked.select("id", "v").toLocalIterator():
-        pending.append((row[0], row[1]))
-        if len(pending) >= size:
-            flush()
-    flush()
-    if out is None:
-        return spark.createDataFrame([], "query_id long, rank int, vec_id long, score long")
-    return out.select("query_id", "rank", "vec_id", "score")
+    packed = _blocks(chosen, radius2, k, base, few["id"].to_numpy(np.int64), size)
+    blocks = stored(sorted_by_key(asked).mapInArrow(packed, _BLOCK), "blocks")
+    ranges = blocks.select("block", "reach", F.posexplode(F.arrays_zip("low", "high")).alias("pivot", "d"))
+    gap = F.greatest(F.col("near") - F.col("d.high"), F.col("d.low") - F.col("far"), F.lit(0.0))
+    pairs = ranges.join(parts, "pivot").where(gap * gap <= F.col("reach")).select("block", "number")
+    none = F.lit(None)
+    asking = pairs.join(blocks, "block").select("number", "block", "floors", none.cast("int").alias("pivot"), none.cast("double").alias("near"), none.cast("double").alias("far"), "ids", "vectors")
+    held = index.join(parts.select("part", "number"), "part").select("number", F.lit(-1).cast("long").alias("block"), none.cast("binary").alias("floors"), "pivot", "near", "far", "ids", "vectors")
+    count = max(1, min(parts.count(), 8 * tasks))
+    rows_ = held.unionByName(asking).repartitionById(count, F.pmod("number", F.lit(count)).cast("int")).sortWithinPartitions("number", "block", "near")
+    hits = rows_.mapInArrow(_search(chosen, radius2, k), "query_id long, vec_id long, score long")
+    best = W.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
+    found = hits.withColumn("rank", F.row_number().over(best)).where(F.col("rank") <= k)
+    return found.select("query_id", F.col("rank").cast("int").alias("rank"), "vec_id", "score")
