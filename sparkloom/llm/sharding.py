@@ -2,7 +2,7 @@
 
 Pass one scatters whole rows uniformly into buckets that fit in memory, by a seeded hash. Pass two gathers one bucket per
 task, shuffles it with Fisher-Yates (Spark's `shuffle`), and lays the buckets end to end: a uniform order of all rows,
-which is cut into shards whose row counts differ by one at most.
+which is cut into shards whose row counts differ by one at most. `write_shards` writes them.
 """
 
 from __future__ import annotations
@@ -15,6 +15,8 @@ from sparkloom.llm.common import stored
 
 #: A bucket's bounds: bytes of the rows, and rows.
 BUCKET_BYTES, BUCKET_ROWS = 64 << 20, 50_000
+#: Copies of one row that a task makes at most.
+COPIES = 10_000
 SEED = 20_240_611
 
 _KEY = ("doc_id", "size", "text_crc32", "digest")
@@ -28,6 +30,19 @@ def _crc32(text: str):
     return F.crc32(F.coalesce(F.col(text), F.lit("")))
 
 
+def _numbered_copies(counted: DataFrame, most: int) -> DataFrame:
+    """Each row `n` times, with `copy` from 1 to `n`. A row with very many copies is dealt to many tasks before they are made."""
+    if most > COPIES:
+        runs = F.explode(F.sequence(F.lit(0), F.floor((F.col("n") - 1) / COPIES).cast("int"))).alias("run")
+        counted = counted.select("*", runs)
+        counted = counted.repartition(int(counted.sparkSession.conf.get("spark.sql.shuffle.partitions")), *_KEY, "run")
+    else:
+        counted = counted.withColumn("run", F.lit(0))
+    first = F.col("run").cast("long") * COPIES
+    last = F.least(F.col("n"), first + COPIES)
+    return counted.withColumn("copy", F.explode(F.sequence(first + 1, last))).drop("run", "n")
+
+
 def _shuffled(rows: DataFrame, shards: int, id_: str, text: str, seed: int, bucket_bytes: int, bucket_rows: int) -> DataFrame:
     """The rows in shuffled order, with `shard` and `slot`; their own columns must have other names."""
     names = rows.columns
@@ -38,15 +53,14 @@ def _shuffled(rows: DataFrame, shards: int, id_: str, text: str, seed: int, buck
     total, bytes_, most = counts.agg(F.coalesce(F.sum("n"), F.lit(0)), F.coalesce(F.sum(F.col("n") * F.col("width")), F.lit(0)), F.max("n")).first()
     buckets = max(1, -(-bytes_ // bucket_bytes), -(-total // bucket_rows))
     bucket = F.pmod(F.xxhash64(F.lit(seed), *_KEY, "copy"), F.lit(buckets)).cast("int")
-    copies = F.explode(F.sequence(F.lit(1), F.col("n").cast("int"))).alias("copy")
-    first = counts.select(*_KEY, copies).groupBy(bucket.alias("bucket")).agg(F.count("*").alias("n"))
+    first = _numbered_copies(counts.select(*_KEY, "n"), most or 0).groupBy(bucket.alias("bucket")).agg(F.count("*").alias("n"))
     before = F.sum("n").over(W.orderBy("bucket").rowsBetween(W.unboundedPreceding, -1))
     first = stored(first.select("bucket", F.coalesce(before, F.lit(0)).alias("first")), "buckets")
-    each = rows.withColumn("copy", F.lit(1))
+    each = rows.withColumn("copy", F.lit(1).cast("long"))
     if (most or 0) > 1:
         many = stored(counts.where("n > 1").select("digest"), "repeated")
-        alike = rows.join(many, "digest", "left_semi").groupBy(*_KEY, "row").agg(F.count("*").alias("n")).select(*_KEY, "row", copies)
-        each = each.join(many, "digest", "left_anti").select(alike.columns).union(alike)
+        alike = rows.join(many, "digest", "left_semi").groupBy(*_KEY, "row").agg(F.count("*").alias("n"))
+        each = each.join(many, "digest", "left_anti").unionByName(_numbered_copies(alike, most))
     # Rows and all that is needed of them meet before they are scattered; what follows is done bucket by bucket.
     scattered = each.withColumn("bucket", bucket).join(first, "bucket").repartitionById(buckets, F.col("bucket"))
     # The sorted list makes the shuffle's input independent of the order of arrival; a bucket's partition fixes its seed.
@@ -87,6 +101,16 @@ def shuffled_documents(
     return _shuffled(rows, shards, id_, text, seed, bucket_bytes, bucket_rows).toDF(*docs.columns, "shuffle_shard", "shuffle_slot")
 
 
+def write_shards(docs: DataFrame, path: str, shards: int = 40, **options) -> None:
+    """Writes the shuffled rows as Parquet, one folder `shuffle_shard=N` for each shard.
+
+    A bucket is one task, which writes its rows in shuffled order to the one or two shards that it lies in; a file's rows
+    are in the order of their slots, and slots put the files of a shard in order. The write commits as a whole, and a task
+    whose executor is lost is written again alike.
+    """
+    shuffled_documents(docs, shards, **options).write.partitionBy("shuffle_shard").mode("errorifexists").parquet(path)
+
+
 def shuffled_shards(
     docs: DataFrame,
     shards: int = 40,
