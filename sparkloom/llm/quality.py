@@ -50,12 +50,12 @@ _LINES = rf"filter(split(body, '\\n'), l -> l rlike '{_WORD_CHAR}')"
 #: Features by name, as SQL over `body` (the text, empty for null), `words` and features listed above them.
 FEATURES = {
     "n_words": "CAST(size(words) AS bigint)",
-    "word_chars": r"CAST(length(translate(body, ' \t\n\u000B\f\r', '')) AS bigint)".replace(r"\f", r"\u000C"),
-    "n_symbols": "CAST(length(body) - length(translate(body, '#*$%&|<>', '')) AS bigint)",
+    "word_chars": "aggregate(words, 0L, (t, w) -> t + length(w))",
+    "n_symbols": "CAST(regexp_count(body, '[#*$%&|<>]') AS bigint)",
     "n_lines": "CAST(size(lines) AS bigint)",
     "n_dup_lines": "CAST(size(lines) - size(array_distinct(lines)) AS bigint)",
     "n_repeat_words": _repeated_words(),
-    "n_letters": r"CAST(length(regexp_replace(body, '[^\\p{L}]+', '')) AS bigint)",
+    "n_letters": r"CAST(length(body) - length(regexp_replace(body, '\\p{L}+', '')) AS bigint)",
 }
 
 

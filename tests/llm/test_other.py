@@ -279,9 +279,55 @@ def test_rules_run_by_rejection_per_cost(spark):
     assert a == quality.quality_filter(df, rules[::-1]).count() == 100
 
 
+def test_the_cascade_stops_at_the_first_rule_that_rejects(spark):
+    df = docs(spark, [(i, "plain words that say something each time anew %d and go on" % i if i % 3 else "bad", "s") for i in range(90)] + [(999, "a b c d e " * 300 + "x" * 500_000, "s"), (None, None, "s")])
+    got = quality.quality_report(df).collect()
+    ranked = [r.name for r in quality.rank_rules(df)]
+    assert set(ranked) == {r.name for r in quality.RULES}
+    for r in got:
+        assert r.kept == (r.rejected_by is None) and (r.n_rules == len(quality.RULES)) == (r.kept or r.n_rules == len(quality.RULES))
+    short = [r for r in got if r.n_words < 10]
+    assert len(short) == 31 and len({(r.rejected_by, r.n_rules) for r in short if r.n_words}) == 1  # all end at the same rule
+    assert sum(r.n_rules for r in got) <= len(got) * len(quality.RULES)
+    assert next(r for r in got if r.doc_id == 999).base_failed and not next(r for r in got if r.doc_id is None).kept
+    one = (quality.Rule("symbols", "100 * {n_symbols} > 25 * {n_words}"),)
+    assert all(r.kept <= (not r.base_failed) for r in quality.quality_report(df, one).collect())  # base rules always belong to it
+
+
+def test_the_sample_is_drawn_from_all_rows(spark):
+    df = docs(spark, [(i, f"{i}", "s") for i in range(5000)]).orderBy("doc_id")
+    drawn = [int(r.text) for r in quality._sample(df, "text", 100, 10)]
+    assert 60 < len(drawn) <= 200 and min(drawn) < 1000 and max(drawn) > 4000
+
+
 # Shards
 
 
+def test_shards_are_written_with_their_texts(spark, tmp_path):
+    df = docs(spark, [(i, f"text {i % 50} " * (i % 9), "s") for i in range(500)] + [(None, None, None)] + [(7, "t" * 300_000, "s")])
+    sharding.write_shards(df, str(tmp_path / "out"), 6, bucket_rows=40)
+    got = spark.read.parquet(str(tmp_path / "out"))
+    assert Counter(map(str, got.select(df.columns).collect())) == Counter(map(str, df.collect()))
+    digest = {(r.doc_id, r.shard, r.slot): (r.size, r.text_crc32) for r in sharding.shuffled_shards(df, 6, bucket_rows=40).collect()}
+    for r in got.collect():
+        body = (r.text or "").encode()
+        assert digest[r.doc_id, r.shuffle_shard, r.shuffle_slot] == (len(body) + 16, zlib.crc32(body))
+    slots = defaultdict(list)
+    for r in got.collect():
+        slots[r.shuffle_shard].append(r.shuffle_slot)
+    assert len(slots) == 6 and all(sorted(s) == list(range(len(s))) for s in slots.values())
+
+
+def test_many_copies_of_one_row_are_dealt_out(spark, monkeypatch):
+    monkeypatch.setattr(sharding, "COPIES", 7)
+    df = docs(spark, [(1, "same", "s")] * 100 + [(2, "same", "s")] * 7 + [(3, "one", "s")])
+    got = sharding.shuffled_shards(df, 4, bucket_rows=20).collect()
+    assert Counter(r.doc_id for r in got) == {1: 100, 2: 7, 3: 1}
+    assert sorted(Counter(r.shard for r in got).values()) == [27] * 4 and len({(r.shard, r.slot) for r in got}) == 108
+    plain = sharding.shuffled_documents(df, 4, bucket_rows=20)
+    assert plain.select(F.spark_partition_id()).distinct().count() >= 5
+
+
 def test_shards(spark):
     rows = [(i % 400, "t" * (i % 50) if i % 13 else None, "s") for i in range(1003)] + [(7, "same", "s")] * 300 + [(None, "x", "s")]
     df = docs(spark, rows)
