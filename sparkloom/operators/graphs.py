@@ -6,17 +6,20 @@ import atexit
 import shutil
 import tempfile
 import uuid
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
 
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 
 def scratch_dir(spark: SparkSession) -> str:
-    """The shared folder in spark.checkpoint.dir; where none is set, a folder of our own on this machine."""
+    """The shared folder in spark.checkpoint.dir; a session on one machine that sets none gets a folder of its own."""
     root = spark.conf.get("spark.checkpoint.dir", None)
     if not root:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         root = tempfile.mkdtemp(prefix="sparkloom-")
         atexit.register(shutil.rmtree, root, ignore_errors=True)
         spark.conf.set("spark.checkpoint.dir", root)
@@ -92,78 +95,124 @@ def closure(roots: DataFrame, edges: DataFrame, *, hops: int = 4) -> DataFrame:
     return seen
 
 
-def alias_chain(links: DataFrame, *, name: str = "name", target: str = "target", final: str = "final", limit: int = 32) -> DataFrame:
-    """Follows name -> target until a name is `final` (a flag), unknown or seen before: `state` resolved, missing or cycle.
+def alias_chain(links: DataFrame, *, name: str = "name", target: str = "target", final: str = "final") -> DataFrame:
+    """Follows name -> target to the end: `state` resolved (at a `final` name), missing (at an unknown one) or cycle.
 
-    All chains jump at once and double their reach every round, which settles those that end. What is still open then is
-    cyclic, or longer than `limit`; these are followed step by step with their path, and a chain that is open after
-    `limit` steps counts as a cycle.
+    `end` is the final or the unknown name, `steps` the links followed to it; of a cycle, `end` is its smallest name and
+    `steps` is null. All chains jump at once and double their reach every round. Where a round settles none, a chain that
+    is still open has no end: the rounds then go on until each jump spans all open names, and the smallest name within the
+    span of a jump's end is that of its cycle. So the rounds are logarithmic in the longest chain, and there is no cap.
     """
     known = cut(links.select(F.col(name).alias("n"), F.col(target).alias("t"), F.col(final).alias("f")))
     ends = known.select(F.col("n").alias("t"), F.lit(True).alias("there"))
-    jumps = known.join(ends, "t", "left").select(
-        F.col("n").alias("name"), F.when(F.col("f"), F.col("n")).otherwise(F.col("t")).alias("end"), F.when(F.col("f"), 0).otherwise(1).cast("long").alias("steps"),
-        F.when(F.col("f"), "resolved").when(F.col("there").isNull(), "missing").alias("state"),
-    )
+    state = F.when(F.col("f"), "resolved").when(F.col("there").isNull(), "missing")
+    end = F.when(F.col("f"), F.col("n")).otherwise(F.col("t"))
+    jumps = known.join(ends, "t", "left").select(F.col("n").alias("name"), end.alias("end"), F.when(F.col("f"), 0).otherwise(1).cast("long").alias("steps"), state.alias("state"), F.col("n").alias("low"))
     jumps = cut(jumps)
-    for _ in range(limit.bit_length()):
-        if jumps.where("state is null").isEmpty():
+    put, settled = _rounds(links.sparkSession), None
+    left, span, closing = None, 1, False
+    while True:
+        _, settled = put(jumps.where("state is not null").drop("low"))
+        open_ = cut(jumps.where("state is null").drop("state"))
+        before, left = left, open_.count()
+        closing = closing or left == before
+        if not left or (closing and span >= left):
             break
-        far = jumps.select(F.col("name").alias("end"), F.col("end").alias("far"), F.col("steps").alias("more"), F.col("state").alias("then"))
-        open_ = jumps.where("state is null").drop("state").join(far, "end").select("name", F.col("far").alias("end"), (F.col("steps") + F.col("more")).alias("steps"), F.col("then").alias("state"))
-        jumps = cut(jumps.where("state is not null").unionByName(open_))
-    settled = jumps.where((F.col("state").isNotNull()) & (F.col("steps") <= limit)).select("name", "state", "end", "steps")
-    rest = jumps.where(F.col("state").isNull() | (F.col("steps") > limit)).select("name")
-    if rest.isEmpty():
-        return settled
-    put = _rounds(links.sparkSession)
-    open_ = rest.select("name", F.col("name").alias("at"), F.array("name").alias("path"))
-    for step in range(limit + 1):
-        at = open_.join(known, open_.at == known.n, "left")
-        state = F.when(F.col("n").isNull(), "missing").when(F.col("f"), "resolved").when(F.array_contains("path", F.col("t")), "cycle")
-        now, every = put(at.withColumn("state", F.when(F.lit(step == limit), F.coalesce(state, F.lit("cycle"))).otherwise(state)))
-        open_ = now.where("state is null")
-        if open_.isEmpty():
-            break
-        open_ = open_.select("name", F.col("t").alias("at"), F.concat("path", F.array("t")).alias("path"))
-    cyclic = every.where("state is not null").select("name", "state", F.col("at").alias("end"), (F.size("path") - 1).cast("long").alias("steps"))
-    return settled.unionByName(cyclic)
-
-
-def flatten_tree(roots: DataFrame, edges: DataFrame, *, limit: int = 32) -> DataFrame:
-    """(root, node, depth) for every node below each root; a node met twice under a root counts at its least depth."""
-    out = cut(roots.select(F.col("node").alias("root"), "node", F.lit(0).cast("long").alias("depth")))
-    level = out
-    for depth in range(1, limit + 1):
+        far = (open_ if closing else jumps).select(F.col("name").alias("end"), F.col("end").alias("far"), F.col("steps").alias("more"), *([] if closing else [F.col("state").alias("then")]), F.col("low").alias("lower"))
+        then = F.lit(None).cast("string") if closing else F.col("then")
+        # A settled name may be met in any later round, so the ends of earlier rounds are joined as well.
+        if not closing:
+            far = far.unionByName(settled.join(open_.select(F.col("end").alias("name")).distinct(), "name", "left_semi").select(F.col("name").alias("end"), F.col("end").alias("far"), F.col("steps").alias("more"), F.col("state").alias("then"), F.col("name").alias("lower"))).dropDuplicates(["end"])
+        jumps = cut(open_.join(far, "end").select("name", F.col("far").alias("end"), (F.col("steps") + F.col("more")).alias("steps"), then.alias("state"), F.least("low", "lower").alias("low")))
+        span *= 2
+    lows = open_.select(F.col("name").alias("end"), "low")
+    cyclic = open_.drop("low").join(lows, "end").select("name", F.lit("cycle").alias("state"), F.col("low").alias("end"), F.lit(None).cast("long").alias("steps"))
+    return settled.select("name", "state", "end", "steps").unionByName(cyclic)
+
+
+def flatten_tree(roots: DataFrame, edges: DataFrame) -> DataFrame:
+    """(root, node, depth) for every node below each root; a node met twice under a root counts at its least depth.
+
+    Levels go on until one finds nothing new, which cycles cannot prevent.
+    """
+    put = _rounds(roots.sparkSession)
+    edges = cut(edges.select("src", "dst").distinct())
+    level, out = put(roots.select(F.col("node").alias("root"), "node", F.lit(0).cast("long").alias("depth")))
+    depth = 0
+    while not level.isEmpty():
+        depth += 1
         level = level.join(edges, level.node == edges.src).select("root", F.col("dst").alias("node")).distinct()
-        level = cut(level.join(out, ["root", "node"], "left_anti").withColumn("depth", F.lit(depth).cast("long")))
-        if level.isEmpty():
-            break
-        out = cut(out.unionByName(level))
+        level, out = put(level.join(out.select("root", "node"), ["root", "node"], "left_anti").withColumn("depth", F.lit(depth).cast("long")))
     return out
 
 
-def depth_fixpoint(entry: DataFrame, edges: DataFrame, *, rounds: int = 1000) -> DataFrame:
-    """Stack depth at each node's entry: all predecessors must agree, else the depth is unknown (`conflict`).
+def settle(nodes: list, entries: dict, edges: list[tuple], rounds: int = 1000) -> tuple[dict, bool]:
+    """Depths of a graph's nodes: {node: (depth or None, conflict)}, and whether the rounds came to rest.
 
-    `entry` holds start nodes with a `depth`, `edges` (src, dst, delta). Depths spread along edges from agreeing
-    predecessors; a node that receives two different depths, or anything from an unknown node, is unknown.
+    All nodes that can be settled in a round are settled together, once for all. A node waits for all of its predecessors;
+    when nothing moves any more, those that never settle count as dead, and the others decide. Known depths that disagree
+    are a conflict and make the depth unknown, and so does an unknown predecessor.
     """
-    edges = cut(edges.select("src", "dst", "delta"))
-    state = cut(entry.select("node", F.col("depth").cast("long").alias("lo"), F.col("depth").cast("long").alias("hi"), F.lit(False).alias("unknown")))
+    before: dict = {n: [] for n in nodes}
+    for src, dst, delta in edges:
+        before[dst].append((src, delta))
+    state = {n: (d, False) for n, d in entries.items()}
+    waiting, relaxed = [n for n in nodes if n not in state], False
     for _ in range(rounds):
-        sent = state.join(edges, state.node == edges.src)
-        # An unknown node sends unknown; a known one sends its single depth.
-        sent = sent.select(F.col("dst").alias("node"), F.when(~F.col("unknown"), F.col("lo") + F.col("delta")).alias("lo"), "unknown")
-        both = sent.unionByName(entry.select("node", F.col("depth").cast("long").alias("lo"), F.lit(False).alias("unknown")))
-        new = both.groupBy("node").agg(F.min("lo").alias("lo"), F.max("lo").alias("hi"), F.max("unknown").alias("unknown"))
-        new = new.withColumn("unknown", F.col("unknown") | ~F.col("lo").eqNullSafe(F.col("hi")))
-        new = new.join(state.select("node", F.col("unknown").alias("was")), "node", "left").withColumn("unknown", F.col("unknown") | F.coalesce("was", F.lit(False)))
-        new = cut(new.withColumn("changed", F.col("was").isNull() | (F.col("unknown") != F.col("was"))))
-        state = new.select("node", "lo", "hi", "unknown")
-        if new.where("changed").isEmpty():
-            break
-    return state.select("node", F.when(~F.col("unknown"), F.col("lo")).alias("depth"), F.col("unknown").alias("conflict"))
+        new = {}
+        for n in waiting:
+            sent = [(state[p], delta) for p, delta in before[n] if p in state]
+            if not sent or (not relaxed and len(sent) < len(before[n])):
+                continue
+            known = {depth + delta for (depth, _), delta in sent if depth is not None and delta is not None}
+            vague = any(depth is None or delta is None for (depth, _), delta in sent)
+            new[n] = (None if vague or len(known) > 1 else next(iter(known)), len(known) > 1)
+        if new:
+            state |= new
+            waiting = [n for n in waiting if n not in new]
+        elif relaxed:
+            return state, True
+        else:
+            relaxed = True
+    return state, False
+
+
+def depth_fixpoint(nodes: DataFrame, edges: DataFrame, *, rounds: int = 1000) -> DataFrame:
+    """Stack depth at the entry of every node of many small graphs: `block`, `node`, `depth`, `conflict`, `settled`.
+
+    `nodes` holds `block`, `node` and, for entries, a `depth` (else null); `edges` holds `block`, `src`, `dst` and `delta`
+    (null if unknown). See `settle` for the rule. Nodes that never settle are dead: `depth` null and `settled` false, as
+    for all nodes still open where `rounds` run out. A graph streams through one task; graphs are spread over all.
+    """
+    none = F.lit(None).cast("long")
+    rows = nodes.select("block", F.col("node").alias("a"), none.alias("b"), F.col("depth").cast("long").alias("x"))
+    rows = rows.unionByName(edges.select("block", F.col("src").alias("a"), F.col("dst").alias("b"), F.col("delta").cast("long").alias("x")))
+    rows = rows.selectExpr("CAST(block AS bigint) AS block", "CAST(a AS bigint) AS a", "CAST(b AS bigint) AS b", "x")
+    parts = int(nodes.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        def solved(block: int, part: list[tuple]) -> pa.RecordBatch:
+            own = [a for a, b, _ in part if b is None]
+            inside = set(own)
+            state, _ = settle(own, {a: x for a, b, x in part if b is None and x is not None}, [(a, b, x) for a, b, x in part if b is not None and a in inside and b in inside], rounds)
+            got = [state.get(n) for n in own]
+            columns = [[block] * len(own), own, [g and g[0] for g in got], [bool(g and g[1]) for g in got], [g is not None for g in got]]
+            kinds = [pa.int64(), pa.int64(), pa.int64(), pa.bool_(), pa.bool_()]
+            return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds, strict=True)], names=["block", "node", "depth", "conflict", "settled"])
+
+        last, part = None, []
+        for batch in batches:
+            for block, *row in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                if part and block != last:
+                    yield solved(last, part)
+                    part = []
+                last = block
+                part.append(row)
+        if part:
+            yield solved(last, part)
+
+    rows = rows.repartition(parts, "block").sortWithinPartitions("block", "b", "a")
+    return rows.mapInArrow(run, "block long, node long, depth long, conflict boolean, settled boolean")
 
 
 def hop_depths(edges: DataFrame) -> DataFrame:

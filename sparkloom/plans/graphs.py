@@ -89,31 +89,52 @@ def edge_explode(t: Tables) -> DataFrame:
     return flow_edges(t).distinct().groupBy(F.col("dst").alias("node")).agg(F.count("*").alias("predecessors"), F.min("src").alias("first_src"))
 
 
-@query()
+_STEPS = f"""(SELECT timeline AS block, row_number() OVER (PARTITION BY timeline ORDER BY idx) AS node, kind, character FROM {ROWS})"""
+
+
+@query(
+    f"""WITH RECURSIVE n AS MATERIALIZED (SELECT * FROM {_STEPS}),
+    e AS MATERIALIZED (SELECT a.block, a.node AS src, b.node AS dst, a.character % 2 AS delta FROM n a JOIN n b ON b.block = a.block AND (b.node = a.node + 1 OR (a.kind IN ('error', 'click') AND b.node = a.node + 4))),
+    r(block, node, depth) AS (SELECT block, node, CAST(0 AS BIGINT) FROM n WHERE node = 1 UNION SELECT e.block, e.dst, r.depth + e.delta FROM r JOIN e ON e.block = r.block AND e.src = r.node),
+    k AS (SELECT block, node, max(depth) AS depth FROM r GROUP BY ALL HAVING min(depth) = max(depth)),
+    c AS (SELECT e.block, e.dst AS node, count(DISTINCT k.depth + e.delta) > 1 AS conflict FROM e JOIN k ON k.block = e.block AND k.node = e.src GROUP BY ALL)
+    SELECT n.block, n.node, k.depth, coalesce(c.conflict, false) AS conflict FROM n LEFT JOIN k USING (block, node) LEFT JOIN c USING (block, node)"""
+)
 def depth_fixpoint(t: Tables) -> DataFrame:
-    """Stack depth at the entry of each block; predecessors that disagree make it unknown. Tests hold it against a worklist."""
-    e = flow_edges(t).distinct().select("src", "dst", (F.col("src") % 2).alias("delta"))
-    entry = t.events.where("event_id < 5").select(F.col("event_id").alias("node"), F.lit(0).alias("depth"))
-    return g.depth_fixpoint(entry, e, rounds=60)
+    """Stack depth at every record of each timeline, from its first on; predecessors that disagree make it unknown.
+
+    The oracle walks all paths: a depth is known where all of them give one. Tests hold loops and dead code against plain
+    rounds.
+    """
+    from pyspark.sql import Window as W
+
+    n = rows(t).withColumn("node", F.row_number().over(W.partitionBy("timeline").orderBy("idx")).cast("long"))
+    jumps = F.when(F.col("kind").isin("error", "click"), F.array(F.col("node") + 1, F.col("node") + 4)).otherwise(F.array(F.col("node") + 1))
+    e = n.select(F.col("timeline").alias("block"), F.col("node").alias("src"), F.explode(jumps).alias("dst"), (F.col("character") % 2).alias("delta"))
+    start = n.select(F.col("timeline").alias("block"), "node", F.when(F.col("node") == 1, 0).alias("depth"))
+    return g.depth_fixpoint(start, e).select("block", "node", "depth", "conflict")
 
 
-_LINKS = "(SELECT o_orderkey AS name, (o_orderkey * 3 + 7) % 20011 AS target, o_orderkey % 5 = 0 AS final FROM orders)"
+_LINKS = "(SELECT o_orderkey AS name, (o_orderkey * 3 + 7) % (SELECT max(o_orderkey) + 1 FROM orders) AS target, o_orderkey % 50 = 0 AS final FROM orders)"
 
 
 @query(
-    f"""WITH RECURSIVE k AS (SELECT * FROM {_LINKS}),
-    c(name, cur, path, state) AS (
-      SELECT name, name, [name], CASE WHEN final THEN 'resolved' WHEN list_contains([name], target) THEN 'cycle' END FROM k
-      UNION ALL
-      SELECT c.name, p.target, list_append(c.path, p.target), CASE WHEN n.name IS NULL THEN 'missing' WHEN n.final THEN 'resolved' WHEN list_contains(list_append(c.path, p.target), n.target) THEN 'cycle' END
-      FROM c JOIN k p ON p.name = c.cur LEFT JOIN k n ON n.name = p.target WHERE c.state IS NULL AND len(c.path) <= 40)
-    SELECT name, state, cur AS "end", CAST(len(path) - 1 AS BIGINT) AS steps FROM c WHERE state IS NOT NULL"""
+    f"""WITH RECURSIVE k AS MATERIALIZED (SELECT * FROM {_LINKS}),
+    c(name, cur, steps) AS (SELECT name, name, CAST(0 AS BIGINT) FROM k WHERE final
+      UNION ALL SELECT k.name, c.cur, c.steps + 1 FROM c JOIN k ON k.target = c.name AND NOT k.final),
+    m(name, cur, steps) AS (SELECT name, target, CAST(1 AS BIGINT) FROM k WHERE NOT final AND target NOT IN (SELECT name FROM k)
+      UNION ALL SELECT k.name, m.cur, m.steps + 1 FROM m JOIN k ON k.target = m.name AND NOT k.final),
+    o AS MATERIALIZED (SELECT name, target FROM k WHERE name NOT IN (SELECT name FROM c) AND name NOT IN (SELECT name FROM m)),
+    w(name, cur) AS (SELECT name, target FROM o UNION SELECT w.name, o.target FROM w JOIN o ON o.name = w.cur),
+    y AS (SELECT w.name, min(w.cur) AS "end" FROM w WHERE EXISTS (SELECT 1 FROM w v WHERE v.name = w.cur AND v.cur = w.cur) GROUP BY ALL)
+    SELECT name, 'resolved' AS state, cur AS "end", steps FROM c UNION ALL SELECT name, 'missing', cur, steps FROM m UNION ALL SELECT name, 'cycle', "end", NULL FROM y"""
 )
 def alias_chain(t: Tables) -> DataFrame:
-    """Aliases followed to what they stand for: resolved, missing or cyclic."""
+    """Aliases followed to what they stand for: resolved, missing or cyclic. The oracle walks backwards from the ends."""
     k = F.col("o_orderkey")
-    links = t.orders.select(k.alias("name"), ((k * 3 + 7) % 20011).alias("target"), (k % 5 == 0).alias("final"))
-    return g.alias_chain(links, limit=40).select("name", "state", "end", "steps")
+    size = F.broadcast(t.orders.agg((F.max(k) + 1).alias("size")))  # one row
+    links = t.orders.select("o_orderkey").crossJoin(size).select(k.alias("name"), ((k * 3 + 7) % F.col("size")).alias("target"), (k % 50 == 0).alias("final"))
+    return g.alias_chain(links).select("name", "state", "end", "steps")
 
 
 _TREE = """(SELECT 'r' || r_regionkey AS src, 'n' || n_nationkey AS dst FROM region JOIN nation ON n_regionkey = r_regionkey

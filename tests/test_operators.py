@@ -81,40 +81,68 @@ def test_reachability_with_cycles(spark, seed):
     assert sorted(r.node for r in every.collect()) == list(range(41))
 
 
-def worklist(entry, edges):
-    """Stack depths by a worklist over a set of values: None stands for unknown."""
-    state, work = {}, list(entry.items())
-    while work:
-        node, value = work.pop()
-        if node not in state:
-            state[node] = value
-        elif state[node] is not None and state[node] != value:
-            state[node] = None
-        else:
-            continue
-        work += [(b, None if state[node] is None else state[node] + d) for a, b, d in edges if a == node]
-    return state
+def plain_rounds(nodes, entry, edges):
+    """Depths round by round: all predecessors must be settled; once that gets no further, one is enough."""
+    state, strict = {n: (d, False) for n, d in entry.items()}, True
+    while True:
+        new = {}
+        for n in nodes:
+            sources = [(a, x) for a, b, x in edges if b == n]
+            ready = [(state[a][0], x) for a, x in sources if a in state]
+            if n in state or not ready or (strict and len(ready) != len(sources)):
+                continue
+            values = {d + x for d, x in ready if d is not None and x is not None}
+            unknown = len(values) != 1 or any(d is None or x is None for d, x in ready)
+            new[n] = (None if unknown else min(values), len(values) > 1)
+        if not new and not strict:
+            return state
+        strict = strict and bool(new)
+        state.update(new)
 
 
-@pytest.mark.parametrize("seed", range(4))
-def test_depth_fixpoint_equals_a_worklist(spark, seed):
+@pytest.mark.parametrize("seed", range(3))
+def test_depth_fixpoint_equals_plain_rounds(spark, seed):
     rnd = random.Random(seed)
-    edges = list({(rnd.randrange(14), rnd.randrange(14), 0): 0 for _ in range(16)}) + [(14, 15, 1), (15, 16, -1)]
-    edges = [(a, b, rnd.choice([0, 0, 1])) for a, b, _ in edges]
-    entry = {0: 0, 14: 2}
-    start = spark.createDataFrame(list(entry.items()), "node long, depth long")
-    got = graphs.depth_fixpoint(start, spark.createDataFrame(edges, "src long, dst long, delta long"))
-    assert {r.node: r.depth for r in got.collect()} == worklist(entry, edges)
+    nodes, edges, want = [], [], {}
+    for block in range(12):
+        size = rnd.randrange(1, 14)
+        own = sorted({(rnd.randrange(size), rnd.randrange(size)) for _ in range(size + 2)})
+        own = [(a, b, rnd.choice([0, 0, 1, -1, None])) for a, b in own]
+        nodes += [(block, n, 0 if n == 0 else None) for n in range(size)]
+        edges += [(block, *e) for e in own]
+        state = plain_rounds(range(size), {0: 0}, own)
+        want |= {(block, n): (*state.get(n, (None, False)), n in state) for n in range(size)}
+    df = spark.createDataFrame(nodes, "block long, node long, depth long"), spark.createDataFrame(edges, "block long, src long, dst long, delta long")
+    assert {(r.block, r.node): (r.depth, r.conflict, r.settled) for r in graphs.depth_fixpoint(*df).collect()} == want
+
+
+def test_dead_predecessors_do_not_hold_a_join():
+    state, rest = graphs.settle([0, 1, 2, 3], {0: 0}, [(0, 1, 2), (3, 1, 5), (1, 2, -1)])
+    assert rest and state == {0: (0, False), 1: (2, False), 2: (1, False)}
+    loop, _ = graphs.settle([0, 1, 2], {0: 0}, [(0, 1, 0), (1, 2, 1), (2, 1, 0)])
+    assert loop == {0: (0, False), 1: (0, False), 2: (1, False)}  # the entry settles a loop's head before its back edge does
+    chain = [(i, i + 1, 1) for i in range(1500)]
+    assert graphs.settle(list(range(1501)), {0: 0}, chain)[1] is False and len(graphs.settle(list(range(1501)), {0: 0}, chain, 2000)[0]) == 1501
 
 
 def test_alias_chain_states(spark):
-    links = spark.createDataFrame([("a", "b", False), ("b", "c", False), ("c", None, True), ("x", "y", False), ("y", "x", False), ("m", "gone", False)], "name string, target string, final boolean")
-    got = {r.name: (r.state, r.end, r.steps) for r in graphs.alias_chain(links).collect()}
-    assert got["a"] == ("resolved", "c", 2) and got["c"] == ("resolved", "c", 0)
-    assert got["x"] == ("cycle", "y", 1) and got["y"] == ("cycle", "x", 1) and got["m"] == ("missing", "gone", 1)
-    long = spark.createDataFrame([(str(i), str(i + 1), i == 50) for i in range(51)], "name string, target string, final boolean")
-    got = {r.name: (r.state, r.steps) for r in graphs.alias_chain(long, limit=32).collect()}
-    assert got["18"] == ("resolved", 32) and got["50"] == ("resolved", 0) and got["17"] == ("cycle", 32) and got["0"] == ("cycle", 32)
+    links = [("a", "b", False), ("b", "c", False), ("c", None, True), ("x", "y", False), ("y", "x", False), ("m", "gone", False), ("t1", "t2", False), ("t2", "y", False), ("s", "s", False), ("f", "s", True)]
+    got = {r.name: (r.state, r.end, r.steps) for r in graphs.alias_chain(spark.createDataFrame(links, "name string, target string, final boolean")).collect()}
+    assert got["a"] == ("resolved", "c", 2) and got["c"] == ("resolved", "c", 0) and got["f"] == ("resolved", "f", 0) and len(got) == len(links)
+    assert all(got[n] == ("cycle", "x", None) for n in ("x", "y", "t1", "t2")) and got["s"] == ("cycle", "s", None) and got["m"] == ("missing", "gone", 1)
+
+
+def test_long_alias_chains_and_cycles(spark):
+    links = [(i, i + 1, i == 70) for i in range(71)] + [(100 + i, 100 + (i + 1) % 23, False) for i in range(23)] + [(200 + i, 201 + i, False) for i in range(9)] + [(209, 110, False)]
+    got = {r.name: (r.state, r.end, r.steps) for r in graphs.alias_chain(spark.createDataFrame(links, "name long, target long, final boolean")).collect()}
+    assert all(got[i] == ("resolved", 70, 70 - i) for i in range(71)) and all(got[i] == ("cycle", 100, None) for i in [*range(100, 123), *range(200, 210)])
+    assert len(got) == len(links)
+
+
+def test_deep_trees_are_flattened_whole(spark):
+    edges = spark.createDataFrame([(i, i + 1) for i in range(45)] + [(10, 5)], "src long, dst long")
+    got = {r.node: r.depth for r in graphs.flatten_tree(spark.createDataFrame([(0,)], "node long"), edges).collect()}
+    assert got == {i: i for i in range(46)}
 
 
 def test_boxes_that_touch_do_not_overlap(spark):

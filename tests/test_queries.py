@@ -48,4 +48,4 @@ def test_query_equals_oracle(spark, duck, name):
 
 
 def test_every_query_without_an_oracle_is_tested_elsewhere():
-    assert set(QUERIES) - set(ORACLE_SQL) == {"depth_fixpoint", "removal_by_character"}
+    assert set(QUERIES) - set(ORACLE_SQL) == {"removal_by_character"}
