@@ -44,16 +44,6 @@ def severity_summary(t: Tables) -> DataFrame:
     return folded(t).groupBy("severity").agg(F.count("*").alias("n"))
 
 
-@query(
-    f"""SELECT timeline, CAST(coalesce(sum(n) FILTER (severity = 'warning'), 0) AS BIGINT) AS warnings,
-    CASE WHEN count(*) FILTER (severity = 'error') > 4 THEN 1 WHEN coalesce(sum(n) FILTER (severity = 'warning'), 0) > 12 THEN 4 ELSE 0 END AS exit_code FROM {_FOLDED} GROUP BY ALL"""
-)
-def exit_decision(t: Tables) -> DataFrame:
-    """Exit code by rules in order: errors by rows, warnings by occurrences against a limit."""
-    d = folded(t).groupBy("timeline").agg(F.count_if(F.col("severity") == "error").alias("errors"), F.coalesce(F.sum(F.when(F.col("severity") == "warning", F.col("n"))), F.lit(0)).alias("warnings"))
-    return d.select("timeline", "warnings", F.when(F.col("errors") > 4, 1).when(F.col("warnings") > 12, 4).otherwise(0).alias("exit_code"))
-
-
 @query("SELECT coalesce(CAST(quality AS VARCHAR), '') AS key, count(*) AS n FROM documents LEFT JOIN labels USING (doc_id) GROUP BY ALL")
 def count_by(t: Tables) -> DataFrame:
     """Rows by a key, where null counts as the empty one."""

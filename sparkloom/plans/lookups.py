@@ -72,12 +72,18 @@ def dim_decode(t: Tables) -> DataFrame:
     return j.lookup(t.orders.select("o_orderkey", "o_orderstatus"), F.broadcast(dim), ["o_orderstatus"], {"meaning": "unknown"}).select("o_orderkey", "meaning")
 
 
-@query("SELECT doc_id, sha256(text) AS sha, sha256(text) = sha256(substr(text, 1, 2000)) AS verified FROM documents")
+@query(
+    """SELECT doc_id, sha256(text) AS sha, CASE WHEN doc_id % 7 = 0 THEN 'unpinned' WHEN text IS NULL THEN 'missing' WHEN doc_id % 5 = 0 THEN 'changed' ELSE 'verified' END AS state FROM documents
+    UNION ALL SELECT -1 - r_regionkey, NULL, 'missing' FROM region"""
+)
 def hash_verify(t: Tables) -> DataFrame:
-    """Digests held against a manifest: here that of the texts cut at 2000 characters."""
-    manifest = t.documents.select("doc_id", F.sha2(F.substring("text", 1, 2000), 256).alias("pinned"))
-    d = t.documents.select("doc_id", F.sha2("text", 256).alias("sha"))
-    return d.join(manifest, "doc_id").select("doc_id", "sha", (F.col("sha") == F.col("pinned")).alias("verified"))
+    """Digests of whole texts held against a manifest that lacks some, pins others wrongly, and names files that are not there."""
+    k = F.col("doc_id")
+    pinned = F.when(k % 5 == 0, F.sha2(F.concat(F.coalesce("text", F.lit("")), F.lit("!")), 256)).otherwise(F.sha2(F.coalesce("text", F.lit("")), 256))
+    manifest = t.documents.where(k % 7 != 0).select("doc_id", pinned.alias("pinned")).unionByName(t.region.select((-1 - F.col("r_regionkey")).alias("doc_id"), F.lit("00").alias("pinned")))
+    d = t.documents.select("doc_id", F.sha2("text", 256).alias("sha"), F.lit(True).alias("there"))
+    state = F.when(F.col("pinned").isNull(), "unpinned").when(F.col("sha").isNull(), "missing").when(F.col("sha") != F.col("pinned"), "changed").otherwise("verified")
+    return d.join(manifest, "doc_id", "full_outer").select("doc_id", "sha", state.alias("state"))
 
 
 @query("SELECT event_id FROM events WHERE event_type IN ('view', 'click')")
@@ -86,11 +92,11 @@ def set_membership(t: Tables) -> DataFrame:
     return t.events.where(F.col("event_type").isin("view", "click")).select("event_id")
 
 
-@query("SELECT doc_id, lang FROM documents d WHERE NOT EXISTS (SELECT 1 FROM labels l WHERE l.doc_id = d.doc_id) AND lang IS NOT NULL")
+@query("SELECT timeline, idx, kind FROM (SELECT *, CASE WHEN character % 4 = 1 THEN depth END AS sprite FROM " + ROWS + ") WHERE sprite IS NULL")
 def toplevel_filter(t: Tables) -> DataFrame:
-    """Rows without a parent."""
-    d = t.documents.select("doc_id", "lang").join(t.labels.select("doc_id", F.col("quality").alias("parent")), "doc_id", "left")
-    return d.where("parent is null and lang is not null").select("doc_id", "lang")
+    """Tags that lie in no sprite."""
+    r = rows(t).withColumn("sprite", F.when(F.col("character") % 4 == 1, F.col("depth")))
+    return r.where(F.col("sprite").isNull()).select("timeline", "idx", "kind")
 
 
 @query(f"SELECT timeline, row_number() OVER (PARTITION BY timeline ORDER BY depth, idx) AS n, depth, idx FROM {ROWS} WHERE kind IN ('view', 'click') AND depth <> 3")
@@ -120,9 +126,3 @@ def numbered(df: DataFrame, order: list, name: str = "n") -> DataFrame:
 def tracking_filter(t: Tables) -> DataFrame:
     """Transitions for one tracking mode, or for both."""
     return t.events.where(F.col("event_type").isin("both", "click")).select("event_id", "event_type")
-
-
-@query("SELECT event_id FROM events WHERE event_id BETWEEN 100 AND 250")
-def frame_range(t: Tables) -> DataFrame:
-    """Rows of an inclusive range of frames."""
-    return t.events.where(F.col("event_id").between(100, 250)).select("event_id")

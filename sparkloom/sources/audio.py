@@ -132,3 +132,22 @@ def sound_samples(sounds: DataFrame) -> DataFrame:
             yield pa.RecordBatch.from_pylist(rows, schema=pa.schema([("id", pa.string()), ("channel", pa.int32()), ("samples", pa.list_(pa.int16()))]))
 
     return sounds.select("id", "format", "bits", "channels", "samples", "data").mapInArrow(run, "id string, channel int, samples array<smallint>")
+
+
+def frame_table(sounds: DataFrame) -> DataFrame:
+    """MPEG frames of sounds (`id`, `data`), in order: `id`, `seq` and the fields of `mp3_frames`, with `changed`: whether version, bit rate, sample rate or channels differ from the frame before."""
+    names = ("offset", "length", "version", "kbits", "rate", "channels", "samples")
+    kinds = pa.schema([("id", pa.int64()), ("seq", pa.int32()), *((n, pa.int32()) for n in names), ("changed", pa.bool_())])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            rows = []
+            for own, data in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
+                last = None
+                for seq, frame in enumerate(mp3_frames(data or b"")):
+                    now = tuple(frame[n] for n in ("version", "kbits", "rate", "channels"))
+                    rows.append({"id": own, "seq": seq, "changed": last is not None and now != last} | frame)
+                    last = now
+            yield pa.RecordBatch.from_pylist(rows, schema=kinds)
+
+    return sounds.selectExpr("CAST(id AS bigint) AS id", "data").mapInArrow(run, f"id long, seq int, {', '.join(f'{n} int' for n in names)}, changed boolean")
