@@ -48,22 +48,29 @@ def two_sided(left: DataFrame, right: DataFrame, on: Sequence[str], value: str)
     return a.join(b, list(on), "full_outer").withColumn("verdict", verdict).drop("_a", "_b")
 
 
-def range_buckets(points: DataFrame, point: str, ranges: DataFrame, low: str, high: str, width: int) -> tuple[DataFrame, DataFrame]:
-    """Both sides with a `_bucket` to join on: ranges [low, high) are spread over the buckets they touch.
+def range_buckets(points: DataFrame, point: str, ranges: DataFrame, low: str, high: str) -> tuple[DataFrame, DataFrame]:
+    """Both sides with `_level` and `_bucket` to join on.
 
-    With an equality to hash on, a range join is no nested loop; a range costs as many rows as buckets it spans, so
-    `width` should be about the usual length of a range.
+    With an equality to hash on, a range join is no nested loop. A range [low, high) goes to the level whose buckets (of
+    a power of two) are just as long as it is or longer, where it touches two at most, however long it is; a point goes to
+    its bucket on each level in use, 63 at most.
     """
-    p = points.withColumn("_bucket", F.floor(F.col(point) / width))
-    spread = F.sequence(F.floor(F.col(low) / width), F.floor((F.col(high) - 1) / width))
-    r = ranges.where(F.col(low) < F.col(high)).withColumn("_bucket", F.explode(spread))
-    return p, r
+    a, b = F.col(low).cast("long"), F.col(high).cast("long") - 1
+    r = ranges.where(F.col(low) < F.col(high)).withColumn("_level", F.when(a == b, 0).otherwise(F.length(F.bin(b - a))))
 
+    def bucket(x: Column) -> Column:
+        return F.call_function("shiftright", x, F.col("_level"))
 
-def contained(points: DataFrame, point: str, ranges: DataFrame, low: str, high: str, width: int, on: Sequence[str] = ()) -> DataFrame:
-    """All pairs of a point and a range [low, high) that holds it."""
-    p, r = range_buckets(points, point, ranges, low, high, width)
-    return p.join(r, [*on, "_bucket"]).where((F.col(point) >= F.col(low)) & (F.col(point) < F.col(high))).drop("_bucket")
+    levels = F.broadcast(r.agg(F.collect_set("_level").alias("_levels")))  # one row of whole numbers up to 63
+    p = points.crossJoin(levels).withColumn("_level", F.explode("_levels")).drop("_levels")
+    p = p.withColumn("_bucket", bucket(F.floor(F.col(point)).cast("long")))
+    return p, r.withColumn("_bucket", F.explode(F.array_distinct(F.array(bucket(a), bucket(b)))))
+
+
+def contained(points: DataFrame, point: str, ranges: DataFrame, low: str, high: str, on: Sequence[str] = ()) -> DataFrame:
+    """All pairs of a point and a range [low, high) of whole numbers that holds it."""
+    p, r = range_buckets(points, point, ranges, low, high)
+    return p.join(r, [*on, "_level", "_bucket"]).where((F.col(point) >= F.col(low)) & (F.col(point) < F.col(high))).drop("_level", "_bucket")
 
 
 def innermost(pairs: DataFrame, point: Sequence[str], rank: Sequence[Column]) -> DataFrame:

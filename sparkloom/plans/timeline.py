@@ -175,3 +175,16 @@ def target_in_force(t: Tables) -> DataFrame:
     """The target in force at each record of a scope; a change holds for itself and what follows."""
     p = o.value_in_force(spans(t), ["timeline", "span"], AT, F.when(F.col("kind") == "click", F.col("character")), "target", inclusive=True)
     return p.select("timeline", "span", "idx", "target")
+
+
+@query(
+    f"""SELECT timeline, idx, shade FROM (SELECT timeline, idx, character % 3 AS shade, lag(character % 3) OVER (PARTITION BY timeline ORDER BY idx) AS before, row_number() OVER (PARTITION BY timeline ORDER BY idx) AS n
+    FROM {ROWS} WHERE kind = 'view') WHERE n = 1 OR shade <> before"""
+)
+def background_changes(t: Tables) -> DataFrame:
+    """The background's colours in order, each where it comes up; setting the same again changes nothing."""
+    from sparkloom.operators.ordered import changes, occurrence
+
+    v = rows(t).where("kind = 'view'").select("timeline", "idx", (F.col("character") % 3).alias("shade"))
+    v = occurrence(changes(v, ["timeline"], ["idx"], ["shade"]), ["timeline"], ["idx"], "n")
+    return v.where("n = 1 or changed").select("timeline", "idx", "shade")

@@ -9,7 +9,7 @@ from __future__ import annotations
 import lzma
 import struct
 import zlib
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from dataclasses import dataclass, field
 
 import pyarrow as pa
@@ -54,14 +54,27 @@ class Opened:
     notes: list[dict] = field(default_factory=list)
 
 
-def unpack(data: bytes, most: int = MOST_BYTES) -> tuple[str | None, bytes, list[tuple[str, str]]]:
-    """Compression, body and problems (code, message) of a file. A damaged stream keeps its decoded beginning."""
+Inflate = Callable[[bytes, int], bytes]
+
+
+def unpack(data: bytes, most: int = MOST_BYTES, inflate: dict[str, Inflate] | None = None) -> tuple[str | None, bytes, list[tuple[str, str]]]:
+    """Compression, body and problems (code, message) of a file. A damaged stream keeps its decoded beginning.
+
+    `inflate` takes decoders of one's own, by compression: called with the packed bytes behind the file's first eight and
+    the bytes wanted at most, they return the body or raise ValueError.
+    """
     kind = {b"FWS": "none", b"CWS": "zlib", b"ZWS": "lzma"}.get(bytes(data[:3]))
     if kind is None or len(data) < 8:
         return None, b"", [("SF0001", "not a container of this kind")]
     problems = []
     if kind == "none":
         return kind, bytes(data[8:]), problems
+    if inflate and kind in inflate:
+        try:
+            body = inflate[kind](bytes(data[8:]), most)
+        except ValueError as e:
+            return kind, b"", [("SF0003", f"the packed stream is damaged: {e}")]
+        return kind, body[:most], [("SF0007", f"more than {most} bytes unpacked")] if len(body) > most else []
     if kind == "zlib":
         decoder, packed = zlib.decompressobj(), data[8:]
     else:
@@ -217,14 +230,14 @@ def index_tags(body: bytes, start: int, declared_frames: int, note, most_depth:
     return tags
 
 
-def open_bytes(data: bytes, *, strict: bool = False, most: int = MOST_BYTES) -> Opened:
+def open_bytes(data: bytes, *, strict: bool = False, most: int = MOST_BYTES, inflate: dict[str, Inflate] | None = None) -> Opened:
     """Opens one file."""
     o = Opened()
 
     def note(code: str, message: str, offset: int, context: str, character: int | None = None) -> None:
         o.notes.append(problem(code, message, offset, context, character))
 
-    o.compression, o.body, problems = unpack(data, most)
+    o.compression, o.body, problems = unpack(data, most, inflate)
     for code, message in problems:
         note(code, message, 0, "container")
     if o.compression is not None:
@@ -244,15 +257,18 @@ TAGS = "path string, index int, code int, head long, offset long, length long, l
 NOTES = "path string, seq int, code string, severity string, message string, offset long, context string, character int"
 
 
-def read_files(spark: SparkSession, path: str, glob: str | None = None) -> DataFrame:
-    """Files under `path` as `path` and `content`."""
+def read_files(spark: SparkSession, path: str, glob: str | None = None, most: int | None = None) -> DataFrame:
+    """Files under `path` as `path` and `content`; those over `most` bytes come without content, unread."""
     reader = spark.read.format("binaryFile").option("recursiveFileLookup", "true")
     if glob:
         reader = reader.option("pathGlobFilter", glob)
-    return reader.load(path).select("path", "content")
+    files = reader.load(path)
+    if most is None:
+        return files.select("path", "content")
+    return files.where(F.col("length") <= most).select("path", "content").unionByName(files.where(F.col("length") > most).select("path", F.lit(None).cast("binary").alias("content")))
 
 
-def _scan(files: DataFrame, schema: str, make, strict: bool) -> DataFrame:
+def _scan(files: DataFrame, schema: str, make, strict: bool, inflate: dict[str, Inflate] | None = None) -> DataFrame:
     arrow = files.sparkSession.createDataFrame([], schema).schema
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -262,12 +278,12 @@ def _scan(files: DataFrame, schema: str, make, strict: bool) -> DataFrame:
         for batch in batches:
             for path, content in zip(batch.column(0), batch.column(1), strict=True):
                 data = content.as_py() or b""
-                yield pa.RecordBatch.from_pylist(make(path.as_py(), data, open_bytes(data, strict=strict)), schema=kinds)
+                yield pa.RecordBatch.from_pylist(make(path.as_py(), data, open_bytes(data, strict=strict, inflate=inflate)), schema=kinds)
 
     return files.select("path", "content").mapInArrow(run, schema)
 
 
-def file_table(files: DataFrame, *, strict: bool = False) -> DataFrame:
+def file_table(files: DataFrame, *, strict: bool = False, inflate: dict[str, Inflate] | None = None) -> DataFrame:
     """One row per file: container and header fields; null for what is not of this kind."""
 
     def make(path: str, data: bytes, o: Opened) -> list[dict]:
@@ -276,10 +292,10 @@ def file_table(files: DataFrame, *, strict: bool = False) -> DataFrame:
         rest = {k: h.get(k) for k in ("frame_rate_raw", "frame_rate", "frame_count", "width_px", "height_px")}
         return [{"path": path, "size": len(data), "compression": o.compression, "version": o.version, "declared_length": o.declared, "body_length": len(o.body)} | box | rest]
 
-    return _scan(files, FILES, make, strict)
+    return _scan(files, FILES, make, strict, inflate)
 
 
-def tag_table(files: DataFrame, *, strict: bool = False, with_body: bool = True) -> DataFrame:
+def tag_table(files: DataFrame, *, strict: bool = False, with_body: bool = True, inflate: dict[str, Inflate] | None = None) -> DataFrame:
     """One row per tag in stream order, with its bytes unless told otherwise."""
 
     def make(path: str, data: bytes, o: Opened) -> list[dict]:
@@ -288,7 +304,7 @@ def tag_table(files: DataFrame, *, strict: bool = False, with_body: bool = True)
             for t in o.tags
         ]
 
-    return _scan(files, TAGS, make, strict)
+    return _scan(files, TAGS, make, strict, inflate)
 
 
 def note_table(files: DataFrame) -> DataFrame:

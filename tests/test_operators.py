@@ -153,10 +153,20 @@ def test_boxes_that_touch_do_not_overlap(spark):
 def test_contained_over_bucket_borders(spark):
     points = spark.createDataFrame([(i,) for i in range(-3, 25)], "p long")
     ranges = spark.createDataFrame([(1, -2, 9), (2, 8, 8), (3, 7, 20)], "id long, lo long, hi long")
-    got = rows(joins.contained(points, "p", ranges, "lo", "hi", 5).select("p", "id"))
+    got = rows(joins.contained(points, "p", ranges, "lo", "hi").select("p", "id"))
     assert got == sorted((p, i) for p in range(-3, 25) for i, lo, hi in ((1, -2, 9), (3, 7, 20)) if lo <= p < hi)
 
 
+def test_ranges_of_any_length_take_two_buckets_at_most(spark):
+    rnd = random.Random(3)
+    spans = [(i, lo, lo + rnd.choice([1, 2, 3, 64, 10**6, 10**12])) for i, lo in enumerate(rnd.randrange(-(10**12), 10**12) for _ in range(60))] + [(99, 0, 2**62)]
+    places = [rnd.randrange(-(10**12), 10**12) for _ in range(80)] + [x + d for _, lo, hi in spans for x, d in ((lo, -1), (lo, 0), (hi, -1), (hi, 0))]
+    points, ranges = spark.createDataFrame([(p,) for p in set(places)], "p long"), spark.createDataFrame(spans, "id long, lo long, hi long")
+    _, spread = joins.range_buckets(points, "p", ranges, "lo", "hi")
+    assert spread.count() <= 2 * len(spans)
+    assert rows(joins.contained(points, "p", ranges, "lo", "hi").select("p", "id")) == sorted((p, i) for p in set(places) for i, lo, hi in spans if lo <= p < hi)
+
+
 def test_row_numbers_over_many_partitions(spark):
     df = spark.range(1000).select((F.col("id") * 7919 % 1000).alias("k"))
     assert [(r.k, r.n) for r in sorting.number_rows(df, ["k"]).orderBy("n").collect()] == [(i, i + 1) for i in range(1000)]

@@ -310,3 +310,37 @@ def test_command_line(spark, tmp_path, capsys):
     assert spark.read.parquet(str(tmp_path / "out")).count() == 3
     (tmp_path / "in" / "a.swf").unlink()
     assert main(["files", str(tmp_path / "in")], spark) == 2
+
+
+def test_trees_are_written_whole_or_not_at_all(spark, tmp_path):
+    from sparkloom.sources.trees import write_tree
+
+    kind = "path string, content binary"
+    out = tmp_path / "tree"
+    assert write_tree(spark.createDataFrame([("b/c.txt", b"1"), ("a.txt", b"2")], kind), str(out)) == ["a.txt", "b/c.txt"]
+    assert (out / "b" / "c.txt").read_bytes() == b"1"
+    for bad in ([("x", b"3"), ("../y", b"4")], [("x", b"3"), ("x", b"4")], [("/etc/x", b"")], [("a", b""), ("a/b", b"")]):
+        with pytest.raises((ValueError, OSError)):
+            write_tree(spark.createDataFrame(bad, kind), str(out))
+        assert sorted(p.name for p in tmp_path.iterdir()) == ["tree"] and (out / "a.txt").read_bytes() == b"2"
+    write_tree(spark.createDataFrame([("n", b"5")], kind), str(out))
+    assert [p.name for p in out.iterdir()] == ["n"] and sorted(p.name for p in tmp_path.iterdir()) == ["tree"]
+
+
+def test_decoders_of_ones_own_and_large_files(spark, tmp_path):
+    import zlib
+
+    def own(packed, most):
+        if packed == b"bad":
+            raise ValueError("no")
+        return zlib.decompress(packed)[:most]
+
+    body = rect(0, 100, 0, 100) + struct.pack("<HH", 256, 1) + b"\0\0"
+    data = b"CWS\x06" + struct.pack("<I", 8 + len(body)) + zlib.compress(body)
+    assert container.open_bytes(data, inflate={"zlib": own}).body == container.open_bytes(data).body == body
+    assert [n["code"] for n in container.open_bytes(data[:8] + b"bad", inflate={"zlib": own}).notes][:1] == ["SF0003"]
+    (tmp_path / "small").write_bytes(data)
+    (tmp_path / "large").write_bytes(b"x" * 5000)
+    files = container.read_files(spark, str(tmp_path), most=1000)
+    assert {r.path.rpartition("/")[2]: r.content is None for r in files.collect()} == {"small": False, "large": True}
+    assert container.tag_table(files, inflate={"zlib": own}).count() == 1
