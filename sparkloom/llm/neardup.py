@@ -5,7 +5,8 @@ The flow, for a corpus of any size:
 1. One pass over the texts makes each document's set of word shingles and from it a SuperMinHash signature: every
    element draws its ranks along one permutation of the bins, so ranks are correlated and spread evenly over the bins,
    and drawing stops as soon as no bin of the document can still fall.
-2. Documents with equal sets form a class at once (a pre-aggregated group-by); only classes go on.
+2. Documents with equal sets form a class at once (a pre-aggregated group-by); only classes go on, under numbers of their
+   own, so that ids may be null or repeat.
 3. The signature is cut into bands; classes that agree in a band meet in a bucket. Within a bucket, members are
    compared with one hub, not with each other, and confirmed links are contracted at once. Buckets whose members are
    all in one component by then are done. After some bands have done the bulk in this way, the remaining pairs of
@@ -32,6 +33,8 @@ from sparkloom.llm.words import shingle_sets
 BANDS, ROWS = 40, 6
 #: Buckets with more members than this take the prefix filter.
 CROWD = 16
+#: Rows on either side of a shingle's meeting that one task compares; shingles of more rows are dealt over a grid of tasks.
+CELL = 64
 #: Elements that get a permutation at once, BANDS * ROWS bytes each.
 _ELEMENTS = 1 << 16
 
@@ -102,7 +105,7 @@ def _longs(values: np.ndarray) -> pa.Array:
 def _sign(size: int, bands: int, rows: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for first, last, data, offsets in text_blocks(batch.column(1)):
+            for first, last, data, offsets in text_blocks(batch.column("text")):
                 sets = shingle_sets(data, offsets, size)
                 keys = band_keys(superminhash(sets, bands * rows), bands, rows)
                 n = np.array([len(s) for s in sets], np.int64)
@@ -111,10 +114,8 @@ def _sign(size: int, bands: int, rows: int):
                 lists = pa.ListArray.from_arrays(
                     pa.array(np.concatenate(([0], np.cumsum(full.sum(axis=1)))), pa.int32()), _longs(keys[full])
                 )
-                yield pa.RecordBatch.from_arrays(
-                    [batch.column(0).slice(first, last - first), pa.array(n), _longs(digest[:, 0]), _longs(digest[:, 1]), lists],
-                    names=["doc_id", "n", "d1", "d2", "bands"],
-                )
+                own = [batch.column(c).slice(first, last - first) for c in ("doc_id", "tk")]
+                yield pa.RecordBatch.from_arrays([*own, pa.array(n), _longs(digest[:, 0]), _longs(digest[:, 1]), lists], names=["doc_id", "tk", "n", "d1", "d2", "bands"])
         free_memory()
 
     return run
@@ -215,11 +216,20 @@ def _prefix_pairs(nodes: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     main = per_key.groupBy("gram", "class").agg(F.max_by("label", F.struct("rows", "label")).alias("main"))
     asks, answers = asks.join(main, ["gram", "class"]), answers.join(main, ["gram", "class"])
 
+    def dealt(rows: DataFrame, sizes: DataFrame, mine: str, other: str) -> DataFrame:
+        """Rows with a cell of their key's grid: dealt by themselves in one direction, repeated along the other."""
+        rows = rows.join(sizes, ["gram", "class"])
+        rows = rows.withColumn(mine, F.pmod(F.xxhash64("node"), F.ceil(F.col(mine) / CELL)).cast("int"))
+        return rows.withColumn(other, F.explode(F.sequence(F.lit(0), (F.ceil(F.col(other) / CELL) - 1).cast("int"))))
+
     def meet(a: DataFrame, b: DataFrame) -> DataFrame:
-        a = a.select("gram", "class", F.col("node").alias("x"), F.col("n").alias("nx"), F.col("label").alias("lx"), F.col("reach").alias("rx"))
-        b = b.select("gram", "class", F.col("node").alias("y"), F.col("n").alias("ny"), F.col("label").alias("ly"), F.col("reach").alias("ry"))
+        counted = [x.groupBy("gram", "class").agg(F.count("*").alias(side)) for x, side in ((a, "row"), (b, "column"))]
+        sizes = stored(counted[0].join(counted[1], ["gram", "class"]), "grid")
+        a, b = dealt(a, sizes, "row", "column"), dealt(b, sizes, "column", "row")
+        a = a.select("row", "column", "gram", "class", F.col("node").alias("x"), F.col("n").alias("nx"), F.col("label").alias("lx"), F.col("reach").alias("rx"))
+        b = b.select("row", "column", "gram", "class", F.col("node").alias("y"), F.col("n").alias("ny"), F.col("label").alias("ly"), F.col("reach").alias("ry"))
         fits = "lx <> ly and nx >= ny and ny <= rx and nx <= ry and ny * 100 >= nx * " + str(percent)
-        return a.join(b, ["gram", "class"]).where(fits).select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b"))
+        return a.join(b, ["gram", "class", "row", "column"]).where(fits).select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b"))
 
     return meet(asks.where("label <> main"), answers).unionByName(meet(asks.where("label = main"), answers.where("label <> main"))).distinct()
 
@@ -239,24 +249,37 @@ def near_duplicates(
     Documents are linked if 100 * intersection >= percent * union of their shingle sets. Words are runs of anything but
     the space and characters 9 to 13, with A-Z lower-cased; a text shorter than a shingle is one shingle.
 
-    Defined results: a null or blank text has 0 shingles and is linked with nothing. Repeated rows each give a row;
-    rows that share an id count as one document. A row with a null id joins the class of texts with its set, and is its
-    own component (null) if that class has no id. Other columns of `docs` are not read.
+    Defined results: a null or blank text has 0 shingles and is linked with nothing. Repeated rows each give a row; rows
+    that share an id but not their text are linked each by its own text. A row with a null id takes part like others, but
+    gives no id; where no row of a component has one, its id is null (and all its rows count as kept). Other columns of
+    `docs` are not read.
     """
+    out = _grouped(docs, id_col, text_col, shingle, percent, bands, rows)
+    return out.select("doc_id", F.col("n").alias("n_shingles"), "component_id").withColumn("kept", F.col("doc_id").eqNullSafe(F.col("component_id")))
+
+
+def _grouped(docs: DataFrame, id_col: str, text_col: str, shingle: int, percent: int, bands: int, rows: int) -> DataFrame:
+    """Per row: `doc_id`, `tk` (hash of the text), `n`, `component_id` and `label`, the component's number (null without shingles)."""
     prepare(docs.sparkSession)
-    docs = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
-    signed = docs.mapInArrow(_sign(shingle, bands, rows), "doc_id long, n long, d1 long, d2 long, bands array<long>")
+    docs = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"), F.xxhash64(text_col).alias("tk"))
+    signed = docs.mapInArrow(_sign(shingle, bands, rows), "doc_id long, tk long, n long, d1 long, d2 long, bands array<long>")
     signed = stored(signed, "signatures")
-    classes = signed.where("n > 0").groupBy("d1", "d2").agg(F.min("doc_id").alias("node"))
-    classes = stored(classes, "classes")
-    # A class's key rows come from its smallest document; copies add nothing to buckets.
-    own = (signed.d1 == classes.d1) & (signed.d2 == classes.d2) & (signed.doc_id == classes.node)
-    first = signed.where("n > 0").join(classes, own, "left_semi").dropDuplicates(["d1", "d2", "doc_id"])
-    keys = first.select(F.col("doc_id").alias("node"), "n", F.posexplode("bands").alias("band", "key"))
+    # A class goes on with its smallest row, by id and text; copies add nothing to buckets.
+    smallest = F.min(F.struct(F.col("doc_id").isNull().alias("null"), "doc_id", "tk")).alias("rep")
+    classes = signed.where("n > 0").groupBy("d1", "d2").agg(smallest, F.first("n").alias("n"), F.first("bands").alias("bands"))
+    classes = classes.select("d1", "d2", "n", "bands", F.col("rep.doc_id").alias("rep_id"), F.col("rep.tk").alias("rep_tk"))
+    classes = stored(classes.withColumn("node", F.monotonically_increasing_id()), "classes")  # the stored table fixes the numbers
+    keys = classes.select("node", "n", F.posexplode("bands").alias("band", "key"))
     crowded = keys.groupBy("key").agg(F.min("node").alias("lo"), F.max("node").alias("hi")).where("lo <> hi")
     keys = stored(keys.join(crowded.select("key"), "key", "left_semi"), "keys")
-    wanted = keys.select(F.col("node").alias("doc_id")).distinct()
-    sets = stored(docs.join(wanted, "doc_id", "left_semi").mapInArrow(_sets(shingle), "node long, grams array<long>"), "sets")
+    classes = classes.drop("bands", "n")
+    wanted = classes.join(keys.select("node").distinct(), "node", "left_semi").select("node", "rep_id", "rep_tk")
+    own = docs.doc_id.eqNullSafe(wanted.rep_id) & (docs.tk == wanted.rep_tk)
+    sets = docs.join(wanted, own).select("node", "text").mapInArrow(_sets(shingle), "node long, grams array<long>")
+    again = signed.where("n > 0").groupBy("doc_id", "tk").agg(F.count("*").alias("rows")).where("rows > 1")
+    if not again.isEmpty():  # rows that are repeated as a whole would give their set more than once
+        sets = sets.dropDuplicates(["node"])
+    sets = stored(sets, "sets")
 
     def confirmed(pairs: DataFrame) -> DataFrame:
         """Of pairs (a, b), those whose full sets are similar enough."""
@@ -289,41 +312,46 @@ def near_duplicates(
         part = part.where(similar_size("n", "m")).select("a", "b").distinct()
         labels = contract(confirmed(part), labels)
     rest = mixed(placed(keys, labels)).select("key", "node", "n", "label")
-    rest = stored(rest.withColumn("crowd", F.count("*").over(W.partitionBy("key"))), "rest")
+    members = stored(rest.groupBy("key").agg(F.count("*").alias("crowd")), "members")
+    rest = stored(rest.join(members, "key"), "rest")
     small = rest.where(F.col("crowd") <= CROWD)
     pairs = _both_ways(small, "key", similar_size)
     crowded = rest.where(F.col("crowd") > CROWD).select("node", "n", "label").distinct()
     pairs = pairs.unionByName(_prefix_pairs(crowded, sets, percent)).distinct()
     labels = contract(confirmed(pairs), labels)
 
-    if labels is not None:
-        classes = classes.join(labels, "node", "left").select("d1", "d2", F.coalesce("label", "node").alias("component_id"))
-    else:
-        classes = classes.select("d1", "d2", F.col("node").alias("component_id"))
-    out = signed.select("doc_id", "n", "d1", "d2").join(classes.withColumn("linked", F.lit(True)), ["d1", "d2"], "left")
+    label = F.coalesce("label", "node") if labels is not None else F.col("node")
+    classes = classes.join(labels, "node", "left") if labels is not None else classes
+    classes = stored(classes.select("d1", "d2", "rep_id", label.alias("label")), "labelled")
+    components = classes.groupBy("label").agg(F.min("rep_id").alias("component_id"))
+    classes = classes.join(components, "label").select("d1", "d2", "label", "component_id")
+    out = signed.select("doc_id", "tk", "n", "d1", "d2").join(classes, ["d1", "d2"], "left")
     component = F.when(F.col("n") > 0, F.col("component_id")).otherwise(F.col("doc_id"))
-    return out.select("doc_id", F.col("n").alias("n_shingles"), component.alias("component_id")).withColumn(
-        "kept", F.col("doc_id").eqNullSafe(F.col("component_id"))
-    )
+    return out.select("doc_id", "tk", "n", component.alias("component_id"), F.when(F.col("n") > 0, F.col("label")).alias("label"))
 
 
 def one_of_each(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", shingle: int = 5, percent: int = 80) -> DataFrame:
     """The rows of `docs` with one of each group of near-duplicates, with their columns whatever their names.
 
-    Of a group, the row with the smallest id stays; of rows that share that id, the one with the smallest text. Rows
-    with a null id stay unless a row with an id has their set of shingles; equal texts among them leave one.
+    Of a component, the row with the smallest id stays (any id before null, and of rows that share it, the one whose text
+    has the smallest hash; of rows alike in both, the one whose other columns hash smallest). Ids are not told apart
+    otherwise: rows with the same id and quite different texts all stay. A text without words is linked with nothing and
+    stays.
     """
     names = docs.columns
     inner = [f"c{i}" for i in range(len(names))]
     lower = [n.lower() for n in names]
     key, text = inner[lower.index(id_col.lower())], inner[lower.index(text_col.lower())]
     rows = docs.toDF(*inner)
-    found = near_duplicates(rows, id_col=key, text_col=text, shingle=shingle, percent=percent)
-    kept = stored(found.where("kept and doc_id is not null").select("doc_id").distinct(), "kept")
-    with_id = rows.where(F.col(key).isNotNull()).join(kept.withColumnRenamed("doc_id", key), key, "left_semi")
-    first = F.row_number().over(W.partitionBy(key).orderBy(F.col(text).asc_nulls_last()))
-    with_id = with_id.withColumn("first", first).where("first = 1").drop("first")
-    alone = rows.where(F.col(key).isNull()).dropDuplicates([text])
-    known = rows.where(F.col(key).isNotNull()).select(F.xxhash64(text).alias("h")).distinct()
-    alone = alone.withColumn("h", F.xxhash64(text)).join(known, "h", "left_anti").drop("h")
-    return with_id.select(*inner).unionByName(alone.select(*inner)).toDF(*names)
+    found = _grouped(rows, key, text, shingle, percent, BANDS, ROWS).where("label is not null")
+    first = F.min(F.struct(F.col("doc_id").isNull().alias("null"), "doc_id", "tk")).alias("w")
+    kept = found.groupBy("label").agg(first, F.count("*").alias("rows")).select("w.doc_id", "w.tk", "rows")
+    kept = stored(kept.select(F.col("doc_id").alias("w_id"), F.col("tk").alias("w_tk"), "rows"), "kept")
+    rows = rows.withColumns({"tk": F.xxhash64(text), "id": F.col(key).cast("long")})
+    blank = rows.where(F.coalesce(~F.col(text).rlike(r"[^\x20\x09-\x0D]"), F.lit(True)))
+    own = F.col("id").eqNullSafe(F.col("w_id")) & (F.col("tk") == F.col("w_tk"))
+    stay = rows.join(kept, own).drop("w_id", "w_tk")
+    # Only rows of larger components can be repeated as a whole.
+    alike = W.partitionBy("id", "tk").orderBy(F.xxhash64(*inner))
+    many = stay.where("rows > 1").withColumn("nth", F.row_number().over(alike)).where("nth = 1")
+    return stay.where("rows = 1").select(*inner).unionByName(many.select(*inner)).unionByName(blank.select(*inner)).toDF(*names)

@@ -90,6 +90,32 @@ def test_null_and_repeated_ids(spark):
     assert Counter(tuple(r) for r in left) == Counter([(5, "a b c d e"), (7, "q r s t u"), (None, "z z z z"), (None, None)])
 
 
+def test_ids_do_not_stand_for_texts(spark):
+    """Rows that share an id keep apart; rows without one are linked like others."""
+    rnd = random.Random(12)
+
+    def words_(n):
+        return ["w%d" % rnd.randrange(10_000) for _ in range(n)]
+
+    a, b, c = words_(60), words_(60), words_(60)
+    near = lambda w: " ".join(w[:-1] + ["end%d" % rnd.randrange(99)])
+    rows = [(1, " ".join(a)), (1, " ".join(b)), (2, near(a)), (3, near(b)), (None, " ".join(c)), (None, near(c)), (None, near(c)), (4, "own words only here"), (4, "own words only here"), (9, " ")]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    got = Counter((r.doc_id, r.component_id, r.kept) for r in neardup.near_duplicates(df).collect())
+    assert got == {(1, 1, True): 2, (2, 1, False): 1, (3, 1, False): 1, (None, None, True): 3, (4, 4, True): 2, (9, 9, True): 1}
+    left = Counter((r.doc_id, r.text[:30]) for r in neardup.one_of_each(df).collect())
+    assert left[1, " ".join(a)[:30]] == left[1, " ".join(b)[:30]] == left[4, "own words only here"] == left[9, " "] == 1
+    assert left[None, " ".join(c)[:30]] == 1 and sum(left.values()) == 5
+
+
+def test_hot_shingles_are_dealt_over_a_grid(spark, monkeypatch):
+    monkeypatch.setattr(neardup, "CROWD", 1)
+    monkeypatch.setattr(neardup, "CELL", 3)
+    texts = near_corpus(5)
+    got = sorted(tuple(r) for r in neardup.near_duplicates(frame(spark, texts), shingle=4, bands=60, rows=2).collect())
+    assert got == components(texts, 4)
+
+
 def test_one_of_each_keeps_columns(spark):
     df = frame(spark, ["a b c d e f", "a b c d e f", "other words are here now"])
     left = neardup.one_of_each(df)
