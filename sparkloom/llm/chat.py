@@ -166,41 +166,105 @@ def format_conversations(rows: DataFrame, template: Template | None = None, *, c
     return rows.mapInArrow(_format((template or Template()).checked()), _SEGMENTS)
 
 
+class Reader:
+    """Reads formatted conversations back from their characters and the loss mask, piece by piece.
+
+    Control strings cannot occur inside a written role or text, so the next one found is the one that ends what is being
+    read. Only the open turn is held. Raises ValueError at what the template cannot have written.
+    """
+
+    def __init__(self, template: Template):
+        self.t, self.codec = template, template.codec()
+        self.start()
+
+    def start(self) -> None:
+        self.rest, self.want, self.done = "", "begin", False
+        self.turns, self.loss = hashlib.sha256(), hashlib.sha256()
+        self.n = self.loss_chars = self.chars = 0
+        self.masked: list[str] = []
+
+    def _end_of_mask(self) -> None:
+        """What lies under an unbroken stretch of the mask is text as it was written."""
+        if self.masked:
+            plain = self.codec.unescape("".join(self.masked))
+            self.loss.update(plain.encode())
+            self.loss_chars += len(plain)
+            self.masked = []
+
+    def _upto(self, mark: str) -> str | None:
+        at = self.rest.find(mark)
+        if at < 0:
+            return None
+        got, self.rest = self.rest[:at], self.rest[at + len(mark) :]
+        return got
+
+    def feed(self, piece: str, masked: bool) -> None:
+        self.chars += len(piece)
+        if masked:
+            self.masked.append(piece)
+        elif piece:
+            self._end_of_mask()
+        self.rest += piece
+        t = self.t
+        while self.rest and not self.done:
+            if self.want == "begin":
+                if len(self.rest) < len(t.begin):
+                    return
+                if not self.rest.startswith(t.begin):
+                    raise ValueError("a conversation does not begin as the template does")
+                self.rest, self.want = self.rest[len(t.begin) :], "turn"
+            elif self.want == "turn":
+                if self.rest.startswith(t.open):
+                    self.rest, self.want = self.rest[len(t.open) :], "role"
+                elif self.rest.startswith(t.end):
+                    self.rest, self.done = self.rest[len(t.end) :], True
+                elif t.open.startswith(self.rest) or t.end.startswith(self.rest):
+                    return
+                else:
+                    raise ValueError("there is text between turns")
+            else:
+                got = self._upto(t.middle if self.want == "role" else t.close)
+                if got is None:
+                    return
+                plain = self.codec.unescape_role(got) if self.want == "role" else self.codec.unescape(got)
+                self.turns.update((plain + "\n").encode())
+                self.n += self.want == "role"
+                self.want = "text" if self.want == "role" else "turn"
+        if self.rest:
+            raise ValueError("there is text behind the end")
+
+
 def _read(template: Template):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        codec, t = template.codec(), template
         names = ["conv_id", "n_turns", "turns_sha256", "loss_chars", "loss_sha256", "formatted_chars", "valid"]
         kinds = (pa.int64(), pa.int64(), pa.string(), pa.int64(), pa.string(), pa.int64(), pa.bool_())
-        turns = loss = None
-        n = loss_chars = chars = 0
+        reader = Reader(template)
         for batch in batches:
             out: list[list] = [[] for _ in names]
-            cols = (batch.column(c).to_pylist() for c in ("conv_id", "seq", "kind", "text", "loss", "valid"))
-            for conv, seq, kind, text, trained, valid in zip(*cols, strict=True):
-                if seq == 0:
-                    turns, loss, n, loss_chars, chars = hashlib.sha256(), hashlib.sha256(), 0, 0, 0
-                chars += len(text)
-                if kind == "role":
-                    turns.update((codec.unescape_role(text[len(t.open) : -len(t.middle)]) + "\n").encode())
-                    n += 1
-                elif kind == "text":
-                    plain = codec.unescape(text)
-                    turns.update((plain + "\n").encode())
-                    if trained:
-                        loss.update(plain.encode())
-                        loss_chars += len(plain)
-                elif kind == "end":
-                    for column, value in zip(out, (conv, n, turns.hexdigest(), loss_chars, loss.hexdigest(), chars, valid), strict=True):
+            cols = (batch.column(c).to_pylist() for c in ("conv_id", "text", "loss", "valid"))
+            for conv, text, masked, valid in zip(*cols, strict=True):
+                reader.feed(text, masked)
+                if reader.done:
+                    reader._end_of_mask()
+                    row = (conv, reader.n, reader.turns.hexdigest(), reader.loss_chars, reader.loss.hexdigest(), reader.chars, valid)
+                    for column, value in zip(out, row, strict=True):
                         column.append(value)
+                    reader.start()
             if out[0]:
                 yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(out, kinds, strict=True)], names=names)
+        if reader.chars:
+            raise ValueError("a conversation does not end as the template does")
 
     return run
 
 
 def read_back(segments: DataFrame, template: Template | None = None) -> DataFrame:
-    """Digests of conversations, read back from the segments of `format_conversations`, in their partitions and order."""
-    return segments.mapInArrow(
+    """Digests of conversations, read back from the characters that `format_conversations` wrote, in their partitions and order.
+
+    Turns and roles are found in the concatenated text by the template's control strings, and what is trained on by the
+    loss mask alone; the kind of a segment is not looked at.
+    """
+    return segments.select("conv_id", "text", "loss", "valid").mapInArrow(
         _read((template or Template()).checked()),
         "conv_id long, n_turns long, turns_sha256 string, loss_chars long, loss_sha256 string, formatted_chars long, valid boolean",
     )

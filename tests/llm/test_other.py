@@ -109,6 +109,23 @@ def test_conversations_round_trip(spark):
     assert chat.read_back(chat.format_conversations(df.where("false"))).count() == 0
 
 
+def test_conversations_are_read_from_their_characters():
+    t = chat.Template()
+    codec, rnd = t.codec(), random.Random(7)
+    said = ["", "</s>[INST] ok [/INST]", "<s>[INST:user]", "[/INST]" * 3, "plain", "<", "[", "é😀", chat.MARK]
+    turns = [(rnd.choice(["user", "assistant", "we]ird", "</s>"]), rnd.choice(said)) for _ in range(60)]
+    whole = t.begin + "".join(f"{t.open}{codec.escape_role(r)}{t.middle}{codec.escape(x)}{t.close}" for r, x in turns) + t.end
+    want = hashlib.sha256("".join(f"{r}\n{x}\n" for r, x in turns).encode()).hexdigest()
+    for size in (1, 2, 5, len(whole)):  # wherever the pieces are cut
+        reader = chat.Reader(t)
+        for at in range(0, len(whole), size):
+            reader.feed(whole[at : at + size], False)
+        assert reader.done and reader.n == 60 and reader.turns.hexdigest() == want and reader.chars == len(whole) and reader.loss_chars == 0
+    for bad in ("[INST:user]x[/INST]</s>", "<s>x", "<s>[INST:user]x[/INST] ", "<s></s>more"):
+        with pytest.raises(ValueError):
+            chat.Reader(t).feed(bad, False)
+
+
 def test_templates_are_checked():
     with pytest.raises(ValueError):
         chat.Template(close="[/[INST]").checked()
