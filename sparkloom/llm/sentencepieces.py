@@ -398,7 +398,9 @@ def encode_documents(docs: DataFrame, model: Model | None = None, *, id_col: str
     """Per row: `doc_id`, `n_tokens`, `n_byte_tokens`, `ids_sha256` (little-endian 32-bit ids), `round_trip`, `ids`.
 
     `round_trip` says whether decoding the ids gives the text back; it fails only for texts that hold the blank's own
-    sign U+2581. Defined results: a null or empty text has no tokens; repeated rows each get a row; other columns are not read.
+    sign U+2581. Defined results: a null or empty text has no tokens; repeated rows each get a row; ids may be null but
+    must be whole numbers (or text that spells one); an empty table gives no rows; other columns are not read. A text without
+    blanks is one word, whose edges take some 200 bytes a character while it is encoded.
     """
     prepare(docs.sparkSession)
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))

@@ -541,6 +541,7 @@ def test_unknown_characters_without_bytes():
 def test_encode_and_decode_documents(spark):
     texts = [None, "", "some words", "é\n" * 1000, "w" * 200_000]
     df = docs(spark, [(i, t, "s") for i, t in enumerate(texts)])
+    assert sentencepieces.encode_documents(df.where("false")).count() == 0
     coded = sentencepieces.encode_documents(df)
     out = {r.doc_id: r for r in coded.collect()}
     assert all(r.round_trip and r.n_tokens == len(r.ids) for r in out.values()) and out[0].n_tokens == out[1].n_tokens == 0
