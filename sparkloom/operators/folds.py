@@ -61,6 +61,20 @@ def clip_ranges(df: DataFrame, group: Sequence[str], order: Sequence[str], slot:
     return df.withColumn(name, F.when(holds, F.col("mask.slot"))).drop("mask")
 
 
+def clip_boxes(df: DataFrame, group: Sequence[str], order: Sequence[str], slot: str, clip_to: str, box: Sequence[str], parent: Sequence[str], shown: Column) -> DataFrame:
+    """The box that each row is cut to: its mask's, if one holds, intersected with the parent's. A null bound is open.
+
+    Only rows that are `shown` are masks; a mask is cut by what holds before it, and shows nothing itself. The result's
+    columns are those of `parent`, with `cut_` before their names.
+    """
+    mask = F.when(F.col(clip_to).isNotNull() & shown, F.struct(F.col(slot).alias("slot"), F.col(clip_to).alias("to"), *[F.col(b).alias(f"b{i}") for i, b in enumerate(box)]))
+    df = df.withColumn("mask", F.last(mask, ignorenulls=True).over(before(group, order)))
+    holds = (F.col(slot) > F.col("mask.slot")) & (F.col(slot) <= F.col("mask.to"))
+    own = [F.when(holds, F.col(f"mask.b{i}")) for i in range(4)]
+    cut = [F.greatest(F.col(p), o) if i < 2 else F.least(F.col(p), o) for i, (p, o) in enumerate(zip(parent, own, strict=True))]
+    return df.withColumns({f"cut_{p}": c for p, c in zip(parent, cut, strict=True)}).drop("mask")
+
+
 def playback(df: DataFrame, clock: Sequence[str], order: Sequence[str], elapsed: str, frame_ms: int, frames: int, name: str = "frame") -> DataFrame:
     """Frame shown after adding up elapsed milliseconds: floor(sum / duration), wrapped at the end."""
     total = F.sum(F.col(elapsed)).over(so_far(clock, order)).cast("long")

@@ -103,9 +103,36 @@ def overlapping_boxes(boxes: DataFrame, key: str, cell: int, box: Sequence[str]
     return pairs.where(own_x & own_y).select("a", "b")
 
 
-def claims_by_code(claims: DataFrame, low: str, high: str, owner: str, priority: str) -> DataFrame:
-    """Inclusive ranges expanded to codes: `owner` by the best priority, `owners` that claim the code at that priority."""
+def claims_by_code(claims: DataFrame, low: str, high: str, owner: str, priority: str, seq: str | None = None) -> DataFrame:
+    """Inclusive ranges of code numbers expanded to codes: `owner` of the first claim of the best priority (by `seq`, else the
+    smallest), and `owners` that claim the code at that priority. One row for each code that is claimed."""
     codes = claims.withColumn("code", F.explode(F.sequence(F.col(low), F.col(high))))
-    best = codes.groupBy("code").agg(F.min(F.struct(priority, owner)).alias("best"))
+    best = codes.groupBy("code").agg(F.min(F.struct(priority, F.col(seq or owner).alias("seq_"), F.col(owner).alias("owner_"))).alias("best"))
     codes = codes.join(best, "code").where(F.col(priority) == F.col(f"best.{priority}"))
-    return codes.groupBy("code").agg(F.min(owner).alias("owner"), F.countDistinct(owner).alias("owners"))
+    return codes.groupBy("code").agg(F.first("best.owner_").alias("owner"), F.countDistinct(owner).alias("owners"))
+
+
+def claim_findings(claims: DataFrame, registered: DataFrame, documented: DataFrame) -> DataFrame:
+    """What is wrong with the ownership of codes: `check`, `code`, `who`.
+
+    `claims` (`lo`, `hi`, `owner`, `explicit`, `seq`; a null owner reserves the range), `registered` (`code`), `documented`
+    (`code`, `owner`). Explicit claims come before others, which only fill gaps. overlap: two owners claim a code
+    explicitly; reserved: a code in use lies in a reserved range; no-owner; owner-mismatch: documented by another than its
+    owner; undocumented. A reserved code, and one without an owner, is reported as that alone.
+    """
+    explicit = claims.where("explicit")
+    reserved = explicit.where("owner is null").select(F.explode(F.sequence("lo", "hi")).alias("code")).distinct()
+    named = claims.where("owner is not null").withColumn("rank", F.when(F.col("explicit"), 0).otherwise(1))
+    by_code = claims_by_code(named, "lo", "hi", "owner", "rank", "seq")
+    twice = claims_by_code(named.where("explicit"), "lo", "hi", "owner", "rank", "seq").where("owners > 1")
+    used = registered.select("code").distinct().join(reserved.withColumn("reserved", F.lit(True)), "code", "left").join(by_code.select("code", "owner"), "code", "left")
+    free = used.where("reserved is null")
+    owned = free.where("owner is not null")
+    docs = documented.select("code", F.col("owner").alias("who")).distinct()
+
+    def finding(check: str, rows: DataFrame, who: str | None = None) -> DataFrame:
+        return rows.select(F.lit(check).alias("check"), "code", (F.col(who) if who else F.lit(None).cast(documented.schema["owner"].dataType)).alias("who"))
+
+    out = finding("overlap", twice, "owner").unionByName(finding("reserved", used.where("reserved"))).unionByName(finding("no-owner", free.where("owner is null")))
+    out = out.unionByName(finding("owner-mismatch", owned.join(docs, "code").where("who <> owner"), "who"))
+    return out.unionByName(finding("undocumented", owned.join(docs, "code", "left_anti"), "owner"))

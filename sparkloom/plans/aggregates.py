@@ -198,7 +198,29 @@ def bytes_by_group(t: Tables) -> DataFrame:
     return d.groupBy(grp.alias("grp")).agg(F.count("*").alias("n"), F.sum("bytes").alias("bytes"))
 
 
-@query(f"SELECT timeline, greatest(0, max(-depth + 2)) AS ascent, greatest(0, max(depth)) AS descent FROM {ROWS} GROUP BY ALL")
+def font_metrics(fonts: DataFrame, glyphs: DataFrame) -> DataFrame:
+    """`font`, `ascent`, `descent`, `leading`, `derived`: as authored where a font states both extremes, else from its glyphs' bounds.
+
+    Glyph space points down from the base line, so the ascent is the greatest -`y_min` and the descent the greatest `y_max`,
+    neither below zero; glyphs without bounds count for nothing, and leading cannot be derived.
+    """
+    bounds = glyphs.groupBy("font").agg(F.max(-F.col("y_min")).alias("up"), F.max("y_max").alias("down"))
+    f = fonts.select("font", F.col("ascent").alias("a"), F.col("descent").alias("d"), "leading").join(bounds, "font", "left")
+    authored = F.col("a").isNotNull() & F.col("d").isNotNull()
+    up, down = F.greatest(F.lit(0), F.coalesce("up", F.lit(0))), F.greatest(F.lit(0), F.coalesce("down", F.lit(0)))
+    return f.select("font", F.when(authored, F.col("a")).otherwise(up).alias("ascent"), F.when(authored, F.col("d")).otherwise(down).alias("descent"), F.coalesce("leading", F.lit(0)).alias("leading"), (~authored).alias("derived"))
+
+
+@query(
+    f"""WITH g AS (SELECT timeline AS font, max(CASE WHEN kind <> 'error' THEN 2 - depth END) AS up, max(CASE WHEN kind <> 'error' THEN depth - 1 END) AS down FROM {ROWS} GROUP BY ALL),
+    f AS (SELECT c_custkey AS font, CASE WHEN c_custkey % 3 = 0 THEN 700 END AS a, CASE WHEN c_custkey % 2 = 0 THEN 90 END AS d, CASE WHEN c_custkey % 5 = 0 THEN 11 END AS l FROM customer)
+    SELECT font, CAST(CASE WHEN font % 6 = 0 THEN 700 WHEN coalesce(up, 0) > 0 THEN up ELSE 0 END AS BIGINT) AS ascent, CAST(CASE WHEN font % 6 = 0 THEN 90 WHEN coalesce(down, 0) > 0 THEN down ELSE 0 END AS BIGINT) AS descent,
+    CASE WHEN l = 11 THEN 11 ELSE 0 END AS leading, font % 6 <> 0 AS derived FROM f LEFT JOIN g USING (font)"""
+)
 def derived_metrics(t: Tables) -> DataFrame:
-    """Metrics derived from extremes, never below zero."""
-    return rows(t).groupBy("timeline").agg(F.greatest(F.lit(0).cast("long"), F.max(-F.col("depth") + 2)).alias("ascent"), F.greatest(F.lit(0).cast("long"), F.max("depth")).alias("descent"))
+    """Font metrics as authored, or derived from glyph bounds; some fonts have no glyphs, some glyphs no bounds."""
+    k, shown = F.col("c_custkey"), F.col("kind") != "error"
+    glyphs = rows(t).select(F.col("timeline").alias("font"), F.when(shown, F.col("depth") - 2).alias("y_min"), F.when(shown, F.col("depth") - 1).alias("y_max"))
+    fonts = t.customer.select(k.alias("font"), F.when(k % 3 == 0, 700).alias("ascent"), F.when(k % 2 == 0, 90).alias("descent"), F.when(k % 5 == 0, 11).alias("leading"))
+    m = font_metrics(fonts, glyphs)
+    return m.select("font", F.col("ascent").cast("long").alias("ascent"), F.col("descent").cast("long").alias("descent"), "leading", "derived")

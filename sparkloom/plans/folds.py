@@ -65,6 +65,21 @@ def clip_ranges(t: Tables) -> DataFrame:
     return f.clip_ranges(m, KEY, ["depth", "idx"], "depth", "clip_to").select("timeline", "idx", "depth", "clip")
 
 
+@query(
+    f"""WITH r AS (SELECT timeline, idx, depth, character, kind = 'error' AND character % 4 > 0 AS masks, depth + 1 + character % 3 AS reach, row_number() OVER (PARTITION BY timeline ORDER BY depth, idx) AS n FROM {ROWS}),
+    m AS (SELECT r.timeline, r.idx, max(k.n) AS last FROM r JOIN r AS k ON k.timeline = r.timeline AND k.masks AND k.n < r.n GROUP BY ALL)
+    SELECT r.timeline, r.idx, CASE WHEN k.n IS NULL THEN p.x0 ELSE greatest(p.x0, k.character) END AS cut_x0, CASE WHEN k.n IS NULL THEN p.x1 ELSE least(p.x1, k.character + 20) END AS cut_x1
+    FROM r JOIN (SELECT DISTINCT timeline, CASE WHEN timeline % 2 = 0 THEN 10 END AS x0, CASE WHEN timeline % 2 = 0 THEN 40 END AS x1 FROM {ROWS}) AS p ON p.timeline = r.timeline
+    LEFT JOIN m ON m.timeline = r.timeline AND m.idx = r.idx LEFT JOIN r AS k ON k.timeline = m.timeline AND k.n = m.last AND r.depth > k.depth AND r.depth <= k.reach"""
+)
+def clip_boxes(t: Tables) -> DataFrame:
+    """What each item is cut to: the mask in force and the parent's box, either of which may be missing."""
+    even, c = F.col("timeline") % 2 == 0, F.col("character")
+    r = rows(t).withColumns({"reach": F.when(F.col("kind") == "error", F.col("depth") + 1 + c % 3), "b0": c, "b1": F.lit(0), "b2": c + 20, "b3": F.lit(9), "x0": F.when(even, 10), "y0": F.lit(0), "x1": F.when(even, 40), "y1": F.lit(9)})
+    out = f.clip_boxes(r, KEY, ["depth", "idx"], "depth", "reach", ["b0", "b1", "b2", "b3"], ["x0", "y0", "x1", "y1"], c % 4 > 0)
+    return out.select("timeline", "idx", F.col("cut_x0").cast("long").alias("cut_x0"), F.col("cut_x1").cast("long").alias("cut_x1"))
+
+
 @query(f"SELECT timeline, idx, clock, (clock // 83) % 24 AS frame FROM (SELECT timeline, idx, CAST(sum(character) OVER (PARTITION BY timeline ORDER BY idx ROWS UNBOUNDED PRECEDING) AS BIGINT) AS clock FROM {ROWS})")
 def playback_clock(t: Tables) -> DataFrame:
     """The frame shown after adding up elapsed time, wrapped at the end."""
