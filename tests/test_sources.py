@@ -148,6 +148,25 @@ def test_actions_round_trip():
     assert got[3]["target"] == got[5]["offset"] and got[3]["target_valid"] and not got[8]["target_valid"]
 
 
+def test_every_operand_layout_round_trips():
+    records = [
+        (0x8A, {"frame": 700, "skip": 3}), (0x8D, {"skip": 9}), (0x9F, {"play": True, "reserved": 0}), (0x9F, {"play": False, "reserved": 0x14, "sceneBias": 515}),
+        (0x9A, {"method": "get", "loadTarget": True, "loadVariables": False, "reserved": 0}), (0x9A, {"method": "post", "loadTarget": False, "loadVariables": True, "reserved": 0x3C}),
+        (0x9A, {"method": "none", "loadTarget": False, "loadVariables": False, "reserved": 0}), (0x81, {"frame": 65535}), (0x87, {"register": 255}), (0x83, {"url": "a", "target": "é"}), (0x8B, {"target": "/x"}), (0x8C, {"label": "l"}),
+        (0x8F, {"tryLength": 0, "catchLength": 0, "finallyLength": 0, "hasCatch": True, "hasFinally": False, "inRegister": False, "reserved": 0, "variable": "e"}),
+        (0x8F, {"tryLength": 0, "catchLength": 0, "finallyLength": 0, "hasCatch": True, "hasFinally": True, "inRegister": True, "reserved": 21, "register": 4}),
+        (0x8F, {"tryLength": 0, "catchLength": 0, "finallyLength": 0, "hasCatch": False, "hasFinally": True, "inRegister": False, "reserved": 0}), (0x20, {}), (0, {}),
+    ]
+    for version in (5, 6):
+        data = actions.serialise(records, version)
+        got = actions.decode_block(data, version)
+        assert [(r["code"], r["fields"]) for r in got] == records and actions.serialise([(r["code"], r["fields"]) for r in got], version) == data
+    assert actions.operands(0x9A, b"\x83")[0] == {"method": "post", "loadTarget": True, "loadVariables": True, "reserved": 0}
+    assert actions.serialise([(0x8B, {"target": "€é漢"})], 5) == b"\x8b\x04\x00\x80\xe9?\0"
+    with pytest.raises(ValueError):
+        actions.serialise([(0x01, {})])
+
+
 def test_basic_blocks():
     got = actions.decode_block(actions.serialise(SCRIPT))
     blocks = actions.basic_blocks(got)
