@@ -312,9 +312,36 @@ def test_blobs_dumps_scenes_and_hit_areas(spark, tmp_path):
     assert movies.write_scenes(movies.read_scenes(texts)).first().scene == scene
     with pytest.raises(Exception):
         movies.read_scenes(spark.createDataFrame([("{broken",)], "scene string")).collect()
-    records = spark.createDataFrame([(1, "up", 5, 1, 0, 0, 1, 0, 0), (1, "hitTest", 5, 2, 0, 0, 2, 10, 0), (2, "up", 5, 0, 0, 0, 0, 0, 0), (3, "up", 5, 0, 1, -1, 0, 0, 0)], "button int, state string, character int, a int, b int, c int, d int, tx int, ty int")
-    area = movies.hit_areas(records, spark.createDataFrame([(5, 0, 0, 4, 6)], "character int, x0 int, y0 int, x1 int, y1 int"))
-    assert sorted(tuple(r) for r in area.collect()) == [(1, 10, 0, 18, 12), (3, -6, 0, 0, 4)]
+
+
+def test_hit_areas(spark):
+    one = [1, 0, 0, 1, 0, 0]
+    rows = [
+        ("f", 1, 0, ["up"], 5, *one), ("f", 1, 1, ["hitTest", "down"], 5, 2, 0, 0, 2, 10, 0), ("f", 2, 2, ["up"], 5, 0, 0, 0, 0, 0, 0), ("f", 3, 3, ["up"], 5, 0, 1, -1, 0, 0, 0),
+        ("f", 4, 4, ["hitTest"], 6, *one), ("f", 4, 5, ["up"], 5, *one),  # the hit test has no bounds, and the up state does not stand in
+        ("f", 7, 6, ["up"], 1, 1, 0, 0, 1, 100, 0), ("f", 7, 7, ["up"], 5, *one),  # a button inside a button
+        ("f", 8, 8, ["up"], 9, *one), ("f", 8, 9, ["up"], 5, *one), ("f", 9, 10, ["up"], 8, 1, 0, 0, 1, 50, 0), ("f", 9, 11, ["up"], 5, 1, 0, 0, 1, 20, 0), ("g", 1, 0, ["over"], 5, *one), ("g", 2, 1, ["up"], 2, *one),
+    ]
+    records = spark.createDataFrame(rows, "path string, button int, seq int, states array<string>, character int, a int, b int, c int, d int, tx int, ty int")
+    bounds = spark.createDataFrame([("f", 5, 0, 0, 4, 6), ("f", 6, None, None, None, None), ("g", 5, 0, 0, 1, 1)], "path string, character int, x0 int, y0 int, x1 int, y1 int")
+    got = {(r.path, r.button): (None if r.x0 is None else (r.x0, r.y0, r.x1, r.y1), r.source, r.problems) for r in movies.hit_areas(records, bounds).collect()}
+    assert got == {
+        ("f", 1): ((10, 0, 18, 12), "hitTest", []), ("f", 2): (None, "up", ["singular", "none"]), ("f", 3): ((-6, 0, 0, 4), "up", []), ("f", 4): (None, "hitTest", ["none"]),
+        ("f", 7): ((0, 0, 118, 12), "up", []), ("f", 9): ((20, 0, 24, 6), "up", ["cycle"]), ("f", 8): ((0, 0, 24, 6), "up", []), ("g", 1): (None, None, []), ("g", 2): (None, "up", ["cycle", "none"]),
+    }
+
+
+def test_references_and_what_stops_their_closure(spark, tmp_path):
+    font = tag(48, struct.pack("<H", 20) + b"\0\0\x01a\0\0\0\0")
+    text = tag(11, struct.pack("<H", 21) + b"\0\0\0\0" + b"\x08" + struct.pack("<HH", 20, 9) + b"\0" + b"\0")
+    (tmp_path / "a.swf").write_bytes(movie(square(1) + square(2) + tag(17, struct.pack("<HHHH", 30, 0, 40, 0)[:6] + b"\0" + struct.pack("<HH", 0, 0)) + place(1, 1) + SHOW + END))
+    (tmp_path / "b.swf").write_bytes(movie(font + text + square(2) + place(1, 21) + SHOW + END))
+    decoded = tagdata.decoded(container.tag_table(container.read_files(spark, str(tmp_path))))
+    edges = {(r.path[-5], r.src, r.dst) for r in movies.references(decoded).collect()}
+    assert {("a", 0, 1), ("a", 30, 40), ("b", 0, 21), ("b", 21, 20)} <= edges
+    assert {(r.path[-5], r.character) for r in movies.reference_blockers(decoded).collect()} == {("b", 20)}
+    live = {(r.path[-5], r.id): (r.live, r.prunable) for r in movies.live_characters(decoded).collect()}
+    assert live["a", 2] == (False, True) and live["a", 1] == (True, False) and live["b", 2] == (False, False) and live["b", 20] == (True, False)
 
 
 def test_command_line(spark, tmp_path, capsys):
