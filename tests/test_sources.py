@@ -345,17 +345,25 @@ def test_references_and_what_stops_their_closure(spark, tmp_path):
 
 
 def test_command_line(spark, tmp_path, capsys):
-    from sparkloom.__main__ import main
+    from sparkloom.__main__ import VERBS, main, table
 
     (tmp_path / "in").mkdir()
     (tmp_path / "in" / "a.swf").write_bytes(movie(square(1) + SHOW + END))
-    (tmp_path / "in" / "b.swf").write_bytes(b"junk")
-    for verb in ("files", "tags", "notes", "frames", "display", "dump", "actions"):
-        assert main([verb, str(tmp_path / "in")], spark) == 0
-    assert main(["tags", str(tmp_path / "in"), "--out", str(tmp_path / "out"), "--fail-on-error"], spark) == 4
-    assert spark.read.parquet(str(tmp_path / "out")).count() == 3
-    (tmp_path / "in" / "a.swf").unlink()
-    assert main(["files", str(tmp_path / "in")], spark) == 2
+    assert all(table(spark, verb, str(tmp_path / "in")).columns for verb in VERBS)
+    assert table(spark, "characters", str(tmp_path / "in")).count() == 1 and main(["frames", str(tmp_path / "in")], spark) == 0
+    assert main(["tags", str(tmp_path / "in"), "--out", str(tmp_path / "out")], spark) == 0 and spark.read.parquet(str(tmp_path / "out")).count() == 3
+    assert main(["files", str(tmp_path / "nothing")], spark) == 2
+
+    def alone(data, *more):
+        (tmp_path / "in" / "a.swf").write_bytes(data)
+        return main(["files", str(tmp_path / "in"), *more], spark)
+
+    assert alone(b"junk") == 2
+    assert alone(movie(tag(69, b"\x08\0\0\0") + SHOW + END, version=9)) == 3 and alone(movie(tag(82, b"\0" * 6) + SHOW + END, version=9)) == 3
+    for data in (movie(square(1) + square(1) + SHOW + END), movie(square(1) + SHOW + END)[:14]):
+        code = alone(data)
+        levels = {r.severity for r in table(spark, "diagnostics", str(tmp_path / "in")).collect()}
+        assert code == ("error" in levels) and ("error" in levels or alone(data, "--max-warnings", "0") == 4 * ("warning" in levels) == alone(data, "--fail-on", "warning"))
 
 
 def test_trees_are_written_whole_or_not_at_all(spark, tmp_path):
