@@ -86,11 +86,16 @@ def playback_clock(t: Tables) -> DataFrame:
     return f.playback(rows(t), KEY, AT, "character", 83, 24).select("timeline", "idx", "clock", "frame")
 
 
-@query()
+@query(
+    f"""WITH o AS (SELECT timeline, depth, idx, kind, CASE WHEN kind <> 'error' OR character % 2 > 0 THEN character END AS character FROM {ROWS}),
+    p AS (SELECT timeline, depth, max(idx) AS idx, arg_max(character, idx) AS character FROM o WHERE kind = 'signup' GROUP BY timeline, depth)
+    SELECT timeline, depth AS slot, character FROM p WHERE NOT EXISTS (SELECT 1 FROM o WHERE o.timeline = p.timeline AND o.depth = p.depth AND o.idx > p.idx AND o.kind = 'error' AND coalesce(o.character = p.character, true))"""
+)
 def removal_by_character(t: Tables) -> DataFrame:
     """The list under the stricter rule: a removal holds only if it names the character in its depth, or none.
 
-    Each state depends on the state before; tests fold the same rows in plain Python.
+    Each state depends on the state before, so rows are folded in order. The oracle asks of each depth's last placement
+    whether a removal that fits comes behind it.
     """
     kind = F.when(F.col("kind") == "signup", "place").when(F.col("kind") == "error", "remove").otherwise("skip")
     own = F.when((F.col("kind") == "error") & (F.col("character") % 2 == 0), None).otherwise(F.col("character"))

@@ -67,8 +67,8 @@ def sanitise_name(t: Tables) -> DataFrame:
 
 #: Program lines and the ids that they cite.
 _LINES = (
-    ("let a = 1; // as AVM-D04 and GFX-D123 say", "AVM-D04 GFX-D123"), ("const s = 'AVM-D05';", ""), ("  * CMP-D02, again CMP-D02", "CMP-D02"), ("x * AVM-D06", ""), ("// A-D01 AB-D1 AB-D1234 ABCDEFGH-D01", ""),
-    ("u = 'http://AUD-D07'", "AUD-D07"), ("\t* lower-d01 OK9-D99x Z9-D88", "Z9-D88"), ("no comment at all", ""), ("a / b // SWF-D010", "SWF-D010"),
+    ("let a = 1; // as ONE-D04 and TWO-D123 say", "ONE-D04 TWO-D123"), ("const s = 'ONE-D05';", ""), ("  * ABC-D02, again ABC-D02", "ABC-D02"), ("x * ONE-D06", ""), ("// A-D01 AB-D1 AB-D1234 ABCDEFGH-D01", ""),
+    ("u = 'http://SIX-D07'", "SIX-D07"), ("\t* lower-d01 OK9-D99x Z9-D88", "Z9-D88"), ("no comment at all", ""), ("a / b // TEN-D010", "TEN-D010"),
 )
 
 
@@ -107,10 +107,10 @@ def ban_scan(t: Tables) -> DataFrame:
     return p.select("page_id", bans.alias("bans")).unionByName(pages)
 
 
-#: Texts and the traces of a host in them, the host being named forge-07.
+#: Texts and the traces of a host in them, the host being named builder-07.
 _TRACES = (
     ("/home/me/x", "path"), ("see '/Users/me'", "path"), ("at C:\\\\temp", "path"), ("(D:/x", "path"), ("a/home/me", ""), ("/homework", ""), ("/usr/lib", ""), ("https://x.org/a", ""), ("built 2024-01-31T10:22:01Z", "clock"),
-    ("2024-01-31 10:22", "clock"), ("2024-01-31", ""), ("by forge-07.local", "host"), ("=/var/x at 2020-02-02 02:02 on forge-07", "path clock host"), ("plain", ""), ("", ""),
+    ("2024-01-31 10:22", "clock"), ("2024-01-31", ""), ("by builder-07.local", "host"), ("=/var/x at 2020-02-02 02:02 on builder-07", "path clock host"), ("plain", ""), ("", ""),
 )
 
 
@@ -123,7 +123,7 @@ def leak_scan(t: Tables) -> DataFrame:
     k = F.col("doc_id")
     d = t.documents.select("doc_id").join(F.broadcast(_given(t, _TRACES)), F.col("i") == k % len(_TRACES))
     number = F.when(k % 3 == 0, 1_700_000_000_000 + k).when(k % 3 == 1, 1_500_000_000 + k * 100_003).otherwise(k)
-    return d.select("doc_id", F.array_join(sources.host_leaks(F.col("x"), "forge-07"), " ").alias("traces"), sources.looks_like_epoch(number).alias("epoch"))
+    return d.select("doc_id", F.array_join(sources.host_leaks(F.col("x"), "builder-07"), " ").alias("traces"), sources.looks_like_epoch(number).alias("epoch"))
 
 
 def target_path(c: Column) -> tuple[Column, Column, Column]:
