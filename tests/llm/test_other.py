@@ -589,3 +589,30 @@ def test_pipeline_stages(spark):
     assert Counter((r.doc_id, tuple(r.ids)) for r in seen["tokens"]) == Counter((r.doc_id, tuple(encoder.encode([r.text])[0])) for r in seen["mixing"])
     run = Counter((r.doc_id, r.ids_sha256) for r in p.run(spark, folder).collect())
     assert run == Counter((r.doc_id, r.ids_sha256) for r in seen["tokens"])
+
+
+def test_pipeline_over_odd_rows(spark, tmp_path):
+    """Nulls in any column, blank and very long texts, repeated rows and ids, columns with the operators' own names; then no rows."""
+    import corpus_pipeline as p
+
+    rnd = random.Random(11)
+    names = ["".join(rnd.choice("abcdefghij") for _ in range(6)) for _ in range(3000)]
+    prose = lambda n: " ".join(rnd.choice(names) for _ in range(n))
+    long_, twice = prose(60_000), prose(50)
+    rows = [(1, None, "a"), (2, "", "a"), (3, " \n ", None), (4, long_, "a"), (5, long_ + " end", "b"), (6, "x" * 400_000, "a"), (7, twice, "a"), (7, twice, "a"), (7, prose(40), "b"), (None, prose(45), None),
+            (8, prose(30) + " mail иван.петров@example.com now", "a"), (9, twice.upper(), "b"), *[(20 + i, prose(25 + i), "ab"[i % 2]) for i in range(20)]]
+    kinds = "doc_id long, text string, lang string, source string, n_chars long, mix_shard int, mix_order long, label string, node long, tk long, words string"
+    (tmp_path / "some").mkdir()
+    df = spark.createDataFrame([(i, t, None, s, None, 1, 2, "l", 3, 4, None) for i, t, s in rows], kinds)
+    df.write.parquet(str(tmp_path / "some" / "documents.parquet"))
+    read = spark.read.parquet(str(tmp_path / "some" / "documents.parquet"))
+    for name, stage in p.STAGES[:3]:
+        read = p.stored(stage(spark, read, ""), f"odd-{name}")
+        assert read.columns == df.columns
+    left = Counter((r.doc_id, (r.text or "")[:20]) for r in read.collect())
+    assert sum(left.values()) == 25 and left[4, long_[:20]] == left[7, twice[:20]] == 1 and not any(i in (1, 2, 3, 5, 6, 9) for i, _ in left)
+    assert not any("иван" in (r.text or "") for r in read.collect())
+    got = p.run(spark, str(tmp_path / "some")).collect()
+    assert {r.doc_id for r in got} <= {i for i, _ in left} and all(r.round_trip for r in got) and len(got) > 10
+    df.where("false").write.parquet(str(tmp_path / "none" / "documents.parquet"))
+    assert p.run(spark, str(tmp_path / "none")).count() == 0
