@@ -108,22 +108,21 @@ def alias_chain(links: DataFrame, *, name: str = "name", target: str = "target",
     state = F.when(F.col("f"), "resolved").when(F.col("there").isNull(), "missing")
     end = F.when(F.col("f"), F.col("n")).otherwise(F.col("t"))
     jumps = known.join(ends, "t", "left").select(F.col("n").alias("name"), end.alias("end"), F.when(F.col("f"), 0).otherwise(1).cast("long").alias("steps"), state.alias("state"), F.col("n").alias("low"))
-    jumps = cut(jumps)
-    put, settled = _rounds(links.sparkSession), None
+    put = _rounds(links.sparkSession)
+    now, every = put(jumps)
     left, span, closing = None, 1, False
     while True:
-        _, settled = put(jumps.where("state is not null").drop("low"))
-        open_ = cut(jumps.where("state is null").drop("state"))
+        # A round holds the names that were open before it; those that it settled are in no later one.
+        settled, open_ = every.where("state is not null").drop("low"), now.where("state is null").drop("state")
         before, left = left, open_.count()
         closing = closing or left == before
         if not left or (closing and span >= left):
             break
-        far = (open_ if closing else jumps).select(F.col("name").alias("end"), F.col("end").alias("far"), F.col("steps").alias("more"), *([] if closing else [F.col("state").alias("then")]), F.col("low").alias("lower"))
-        then = F.lit(None).cast("string") if closing else F.col("then")
-        # A settled name may be met in any later round, so the ends of earlier rounds are joined as well.
-        if not closing:
-            far = far.unionByName(settled.join(open_.select(F.col("end").alias("name")).distinct(), "name", "left_semi").select(F.col("name").alias("end"), F.col("end").alias("far"), F.col("steps").alias("more"), F.col("state").alias("then"), F.col("name").alias("lower"))).dropDuplicates(["end"])
-        jumps = cut(open_.join(far, "end").select("name", F.col("far").alias("end"), (F.col("steps") + F.col("more")).alias("steps"), then.alias("state"), F.least("low", "lower").alias("low")))
+        then = F.lit(None).cast("string") if closing else F.col("state")
+        far = open_ if closing else settled.withColumn("low", F.col("name")).unionByName(open_.withColumn("state", F.lit(None).cast("string")))
+        far = far.select(F.col("name").alias("end"), F.col("end").alias("far"), F.col("steps").alias("more"), then.alias("then"), F.col("low").alias("lower"))
+        step = open_.join(far, "end").select("name", F.col("far").alias("end"), (F.col("steps") + F.col("more")).alias("steps"), F.col("then").alias("state"), F.least("low", "lower").alias("low"))
+        now, every = put(step)
         span *= 2
     lows = open_.select(F.col("name").alias("end"), "low")
     cyclic = open_.drop("low").join(lows, "end").select("name", F.lit("cycle").alias("state"), F.col("low").alias("end"), F.lit(None).cast("long").alias("steps"))
