@@ -269,7 +269,7 @@ def _grouped(docs: DataFrame, id_col: str, text_col: str, shingle: int, percent:
     classes = signed.where("n > 0").groupBy("d1", "d2").agg(smallest, F.first("n").alias("n"), F.first("bands").alias("bands"))
     classes = classes.select("d1", "d2", "n", "bands", F.col("rep.doc_id").alias("rep_id"), F.col("rep.tk").alias("rep_tk"))
     classes = stored(classes.withColumn("node", F.monotonically_increasing_id()), "classes")  # the stored table fixes the numbers
-    keys = classes.select("node", "n", F.posexplode("bands").alias("band", "key"))
+    keys = classes.select("node", "n", F.col("rep_id").alias("rep"), F.posexplode("bands").alias("band", "key"))
     crowded = keys.groupBy("key").agg(F.min("node").alias("lo"), F.max("node").alias("hi")).where("lo <> hi")
     keys = stored(keys.join(crowded.select("key"), "key", "left_semi"), "keys")
     classes = classes.drop("bands", "n")
@@ -300,7 +300,8 @@ def _grouped(docs: DataFrame, id_col: str, text_col: str, shingle: int, percent:
 
     def mixed(rows_: DataFrame) -> DataFrame:
         """Key rows of buckets that still hold more than one component, with the bucket's hub."""
-        hub = F.min(F.struct("node", "n", "label")).alias("hub")
+        # The smallest id: where copies were made of an older document, that is the one that all of them resemble.
+        hub = F.min(F.struct(F.col("rep").isNull().alias("null"), "rep", "node", "n", "label")).alias("hub")
         open_ = rows_.groupBy("key").agg(F.min("label").alias("lo"), F.max("label").alias("hi"), hub)
         # As a table of its own, so that the join can split a bucket that very many share.
         return rows_.join(stored(open_.where("lo <> hi").select("key", "hub"), "open"), "key")
