@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import atexit
+import itertools
 import shutil
 import tempfile
 import uuid
@@ -145,30 +146,38 @@ def flatten_tree(roots: DataFrame, edges: DataFrame) -> DataFrame:
     return out
 
 
-def settle(nodes: list, entries: dict, edges: list[tuple], rounds: int = 1000) -> tuple[dict, bool]:
+def settle(nodes: list, entries: dict, edges: list[tuple], rounds: int | None = 1000) -> tuple[dict, bool]:
     """Depths of a graph's nodes: {node: (depth or None, conflict)}, and whether the rounds came to rest.
 
     All nodes that can be settled in a round are settled together, once for all. A node waits for all of its predecessors;
     when nothing moves any more, those that never settle count as dead, and the others decide. Known depths that disagree
-    are a conflict and make the depth unknown, and so does an unknown predecessor.
+    are a conflict and make the depth unknown, and so does an unknown predecessor. A round looks only at what follows the
+    nodes of the round before; `rounds` None goes on until it comes to rest.
     """
     before: dict = {n: [] for n in nodes}
+    after: dict = {n: [] for n in nodes}
     for src, dst, delta in edges:
         before[dst].append((src, delta))
+        after[src].append(dst)
     state = {n: (d, False) for n, d in entries.items()}
-    waiting, relaxed = [n for n in nodes if n not in state], False
-    for _ in range(rounds):
+    missing = {n: len(before[n]) for n in nodes}
+    moved, relaxed, reached = list(state), False, set()
+    for _ in itertools.count() if rounds is None else range(rounds):
+        for n in moved:
+            for to in after[n]:
+                missing[to] -= 1
+                if to not in state:
+                    reached.add(to)
         new = {}
-        for n in waiting:
+        for n in list(reached) if relaxed else [n for n in reached if not missing[n]]:
             sent = [(state[p], delta) for p, delta in before[n] if p in state]
-            if not sent or (not relaxed and len(sent) < len(before[n])):
-                continue
             known = {depth + delta for (depth, _), delta in sent if depth is not None and delta is not None}
             vague = any(depth is None or delta is None for (depth, _), delta in sent)
             new[n] = (None if vague or len(known) > 1 else next(iter(known)), len(known) > 1)
+        moved = list(new)
         if new:
             state |= new
-            waiting = [n for n in waiting if n not in new]
+            reached -= new.keys()
         elif relaxed:
             return state, True
         else:
@@ -176,12 +185,13 @@ def settle(nodes: list, entries: dict, edges: list[tuple], rounds: int = 1000) -
     return state, False
 
 
-def depth_fixpoint(nodes: DataFrame, edges: DataFrame, *, rounds: int = 1000) -> DataFrame:
+def depth_fixpoint(nodes: DataFrame, edges: DataFrame, *, rounds: int | None = 1000) -> DataFrame:
     """Stack depth at the entry of every node of many small graphs: `block`, `node`, `depth`, `conflict`, `settled`.
 
     `nodes` holds `block`, `node` and, for entries, a `depth` (else null); `edges` holds `block`, `src`, `dst` and `delta`
     (null if unknown). See `settle` for the rule. Nodes that never settle are dead: `depth` null and `settled` false, as
-    for all nodes still open where `rounds` run out. A graph streams through one task; graphs are spread over all.
+    for all nodes still open where `rounds` run out (None: never). A graph streams through one task; graphs are spread over
+    all.
     """
     none = F.lit(None).cast("long")
     rows = nodes.select("block", F.col("node").alias("a"), none.alias("b"), F.col("depth").cast("long").alias("x"))
@@ -210,7 +220,9 @@ def depth_fixpoint(nodes: DataFrame, edges: DataFrame, *, rounds: int = 1000) ->
         if part:
             yield solved(last, part)
 
-    rows = rows.repartition(parts, "block").sortWithinPartitions("block", "b", "a")
+    # By a hash of the block: a union of tables that lie by block already counts as dealt by block, and Spark drops the
+    # exchange; the two sides are then coalesced on their own, and a graph's nodes and edges come to different tasks.
+    rows = rows.repartition(parts, F.xxhash64("block")).sortWithinPartitions("block", "b", "a")
     return rows.mapInArrow(run, "block long, node long, depth long, conflict boolean, settled boolean")
 
 

@@ -229,7 +229,7 @@ def hit_areas(records: DataFrame, bounds: DataFrame) -> DataFrame:
     rows = records.select("path", F.lit(0).alias("kind"), F.col("seq").cast("long").alias("seq"), F.col("button").cast("int").alias("button"), "states", F.col("character").cast("int").alias("character"), *[F.col(n).cast("double").alias(n) for n in numbers])
     boxes = bounds.select("path", F.lit(1).alias("kind"), F.lit(0).cast("long").alias("seq"), none.cast("int").alias("button"), none.cast("array<string>").alias("states"), F.col("character").cast("int").alias("character"),
                           *[F.col(x).cast("double").alias(n) for x, n in zip(("x0", "y0", "x1", "y1"), numbers)], none.cast("double").alias("tx"), none.cast("double").alias("ty"))
-    rows = rows.unionByName(boxes).repartition(parts, "path").sortWithinPartitions("path", "kind", "seq")
+    rows = rows.unionByName(boxes).repartition(parts, F.xxhash64("path")).sortWithinPartitions("path", "kind", "seq")
     schema = "path string, button int, x0 double, y0 double, x1 double, y1 double, source string, problems array<string>"
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

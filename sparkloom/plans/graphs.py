@@ -112,7 +112,7 @@ def depth_fixpoint(t: Tables) -> DataFrame:
     jumps = F.when(F.col("kind").isin("error", "click"), F.array(F.col("node") + 1, F.col("node") + 4)).otherwise(F.array(F.col("node") + 1))
     e = n.select(F.col("timeline").alias("block"), F.col("node").alias("src"), F.explode(jumps).alias("dst"), (F.col("character") % 2).alias("delta"))
     start = n.select(F.col("timeline").alias("block"), "node", F.when(F.col("node") == 1, 0).alias("depth"))
-    return g.depth_fixpoint(start, e).select("block", "node", "depth", "conflict")
+    return g.depth_fixpoint(start, e, rounds=None).select("block", "node", "depth", "conflict")
 
 
 _LINKS = "(SELECT o_orderkey AS name, (o_orderkey * 3 + 7) % (SELECT max(o_orderkey) + 1 FROM orders) AS target, o_orderkey % 50 = 0 AS final FROM orders)"

@@ -3,6 +3,7 @@
 import random
 
 import pytest
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from sparkloom.operators import folds, graphs, joins, ordered, sorting
@@ -125,6 +126,29 @@ def test_dead_predecessors_do_not_hold_a_join():
     assert graphs.settle(list(range(1501)), {0: 0}, chain)[1] is False and len(graphs.settle(list(range(1501)), {0: 0}, chain, 2000)[0]) == 1501
 
 
+def test_long_graphs_settle_whole():
+    nodes, chain = list(range(3001)), [(i, i + 1, 1) for i in range(3000)]
+    state, rest = graphs.settle(nodes, {0: 0}, chain, None)
+    assert rest and state == {n: (n, False) for n in nodes}
+
+
+def test_graphs_stay_whole_where_nodes_and_edges_lie_by_block(spark):
+    """Both sides are dealt by block before they meet, and coalesced to different numbers of tasks."""
+    held = {k: spark.conf.get(k, None) for k in ("spark.sql.shuffle.partitions", "spark.sql.adaptive.advisoryPartitionSizeInBytes", "spark.sql.adaptive.coalescePartitions.parallelismFirst", "spark.sql.adaptive.coalescePartitions.minPartitionSize")}
+    for k, v in zip(held, ("16", "30000", "false", "1000"), strict=True):
+        spark.conf.set(k, v)
+    try:
+        n = spark.range(6000).selectExpr("id % 300 AS block", "id DIV 300 AS node", "uuid() AS wide")
+        w = Window.partitionBy("block").orderBy("node")
+        nodes = n.withColumn("k", F.row_number().over(w)).selectExpr("block", "node", "CASE WHEN k = 1 THEN 0 END AS depth")
+        edges = n.withColumn("k", F.row_number().over(w)).where("node < 19").selectExpr("block", "node AS src", "node + 1 AS dst", "k - node + length(wide) - 36 AS delta")
+        got = graphs.depth_fixpoint(nodes, edges).where("depth = node AND settled").count()
+    finally:
+        for k, v in held.items():
+            spark.conf.unset(k) if v is None else spark.conf.set(k, v)
+    assert got == 6000
+
+
 def test_alias_chain_states(spark):
     links = [("a", "b", False), ("b", "c", False), ("c", None, True), ("x", "y", False), ("y", "x", False), ("m", "gone", False), ("t1", "t2", False), ("t2", "y", False), ("s", "s", False), ("f", "s", True)]
     got = {r.name: (r.state, r.end, r.steps) for r in graphs.alias_chain(spark.createDataFrame(links, "name string, target string, final boolean")).collect()}
