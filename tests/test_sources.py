@@ -5,6 +5,7 @@ import random
 import struct
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from movie_writer import END, EXAMPLE, SHOW, matrix, movie, place, rect, remove, sprite, square, tag
 
@@ -219,6 +220,26 @@ def test_tables(spark, tmp_path):
     assert actions.block_table(blocks).count() == 1
 
 
+def test_records_are_handed_on_in_small_batches():
+    """However many records a batch of blocks holds, and however many one block does."""
+
+    class Table:
+        def select(self, *names):
+            return self
+
+        def mapInArrow(self, run, schema):
+            return run
+
+    data = [b"\x06" * n + b"\0" for n in (5, 9000, 0, 1200, 1200)]
+    blocks = pa.RecordBatch.from_pydict({"block_id": list("abcde"), "bytes": data, "version": [6] * 5})
+    for table in (actions.record_table, actions.block_table):
+        assert list(table(Table())(iter([]))) == []
+    got = list(actions.record_table(Table())(iter([blocks])))
+    assert max(b.num_rows for b in got) <= 2000
+    want = [(own, i) for own, d in zip("abcde", data, strict=True) for i in range(len(d))]
+    assert [(r["block_id"], r["seq"]) for b in got for r in b.to_pylist()] == want
+
+
 def test_mp3_frames_and_pcm():
     frame = bytes.fromhex("fffb9064") + bytes(413)
     got = audio.mp3_frames(frame * 3 + b"junk")
