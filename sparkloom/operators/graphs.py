@@ -74,25 +74,35 @@ def reachable(roots: DataFrame, edges: DataFrame, *, node: str = "node", src: st
     return seen
 
 
-def closure(roots: DataFrame, edges: DataFrame, *, hops: int = 4) -> DataFrame:
+def _squared(edges: DataFrame) -> tuple[DataFrame, int, int]:
+    """Edges and the paths of two of them; and how many there are before and after. Tasks stay small however many."""
+    before = edges.count()
+    parts = max(int(edges.sparkSession.conf.get("spark.sql.shuffle.partitions")), before // 1_000_000 + 1)
+    first = edges.select("src", F.col("dst").alias("mid")).repartition(parts, "mid").hint("merge")
+    two = first.join(edges.select(F.col("src").alias("mid"), "dst").repartition(parts, "mid"), "mid").select("src", "dst")
+    out = cut(edges.unionByName(two).repartition(parts, "src", "dst").distinct())
+    return out, before, out.count()
+
+
+def closure(roots: DataFrame, edges: DataFrame, *, hops: int = 4, patience: int = 32) -> DataFrame:
     """The nodes reachable from `roots`, of any type, without depths.
 
-    Edges are first squared up to `hops` times, as long as that makes no more than four times as many, so that one round
-    takes many steps on graphs of long chains.
+    After every `patience` rounds edges are squared, up to `hops` times and as long as that makes no more than four times
+    as many as at first, so that one round takes many steps on graphs of long chains; what is near its roots never pays
+    for that. A frontier may be broadcast, so each node is once at most; what was seen before never is.
     """
     put = _rounds(roots.sparkSession)
-    edges = cut(edges.select("src", "dst").distinct())
-    most = 4 * edges.count()
-    for _ in range(hops):
-        next_ = edges.select("src", F.col("dst").alias("mid")).join(edges.select(F.col("src").alias("mid"), "dst"), "mid").select("src", "dst")
-        squared = cut(edges.unionByName(next_).distinct())
-        if squared.count() > most:
-            break
-        edges = squared
+    edges = cut(edges.select("src", "dst"))
     frontier, seen = put(roots.select(F.col("node").cast(edges.schema["src"].dataType).alias("node")).distinct())
+    done, most = 0, None
     while not frontier.isEmpty():
+        if hops and done == patience:
+            squared, before, after = _squared(edges)
+            most = most or 4 * before
+            edges, hops, done = (squared, hops - 1, 0) if after <= most else (edges, 0, 0)
         step = frontier.join(edges, frontier.node == edges.src).select(F.col("dst").alias("node")).distinct()
-        frontier, seen = put(step.join(seen, "node", "left_anti"))
+        frontier, seen = put(step.join(seen.hint("merge"), "node", "left_anti"))
+        done += 1
     return seen
 
 

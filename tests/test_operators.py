@@ -82,6 +82,33 @@ def test_reachability_with_cycles(spark, seed):
     assert sorted(r.node for r in every.collect()) == list(range(41))
 
 
+def test_closures_square_edges_only_on_long_ways(spark, monkeypatch):
+    calls, squared = [], graphs._squared
+    monkeypatch.setattr(graphs, "_squared", lambda e: calls.append(1) or squared(e))
+    root = spark.createDataFrame([(0,)], "node long")
+    chain = spark.createDataFrame([(i, i + 1) for i in range(14)] + [(14, 3), (50, 51)], "src long, dst long")
+    assert sorted(r.node for r in graphs.closure(root, chain, patience=3).collect()) == list(range(15)) and len(calls) >= 2
+    calls.clear()
+    near = spark.createDataFrame([(0, 1), (1, 2), (2, 0), *((i, i + 1) for i in range(10, 60))], "src long, dst long")
+    assert sorted(r.node for r in graphs.closure(root, near).collect()) == [0, 1, 2] and not calls
+
+
+def test_what_closures_have_seen_is_not_broadcast(spark):
+    """Only frontiers are: the plan of a later round merges with all that was seen."""
+    plans, put = [], graphs._rounds
+
+    def kept(session):
+        store = put(session)
+        return lambda df: plans.append(df._jdf.queryExecution().executedPlan().toString()) or store(df)
+
+    graphs._rounds = kept
+    try:
+        graphs.closure(spark.range(1).toDF("node"), spark.range(4).selectExpr("id AS src", "id + 1 AS dst")).collect()
+    finally:
+        graphs._rounds = put
+    assert len(plans) > 2 and all("SortMergeJoin" in p and "LeftAnti" in p for p in plans[1:])
+
+
 def plain_rounds(nodes, entry, edges):
     """Depths round by round: all predecessors must be settled; once that gets no further, one is enough."""
     state, strict = {n: (d, False) for n, d in entry.items()}, True
