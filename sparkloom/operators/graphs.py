@@ -110,16 +110,42 @@ def alias_chain(links: DataFrame, *, name: str = "name", target: str = "target",
     """Follows name -> target to the end: `state` resolved (at a `final` name), missing (at an unknown one) or cycle.
 
     `end` is the final or the unknown name, `steps` the links followed to it; of a cycle, `end` is its smallest name and
-    `steps` is null. All chains jump at once and double their reach every round. Where a round settles none, a chain that
-    is still open has no end: the rounds then go on until each jump spans all open names, and the smallest name within the
-    span of a jump's end is that of its cycle. So the rounds are logarithmic in the longest chain, and there is no cap.
+    `steps` is null. Names that nothing points to only take what their target has. As long as that leaves clearly fewer
+    names they are put aside; the rest is solved by itself, and each layer then looks its targets up once.
+    """
+    layers = [cut(links.select(F.col(name).alias("n"), F.col(target).alias("t"), F.coalesce(F.col(final), F.lit(False)).alias("f")))]
+    size = layers[0].count()
+    while True:
+        wanted = layers[-1].where("not f").select(F.col("t").alias("n")).distinct()
+        inner = cut(layers[-1].join(wanted.hint("merge"), "n", "left_semi"))
+        left = inner.count()
+        if not left or left > 0.7 * size:
+            break
+        layers.append(inner)
+        size = left
+    out = _doubled(layers.pop())
+    while layers:
+        ends = cut(out).select(F.col("name").alias("t"), F.col("state").alias("then"), F.col("end").alias("far"), F.col("steps").alias("more"))
+        final_, lost = F.col("f"), F.col("then").isNull()
+        out = layers.pop().join(ends.hint("merge"), "t", "left").select(
+            F.col("n").alias("name"), F.when(final_, "resolved").when(lost, "missing").otherwise(F.col("then")).alias("state"),
+            F.when(final_, F.col("n")).when(lost, F.col("t")).otherwise(F.col("far")).alias("end"), F.when(final_, 0).when(lost, 1).otherwise(F.col("more") + 1).cast("long").alias("steps"),
+        )
+    return out
+
+
+def _doubled(known: DataFrame) -> DataFrame:
+    """What `alias_chain` gives, for links `n`, `t`, `f`.
+
+    All chains jump at once and double their reach every round. Where a round settles none, a chain that is still open has
+    no end: the rounds then go on until each jump spans all open names, and the smallest name within the span of a jump's
+    end is that of its cycle. So the rounds are logarithmic in the longest chain, and there is no cap.
     """
-    known = cut(links.select(F.col(name).alias("n"), F.col(target).alias("t"), F.col(final).alias("f")))
     ends = known.select(F.col("n").alias("t"), F.lit(True).alias("there"))
     state = F.when(F.col("f"), "resolved").when(F.col("there").isNull(), "missing")
     end = F.when(F.col("f"), F.col("n")).otherwise(F.col("t"))
-    jumps = known.join(ends, "t", "left").select(F.col("n").alias("name"), end.alias("end"), F.when(F.col("f"), 0).otherwise(1).cast("long").alias("steps"), state.alias("state"), F.col("n").alias("low"))
-    put = _rounds(links.sparkSession)
+    jumps = known.join(ends.hint("merge"), "t", "left").select(F.col("n").alias("name"), end.alias("end"), F.when(F.col("f"), 0).otherwise(1).cast("long").alias("steps"), state.alias("state"), F.col("n").alias("low"))
+    put = _rounds(known.sparkSession)
     now, every = put(jumps)
     left, span, closing = None, 1, False
     while True:
@@ -132,7 +158,7 @@ def alias_chain(links: DataFrame, *, name: str = "name", target: str = "target",
         then = F.lit(None).cast("string") if closing else F.col("state")
         far = open_ if closing else settled.withColumn("low", F.col("name")).unionByName(open_.withColumn("state", F.lit(None).cast("string")))
         far = far.select(F.col("name").alias("end"), F.col("end").alias("far"), F.col("steps").alias("more"), then.alias("then"), F.col("low").alias("lower"))
-        step = open_.join(far, "end").select("name", F.col("far").alias("end"), (F.col("steps") + F.col("more")).alias("steps"), F.col("then").alias("state"), F.least("low", "lower").alias("low"))
+        step = open_.join(far.hint("merge"), "end").select("name", F.col("far").alias("end"), (F.col("steps") + F.col("more")).alias("steps"), F.col("then").alias("state"), F.least("low", "lower").alias("low"))
         now, every = put(step)
         span *= 2
     lows = open_.select(F.col("name").alias("end"), "low")

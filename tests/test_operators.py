@@ -190,6 +190,21 @@ def test_long_alias_chains_and_cycles(spark):
     assert len(got) == len(links)
 
 
+def test_alias_names_that_nothing_points_to_are_put_aside(spark, monkeypatch):
+    """Three layers of leaves over a core of chains, a cycle and lost names: only the core is doubled."""
+    links = [(i, i // 3, i == 0) for i in range(81)] + [(100, 101, False), (101, 100, False), (102, 101, False), (103, 102, False), (200, 999, False), (201, 200, True), (202, 201, False), (203, None, False)]
+    sizes, doubled = [], graphs._doubled
+    monkeypatch.setattr(graphs, "_doubled", lambda k: sizes.append(k.count()) or doubled(k))
+    got = {r.name: (r.state, r.end, r.steps) for r in graphs.alias_chain(spark.createDataFrame(links, "name long, target long, final boolean")).collect()}
+
+    def steps(i):
+        return 0 if i == 0 else 1 + steps(i // 3)
+
+    assert all(got[i] == ("resolved", 0, steps(i)) for i in range(81)) and len(got) == len(links) and sizes[0] < 20
+    assert all(got[i] == ("cycle", 100, None) for i in range(100, 104)) and got[200] == ("missing", 999, 1) and got[203] == ("missing", None, 1)
+    assert got[201] == ("resolved", 201, 0) and got[202] == ("resolved", 201, 1)
+
+
 def test_deep_trees_are_flattened_whole(spark):
     edges = spark.createDataFrame([(i, i + 1) for i in range(45)] + [(10, 5)], "src long, dst long")
     got = {r.node: r.depth for r in graphs.flatten_tree(spark.createDataFrame([(0,)], "node long"), edges).collect()}
