@@ -216,6 +216,39 @@ def test_boxes_that_touch_do_not_overlap(spark):
     assert rows(joins.overlapping_boxes(boxes, "id", 4)) == [(1, 3), (2, 3)]
 
 
+def crowded(n, corners, seed):
+    """Boxes of which many share a lower corner, none empty: (id, x0, y0, x1, y1)."""
+    rnd = random.Random(seed)
+    places = [(rnd.randrange(-40, 40), rnd.randrange(-40, 40)) for _ in range(corners)]
+    return [(i, x, y, x + rnd.randrange(1, 20), y + rnd.randrange(1, 20)) for i in range(n) for x, y in [rnd.choice(places)]]
+
+
+BOX = "id long, x0 long, y0 long, x1 long, y1 long"
+
+
+def overlaps(boxes):
+    return sorted((p[0], q[0]) for p in boxes for q in boxes if p[0] < q[0] and p[1] < q[3] and q[1] < p[3] and p[2] < q[4] and q[2] < p[4])
+
+
+@pytest.mark.parametrize("corners", [1, 12, 400])
+def test_boxes_with_one_corner_meet_in_blocks(spark, monkeypatch, corners):
+    monkeypatch.setattr(joins, "BLOCK_BOXES", 3, raising=False)
+    monkeypatch.setattr(joins, "TASK_BOXES", 40, raising=False)
+    boxes = crowded(150, corners, 5)
+    boxes += boxes[:9]  # ids that come twice
+    odd = [(200, 0, 0, 0, 5), (201, 3, 9, 7, 9), (None, -40, -40, 40, 40), (202, None, 0, 9, 9), (203, 0, 0, None, 9)]
+    assert rows(joins.overlapping_boxes(spark.createDataFrame(boxes + odd, BOX), "id", 8)) == overlaps(boxes)
+
+
+def test_pairs_of_boxes_are_written_in_few_bytes(spark, tmp_path):
+    boxes = crowded(3000, 60, 7)
+    pairs = joins.overlapping_boxes(spark.createDataFrame(boxes, BOX), "id", 20)
+    pairs.write.parquet(str(tmp_path / "pairs"))
+    out = spark.read.parquet(str(tmp_path / "pairs"))
+    assert rows(out) == overlaps(boxes)
+    assert sum(f.stat().st_size for f in (tmp_path / "pairs").glob("*.parquet")) < 0.85 * out.count()
+
+
 def test_contained_over_bucket_borders(spark):
     points = spark.createDataFrame([(i,) for i in range(-3, 25)], "p long")
     ranges = spark.createDataFrame([(1, -2, 9), (2, 8, 8), (3, 7, 20)], "id long, lo long, hi long")
